@@ -3,28 +3,35 @@
 from pyspark.sql import Column, functions as F
 
 from ..dims import domains as dims
+from .let import let
 
 
 def root_domain(domain: Column) -> Column:
     """Last two labels, or three below a two-label public suffix."""
-    last_two = F.substring_index(domain, ".", -2)
-    return F.when(last_two.isin(dims.COMPOUND_TLDS), F.substring_index(domain, ".", -3)).otherwise(last_two)
+    return let(domain, lambda d: F.when(
+        F.substring_index(d, ".", -2).isin(dims.COMPOUND_TLDS), F.substring_index(d, ".", -3)
+    ).otherwise(F.substring_index(d, ".", -2)))
 
 
 def mail_domain(email: Column) -> Column:
     """Second part of an address split at ``@``; null when there is none."""
-    return F.nullif(F.try_element_at(F.split(email, "@"), F.lit(2)), F.lit(""))
+    return let(F.try_element_at(F.split(email, "@"), F.lit(2)), lambda d: F.when(d != "", d))
 
 
 def vendor_key(email: Column) -> Column:
     """Grouping key of a sender: its root domain, or the publisher on a shared platform."""
-    address = F.lower(email)
-    at = F.instr(address, "@")
-    has_at = at > 0
-    domain = F.when(has_at, F.substr(address, at + 1)).otherwise(address)
-    user = F.substring_index(address, "@", 1)
-    root = root_domain(domain)
-    by_user = F.when(has_at, F.concat_ws(".", user, domain)).otherwise(domain)
+    split = let(F.lower(email), lambda address: F.struct(
+        address.alias("address"),
+        F.when(F.instr(address, "@") > 0, F.substr(address, F.instr(address, "@") + 1))
+        .otherwise(address).alias("domain")))
+    rooted = let(split, lambda s: F.struct(
+        s["address"].alias("address"), s["domain"].alias("domain"), root_domain(s["domain"]).alias("root")))
+    return let(rooted, lambda r: _vendor_key(r["address"], r["domain"], r["root"]))
+
+
+def _vendor_key(address: Column, domain: Column, root: Column) -> Column:
+    by_user = F.when(
+        F.instr(address, "@") > 0, F.concat_ws(".", F.substring_index(address, "@", 1), domain)).otherwise(domain)
     below_root = domain != root
     return (
         F.when(domain.isin(dims.PLATFORM_DOMAINS) & below_root, by_user)
@@ -36,13 +43,13 @@ def vendor_key(email: Column) -> Column:
 
 def is_personal_domain(domain: Column) -> Column:
     """The domain, or its root, is a webmail provider."""
-    return domain.isin(dims.PERSONAL_DOMAINS) | root_domain(domain).isin(dims.PERSONAL_DOMAINS)
+    return let(domain, lambda d: d.isin(dims.PERSONAL_DOMAINS) | root_domain(d).isin(dims.PERSONAL_DOMAINS))
 
 
 def domain_suffixes(domain: Column) -> Column:
     """``a.b.c`` -> ``[a.b.c, b.c, c]``: turns an ends-with match into an equality join."""
-    labels = F.split(domain, "[.]")
-    return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    return let(F.split(domain, "[.]"), lambda labels: F.transform(
+        labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
 
 
 def sender_suffixes(email: Column) -> Column:
@@ -81,6 +88,10 @@ def company_domains(web: Column, webform: Column, email: Column) -> Column:
 
 def strip_query(url: Column) -> Column:
     """Origin and path of a web address; anything else is kept as it is."""
+    return let(url, _origin_and_path)
+
+
+def _origin_and_path(url: Column) -> Column:
     pattern = r"(?i)\A(https?)://(?:[^/?#@]*@)?([^/?#:\s]+)(:[0-9]+)?([^?#]*)"
     scheme = F.lower(F.regexp_extract(url, pattern, 1))
     port = F.regexp_extract(url, pattern, 3)

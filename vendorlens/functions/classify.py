@@ -4,6 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from ..dims import patterns
 from ..dims.categories import CATEGORIES, RISK_ORDER, by_risk, source_map
+from .let import let
 from .senders import has_bulk_headers
 
 _ORDER = patterns.java_any(patterns.ORDER)
@@ -17,11 +18,11 @@ def message_type(subject: Column, preview: Column, method: Column, url: Column,
     """
     text = F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.coalesce(preview, F.lit("")))
     has_url = F.coalesce((url != "") & (method != "") & (method != "none"), F.lit(False))
-    return (
-        F.when(text.rlike(_ORDER), "order")
-        .when(text.rlike(_TRANSACTIONAL), "transactional")
+    return let(text, lambda words: (
+        F.when(words.rlike(_ORDER), "order")
+        .when(words.rlike(_TRANSACTIONAL), "transactional")
         .when(has_url | has_bulk_headers(headers), "bulk")
-        .otherwise("personal"))
+        .otherwise("personal")))
 
 
 def _map_literal(mapping):
@@ -60,13 +61,16 @@ def riskiest_category(company_categories: Column, categories=CATEGORIES, app_cat
 
 def keyword_category(haystack: Column, categories=CATEGORIES) -> Column:
     """``struct<category, risk>`` of the first category, from high to low risk, with a keyword in the text."""
-    text = F.lower(haystack)
-    category = risk = None
-    for c in by_risk(categories):
-        hit = text.rlike("|".join(patterns.escape(k.lower()) for k in c.keywords))
-        category = F.when(hit, c.name) if category is None else category.when(hit, c.name)
-        risk = F.when(hit, c.risk) if risk is None else risk.when(hit, c.risk)
-    return F.struct(category.otherwise("unknown").alias("category"), risk.otherwise("unknown").alias("risk"))
+    def first_hit(text):
+        category = F
+        for c in by_risk(categories):
+            hit = text.rlike("|".join(patterns.escape(k.lower()) for k in c.keywords))
+            category = category.when(hit, c.name)
+        return category.otherwise("unknown")
+
+    risk_of = _map_literal({**{c.name: c.risk for c in categories}, "unknown": "unknown"})
+    return let(let(F.lower(haystack), first_hit), lambda category: F.struct(
+        category.alias("category"), F.try_element_at(risk_of, category).alias("risk")))
 
 
 def category_label(category: Column, categories=CATEGORIES) -> Column:

@@ -6,6 +6,7 @@ from ..dims import patterns
 from ..dims.domains import COUNTRY_SLUG_SUFFIXES
 from ..dims.regulators import FINE_COUNTRY_ALIASES, LETTER_LANGUAGES, REGULATORS
 from .addresses import top_level
+from .let import let
 from .text import capitalized, strip_tags
 
 _LEGAL = patterns.java_regex(r"\b(?:" + "|".join(patterns.LEGAL_FORMS) + r")\b")
@@ -54,18 +55,16 @@ def hyphen_prefixes(slug: Column) -> Column:
     return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "-"))
 
 
-def _chain(cases, default=None):
-    expr = None
-    for condition, value in cases:
-        expr = F.when(condition, value) if expr is None else expr.when(condition, value)
-    return expr if default is None else expr.otherwise(default)
+def _of(mapping: dict, key: Column) -> Column:
+    """Value of a small constant map; null when the key is absent."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
 
 
 def regulator_of_country(country: Column) -> Column:
     """Regulator country of a fine, null when there is none in the list."""
     key = F.lower(F.trim(country))
     names = {**{r.country.lower(): r.country for r in REGULATORS}, **FINE_COUNTRY_ALIASES}
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key)
+    return _of(names, key)
 
 
 def _squeezed(text: Column) -> Column:
@@ -82,39 +81,42 @@ def regulator_by_address(address: Column, country_or_iso: Column = None) -> Colu
     lines = F.filter(
         F.transform(F.split(address, "\n"), lambda x: F.trim(F.regexp_replace(x, f"[{patterns.WHITE_SPACE}]+", " "))),
         lambda x: x != "")
-    last_line = _squeezed(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")))
-    whole = _squeezed(address)
-
-    def ends(r):
-        words = "|".join(patterns.escape(n) for n in r.names)
-        return last_line.rlike(rf"(?:\A| )(?:{words})\z") | whole.rlike(rf" (?:{words})\z")
-
-    by_address = _chain([(ends(r), r.country) for r in REGULATORS])
+    ends = F.struct(
+        _squeezed(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))).alias("last"),
+        _squeezed(address).alias("whole"))
+
+    def first_match(e):
+        country = F
+        for r in REGULATORS:
+            words = "|".join(patterns.escape(n) for n in r.names)
+            country = country.when(
+                e["last"].rlike(rf"(?:\A| )(?:{words})\z") | e["whole"].rlike(rf" (?:{words})\z"), r.country)
+        return country
+
+    by_address = let(ends, first_match)
     if country_or_iso is None:
         return by_address
-    given = F.lower(F.trim(country_or_iso))
-    by_code = _chain([((given == r.iso.lower()) | (given == r.country.lower()), r.country) for r in REGULATORS])
-    return F.coalesce(by_code, by_address)
+    codes = {code: r.country for r in REGULATORS for code in (r.iso.lower(), r.country.lower())}
+    return F.coalesce(_of(codes, F.lower(F.trim(country_or_iso))), by_address)
 
 
 def regulator_by_tld(domain: Column) -> Column:
     """Regulator country of a domain's top level, null when there is none."""
-    tld = top_level(domain)
-    return _chain([(tld == r.tld, r.country) for r in REGULATORS])
+    return _of({r.tld: r.country for r in REGULATORS}, top_level(domain))
 
 
 def regulator_language(country: Column) -> Column:
-    return _chain([(country == r.country, r.language) for r in REGULATORS])
+    return _of({r.country: r.language for r in REGULATORS}, country)
 
 
 def regulator_struct(country: Column) -> Column:
     """``struct<name, email, complaint_url>`` of a regulator country."""
-    return F.struct(*[
-        _chain([(country == r.country, F.lit(getattr(r, field)).cast("string")) for r in REGULATORS]).alias(field)
-        for field in ("name", "email", "complaint_url")])
+    fields = ("name", "email", "complaint_url")
+    return let(country, lambda c: F.struct(*[
+        _of({r.country: getattr(r, field) for r in REGULATORS}, c).alias(field) for field in fields]))
 
 
 def language_of_domain(domain: Column) -> Column:
     """Letter language of a top-level domain, English when it is not one of the known ones."""
-    tld = top_level(domain)
-    return F.when(tld.isin([c for c in LETTER_LANGUAGES if c != "en"]), tld).otherwise("en")
+    return let(top_level(domain), lambda tld: F.when(
+        tld.isin([c for c in LETTER_LANGUAGES if c != "en"]), tld).otherwise("en"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from ..dims import patterns
+from .let import let
 from .senders import header_value
 from .text import js_trim
 
@@ -18,8 +19,10 @@ def list_unsubscribe_url(header: Column) -> Column:
     """Best URL of a list header: https, then http, then mailto; null when none."""
     header = F.nullif(header, F.lit(""))
     bracketed = F.regexp_extract_all(header, F.lit("<([^>]+)>"), F.lit(1))
-    urls = F.when(F.size(bracketed) > 0, bracketed).otherwise(F.array(header))
+    return let(F.when(F.size(bracketed) > 0, bracketed).otherwise(F.array(header)), _best_url)
 
+
+def _best_url(urls: Column) -> Column:
     def first(prefix):
         return F.try_element_at(F.filter(urls, lambda u: F.startswith(u, F.lit(prefix))), F.lit(1))
 
@@ -43,6 +46,10 @@ def footer_unsubscribe_url(html: Column) -> Column:
             F.regexp_extract(a, _ANCHOR, 1).alias("href"),
             F.regexp_extract(a, _ANCHOR, 2).alias("text"))),
         lambda a: F.startswith(a["href"], F.lit("http")))
+    return let(links, _opt_out_link)
+
+
+def _opt_out_link(links: Column) -> Column:
     by_text = F.filter(
         links, lambda a: js_trim(F.regexp_replace(a["text"], "<[^>]*>", "")).rlike(_TEXT))
     by_url = F.filter(links, lambda a: a["href"].rlike(_URL))
@@ -56,15 +63,16 @@ def is_forwarded(subject: Column) -> Column:
 
 def resolve_unsubscribe(list_header: Column, post_header: Column, html: Column, subject: Column) -> Column:
     """``struct<method, url>`` by priority: one-click, list header, footer, none."""
-    listed = list_unsubscribe_url(list_header)
-    one_click = is_one_click(list_header, post_header)
-    footer = F.when(~is_forwarded(subject), footer_unsubscribe_url(F.nullif(html, F.lit(""))))
-    method = (
-        F.when(one_click, "rfc8058")
-        .when(listed.isNotNull(), "list-unsubscribe")
-        .when(footer.isNotNull(), "footer")
-        .otherwise("none"))
-    return F.struct(method.alias("method"), F.coalesce(listed, footer).alias("url"))
+    wants_post = F.coalesce(post_header.rlike(_ONE_CLICK), F.lit(False))
+    footer = F.when(~is_forwarded(subject), footer_unsubscribe_url(html))
+    return let(list_unsubscribe_url(list_header), lambda listed: F.when(
+        listed.isNotNull(),
+        F.struct(
+            F.when(wants_post & F.startswith(listed, F.lit("https://")), "rfc8058")
+            .otherwise("list-unsubscribe").alias("method"),
+            listed.alias("url"))
+    ).otherwise(let(footer, lambda url: F.struct(
+        F.when(url.isNotNull(), "footer").otherwise("none").alias("method"), url.alias("url")))))
 
 
 def resolve_from_headers(headers: Column, html: Column, subject: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from ..dims import domains as dims
 from ..dims.patterns import WHITE_SPACE
+from .let import let
 from .text import js_trim
 
 EPOCH_2000_MS = 946684800000
@@ -15,7 +16,10 @@ _ADDRESS = rf"[^{WHITE_SPACE}<>]+@[^{WHITE_SPACE}<>]+"
 
 def parse_sender(raw: Column) -> Column:
     """``struct<name, email>`` of a From value: named, bare ``<address>`` or free text."""
-    raw = F.coalesce(raw, F.lit(""))
+    return let(F.coalesce(raw, F.lit("")), _sender_parts)
+
+
+def _sender_parts(raw: Column) -> Column:
     named, bare = raw.rlike(_NAMED), raw.rlike(_BARE)
     display = F.regexp_replace(F.regexp_extract(raw, _NAMED, 1), r"""\A["']|["']\z""", "")
     found = F.regexp_extract(raw, _ADDRESS, 0)
@@ -35,28 +39,27 @@ def header_date_ms(text: Column) -> Column:
     """Epoch milliseconds of a mail date header (RFC 5322 or ISO), null if unreadable."""
     bare = F.regexp_replace(F.trim(text), r"\A[A-Za-z]{3},\s*|\s*\([^)]*\)\s*\z", "")
     zoned = F.regexp_replace(bare, r"\s+(GMT|UTC|UT|Z)\z", " +0000")
-    parsed = F.coalesce(
-        F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm Z")),
-        bare.try_cast("timestamp"),
-    )
-    return F.unix_millis(parsed)
+    return F.unix_millis(let(zoned, lambda date: F.coalesce(
+        F.try_to_timestamp(date, F.lit("d MMM yyyy HH:mm:ss Z")),
+        F.try_to_timestamp(date, F.lit("d MMM yyyy HH:mm Z")),
+        date.try_cast("timestamp"))))
 
 
 def message_date_ms(header_ms: Column, ingest_ms: Column) -> Column:
     """Header date when it lies after 2000-01-01 UTC, else the time of ingest."""
-    return F.when(header_ms > EPOCH_2000_MS, header_ms).otherwise(ingest_ms)
+    return F.coalesce(let(header_ms, lambda ms: F.when(ms > EPOCH_2000_MS, ms)), ingest_ms)
 
 
 def header_value(headers: Column, name: str) -> Column:
     """First value of a header, whatever its spelling; null when absent or empty."""
     hit = F.filter(headers, lambda h: F.lower(h["name"]) == name.lower())
-    return F.nullif(F.try_element_at(hit, F.lit(1))["value"], F.lit(""))
+    return let(F.try_element_at(hit, F.lit(1))["value"], lambda v: F.when(v != "", v))
 
 
 def _first_of_each_name(headers: Column) -> Column:
-    names = F.transform(headers, lambda h: h["name"])
-    return F.filter(headers, lambda h, i: F.array_position(names, h["name"]) == i + 1)
+    return let(headers, lambda hs: let(
+        F.transform(hs, lambda h: h["name"]),
+        lambda names: F.filter(hs, lambda h, i: F.array_position(names, h["name"]) == i + 1)))
 
 
 def headers_map(headers: Column, policy: str = "last") -> Column:
@@ -83,9 +86,11 @@ def has_bulk_headers(headers: Column) -> Column:
         F.map_entries(F.coalesce(headers, F.expr("map()").cast("map<string,string>"))),
         lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")),
     )
-    lowered = F.map_from_entries(_first_of_each_name(
-        F.reverse(F.filter(spelled, lambda e: e["value"].isNotNull()))))
+    return let(F.map_from_entries(_first_of_each_name(
+        F.reverse(F.filter(spelled, lambda e: e["value"].isNotNull())))), _marks_bulk)
+
 
+def _marks_bulk(lowered: Column) -> Column:
     def value(name):
         return F.nullif(F.try_element_at(lowered, F.lit(name)), F.lit(""))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from ..dims.patterns import WHITE_SPACE
+from .let import let
 
 _SPACES = f"[{WHITE_SPACE}]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,14 +43,11 @@ def ascii_lower(col: Column) -> Column:
 
 def capitalized(col: Column) -> Column:
     """First letter upper, the rest lower."""
-    return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substr(col, F.lit(2))))
+    return let(col, lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2)))))
 
 
 def body_preview(text: Column, html: Column, snippet: Column, length: int = 150) -> Column:
     """First characters of the text body, else of the cleaned HTML, else of the snippet."""
-    body = F.coalesce(F.nullif(text, F.lit("")), html_to_text(html))
-    return F.coalesce(
-        F.nullif(F.substring(collapse(body), 1, length), F.lit("")),
-        F.substring(snippet, 1, length),
-        F.lit(""),
-    )
+    body = F.coalesce(F.when(text != "", text), html_to_text(html))
+    preview = let(F.substring(collapse(body), 1, length), lambda p: F.when(p != "", p))
+    return F.coalesce(preview, F.substring(snippet, 1, length), F.lit(""))

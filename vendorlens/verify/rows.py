@@ -412,10 +412,10 @@ def report_units(spark, sf):
 
 @register("activity_signal", f"""
 WITH e AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 50 = 1 THEN 0
-  WHEN event_id % 50 = 2 THEN {t.AS_OF_MS} - 90 * 86400000 ELSE {DATE_MS} END AS seen FROM events)
-SELECT event_id, CASE WHEN coalesce(seen, 0) = 0 THEN 'unknown' WHEN {t.AS_OF_MS} - seen < 90 * 86400000 THEN 'recent'
-  WHEN {t.AS_OF_MS} - seen < 365 * 86400000 THEN 'active' WHEN {t.AS_OF_MS} - seen < 730 * 86400000 THEN 'inactive'
-  WHEN {t.AS_OF_MS} - seen < 1825 * 86400000 THEN 'stale' ELSE 'dead' END AS activity FROM e""")
+  WHEN event_id % 50 = 2 THEN {t.AS_OF_MS - 90 * 86400000} ELSE {DATE_MS} END AS seen FROM events)
+SELECT event_id, CASE WHEN coalesce(seen, 0) = 0 THEN 'unknown' WHEN {t.AS_OF_MS} - seen < 90 * CAST(86400000 AS BIGINT) THEN 'recent'
+  WHEN {t.AS_OF_MS} - seen < 365 * CAST(86400000 AS BIGINT) THEN 'active' WHEN {t.AS_OF_MS} - seen < 730 * CAST(86400000 AS BIGINT) THEN 'inactive'
+  WHEN {t.AS_OF_MS} - seen < 1825 * CAST(86400000 AS BIGINT) THEN 'stale' ELSE 'dead' END AS activity FROM e""")
 def activity_signal(spark, sf):
     k = ID() % 50
     seen = F.when(k == 1, 0).when(k == 2, t.AS_OF_MS - 90 * 86_400_000).when(k > 2, t.date_ms())
@@ -434,7 +434,7 @@ def volume_signal(spark, sf):
 SELECT account_id, vendor_key, CASE WHEN category_id <> 'unknown' THEN category_id WHEN has_orders THEN 'shopping'
   WHEN has_account THEN 'services' ELSE 'unknown' END AS category FROM vendors"""))
 def effective_category(spark, sf):
-    return t.feature_vendors(spark, sf).select(
+    return t.vendors(spark, sf).select(
         "account_id", "vendor_key",
         classify.effective_category(F.col("category_id"), F.col("has_orders"), F.col("has_account")).alias("category"))
 

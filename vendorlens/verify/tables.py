@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ingest
 from ..plans import vendors as vendor_plans
+from ..sources.sinks import scratch_path, write_table
 
 AS_OF_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z
 AS_OF_DAY = "2024-01-31"
@@ -98,10 +99,32 @@ def with_status(messages):
     return messages.withColumn("status", F.when(n % 11 == 0, "unsubscribed"))
 
 
-def messages(spark, sf) -> DataFrame:
+_STORED = {}
+
+
+def stored(spark, sf, name, build) -> DataFrame:
+    """A model table written once per session and read from then on, as the mail store keeps it.
+
+    Queries read parquet with pruning and push-down, and a lost executor costs a re-read, not a
+    re-run of the ingest.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write_table(build(), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def ingested(spark, sf) -> DataFrame:
+    """Messages straight from the landing rows."""
     return with_status(ingest.ingest(raw_messages(spark, sf)))
 
 
+def messages(spark, sf) -> DataFrame:
+    return stored(spark, sf, "messages", lambda: ingested(spark, sf))
+
+
 def accounts(spark, sf) -> DataFrame:
     n = F.col("n")
     return events(spark, sf).select((F.col("event_id") % 3).alias("n")).distinct().select(
@@ -198,16 +221,18 @@ def vendor_status(spark, sf) -> DataFrame:
         F.when(u % 9 == 0, "reviewed").otherwise("gdpr_requested").alias("status")).distinct()
 
 
-def vendors(spark, sf) -> DataFrame:
-    return vendor_plans.build_vendors(messages(spark, sf), companies(spark, sf), vendor_status(spark, sf))
-
-
-def feature_vendors(spark, sf) -> DataFrame:
+def built_vendors(spark, sf) -> DataFrame:
+    """Vendors straight from the messages."""
     return vendor_plans.feature_vendors(
         messages(spark, sf), companies(spark, sf), whitelist(spark, sf), actions(spark, sf),
         breaches(spark, sf), AS_OF_MS, vendor_status(spark, sf))
 
 
+def vendors(spark, sf) -> DataFrame:
+    """The stored vendor table, features included."""
+    return stored(spark, sf, "vendors", lambda: built_vendors(spark, sf))
+
+
 def release_assets(spark, sf) -> DataFrame:
     k = F.col("p_size")
     name = pick(["App-Setup-{id}.EXE", "app-{id}.dmg", "app-{id}.AppImage", "app-{id}.deb", "app-{id}.zip"], k)
