@@ -4,17 +4,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addresses, classify, optout, senders, text
 
-MESSAGE_COLUMNS = [
-    "account_id", "message_id", "sender_email", "sender_name", "subject", "date_ms", "body_preview",
-    "headers", "unsubscribe_url", "unsubscribe_method", "size_bytes"]
+def message_id():
+    """Id of a landing row; the mailbox protocol tells inbox and sent mail apart by a prefix."""
+    prefix = F.when(F.col("folder") == "sent", "imap-sent-").otherwise("imap-")
+    return F.when(F.col("source") == "imap", F.concat(prefix, F.col("id"))).otherwise(F.col("id"))
 
 
-def normalize_messages(raw: DataFrame) -> DataFrame:
+def normalize_messages(raw: DataFrame, keep=()) -> DataFrame:
     """One message table from the landing table, in a single pass over its rows.
 
     ``source`` tells the shape. ``gmail``: everything from the header list, internal date.
     ``microsoft``: sender and subject columns, received date, size of the body. ``imap``: header
-    date only, inbox and sent folders told apart by the id prefix.
+    date only, inbox and sent folders told apart by the id prefix. ``keep`` names columns to pass on.
     """
     source = F.col("source")
     imap, graph = source == "imap", source == "microsoft"
@@ -24,9 +25,6 @@ def normalize_messages(raw: DataFrame) -> DataFrame:
         senders.header_value(F.col("headers"), "subject"))
     header_ms = senders.header_date_ms(senders.header_value(F.col("headers"), "date"))
     dated = senders.message_date_ms(header_ms, F.col("ingest_ms"))
-    message_id = F.when(
-        imap, F.concat(F.when(F.col("folder") == "sent", "imap-sent-").otherwise("imap-"), F.col("id"))
-    ).otherwise(F.col("id"))
     snippet = F.when(imap, F.substring("body_text", 1, 200)).when(
         graph, F.substring("snippet", 1, 150)).otherwise(F.col("snippet"))
     preview_fallback = F.when(imap, F.col("body_text")).otherwise(F.col("snippet"))
@@ -38,7 +36,8 @@ def normalize_messages(raw: DataFrame) -> DataFrame:
             F.col("headers"), F.col("body_html"), F.col("_subject")))
         .select(
             "account_id",
-            message_id.alias("message_id"),
+            message_id().alias("message_id"),
+            *keep,
             F.when(graph, F.lower(F.coalesce("from_email", empty)))
             .otherwise(F.col("_sender.email")).alias("sender_email"),
             F.when(graph, F.coalesce("from_name", empty))
@@ -84,6 +83,6 @@ def classify_messages(messages: DataFrame) -> DataFrame:
     }).drop("snippet")
 
 
-def ingest(raw: DataFrame, accounts: DataFrame = None) -> DataFrame:
+def ingest(raw: DataFrame, accounts: DataFrame = None, keep=()) -> DataFrame:
     """Landing rows to classified vendor messages."""
-    return classify_messages(keep_vendor_mail(normalize_messages(raw), accounts))
+    return classify_messages(keep_vendor_mail(normalize_messages(raw, keep), accounts))

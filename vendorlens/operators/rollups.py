@@ -35,7 +35,7 @@ def sender_rollup(messages: DataFrame, as_of_ms: int = 0) -> DataFrame:
         F.bool_or(recent).alias("has_recent_bulk"))
 
 
-def _counts():
+def counts():
     return [
         F.sum("message_count").alias("message_count"),
         F.count(F.lit(1)).alias("sender_count"),
@@ -51,7 +51,7 @@ def on_stored_vendors(rollup: DataFrame, vendors: DataFrame, flags=(), counts=()
 
 def vendor_stats(messages: DataFrame, vendors: DataFrame = None) -> DataFrame:
     """Messages, distinct senders, first and last seen per vendor."""
-    stats = sender_rollup(messages).groupBy(*VENDOR).agg(*_counts())
+    stats = sender_rollup(messages).groupBy(*VENDOR).agg(*counts())
     if vendors is None:
         return stats
     return on_stored_vendors(stats, vendors, counts=["message_count", "sender_count"])
@@ -71,7 +71,7 @@ def vendor_features(messages: DataFrame, whitelist: DataFrame, actions: DataFram
     flagged = spread_join(senders, covered, ["account_id", "sender_email"], "left", ["vendor_key"])
     free = F.col("covered").isNull()
     vendors = flagged.groupBy(*VENDOR).agg(
-        *_counts(),
+        *counts(),
         F.sum("bulk_count").alias("bulk_count"),
         *[F.bool_or(n).alias(n) for n in FLAGS],
         F.bool_or(free).alias("has_unwhitelisted"),

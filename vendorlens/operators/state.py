@@ -17,8 +17,18 @@ def first_writes(batch: DataFrame, order="arrival") -> DataFrame:
 
 def append_new(messages: DataFrame, batch: DataFrame, order="arrival") -> DataFrame:
     """Messages plus the rows of a batch whose id is new; the first write of an id wins."""
+    return messages.unionByName(new_rows(messages, batch, order))
+
+
+def new_rows(messages: DataFrame, batch: DataFrame, order="arrival") -> DataFrame:
+    """Rows of a batch whose id is not stored yet.
+
+    The stored ids are first cut to those of the batch, with the batch as the small side, so the
+    large table is scanned for two columns and not shuffled for the anti join.
+    """
     fresh = first_writes(batch, order).drop(order)
-    return messages.unionByName(fresh.join(messages.select(*ID), ID, "left_anti"))
+    seen = messages.select(*ID).join(batch.select(*ID).distinct(), ID, "left_semi")
+    return fresh.join(seen.distinct(), ID, "left_anti")
 
 
 def delete_ids(messages: DataFrame, ids: DataFrame) -> DataFrame:
@@ -86,10 +96,10 @@ def set_status(df: DataFrame, changes: DataFrame, on) -> DataFrame:
         .drop("_new", "_listed"))
 
 
-def reset_accounts(tables: dict, accounts: DataFrame) -> dict:
-    """Every table without the rows of the listed accounts."""
+def reset_accounts(tables: dict, accounts: DataFrame, spread: dict) -> dict:
+    """Every table without the rows of the listed accounts; ``spread`` names a row key per table."""
     gone = accounts.select("account_id").distinct()
-    return {name: spread_join(df, gone, "account_id", "left_anti", [df.columns[1]]) for name, df in tables.items()}
+    return {name: spread_join(df, gone, "account_id", "left_anti", spread[name]) for name, df in tables.items()}
 
 
 def net_changes(feed: DataFrame) -> DataFrame:

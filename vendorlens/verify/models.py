@@ -117,7 +117,7 @@ def vq_presets(spark, sf):
 @register("vendor_detail", sql("risks companies actions", """
 SELECT v.account_id, v.vendor_key, v.company_slug, c.name AS company_name, c.email AS company_email, c.web AS company_web, v.name,
   v.category_id, computed_risk AS risk_level, message_count, sender_count, bulk_count, first_seen, last_seen, has_marketing, has_account,
-  has_orders, status, m.message_id AS latest_message_id, m.subject AS latest_subject, coalesce(a.n, 0) AS action_count, a.last_action_at
+  has_orders, v.status, m.message_id AS latest_message_id, m.subject AS latest_subject, coalesce(a.n, 0) AS action_count, a.last_action_at
 FROM risks v LEFT JOIN companies c ON c.slug = v.company_slug
 JOIN (SELECT *, row_number() OVER (PARTITION BY account_id, vendor_key ORDER BY date_ms DESC, message_id DESC) AS r FROM messages) m
   ON m.account_id = v.account_id AND m.vendor_key = v.vendor_key AND m.r = 1

@@ -1 +1,94 @@
-"""x"""
+"""Streams, run to their end over landing files derived from the given tables."""
+
+from pyspark.sql import functions as F
+
+from ..functions.dates import utc_day
+from ..operators import state
+from ..operators.state import ID, VENDOR
+from ..sources.sinks import scratch_path
+from ..streaming import daily, ingest
+from . import tables as t
+from .ctes import sql
+from .registry import register
+
+
+@register("stream_changes", """
+SELECT 'a0' AS account_id, concat('m', event_id % 500) AS message_id,
+  first(CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END ORDER BY event_id DESC) AS op FROM events GROUP BY 2""")
+def stream_changes(spark, sf):
+    return state.net_changes(t.change_feed(spark, sf))
+
+
+@register("plain_changes", """
+SELECT 'a0' AS account_id, concat('m', event_id % 500) AS message_id,
+  CASE WHEN bool_or(event_type = 'error') THEN 'delete' ELSE 'add' END AS op FROM events GROUP BY 2""")
+def plain_changes(spark, sf):
+    return state.net_plain_changes(t.change_feed(spark, sf))
+
+
+def landing(spark, sf, name):
+    """Two landing files: all mail as additions, then deletions of every tenth message."""
+    path = scratch_path(spark, name)
+    raw = t.raw_messages(spark, sf).withColumns({
+        "op": F.lit("add"), "seq": F.substring("id", 2, 20).cast("bigint")})
+    gone = raw.filter("seq % 10 = 0").withColumns({"op": F.lit("delete"), "seq": F.col("seq") + 1_000_000_000})
+    raw.write.parquet(f"{path}/adds")
+    gone.write.parquet(f"{path}/deletes")
+    return path
+
+
+def store(spark, sf, name):
+    """A mail store filled by two streams under one checkpoint: additions first, deletions later."""
+    path = landing(spark, sf, name + "-landing")
+    tables = ingest.Tables(scratch_path(spark, name))
+    companies = t.companies(spark, sf)
+    ingest.start_ingest(
+        spark, f"{path}/adds", tables, scratch_path(spark, name + "-checkpoint"), companies=companies).awaitTermination()
+    ingest.replay_since(
+        spark, f"{path}/deletes", tables, scratch_path(spark, name + "-checkpoint"), 0, companies=companies).awaitTermination()
+    return path, tables
+
+
+LEFT = "event_id % 10 <> 0"
+
+
+@register("stream_ingest", sql("messages", f"""
+SELECT account_id, message_id, vendor_key, type, unsubscribe_method FROM messages WHERE {LEFT}"""))
+def stream_ingest(spark, sf):
+    _, tables = store(spark, sf, "stream-ingest")
+    return ingest.live_messages(spark, tables).select(*ID, "vendor_key", "type", "unsubscribe_method")
+
+
+@register("stream_vendor_refresh", sql("messages", f"""
+SELECT account_id, vendor_key, count(*) FILTER ({LEFT}) AS message_count, count(DISTINCT sender_email) FILTER ({LEFT}) AS sender_count,
+  min(date_ms) FILTER ({LEFT}) AS first_seen, max(date_ms) FILTER ({LEFT}) AS last_seen,
+  coalesce(bool_or(type = 'bulk') FILTER ({LEFT}), false) AS has_marketing,
+  coalesce(bool_or(type IN ('order', 'transactional')) FILTER ({LEFT}), false) AS has_account FROM messages GROUP BY 1, 2"""))
+def stream_vendor_refresh(spark, sf):
+    _, tables = store(spark, sf, "stream-refresh")
+    return ingest.current_vendors(spark, tables).select(
+        *VENDOR, "message_count", "sender_count", "first_seen", "last_seen", "has_marketing", "has_account")
+
+
+@register("stream_expired", sql("messages", """
+SELECT account_id, message_id, type FROM messages WHERE event_id % 2 = 0 OR date_ms >= 1600000000000"""))
+def stream_expired(spark, sf):
+    path = landing(spark, sf, "expired-landing")
+    half = scratch_path(spark, "expired-half")
+    spark.read.parquet(f"{path}/adds").filter("seq % 2 = 0").write.parquet(half)
+    tables = ingest.Tables(scratch_path(spark, "expired"))
+    ingest.start_ingest(spark, half, tables, scratch_path(spark, "expired-checkpoint")).awaitTermination()
+    ingest.replay_since(
+        spark, f"{path}/adds", tables, scratch_path(spark, "expired-checkpoint"), 1_600_000_000_000).awaitTermination()
+    return ingest.live_messages(spark, tables).select(*ID, "type")
+
+
+@register("stream_daily", sql("messages", """
+SELECT account_id, CAST(date_trunc('day', make_timestamp(date_ms * 1000)) AS DATE) AS day, count(*) AS n FROM messages GROUP BY 1, 2"""))
+def stream_daily(spark, sf):
+    source, out = scratch_path(spark, "daily-in"), scratch_path(spark, "daily-out")
+    t.messages(spark, sf).select("account_id", F.timestamp_millis("date_ms").alias("ts")).write.parquet(source)
+    rows = spark.readStream.schema("account_id string, ts timestamp").parquet(source)
+    daily.start_daily(rows, out, scratch_path(spark, "daily-checkpoint")).awaitTermination()
+    days = daily.current_days(spark, out)
+    return days.select("account_id", utc_day(F.unix_millis("day")).alias("day"), "n")
