@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addresses, classify, optout, senders, text
 
+
 def message_id():
     """Id of a landing row; the mailbox protocol tells inbox and sent mail apart by a prefix."""
     prefix = F.when(F.col("folder") == "sent", "imap-sent-").otherwise("imap-")

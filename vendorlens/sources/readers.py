@@ -71,10 +71,10 @@ def read_enforcement(spark: SparkSession, path: str) -> DataFrame:
         .select(F.explode("data").alias("row")))
 
 
-def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """Key to slug-or-null map; keys that open with ``_`` are comments."""
+def read_overrides(spark: SparkSession, path: str, lines=False) -> DataFrame:
+    """Key to slug-or-null map, one object per file or per line; keys that open with ``_`` are comments."""
     return (
-        spark.read.text(path, wholetext=True)
+        spark.read.text(path, wholetext=not lines)
         .select(F.explode(F.from_json("value", "map<string,string>")).alias("etid", "company_slug"))
         .filter(~F.startswith("etid", F.lit("_"))))
 

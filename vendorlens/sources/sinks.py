@@ -31,11 +31,11 @@ def write_breach_docs(docs: DataFrame, path: str):
     docs.write.mode("overwrite").json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, by, per_file=1000):
-    """JSON arrays of about ``per_file`` objects, one array per file."""
-    item = F.to_json(F.struct(*df.columns))
+def write_json_arrays(df: DataFrame, path: str, by, per_file=1000, item=None, head="[", tail="]"):
+    """JSON arrays of about ``per_file`` objects, one array per file, between ``head`` and ``tail``."""
+    item = F.to_json(F.struct(*df.columns) if item is None else item)
     sized = chunked_lists(df.withColumn("_all", F.lit(0)).withColumn("_item", item), ["_all"], "_item", per_file, by)
-    text = F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))
+    text = F.concat(F.lit(head), F.array_join("items", ","), F.lit(tail))
     sized.select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
