@@ -17,9 +17,9 @@ _FORWARDED = rf"(?i)\A[{_SPACE}]*(?:{'|'.join(patterns.FORWARDED_PREFIXES)})[{_S
 
 def list_unsubscribe_url(header: Column) -> Column:
     """Best URL of a list header: https, then http, then mailto; null when none."""
-    header = F.nullif(header, F.lit(""))
-    bracketed = F.regexp_extract_all(header, F.lit("<([^>]+)>"), F.lit(1))
-    return let(F.when(F.size(bracketed) > 0, bracketed).otherwise(F.array(header)), _best_url)
+    return let(header, lambda raw: let(
+        F.regexp_extract_all(raw, F.lit("<([^>]+)>"), F.lit(1)),
+        lambda found: let(F.when(F.size(found) > 0, found).otherwise(F.array(raw)), _best_url)))
 
 
 def _best_url(urls: Column) -> Column:

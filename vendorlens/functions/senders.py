@@ -20,19 +20,17 @@ def parse_sender(raw: Column) -> Column:
 
 
 def _sender_parts(raw: Column) -> Column:
-    named, bare = raw.rlike(_NAMED), raw.rlike(_BARE)
-    display = F.regexp_replace(F.regexp_extract(raw, _NAMED, 1), r"""\A["']|["']\z""", "")
-    found = F.regexp_extract(raw, _ADDRESS, 0)
-    email = (
-        F.when(named, F.regexp_extract(raw, _NAMED, 2))
-        .when(bare, F.regexp_extract(raw, _BARE, 1))
-        .when(found != "", found)
-        .otherwise(js_trim(raw))
-    )
-    return F.struct(
-        F.when(named, js_trim(display)).otherwise("").alias("name"),
-        F.lower(email).alias("email"),
-    )
+    def named(email):
+        name = F.regexp_replace(F.regexp_extract(raw, _NAMED, 1), r"""\A["']|["']\z""", "")
+        return F.struct(js_trim(name).alias("name"), F.lower(email).alias("email"))
+
+    def unnamed(email):
+        return F.struct(F.lit("").alias("name"), F.lower(email).alias("email"))
+
+    free = let(F.regexp_extract(raw, _ADDRESS, 0), lambda found: unnamed(
+        F.when(found != "", found).otherwise(js_trim(raw))))
+    bare = let(F.regexp_extract(raw, _BARE, 1), lambda email: F.when(email != "", unnamed(email)).otherwise(free))
+    return let(F.regexp_extract(raw, _NAMED, 2), lambda email: F.when(email != "", named(email)).otherwise(bare))
 
 
 def header_date_ms(text: Column) -> Column:
@@ -86,17 +84,16 @@ def has_bulk_headers(headers: Column) -> Column:
         F.map_entries(F.coalesce(headers, F.expr("map()").cast("map<string,string>"))),
         lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")),
     )
-    return let(F.map_from_entries(_first_of_each_name(
-        F.reverse(F.filter(spelled, lambda e: e["value"].isNotNull())))), _marks_bulk)
+    return let(F.filter(spelled, lambda e: e["value"].isNotNull()), _marks_bulk)
 
 
-def _marks_bulk(lowered: Column) -> Column:
+def _marks_bulk(entries: Column) -> Column:
     def value(name):
-        return F.nullif(F.try_element_at(lowered, F.lit(name)), F.lit(""))
+        last = F.try_element_at(F.filter(entries, lambda e: e["name"] == name), F.lit(-1))
+        return let(last["value"], lambda v: F.when(v != "", v))
 
     auto = F.lower(F.coalesce(value("auto-submitted"), value("x-auto-submitted"), F.lit("")))
     listed = F.coalesce(*[value(n) for n in dims.LIST_HEADERS]).isNotNull()
     precedence = F.coalesce(F.lower(value("precedence")).isin(dims.BULK_PRECEDENCE), F.lit(False))
-    platform = F.arrays_overlap(
-        F.map_keys(lowered), F.array(*[F.lit(h) for h in dims.SENDER_PLATFORM_HEADERS]))
+    platform = F.exists(entries, lambda e: e["name"].isin(dims.SENDER_PLATFORM_HEADERS))
     return ~F.startswith(auto, F.lit("auto-")) & (listed | precedence | platform)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from ..dims.patterns import WHITE_SPACE
+from ..dims.patterns import WHITE_CHARS, WHITE_SPACE
 from .let import let
 
 _SPACES = f"[{WHITE_SPACE}]+"
@@ -16,7 +16,7 @@ def collapse(col: Column) -> Column:
 
 def js_trim(col: Column) -> Column:
     """Trim any Unicode white space, keep inner runs."""
-    return F.regexp_replace(col, rf"\A{_SPACES}|{_SPACES}\z", "")
+    return F.btrim(col, F.lit(WHITE_CHARS))
 
 
 def html_to_text(col: Column) -> Column:

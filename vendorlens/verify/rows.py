@@ -23,6 +23,10 @@ def re2_any(items):
     return "(?i)" + "|".join(f"(?:{re2(p)})" for p in items)
 
 
+def pages(spark, sf):
+    return t.spread(t.table(spark, sf, "pages"), "page_id")
+
+
 # ---- messages -----------------------------------------------------------------------------
 
 FROM_FORMS = ['"Ann Lee {id}" <Ann.{id}@Shop.COM>', "Bob {id} <bob{id}@x.org>", "<only{id}@X.org>",
@@ -68,14 +72,14 @@ def html_sql(column):
 
 @register("html_to_text", f"SELECT page_id, {html_sql('html')} AS text FROM pages")
 def html_to_text(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return pages(spark, sf).select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 @register("strip_tags", f"""
 SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[{patterns.WHITE_SPACE}]+', ' ', 'g')) AS text
 FROM pages""")
 def strip_tags(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
+    return pages(spark, sf).select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
 @register("norm_preview", f"""
@@ -86,7 +90,7 @@ def norm_preview(spark, sf):
     body = F.when(k == 1, F.concat(F.lit("  "), "url", F.lit("\n")))
     preview = text.body_preview(
         body, F.when(k == 0, F.col("html")), F.concat(F.lit("Snippet "), "page_id"))
-    return t.table(spark, sf, "pages").select(
+    return pages(spark, sf).select(
         "page_id", F.when(k == 0, F.trim(preview)).otherwise(preview).alias("preview"))
 
 
@@ -117,7 +121,7 @@ def shaped_raw(spark, sf):
         t.header("From", F.concat(F.lit("Ann <Ann"), ID(), F.lit("@Shop.com>"))),
         t.header("Subject", F.concat(F.lit("Hello "), ID())), t.header("Date", mail_date(F.col("ts"))),
         t.header("List-Unsubscribe", F.concat(F.lit("<mailto:u@x>, <http://x/"), ID(), F.lit(">"))))
-    return t.events(spark, sf).select(
+    return t.spread(t.events(spark, sf), "event_id").select(
         t.account().alias("account_id"),
         F.when(kind == 0, "gmail").when(imap, "imap").otherwise("microsoft").alias("source"),
         F.when(ID() % 2 == 0, "sent").otherwise("inbox").alias("folder"), ID().cast("string").alias("id"),
@@ -190,7 +194,7 @@ CASE page_id % 5 WHEN 0 THEN concat('https://mail.example/u/', page_id)
 
 @register("unsub_footer", f"SELECT page_id, {FOOTER_SQL} AS url FROM pages")
 def unsub_footer(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", optout.footer_unsubscribe_url(with_footer()).alias("url"))
+    return pages(spark, sf).select("page_id", optout.footer_unsubscribe_url(with_footer()).alias("url"))
 
 
 @register("unsub_resolve", f"""
@@ -205,7 +209,7 @@ def unsub_resolve(spark, sf):
     post = F.when(k < 2, "List-Unsubscribe=One-Click")
     subject = F.when(k == 3, " FWD : News").otherwise("News")
     found = optout.resolve_unsubscribe(listed, post, with_footer(), subject)
-    return t.table(spark, sf, "pages").select("page_id", found.alias("u")).select("page_id", "u.method", "u.url")
+    return pages(spark, sf).select("page_id", found.alias("u")).select("page_id", "u.method", "u.url")
 
 
 HEADER_FORMS = [("List-ID", "<l{id}>"), ("List-Unsubscribe", ""), ("Precedence", "Bulk"), ("precedence", "first-class"),
@@ -239,7 +243,7 @@ def classify_message(spark, sf):
         F.create_map(F.lit("To"), F.lit("me")))
     method = F.when(ID() % 5 == 0, "footer").otherwise("none")
     kind = classify.message_type(t.pick(TEXTS, ID()), F.col("event_type"), method, F.lit("https://x"), headers)
-    return t.events(spark, sf).select("event_id", kind.alias("type"))
+    return t.spread(t.events(spark, sf), "event_id").select("event_id", kind.alias("type"))
 
 
 # ---- keys and domains ---------------------------------------------------------------------

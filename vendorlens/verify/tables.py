@@ -41,6 +41,13 @@ def events(spark, sf):
     return table(spark, sf, "events")
 
 
+def spread(df: DataFrame, key) -> DataFrame:
+    """A small input is one file and so one task; row work that is heavy on the processor is spread
+    over all cores. An input of many splits stays as it is: it must not be shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values, index):
     """The value at ``index % len(values)``; ``{id}`` in it becomes the index."""
     at = F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)
@@ -70,6 +77,11 @@ def header(name, value):
 
 
 def raw_messages(spark, sf) -> DataFrame:
+    """The stored landing table."""
+    return stored(spark, sf, "landing", lambda: landing_rows(spark, sf))
+
+
+def landing_rows(spark, sf) -> DataFrame:
     """Landing rows in the web-interface shape."""
     event, n = F.col("event_type"), F.col("event_id")
     name = F.concat(F.lit('"Sender '), n % 3, F.lit('" <'), F.col("_sender"), F.lit(">"))
@@ -84,7 +96,7 @@ def raw_messages(spark, sf) -> DataFrame:
         .when(event == "error", F.array(header("Auto-Submitted", "auto-replied"), header("List-Id", "<l>")))
         .when((event == "view") & (n % 4 == 0), F.array(header("X-Mailgun-Tag", "t")))
         .otherwise(none))
-    return events(spark, sf).withColumn("_sender", F.expr(SENDER)).select(
+    return spread(events(spark, sf), "event_id").withColumn("_sender", F.expr(SENDER)).select(
         account().alias("account_id"), F.lit("gmail").alias("source"), F.lit("inbox").alias("folder"),
         F.concat(F.lit("m"), n).alias("id"), date_ms().alias("received_ms"),
         F.concat(F.array(header("From", sender), header("Subject", F.expr(SUBJECT))), special).alias("headers"),
