@@ -64,7 +64,7 @@ def headers_map(headers: Column, policy: str = "last") -> Column:
     """Header list to map inside the row, without a shuffle.
 
     ``first``: names lower-cased, blank values dropped, first value wins (mailbox protocol).
-    ``last``: spelling kept, last value wins (web interfaces).
+    ``last``: spelling kept, last value wins, names stay in order of first use (web interfaces).
     """
     headers = F.coalesce(headers, F.expr("array()").cast("array<struct<name:string,value:string>>"))
     if policy == "first":
@@ -72,7 +72,9 @@ def headers_map(headers: Column, policy: str = "last") -> Column:
             F.lower(h["name"]).alias("name"), js_trim(h["value"]).alias("value")))
         kept = _first_of_each_name(F.filter(clean, lambda h: h["value"] != ""))
     elif policy == "last":
-        kept = _first_of_each_name(F.reverse(headers))
+        kept = let(headers, lambda hs: F.transform(_first_of_each_name(hs), lambda h: F.struct(
+            h["name"].alias("name"),
+            F.element_at(F.filter(hs, lambda g: g["name"] == h["name"]), -1)["value"].alias("value"))))
     else:
         raise ValueError(f"unknown header policy: {policy}")
     return F.map_from_entries(kept)
