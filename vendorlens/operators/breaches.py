@@ -70,7 +70,7 @@ def company_breaches(companies: DataFrame, breaches: DataFrame) -> DataFrame:
     """Company and breach pairs by equal domain."""
     at = companies.select(
         "slug", F.col("name").alias("company"), "categories", F.explode("domains").alias("domain"))
-    return at.join(listed(breaches).drop("slug"), "domain")
+    return spread_join(listed(breaches).drop("slug"), at, "domain", "inner", ["name"])
 
 
 def top_breach(companies: DataFrame, breaches: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def top_breach(companies: DataFrame, breaches: DataFrame) -> DataFrame:
                        "pwn_count", "attribution", "title")).alias("b"))
     at = companies.select("slug", F.explode("domains").alias("domain"))
     return (
-        at.join(per_domain, "domain").groupBy("slug").agg(F.min("b").alias("b"))
+        spread_join(at, per_domain, "domain", "inner", ["slug"]).groupBy("slug").agg(F.min("b").alias("b"))
         .select("slug", "b.name", "b.title", "b.domain", "b.breach_date", "b.pwn_count", "b.attribution"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addresses, classify, optout, senders, text
+from .joins import spread_join
 
 
 def message_id():
@@ -60,15 +61,14 @@ def normalize_messages(raw: DataFrame, keep=()) -> DataFrame:
 def keep_vendor_mail(messages: DataFrame, accounts: DataFrame = None) -> DataFrame:
     """Drops mail without a domain, from webmail domains, and from the account itself.
 
-    ``accounts`` (account_id, email) is matched on the whole address, so a large mailbox is
-    spread over its senders.
+    ``accounts`` (account_id, email) is matched on the whole address.
     """
     domain = addresses.mail_domain(F.col("sender_email"))
     kept = messages.filter(domain.isNotNull() & ~addresses.is_personal_domain(domain))
     if accounts is None:
         return kept
     own = accounts.select("account_id", F.lower("email").alias("sender_email")).distinct()
-    return kept.join(own, ["account_id", "sender_email"], "left_anti")
+    return spread_join(kept, own, ["account_id", "sender_email"], "left_anti", ["message_id"])
 
 
 def classify_messages(messages: DataFrame) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+# Tasks a hot key is split over; sessions on large clusters set spark.vendorlens.salts higher.
 SALTS = 16
 
 
-def spread_join(left: DataFrame, right: DataFrame, on, how="inner", spread=(), salts=SALTS) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on, how="inner", spread=(), salts=None) -> DataFrame:
     """Equality join whose hot left keys are split over ``salts`` tasks.
 
     The right side (a lookup with few rows per key) is repeated once per salt, the left side is
     salted by a hash of the ``spread`` columns, so a retried task places a row where it was.
-    No side is forced to broadcast: Catalyst does that only below its size threshold.
+    No side is forced to broadcast: Catalyst does that only below its size threshold. Beyond it the
+    join is a sort-merge join, whose partitions adaptive execution may split further.
     """
     on = [on] if isinstance(on, str) else list(on)
+    salts = salts or int(left.sparkSession.conf.get("spark.vendorlens.salts", str(SALTS)))
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -4,7 +4,7 @@ and every flag are decided on that small table, then summed up per vendor."""
 from pyspark.sql import DataFrame, functions as F
 
 from .joins import spread_join
-from .whitelist import whitelisted_senders
+from .whitelist import with_coverage
 
 VENDOR = ["account_id", "vendor_key"]
 RECENT_MS = 63_115_200_000  # 2 x 365.25 days
@@ -67,9 +67,8 @@ def vendor_flags(messages: DataFrame, vendors: DataFrame = None) -> DataFrame:
 def vendor_features(messages: DataFrame, whitelist: DataFrame, actions: DataFrame, as_of_ms: int) -> DataFrame:
     """Counts and every yes/no property the vendor queries ask for, in one pass over messages."""
     senders = sender_rollup(messages, as_of_ms)
-    covered = whitelisted_senders(senders, whitelist).withColumn("covered", F.lit(True))
-    flagged = spread_join(senders, covered, ["account_id", "sender_email"], "left", ["vendor_key"])
-    free = F.col("covered").isNull()
+    flagged = with_coverage(senders, whitelist, [*VENDOR, "sender_email"])
+    free = ~F.col("covered")
     vendors = flagged.groupBy(*VENDOR).agg(
         *counts(),
         F.sum("bulk_count").alias("bulk_count"),

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import signals
 from ..functions.dates import DAY_MS, utc_day
+from .joins import spread_join
 
 LEVELS = ["high", "medium", "low"]
 
@@ -128,4 +129,4 @@ def backfill_ranges(messages: DataFrame, cursor_ms: int, floor_ms: int, days: in
         .groupBy("account_id")
         .agg(F.min(F.when(F.col("gap") >= stop_after, F.col("range"))).alias("stop")))
     reached = filled.join(last, "account_id").filter(F.col("stop").isNull() | (F.col("range") < F.col("stop")))
-    return inside.join(reached.select("account_id", "range"), ["account_id", "range"], "left_semi")
+    return spread_join(inside, reached.select("account_id", "range"), ["account_id", "range"], "left_semi", ["message_id"])

@@ -18,6 +18,20 @@ def whitelisted_senders(senders: DataFrame, whitelist: DataFrame) -> DataFrame:
         .select(*_OWNER).distinct())
 
 
+def with_coverage(senders: DataFrame, whitelist: DataFrame, keys) -> DataFrame:
+    """A table of one row per ``keys`` (which name the sender) with the flag ``covered``.
+
+    The rows themselves go through the join and are gathered again, so what they were computed
+    from is not read a second time.
+    """
+    values = [c for c in senders.columns if c not in keys]
+    listed = whitelist.select("account_id", F.lower("value").alias("value")).distinct().withColumn("hit", F.lit(True))
+    exploded = senders.withColumn("value", F.explode_outer(addresses.sender_suffixes(F.col("sender_email"))))
+    joined = spread_join(exploded, listed, ["account_id", "value"], "left", ["sender_email"])
+    return joined.groupBy(*keys).agg(
+        F.coalesce(F.bool_or("hit"), F.lit(False)).alias("covered"), *[F.first(c).alias(c) for c in values])
+
+
 def not_whitelisted(messages: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Messages no whitelist entry covers. Coverage is decided once per sender, not per message."""
     covered = whitelisted_senders(messages, whitelist)

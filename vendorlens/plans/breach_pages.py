@@ -19,7 +19,7 @@ def breach_records(companies: DataFrame, breaches: DataFrame) -> DataFrame:
             (-F.col("pwn_count")).alias("size"), "name", "domain", "title", "breach_date", "pwn_count",
             "attribution", "data_classes", "is_verified", "is_sensitive", "disclosure_url")).alias("b"))
     at = companies.select("slug", F.explode("domains").alias("domain"))
-    best = at.join(per_domain, "domain").groupBy("slug").agg(F.min("b").alias("b"))
+    best = spread_join(at, per_domain, "domain", "inner", ["slug"]).groupBy("slug").agg(F.min("b").alias("b"))
     facts = companies.select(
         "slug", F.col("name").alias("company_name"), "categories", "runs", "address", "web", "webform", "email")
     return best.join(facts, "slug").select(

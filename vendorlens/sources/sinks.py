@@ -16,8 +16,12 @@ def with_month(messages: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, keys=(), mode="overwrite"):
     """Parquet, partitioned by ``keys``. Overwrite replaces only the partitions that are written."""
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(*keys) if keys else writer).parquet(path)
+    if not keys:
+        df.write.mode(mode).parquet(path)
+        return
+    # Rebalancing gathers the rows of a partition in few files and splits one that is too large.
+    (df.hint("rebalance", *keys).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*keys).parquet(path))
 
 
 def write_companies(companies: DataFrame, path: str):

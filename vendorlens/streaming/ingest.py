@@ -20,6 +20,7 @@ from ..operators import ingest, rollups, state
 from ..operators.joins import spread_join
 from ..operators.state import ID, VENDOR
 from ..plans.vendors import build_vendors
+from ..sources.sinks import write_table
 
 BUCKETS = 64
 
@@ -63,9 +64,8 @@ def _read(spark: SparkSession, tables: Tables, name, schema) -> DataFrame:
 
 
 def _write(df: DataFrame, tables: Tables, name, batch_id):
-    (df.withColumn("batch", F.lit(batch_id).cast("bigint")).withColumn("bucket", bucket())
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch", "bucket").parquet(tables.path(name)))
+    rows = df.withColumn("batch", F.lit(batch_id).cast("bigint")).withColumn("bucket", bucket())
+    write_table(rows, tables.path(name), ["batch", "bucket"])
 
 
 def live_messages(spark: SparkSession, tables: Tables, before: int = None) -> DataFrame:

@@ -138,8 +138,9 @@ def trend_marker(spark, sf):
 
 @register("trend_change", sql("messages accounts", f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY day DESC) AS b FROM ({TREND_SQL.format(89)})),
-p AS (SELECT account_id, floor((avg(n) FILTER (b <= 7) - avg(n) FILTER (b > 7 AND b <= 14))
-  / avg(n) FILTER (b > 7 AND b <= 14) * 100 + 0.5) AS p FROM r GROUP BY 1)
+w AS (SELECT account_id, avg(n) FILTER (b <= 7) AS last, avg(n) FILTER (b > 7 AND b <= 14) AS prev FROM r GROUP BY 1),
+p AS (SELECT account_id, CASE WHEN prev = 0 THEN CASE WHEN last = 0 THEN 0 ELSE 100 END
+  ELSE floor((last - prev) / prev * 100 + 0.5) END AS p FROM w)
 SELECT account_id, CASE WHEN p = 0 THEN 'flat' WHEN p < 0 THEN 'down' ELSE 'up' END AS direction, CAST(abs(p) AS BIGINT) AS pct FROM p""").replace(
     ") WITH r AS", "), r AS", 1))
 def trend_change(spark, sf):

@@ -10,7 +10,7 @@ from . import tables as t
 from .ctes import sql
 from .joins import KEYS, LANGUAGE
 from .registry import register
-from .windows import METHODS
+from .windows import METHODS, big
 
 DAYS = f"(({t.AS_OF_MS} - last_seen) / 86400000.0)"
 REVIEWED = "coalesce(status = 'reviewed', false)"
@@ -48,7 +48,7 @@ WHERE rank <= 25"""))
 def vendor_query(spark, sf):
     q = vq.VendorQuery(filter="accounts", search=" S ", activity="stale", max_messages=100, sort_by="last_seen", limit=25)
     vendors = t.vendors(spark, sf).filter(vq.activity_predicate("recent", t.AS_OF_MS) | (F.col("last_seen") >= t.AS_OF_MS - 365 * 5 * 86_400_000))
-    return vq.vendor_query(vendors, q, t.AS_OF_MS).select(*KEYS, "message_count", "risk_level", "rank", "total")
+    return vq.vendor_query(vendors, q, t.AS_OF_MS).select(*KEYS, "message_count", "risk_level", big("rank"), "total")
 
 
 @register("vq_risk", tagged_sql({**RISK_SQL, "other": "true"}))
@@ -148,7 +148,7 @@ SELECT a.account_id, rank, total, a.action_id, a.vendor_key, v.name AS vendor_na
   JOIN (SELECT account_id, count(*) AS total FROM actions GROUP BY 1) n ON n.account_id = a.account_id
 WHERE rank > 10 AND rank <= 40"""))
 def activity_log(spark, sf):
-    return detail.activity_log(t.actions(spark, sf), t.vendors(spark, sf), 30, 10)
+    return detail.activity_log(t.actions(spark, sf), t.vendors(spark, sf), 30, 10).withColumn("rank", big("rank"))
 
 
 @register("recommended_actions", sql("breach_pairs", f"""
@@ -169,7 +169,8 @@ a AS (SELECT account_id, vendor_key, unnest([1, 2, 3]) AS o, 0 AS f, unnest(['br
 SELECT account_id, vendor_key, action, row_number() OVER (PARTITION BY account_id, vendor_key ORDER BY o, f) - 1 AS pos FROM a""").replace(
     ") WITH b AS", "), b AS", 1))
 def recommended_actions(spark, sf):
-    return detail.recommend(t.vendors(spark, sf), t.messages(spark, sf), t.breaches(spark, sf), t.AS_OF_MS)
+    found = detail.recommend(t.vendors(spark, sf), t.messages(spark, sf), t.breaches(spark, sf), t.AS_OF_MS)
+    return found.withColumn("pos", big("pos"))
 
 
 @register("bulk_eligible", sql("vendors", f"""

@@ -11,11 +11,15 @@ from .joins import KEYS, resolved
 from .registry import register
 
 
+def big(name):
+    return F.col(name).cast("bigint").alias(name)
+
+
 @register("latest_messages", sql("messages", """
 SELECT account_id, vendor_key, message_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY account_id, vendor_key
   ORDER BY date_ms DESC, message_id DESC) AS rank FROM messages) WHERE rank <= 20"""))
 def latest_messages(spark, sf):
-    return topk.latest_messages(t.messages(spark, sf), None, 20).select(*KEYS, "message_id", "rank")
+    return topk.latest_messages(t.messages(spark, sf), None, 20).select(*KEYS, "message_id", big("rank"))
 
 
 @register("unsub_url_by_sender", sql("messages", """
@@ -65,7 +69,7 @@ SELECT account_id, vendor_key, message_id, sr AS sender_rank FROM (
     row_number() OVER (PARTITION BY account_id, vendor_key ORDER BY date_ms DESC, message_id DESC) AS rank FROM messages)
   WHERE rank <= 50) WHERE sr <= CASE WHEN alts > 0 AND alts < total THEN 5 ELSE 10 END"""))
 def messages_by_sender(spark, sf):
-    return topk.messages_by_sender(two_senders(spark, sf)).select(*KEYS, "message_id", "sender_rank")
+    return topk.messages_by_sender(two_senders(spark, sf)).select(*KEYS, "message_id", big("sender_rank"))
 
 
 @register("subjects_sample", sql("vendor_subjects", "SELECT account_id, vendor_key, subjects FROM vendor_subjects"))
@@ -79,7 +83,7 @@ SELECT account_id, vendor_key, message_count, rank FROM (SELECT *, row_number()
 WHERE rank > 20 AND rank <= 40"""))
 def vendor_page(spark, sf):
     q = vq.VendorQuery(page=2, limit=20, sort_by="risk", sort_dir="ASC")
-    return vq.vendor_page(t.vendors(spark, sf), q).select(*KEYS, "message_count", "rank")
+    return vq.vendor_page(t.vendors(spark, sf), q).select(*KEYS, "message_count", big("rank"))
 
 
 @register("company_search", sql("companies", """
@@ -94,7 +98,7 @@ def company_search(spark, sf):
     query = F.when(k % 4 == 0, F.concat(F.lit(" Shop"), k)).when(k % 4 == 1, F.concat(F.lit("P"), k % 10, F.lit(".co"))).when(
         k % 4 == 2, F.concat(F.lit("hop"), k % 10)).otherwise("x")
     queries = t.table(spark, sf, "customer").select(query.alias("query"))
-    return matching.company_search(queries, t.companies(spark, sf), 5)
+    return matching.company_search(queries, t.companies(spark, sf), 5).withColumn("rank", big("rank"))
 
 
 @register("breach_index", sql("records", f"""
