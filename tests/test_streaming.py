@@ -53,6 +53,12 @@ def test_delete_and_add_again(spark, sf, tmp_path):
     assert {r["message_count"] for r in ingest.current_vendors(spark, tables).collect()} == {0}
     ingest.apply_batch(rows, 2, tables)
     assert keys(ingest.live_messages(spark, tables)) == first
+    small = ingest.Tables(str(tmp_path / "small"))
+    vendors = sorted(map(str, ingest.current_vendors(spark, tables).collect()))
+    ingest.compact(spark, tables, small)
+    assert keys(ingest.live_messages(spark, small)) == first
+    assert sorted(map(str, ingest.current_vendors(spark, small).collect())) == vendors
+    tables = small
     # Within a batch the last operation of an id counts.
     ingest.apply_batch(gone.unionByName(rows.withColumn("seq", F.col("seq") + 5000)), 3, tables)
     assert keys(ingest.live_messages(spark, tables)) == first

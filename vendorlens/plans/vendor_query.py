@@ -194,12 +194,10 @@ def vendor_query(vendors: DataFrame, q: VendorQuery, as_of_ms: int) -> DataFrame
     return vendor_page(selected, q).join(total, "account_id")
 
 
-def with_breaches(page: DataFrame, breaches: DataFrame) -> DataFrame:
-    """A page's vendors with their breaches, newest first. One join instead of a query per row; a
-    list is as long as the breaches of one domain chain."""
-    item = F.struct("breach_date", F.col("breach_name").alias("name"), "domain", "pwn_count", "likely_affected")
+def page_breaches(page: DataFrame, breaches: DataFrame) -> DataFrame:
+    """The breaches of a page's vendors, a row each, with ``likely_affected``. One join instead of a
+    query per vendor; rows rather than lists, because the breaches of one domain have no bound."""
     info = breach_ops.breach_info(
-        page.select("account_id", "vendor_key", "first_seen"),
-        breaches.withColumnRenamed("name", "breach_name"))
-    lists = info.groupBy("account_id", "vendor_key").agg(F.sort_array(F.collect_list(item), False).alias("breaches"))
-    return page.join(lists, ["account_id", "vendor_key"], "left")
+        page.select("account_id", "vendor_key", "first_seen"), breaches.withColumnRenamed("name", "breach_name"))
+    return info.select(
+        "account_id", "vendor_key", "breach_name", "domain", "breach_date", "pwn_count", "data_classes", "likely_affected")

@@ -160,10 +160,28 @@ def replay_since(spark: SparkSession, source: str, tables: Tables, fresh_checkpo
     """Feed position lost: reads everything since a time again, under a new checkpoint.
 
     Stored ids are skipped, so rows that were there before stay as they are. Batch numbers go on
-    where the store ends.
+    where the store ended; the first one is kept beside the checkpoint, so a replay that is started
+    again gives its batches the numbers they had.
     """
-    offset = next_batch(spark, tables)
+    offset = _first_batch(spark, tables, fresh_checkpoint + ".first-batch")
     rows = spark.readStream.schema(LANDING_SCHEMA).parquet(source).filter(F.col("received_ms") >= since_ms)
     return (
         rows.writeStream.option("checkpointLocation", fresh_checkpoint).trigger(availableNow=True)
         .foreachBatch(lambda df, n: apply_batch(df, offset + n, tables, accounts, companies)).start())
+
+
+def _first_batch(spark: SparkSession, tables: Tables, path: str) -> int:
+    frame = spark.createDataFrame([(next_batch(spark, tables),)], "n bigint")
+    frame.write.mode("ignore").parquet(path)
+    return spark.read.parquet(path).first()["n"]
+
+
+def compact(spark: SparkSession, tables: Tables, target: Tables):
+    """The current rows of a store as one batch of a new folder, without deletions and old versions.
+
+    Streams then write to the new folder under their old checkpoint: its batch number is the last
+    one used, so the next batch follows it.
+    """
+    last = next_batch(spark, tables) - 1
+    _write(live_messages(spark, tables).drop("batch", "bucket"), target, "messages", last)
+    _write(current_vendors(spark, tables), target, "vendors", last)

@@ -51,6 +51,15 @@ def vendor_query(spark, sf):
     return vq.vendor_query(vendors, q, t.AS_OF_MS).select(*KEYS, "message_count", "risk_level", big("rank"), "total")
 
 
+@register("vendor_query_breaches", sql("breach_pairs", f"""
+SELECT account_id, vendor_key, breach AS breach_name, breach_date, pwn_count, likely_affected FROM breach_pairs p
+JOIN (SELECT account_id, vendor_key FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY message_count DESC, vendor_key) AS rank
+  FROM vendors WHERE NOT {REVIEWED} AND vendor_key <> 'gmail.com' AND on_breach_list) WHERE rank <= 10) USING (account_id, vendor_key)"""))
+def vendor_query_breaches(spark, sf):
+    page = vq.vendor_query(t.vendors(spark, sf), vq.VendorQuery(on_breach_list=True, limit=10), t.AS_OF_MS)
+    return vq.page_breaches(page, t.breaches(spark, sf)).drop("domain", "data_classes")
+
+
 @register("vq_risk", tagged_sql({**RISK_SQL, "other": "true"}))
 def vq_risk(spark, sf):
     return tagged(spark, sf, {n: vq.risk_predicate(n) for n in [*RISK_SQL, "other"]})
