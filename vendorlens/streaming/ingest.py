@@ -111,13 +111,14 @@ def apply_batch(batch: DataFrame, batch_id: int, tables: Tables, accounts=None,
     net = state.net_changes(feed.select(*ID, "seq", "op"))
     added = ingest.ingest(batch.filter("op = 'add'"), accounts, keep=["seq"]).join(
         net.filter("op = 'add'").select(*ID), ID, "left_semi")
-    in_batch = feed.select("account_id").distinct().select(bucket().alias("bucket")).distinct()
-    near = stored.join(in_batch, "bucket", "left_semi")
+    # At most BUCKETS numbers come to the driver; as literals they prune the partitions of the store.
+    own = F.col("bucket").isin([r["b"] for r in feed.select(bucket().alias("b")).distinct().collect()])
+    near = stored.filter(own)
     _write(state.new_rows(near, added, "seq"), tables, "messages", batch_id)
     hit = near.join(net.filter("op = 'delete'").select(*ID), ID, "left_semi")
     _write(hit.select(*ID, "vendor_key").distinct(), tables, "deletions", batch_id)
     touched = touched_vendors(spark, tables, batch_id)
-    now = live_messages(spark, tables, before=batch_id + 1)
+    now = live_messages(spark, tables, before=batch_id + 1).filter(own)
     _write(refresh_vendors(now, touched, companies), tables, "vendors", batch_id)
 
 

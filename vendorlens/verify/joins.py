@@ -209,9 +209,9 @@ def keyed_lookup(spark, sf):
 
 
 @register("touched_vendors", sql("messages", """
-SELECT DISTINCT account_id, vendor_key FROM messages WHERE event_id % 97 = 0"""))
+SELECT DISTINCT account_id, vendor_key FROM messages WHERE subject = 'Out of office'"""))
 def touched_vendors(spark, sf):
-    ids = t.events(spark, sf).filter("event_id % 97 = 0").select(
+    ids = t.events(spark, sf).filter("event_type = 'error'").select(
         t.account().alias("account_id"), F.concat(F.lit("m"), "event_id").alias("message_id"))
     return rollups.touched_vendors(t.messages(spark, sf), ids)
 

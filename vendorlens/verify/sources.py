@@ -43,11 +43,12 @@ def src_companies(spark, sf):
 
 
 @register("src_companies_merge", sql("companies", """
-SELECT slug, CASE WHEN ord % 3 = 0 THEN concat('Curated ', ord) ELSE name END AS name FROM companies"""))
+SELECT slug, CASE WHEN quality = 'verified' THEN concat('Curated ', ord) ELSE name END AS name FROM companies"""))
 def src_companies_merge(spark, sf):
-    base = t.companies(spark, sf).select("ord", "slug", "name")
+    companies = t.companies(spark, sf)
+    base = companies.select("ord", "slug", "name")
     later = base.withColumns({"ord": F.col("ord") + 1_000_000, "name": F.lit("later copy")})
-    first = base.filter("ord % 3 = 0").withColumn("name", F.lit("earlier"))
+    first = companies.filter("quality = 'verified'").select("ord", "slug", F.lit("earlier").alias("name"))
     curated = first.unionByName(first.withColumns({
         "name": F.concat(F.lit("Curated "), "ord"), "ord": F.col("ord") + 1_000_000}))
     return matching.merge_companies(base.unionByName(later), curated).select("slug", "name")
@@ -81,7 +82,8 @@ def src_enforcement(spark, sf):
 
 
 @register("src_overrides", """
-SELECT concat('ETid-', o_orderkey) AS etid, CASE WHEN o_orderkey % 520 = 0 THEN 'shop1' END AS company_slug FROM orders WHERE o_orderkey % 260 = 0""")
+SELECT concat('ETid-', o_orderkey) AS etid, CASE WHEN o_orderpriority = '1-URGENT' THEN 'shop1' END AS company_slug
+FROM orders WHERE o_orderstatus = 'P'""")
 def src_overrides(spark, sf):
     path = sinks.scratch_path(spark, "overrides")
     slug = F.coalesce(F.concat(F.lit('"'), "company_slug", F.lit('"')), F.lit("null"))
@@ -143,10 +145,11 @@ SELECT slug, name, pwn_count, (SELECT count(*) FROM enforcement e WHERE e.compan
 
 
 def doc_columns(frame):
-    return frame.select(
+    """Documents by company; the parts of a long list of fines are counted together."""
+    return frame.groupBy(
         "slug", F.col("breach.name").alias("name"), F.col("breach.pwn_count").alias("pwn_count"),
-        F.size("enforcement.records").cast("bigint").alias("fines"), F.col("enforcement.total_fines").alias("total_fines"),
-        F.col("logoUrl").alias("logo"))
+        F.col("enforcement.total_fines").alias("total_fines"), F.col("logoUrl").alias("logo")
+    ).agg(F.sum(F.size("enforcement.records")).alias("fines"))
 
 
 @register("src_breach_docs", sql("records enforcement", DOCS_SQL.format("CAST(NULL AS VARCHAR)")))
@@ -157,11 +160,11 @@ def src_breach_docs(spark, sf):
 
 
 @register("sink_breach_docs", sql("records enforcement", DOCS_SQL.format(
-    "CASE WHEN length(slug) % 2 = 0 THEN concat('logo-', slug) END")))
+    "CASE WHEN webform IS NOT NULL THEN concat('logo-', slug) END")))
 def sink_breach_docs(spark, sf):
     path = sinks.scratch_path(spark, "docs")
     source = F.struct(F.lit("site").alias("name"), F.lit("https://site").alias("url"))
-    prior = t.companies(spark, sf).filter("length(slug) % 2 = 0").select(
+    prior = t.companies(spark, sf).filter("webform IS NOT NULL").select(
         "slug", F.concat(F.lit("logo-"), "slug").alias("logoUrl"), F.struct(source.alias("source")).alias("breach"))
     sinks.write_breach_docs(docs(spark, sf, prior), path)
     return doc_columns(readers.read_breach_docs(spark, path, lines=True))

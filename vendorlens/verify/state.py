@@ -16,29 +16,30 @@ def number():
 
 
 def listed_vendors(spark, sf):
-    """Vendors of every seventh customer's shop."""
-    return t.table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(
+    """Vendors named by the customers of one market segment."""
+    return t.table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(
         F.concat(F.lit("a"), F.col("c_custkey") % 3).alias("account_id"),
         F.concat(F.lit("shop"), "c_custkey", F.lit(".com")).alias("vendor_key"))
 
 
 LISTED = """(SELECT DISTINCT concat('a', c_custkey % 3) AS account_id, concat('shop', c_custkey, '.com') AS vendor_key
-  FROM customer WHERE c_custkey % 7 = 0)"""
+  FROM customer WHERE c_mktsegment = 'BUILDING')"""
 
 
 @register("upsert_messages", sql("messages", """
-SELECT account_id, message_id, CASE WHEN event_id % 3 = 0 THEN concat('copy ', event_id) ELSE subject END AS subject FROM messages"""))
+SELECT account_id, message_id, CASE WHEN type = 'bulk' THEN concat('copy ', event_id) ELSE subject END AS subject FROM messages"""))
 def upsert_messages(spark, sf):
-    every = t.messages(spark, sf).select(*ID, "subject")
-    stored = every.filter(number() % 3 != 0)
+    messages = t.messages(spark, sf)
+    every = messages.select(*ID, "subject")
+    stored = messages.filter("type <> 'bulk'").select(*ID, "subject")
     copies = every.withColumn("subject", F.concat(F.lit("copy "), number())).withColumn("arrival", F.lit(1))
     again = every.withColumn("subject", F.lit("later")).withColumn("arrival", F.lit(2))
     return state.append_new(stored, copies.unionByName(again))
 
 
-@register("delete_messages", sql("messages", "SELECT account_id, message_id FROM messages WHERE event_id % 5 <> 0"))
+@register("delete_messages", sql("messages", "SELECT account_id, message_id FROM messages WHERE type <> 'order'"))
 def delete_messages(spark, sf):
-    ids = t.events(spark, sf).filter("event_id % 5 = 0").select(
+    ids = t.events(spark, sf).filter("event_type = 'purchase'").select(
         t.account().alias("account_id"), F.concat(F.lit("m"), "event_id").alias("message_id"))
     return state.delete_ids(t.messages(spark, sf), ids).select(*ID)
 

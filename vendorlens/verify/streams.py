@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.dates import utc_day
+from ..functions.senders import header_value
 from ..operators import state
 from ..operators.state import ID, VENDOR
 from ..sources.sinks import scratch_path
@@ -27,11 +28,12 @@ def plain_changes(spark, sf):
 
 
 def landing(spark, sf, name):
-    """Two landing files: all mail as additions, then deletions of every tenth message."""
+    """Two landing folders: all mail as additions, then deletions of the automatic replies."""
     path = scratch_path(spark, name)
     raw = t.raw_messages(spark, sf).withColumns({
         "op": F.lit("add"), "seq": F.substring("id", 2, 20).cast("bigint")})
-    gone = raw.filter("seq % 10 = 0").withColumns({"op": F.lit("delete"), "seq": F.col("seq") + 1_000_000_000})
+    reply = header_value(F.col("headers"), "subject") == "Out of office"
+    gone = raw.filter(reply).withColumns({"op": F.lit("delete"), "seq": F.col("seq") + 1_000_000_000})
     raw.write.parquet(f"{path}/adds")
     gone.write.parquet(f"{path}/deletes")
     return path
@@ -49,7 +51,7 @@ def store(spark, sf, name):
     return path, tables
 
 
-LEFT = "event_id % 10 <> 0"
+LEFT = "subject <> 'Out of office'"
 
 
 @register("stream_ingest", sql("messages", f"""
@@ -71,13 +73,13 @@ def stream_vendor_refresh(spark, sf):
 
 
 @register("stream_expired", sql("messages", """
-SELECT account_id, message_id, type FROM messages WHERE event_id % 2 = 0 OR date_ms >= 1600000000000"""))
+SELECT account_id, message_id, type FROM messages"""))
 def stream_expired(spark, sf):
     path = landing(spark, sf, "expired-landing")
-    half = scratch_path(spark, "expired-half")
-    spark.read.parquet(f"{path}/adds").filter("seq % 2 = 0").write.parquet(half)
+    older = scratch_path(spark, "expired-older")
+    spark.read.parquet(f"{path}/adds").filter("received_ms < 1650000000000").write.parquet(older)
     tables = ingest.Tables(scratch_path(spark, "expired"))
-    ingest.start_ingest(spark, half, tables, scratch_path(spark, "expired-checkpoint")).awaitTermination()
+    ingest.start_ingest(spark, older, tables, scratch_path(spark, "expired-checkpoint")).awaitTermination()
     ingest.replay_since(
         spark, f"{path}/adds", tables, scratch_path(spark, "expired-checkpoint"), 1_600_000_000_000).awaitTermination()
     return ingest.live_messages(spark, tables).select(*ID, "type")

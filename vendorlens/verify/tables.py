@@ -176,7 +176,7 @@ def breaches(spark, sf) -> DataFrame:
     k = F.col("p_partkey")
     day = F.date_format(F.date_add(F.lit("2016-01-01").cast("date"), F.col("p_size") * 60), "yyyy-MM-dd")
     kind = F.col("p_type")
-    return table(spark, sf, "part").filter(k % 4 == 0).select(
+    return table(spark, sf, "part").select(
         F.concat(F.lit("Breach"), k).alias("name"), F.concat(F.lit("Shop "), k).alias("title"),
         F.concat(F.lit("shop"), F.floor(k / 4), F.when(k % 12 == 0, ".co.uk").otherwise(".com")).alias("domain"),
         day.alias("breach_date"), F.floor(F.col("p_retailprice") * 100 + 0.5).cast("bigint").alias("pwn_count"),
@@ -201,22 +201,22 @@ def enforcement_cells(spark, sf) -> DataFrame:
         F.concat(F.lit("<b>Shop"), c % 150, F.lit("</b>"), pick([" Ltd.", " Europe S.A.", " Retail Group"], k)),
         F.lit("Retail"), F.lit("Art. 5"), F.lit("Basis"), F.concat(F.lit("<p>Case "), k, F.lit("</p>")),
         F.concat(F.lit("<a href='https://d.example/"), k, F.lit("'>link</a>")), F.lit("")]
-    return table(spark, sf, "orders").filter(k % 20 == 0).select(F.array(*cells).alias("row"))
+    return table(spark, sf, "orders").select(F.array(*cells).alias("row"))
 
 
 def overrides(spark, sf) -> DataFrame:
-    """A forced slug for some fines, a rejection for others."""
-    k = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter(k % 260 == 0).select(
-        F.concat(F.lit("ETid-"), k).alias("etid"), F.when(k % 520 == 0, "shop1").alias("company_slug"))
+    """Orders in progress: a forced slug for the urgent ones, a rejection for the others."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    return table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(
+        F.concat(F.lit("ETid-"), "o_orderkey").alias("etid"), F.when(urgent, "shop1").alias("company_slug"))
 
 
 def actions(spark, sf) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", "unsubscribed").when(
         F.col("l_returnflag") == "A", "trashed").otherwise("spam_reported")
-    return table(spark, sf, "lineitem").filter("l_linenumber = 7").select(
+    return table(spark, sf, "lineitem").select(
         account("l_orderkey").alias("account_id"),
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("action_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("action_id"),
         F.concat(F.lit("shop"), "l_suppkey", F.lit(".com")).alias("vendor_key"), kind.alias("action_type"),
         F.lit(None).cast("string").alias("sender_email"), F.lit(None).cast("string").alias("unsubscribe_url"),
         F.col("l_quantity").cast("bigint").alias("message_count"),
@@ -228,9 +228,10 @@ def vendor_status(spark, sf) -> DataFrame:
     """User state: some vendors reviewed, some with a request sent."""
     from ..functions.addresses import vendor_key
     u = F.col("user_id")
-    return events(spark, sf).filter((u % 9 < 2) & (u % 8 != 5)).select(
+    return events(spark, sf).select(
         account().alias("account_id"), vendor_key(F.expr(SENDER)).alias("vendor_key"),
-        F.when(u % 9 == 0, "reviewed").otherwise("gdpr_requested").alias("status")).distinct()
+        F.when(u % 9 == 0, "reviewed").when(u % 9 == 1, "gdpr_requested").alias("status")).filter(
+        "status IS NOT NULL AND vendor_key <> 'gmail.com'").distinct()
 
 
 def built_vendors(spark, sf) -> DataFrame:
