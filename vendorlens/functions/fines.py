@@ -9,8 +9,8 @@ from .addresses import top_level
 from .let import let
 from .text import capitalized, strip_tags
 
-_LEGAL = patterns.java_regex(r"\b(?:" + "|".join(patterns.LEGAL_FORMS) + r")\b")
-_REGION = patterns.java_regex(r"\b(?:" + "|".join(patterns.REGION_WORDS) + r")\b")
+_LEGAL = patterns.java_any([r"\b(?:" + "|".join(patterns.LEGAL_FORMS) + r")\b"])
+_REGION = patterns.java_any([r"\b(?:" + "|".join(patterns.REGION_WORDS) + r")\b"])
 
 
 def fine_eur(text: Column) -> Column:
@@ -34,14 +34,14 @@ def _slug(text: Column) -> Column:
 def name_slug(name: Column) -> Column:
     """Company name without brackets and legal forms, hyphenated. Country words stay."""
     bare = F.regexp_replace(name, r"\(.*?\)", "")
-    return _slug(F.regexp_replace(bare, "(?iu)" + _LEGAL, " "))
+    return _slug(F.regexp_replace(bare, _LEGAL, " "))
 
 
 def controller_slug(name: Column) -> Column:
     """As :func:`name_slug`, country words dropped too."""
     bare = F.regexp_replace(name, r"\(.*?\)", "")
-    bare = F.regexp_replace(bare, "(?iu)" + _LEGAL, " ")
-    return _slug(F.regexp_replace(bare, "(?iu)" + _REGION, " "))
+    bare = F.regexp_replace(bare, _LEGAL, " ")
+    return _slug(F.regexp_replace(bare, _REGION, " "))
 
 
 def is_country_slug(slug: Column) -> Column:

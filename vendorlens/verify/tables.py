@@ -201,7 +201,7 @@ def enforcement_cells(spark, sf) -> DataFrame:
         F.concat(F.lit("<b>Shop"), c % 150, F.lit("</b>"), pick([" Ltd.", " Europe S.A.", " Retail Group"], k)),
         F.lit("Retail"), F.lit("Art. 5"), F.lit("Basis"), F.concat(F.lit("<p>Case "), k, F.lit("</p>")),
         F.concat(F.lit("<a href='https://d.example/"), k, F.lit("'>link</a>")), F.lit("")]
-    return table(spark, sf, "orders").select(F.array(*cells).alias("row"))
+    return spread(table(spark, sf, "orders"), "o_orderkey").select(F.array(*cells).alias("row"))
 
 
 def overrides(spark, sf) -> DataFrame:
