@@ -82,7 +82,12 @@ def match_confidence(fines_df: DataFrame) -> DataFrame:
 
 def resolve_enforcement(cells: DataFrame, companies: DataFrame, overrides: DataFrame) -> DataFrame:
     """Raw cells to matched fines with confidence and regulator country."""
-    parsed = parse_enforcement(cells)
+    return resolve_fines(parse_enforcement(cells), companies, overrides)
+
+
+def resolve_fines(parsed: DataFrame, companies: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Parsed fines, best read from a stored table, to matched ones. They are used twice: for their
+    distinct slugs and for the rows themselves."""
     targets = resolve_controllers(parsed, companies)
     matched = spread_join(parsed, targets, "controller_slug", "left", ["etid"])
     kept = match_confidence(apply_overrides(matched, overrides))

@@ -220,12 +220,12 @@ def touched_vendors(spark, sf):
 
 
 def parsed(spark, sf):
-    return enforcement.parse_enforcement(t.enforcement_cells(spark, sf))
+    """The stored table of parsed fines."""
+    return t.stored(spark, sf, "fines", lambda: enforcement.parse_enforcement(t.enforcement_cells(spark, sf)))
 
 
 def resolved(spark, sf):
-    return enforcement.resolve_enforcement(
-        t.enforcement_cells(spark, sf), t.companies(spark, sf), t.overrides(spark, sf))
+    return enforcement.resolve_fines(parsed(spark, sf), t.companies(spark, sf), t.overrides(spark, sf))
 
 
 @register("enf_company_match", sql("fines companies", """
