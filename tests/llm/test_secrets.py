@@ -1,0 +1,89 @@
+import random
+import re
+
+import pytest
+
+from vendorlens.llm import secrets
+from vendorlens.llm.automata import Dfa, parse
+
+ASSIGN = re.compile(r'''(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''', re.I | re.A)
+
+
+def brute(text):
+    found = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return [(k, s, e) for s, k, e in sorted(found, key=lambda x: (x[0], order[x[1]]))]
+
+
+def base_spans(text):
+    scan, data = secrets.scanner(), text.encode()
+    spans = secrets._in_code_points(data, scan.spans(data))
+    return [(scan.rules[r].kind, s, e) for s, r, e in spans if r < 3]
+
+
+HARD = [
+    'token: token: abcdefgh', 'password = = abc', 'password==abcdef', 'API_KEY="x" secret:\'abcdef', "é token='abcdefé", "AKIAAKIA" + "A" * 20,
+    "AKIA" + "B" * 15 + " AKIA" + "B" * 16, "a" * 23 + "g" + "0" * 24, "passwd  :  \"" + "q" * 6 + '" apikey=12345', "tokentoken=abcdefg", "", "token=",
+    "secret=" + "a" * 30, "PASSWORD' =   ' abcdefg", "password:\nabcdefg", "Secret: token=abcdef",
+]
+
+
+@pytest.mark.parametrize("text", HARD)
+def test_base_rules_as_regular_expressions(text):
+    assert base_spans(text) == brute(text)
+
+
+def test_random_texts_as_regular_expressions():
+    pick = random.Random(3)
+    parts = ["token", "password", "api_key", "apikey", "API_KEY", "=", ":", " ", '"', "'", "abc", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "é", "x", "\n", "-", "."]
+    for _ in range(3000):
+        text = "".join(pick.choices(parts, k=pick.randint(1, 14)))
+        assert base_spans(text) == brute(text), text
+
+
+def test_whole_documents(documents):
+    for row in documents.collect():
+        assert base_spans(row.text or "") == brute(row.text or "")
+
+
+@pytest.mark.parametrize("pattern", ["a(b|cd)*e?", "[a-c]{2,4}d", "x{3}|xy+", r"\d+\.\w*", "(ab?){1,}c"])
+def test_automaton_longest_match(pattern):
+    pick, auto = random.Random(1), Dfa([parse(pattern)])
+    for _ in range(500):
+        text = "".join(pick.choices("abcdexy01.", k=8))
+        best = max((e for e in range(len(text) + 1) if re.fullmatch(pattern, text[:e])), default=-1)
+        assert auto.longest(text.encode(), 0) == best
+
+
+def test_minimal_automaton_has_no_equal_states():
+    assert Dfa([parse("(a|b)(c|d)")]).size == Dfa([parse("[ab][cd]")]).size
+
+
+@pytest.mark.parametrize("bad", ["(a", "a)", "*a", r"\q"])
+def test_bad_patterns_are_refused(bad):
+    with pytest.raises((ValueError, IndexError)):
+        parse(bad)
+
+
+def test_more_kinds(spark):
+    text = "-----BEGIN RSA PRIVATE KEY----- x ghp_" + "a1B2" * 9 + " https://u:pass@h.example/x"
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [s.kind for s in row.spans] == ["private_key", "github", "url_login"]
+    assert text[row.spans[1].start:row.spans[1].end] == "ghp_" + "a1B2" * 9
+
+
+def test_odd_rows(odd, no_documents):
+    rows = secrets.find_secrets(odd).collect()
+    assert len(rows) == odd.count() and all(r.spans == [] for r in rows)
+    assert secrets.find_secrets(no_documents).collect() == []
+
+
+def test_redaction(spark, odd, no_documents):
+    docs = spark.createDataFrame([(1, "é token=abcdef1 end", 19, "keep"), (2, "clean", 5, None), (3, None, None, "x")], "doc_id long, text string, n_chars long, spans string")
+    out = secrets.redact_secrets(docs)
+    assert out.columns == docs.columns
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "é [secret] end", 14, "keep"), (2, "clean", 5, None), (3, None, None, "x")]
+    assert sorted(map(str, secrets.redact_secrets(odd).collect())) == sorted(map(str, odd.collect()))
+    assert secrets.redact_secrets(no_documents).count() == 0

@@ -64,15 +64,14 @@ def _field(segments: int) -> int:
 def _filed(fps: DataFrame, segments: int, radius: int) -> DataFrame:
     """``cell, step, fp``: each fingerprint under its own grid point (step 0) and those one step away."""
     width, field = 64 // segments, _field(segments)
-    steps = list(range(-segments, segments + 1)) if radius else [0]
-    at = (F.abs("step") - 1) * field
-    count = F.expr(f"shiftright(own, (abs(step) - 1) * {field}) & {(1 << field) - 1}")
-    moved = F.when(F.col("step") == 0, F.col("own")).otherwise(
-        F.col("own") + F.signum("step").cast("long") * F.expr(f"shiftleft(1L, (abs(step) - 1) * {field})"))
-    inside = (F.col("step") == 0) | (count + F.signum("step").cast("long")).between(0, width)
+    steps, mask = list(range(-segments, segments + 1)) if radius else [0], (1 << field) - 1
+    at = f"(abs(step) - 1) * {field}"
+    new = F.expr(f"(shiftright(own, {at}) & {mask}) + sign(step)").cast("long")  # the bit count of the segment after the step
+    moved = F.expr(f"own & ~shiftleft(CAST({mask} AS BIGINT), {at})").bitwiseOR(F.call_function("shiftleft", new, F.expr(at)))
+    still = F.col("step") == 0
     return (fps.select("fp", _counts(segments).alias("own"))
             .select("fp", "own", F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"))
-            .filter(inside).select(moved.alias("cell"), "step", "fp"))
+            .filter(still | new.between(0, width)).select(F.when(still, F.col("own")).otherwise(moved).alias("cell"), "step", "fp"))
 
 
 def near_pairs(fps: DataFrame, max_bits: int = 2, segments: int = 16) -> DataFrame:
