@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from vendorlens.operators import rollups
-from vendorlens.streaming import ingest
+from vendorlens.operators import rollups, stats
+from vendorlens.plans import vendor_query as vq
+from vendorlens.streaming import daily, ingest
 from vendorlens.verify import tables as t
 
 
@@ -62,3 +63,71 @@ def test_delete_and_add_again(spark, sf, tmp_path):
     # Within a batch the last operation of an id counts.
     ingest.apply_batch(gone.unionByName(rows.withColumn("seq", F.col("seq") + 5000)), 3, tables)
     assert keys(ingest.live_messages(spark, tables)) == first
+
+
+def test_a_batch_of_additions_reads_no_message_again(spark, sf, tmp_path, monkeypatch):
+    rows, tables = landing(spark, sf), ingest.Tables(str(tmp_path / "store"), buckets=4)
+    ingest.apply_batch(rows.filter("seq < 400"), 0, tables, companies=t.companies(spark, sf))
+    monkeypatch.setattr(ingest, "live_messages", None)
+    ingest.apply_batch(rows.filter("seq >= 400"), 1, tables, companies=t.companies(spark, sf))
+    monkeypatch.undo()
+    assert keys(ingest.live_messages(spark, tables)) == keys(t.messages(spark, sf))
+
+
+def facts(df, *names):
+    return sorted(tuple(str(r[n]) for n in ("account_id", "vendor_key", *names)) for r in df.collect())
+
+
+FACTS = ("message_count", "sender_count", "bulk_count", "first_seen", "last_seen", "name", "company_slug", "category_id", "risk_level")
+
+
+def test_streamed_vendors_serve_the_vendor_query_and_the_dashboard(spark, sf, tmp_path):
+    rows, tables = landing(spark, sf), ingest.Tables(str(tmp_path / "store"), buckets=4)
+    for n in range(3):
+        ingest.apply_batch(rows.filter(f"seq % 3 = {n}"), n, tables, companies=t.companies(spark, sf))
+    states = t.messages(spark, sf).filter("status IS NOT NULL").select("account_id", "message_id", "status")
+    ingest.user_changes(spark, tables, marks=states, vendor_status=t.vendor_status(spark, sf))
+    streamed = ingest.vendor_table(spark, tables, t.whitelist(spark, sf), t.actions(spark, sf), t.breaches(spark, sf), t.AS_OF_MS)
+    built = t.vendors(spark, sf)
+    assert sorted(streamed.columns) == sorted(built.columns)
+    flags = sorted(c for c in built.columns if c.startswith(("has_", "on_", "is_")))
+    assert facts(streamed, *FACTS, "status", *flags) == facts(built, *FACTS, "status", *flags)
+    query = vq.VendorQuery(limit=20)
+    assert facts(vq.vendor_query(streamed, query, t.AS_OF_MS), "rank") == facts(vq.vendor_query(built, query, t.AS_OF_MS), "rank")
+    a, b = (sorted(map(tuple, stats.dashboard(v, t.messages(spark, sf), t.actions(spark, sf)).collect())) for v in (streamed, built))
+    assert a == b
+
+
+def test_user_changes(spark, sf, tmp_path):
+    rows, tables = landing(spark, sf), ingest.Tables(str(tmp_path / "store"), buckets=4)
+    ingest.apply_batch(rows, 0, tables, companies=t.companies(spark, sf))
+    before = {(r["account_id"], r["vendor_key"]): r for r in ingest.current_vendors(spark, tables).collect()}
+    mail = t.messages(spark, sf)
+    key = mail.select("account_id", "vendor_key").orderBy("account_id", "vendor_key").first()
+    mine = mail.filter((F.col("account_id") == key["account_id"]) & (F.col("vendor_key") == key["vendor_key"]))
+    first = ingest.user_changes(spark, tables, marks=mine.select("account_id", "message_id", F.lit("unsubscribed").alias("status")))
+    second = ingest.user_changes(spark, tables, delete=mine, vendor_status=spark.createDataFrame(
+        [(key["account_id"], key["vendor_key"], "reviewed"), ("nobody", "x.com", "reviewed")], "account_id string, vendor_key string, status string"))
+    assert (first, second) == (1, 2) and ingest.next_batch(spark, tables) == 1
+    after = {(r["account_id"], r["vendor_key"]): r for r in ingest.current_vendors(spark, tables).collect()}
+    lost, old = after[tuple(key)], before[tuple(key)]
+    assert lost["message_count"] == 0 and not lost["has_marketing"] and lost["status"] == "reviewed"
+    assert (lost["name"], lost["company_slug"], lost["category_id"]) == (old["name"], old["company_slug"], old["category_id"])
+    assert {k: v for k, v in after.items() if k != tuple(key)} == {k: v for k, v in before.items() if k != tuple(key)}
+    # Mail that comes again after its deletion has no status of before.
+    again = rows.join(mine.select("account_id", F.col("message_id").alias("id")), ["account_id", "id"], "left_semi").withColumn("seq", F.col("seq") + 10_000)
+    ingest.apply_batch(again.select(*rows.columns), 1, tables, companies=t.companies(spark, sf))
+    live = ingest.live_messages(spark, tables)
+    assert live.count() == mail.count() and live.filter("status IS NOT NULL").count() == 0
+    now = {(r["account_id"], r["vendor_key"]): r for r in ingest.current_vendors(spark, tables).collect()}
+    assert now[tuple(key)]["message_count"] == old["message_count"] and now[tuple(key)]["status"] == "reviewed"
+
+
+def test_late_days_are_counted(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for day in ("2024-01-30", "2024-01-31", "2023-10-30", "2024-01-30"):
+        spark.createDataFrame([("a", f"{day} 10:00:00")], "account_id string, ts string").select(
+            "account_id", F.col("ts").cast("timestamp").alias("ts")).write.mode("append").parquet(source)
+        daily.start_daily(spark.readStream.schema("account_id string, ts timestamp").parquet(source), out, checkpoint).awaitTermination()
+    got = sorted((str(r["day"]), r["n"]) for r in daily.current_days(spark, out).collect())
+    assert got == [("2023-10-30", 1), ("2024-01-30", 2), ("2024-01-31", 1)]

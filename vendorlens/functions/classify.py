@@ -77,6 +77,10 @@ def category_label(category: Column, categories=CATEGORIES) -> Column:
     return F.try_element_at(_map_literal({c.name: c.label for c in categories}), category)
 
 
+def category_icon(category: Column, categories=CATEGORIES) -> Column:
+    return F.try_element_at(_map_literal({c.name: c.icon for c in categories}), category)
+
+
 def effective_category(category: Column, has_orders: Column, has_account: Column) -> Column:
     """Unknown shows as shopping when there are orders, as services when there is an account."""
     category = F.coalesce(category, F.lit("unknown"))

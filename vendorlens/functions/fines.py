@@ -109,11 +109,13 @@ def regulator_language(country: Column) -> Column:
     return _of({r.country: r.language for r in REGULATORS}, country)
 
 
+REGULATOR_FACTS = ("name", "email", "phone", "address", "complaint_url", "website", "english_ok", "warning")
+
+
 def regulator_struct(country: Column) -> Column:
-    """``struct<name, email, complaint_url>`` of a regulator country."""
-    fields = ("name", "email", "complaint_url")
+    """The contact facts of a regulator country as a struct; its fields are null where there is none."""
     return let(country, lambda c: F.struct(*[
-        _of({r.country: getattr(r, field) for r in REGULATORS}, c).alias(field) for field in fields]))
+        _of({r.country: getattr(r, field) for r in REGULATORS}, c).alias(field) for field in REGULATOR_FACTS]))
 
 
 def language_of_domain(domain: Column) -> Column:

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..dims.domains import COUNTRY_TLDS
 from ..functions import addresses, classify, dates, signals
-from .joins import spread_join
 
 VENDOR = ["account_id", "vendor_key"]
 
@@ -17,7 +16,7 @@ def listed(breaches: DataFrame) -> DataFrame:
 def suffix_pairs(keys: DataFrame, key: str, targets: DataFrame, target: str) -> DataFrame:
     """Rows of ``keys`` joined to ``targets`` where the key equals the target or lies below it."""
     suffixed = keys.withColumn(target, F.explode(addresses.domain_suffixes(F.col(key))))
-    return spread_join(suffixed, targets, target, "inner", [key])
+    return suffixed.join(targets, target)
 
 
 def join_breaches(vendors: DataFrame, breaches: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def join_breaches(vendors: DataFrame, breaches: DataFrame) -> DataFrame:
     each, whatever the number of accounts that share them."""
     keys = vendors.select("vendor_key").distinct()
     pairs = suffix_pairs(keys, "vendor_key", listed(breaches), "domain")
-    return spread_join(vendors, pairs, "vendor_key", "inner", ["account_id"])
+    return vendors.join(pairs, "vendor_key")
 
 
 def on_breach_list(vendors: DataFrame, breaches: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ def on_breach_list(vendors: DataFrame, breaches: DataFrame) -> DataFrame:
     domains = listed(breaches).select("domain").distinct()
     hit = suffix_pairs(keys, "vendor_key", domains, "domain").select("vendor_key").distinct()
     return (
-        spread_join(vendors, hit.withColumn("on_breach_list", F.lit(True)), "vendor_key", "left", ["account_id"])
+        vendors.join(hit.withColumn("on_breach_list", F.lit(True)), "vendor_key", "left")
         .fillna({"on_breach_list": False}))
 
 
@@ -54,10 +53,11 @@ def exposed_classes(vendors: DataFrame, breaches: DataFrame) -> DataFrame:
         .groupBy(*VENDOR, "data_class").agg(F.max("breach_date").alias("newest")))
 
 
-def lookup_breach(domains: DataFrame, breaches: DataFrame, since="2000-01-01") -> DataFrame:
-    """For each domain the largest breach at, above or below it."""
+def lookup_breach(domains: DataFrame, breaches: DataFrame, since: str = None) -> DataFrame:
+    """For each domain the largest breach at, above or below it, of those since a day if one is given."""
     asked = domains.select(F.lower(F.trim("domain")).alias("query")).filter("query <> ''").distinct()
-    known = listed(breaches).filter(F.col("breach_date") >= since).select("domain", "slug", "title", "pwn_count")
+    known = listed(breaches) if since is None else listed(breaches).filter(F.col("breach_date") >= since)
+    known = known.select("domain", "slug", "title", "pwn_count")
     above = suffix_pairs(asked, "query", known, "domain").select("query", "slug", "title", "pwn_count")
     below = suffix_pairs(known, "domain", asked, "query").select("query", "slug", "title", "pwn_count")
     order = F.struct((-F.col("pwn_count")).alias("size"), "slug", "title")
@@ -70,7 +70,7 @@ def company_breaches(companies: DataFrame, breaches: DataFrame) -> DataFrame:
     """Company and breach pairs by equal domain."""
     at = companies.select(
         "slug", F.col("name").alias("company"), "categories", F.explode("domains").alias("domain"))
-    return spread_join(listed(breaches).drop("slug"), at, "domain", "inner", ["name"])
+    return listed(breaches).drop("slug").join(at, "domain")
 
 
 def top_breach(companies: DataFrame, breaches: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def top_breach(companies: DataFrame, breaches: DataFrame) -> DataFrame:
                        "pwn_count", "attribution", "title")).alias("b"))
     at = companies.select("slug", F.explode("domains").alias("domain"))
     return (
-        spread_join(at, per_domain, "domain", "inner", ["slug"]).groupBy("slug").agg(F.min("b").alias("b"))
+        at.join(per_domain, "domain").groupBy("slug").agg(F.min("b").alias("b"))
         .select("slug", "b.name", "b.title", "b.domain", "b.breach_date", "b.pwn_count", "b.attribution"))
 
 
@@ -97,7 +97,7 @@ def _first_excluding_self(candidates: DataFrame, wanted: DataFrame, key: str, n:
     short = (
         candidates.withColumn("own_rank", F.row_number().over(own)).filter(F.col("own_rank") <= n)
         .withColumn("group_rank", F.row_number().over(group)).filter(F.col("group_rank") <= 2 * n))
-    pairs = spread_join(wanted, short, key, "inner", ["slug"]).filter("slug <> candidate")
+    pairs = wanted.join(short, key).filter("slug <> candidate")
     order = Window.partitionBy("slug", key).orderBy("group_rank")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
@@ -149,13 +149,16 @@ def related_breaches(companies: DataFrame, breaches: DataFrame, as_of: str, n: i
                 F.col("v.attribution_of").alias("attribution")))
 
 
-def breach_index(records: DataFrame, since="2024-01-01") -> DataFrame:
-    """Breach list since a day, newest first, with severity and category label."""
+def breach_index(records: DataFrame, since: str = None) -> DataFrame:
+    """Breach list, newest first, of those since a day if one is given: severity, logo, category label and icon."""
+    recent = records if since is None else records.filter(F.col("breach_date") >= since)
+    logo = F.col("logo_path") if "logo_path" in records.columns else F.lit(None).cast("string")
+    category = F.try_element_at("categories", F.lit(1))
     return (
-        records.filter(F.col("breach_date") >= since)
+        recent
         .select(
-            "slug", "title", "breach_date", "pwn_count",
+            "slug", "title", logo.alias("logo_path"), "breach_date", "pwn_count",
             F.array_join("data_classes", ",").alias("data_classes"),
             signals.severity(F.col("data_classes")).alias("severity"),
-            classify.category_label(F.try_element_at("categories", F.lit(1))).alias("category_label"))
+            classify.category_label(category).alias("category_label"), classify.category_icon(category).alias("category_icon"))
         .orderBy(F.desc("breach_date"), F.desc("pwn_count"), "slug"))

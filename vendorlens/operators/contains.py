@@ -1,13 +1,12 @@
 """Exact "text contains needle" join without comparing every pair.
 
 Each needle is looked up by the character n-gram that fewest texts hold; the few candidates are
-then verified. A needle with an n-gram no text holds cannot match and leaves early.
+then verified. A needle with an n-gram no text holds cannot match and leaves early. The index of
+n-grams holds a hash of each text, not the text: two texts with one hash are both verified.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import spread_join
-
 
 def _grams(text: Column, n: int) -> Column:
     last = F.length(text) - (n - 1)
@@ -18,16 +17,18 @@ def _grams(text: Column, n: int) -> Column:
 def contains_join(needles: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """``needles`` (needle: distinct strings of at least ``n`` characters) joined to ``texts``
     (text and payload columns) wherever the text contains the needle."""
-    by_gram = texts.withColumn("gram", F.explode(_grams(F.col("text"), n)))
-    frequency = by_gram.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    needle_grams = needles.select("needle", F.explode(_grams(F.col("needle"), n)).alias("gram"))
+    index = texts.select("text").distinct().select(
+        F.xxhash64("text").alias("_text_id"), F.explode(_grams(F.col("text"), n)).alias("gram"))
+    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = (
-        spread_join(needle_grams, frequency, "gram", "left", ["needle"])
+        needles.select("needle", F.explode(_grams(F.col("needle"), n)).alias("gram"))
+        .join(frequency, "gram", "left")
         .groupBy("needle")
         .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best"))
         .filter("best.df > 0")
         .select("needle", F.col("best.gram").alias("gram")))
+    candidates = rarest.join(index, "gram").select("needle", "_text_id").distinct()
     return (
-        spread_join(rarest, by_gram, "gram", "inner", ["needle"])
+        texts.withColumn("_text_id", F.xxhash64("text")).join(candidates, "_text_id")
         .filter(F.contains("text", "needle"))
-        .drop("gram"))
+        .drop("_text_id"))

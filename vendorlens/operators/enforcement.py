@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fines
 from ..functions.text import first_href, strip_tags
-from .joins import spread_join
 
 
 def parse_enforcement(cells: DataFrame) -> DataFrame:
@@ -50,7 +49,7 @@ def resolve_controllers(slugs: DataFrame, companies: DataFrame, min_prefix: int
     exact name, longest name prefix. Prefixes are exploded, so each tier is an equality join."""
     prefixes = slugs.select("controller_slug").filter("controller_slug <> ''").distinct().withColumn(
         "key", F.explode(fines.hyphen_prefixes(F.col("controller_slug"))))
-    hits = spread_join(prefixes, match_index(companies), "key", "inner", ["controller_slug"])
+    hits = prefixes.join(match_index(companies), "key")
     whole = F.col("key") == F.col("controller_slug")
     by_slug = F.col("kind") == "slug"
     tier = (
@@ -89,7 +88,7 @@ def resolve_fines(parsed: DataFrame, companies: DataFrame, overrides: DataFrame)
     """Parsed fines, best read from a stored table, to matched ones. They are used twice: for their
     distinct slugs and for the rows themselves."""
     targets = resolve_controllers(parsed, companies)
-    matched = spread_join(parsed, targets, "controller_slug", "left", ["etid"])
+    matched = parsed.join(targets, "controller_slug", "left")
     kept = match_confidence(apply_overrides(matched, overrides))
     return kept.withColumn("dpa_country", fines.regulator_of_country(F.col("country")))
 
@@ -117,5 +116,5 @@ def fines_by_company(enforcement: DataFrame) -> DataFrame:
 def fine_records(enforcement: DataFrame) -> DataFrame:
     """Every fine, newest first within its company, beside the company's total."""
     totals = fines_by_company(enforcement).select("company_slug", "total_fines")
-    return spread_join(enforcement, totals, "company_slug", "inner", ["etid"]).orderBy(
+    return enforcement.join(totals, "company_slug").orderBy(
         "company_slug", F.desc("decision_date"), F.desc("etid"))

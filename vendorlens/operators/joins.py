@@ -1,33 +1,48 @@
-"""Join helpers that hold up when one key owns a large share of the rows."""
+"""Join helpers that hold up when one key owns a large share of the rows.
+
+Joins are plain equality joins: Catalyst broadcasts a side below its size threshold, and adaptive
+execution splits a partition that is too large. ``spread_join`` is for sessions without it.
+"""
+
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-# Tasks a hot key is split over; sessions on large clusters set spark.vendorlens.salts higher.
+# Tasks a hot key is split over, and the most hot keys there can be.
 SALTS = 16
 
 
+def hot_keys(df: DataFrame, on, share: float) -> list:
+    """The keys that more than ``share`` of the rows have, as rows: fewer than 1 / share of them."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.filter(F.col("_n") > share * total).select(*on).collect()
+
+
 def spread_join(left: DataFrame, right: DataFrame, on, how="inner", spread=(), salts=None) -> DataFrame:
-    """Equality join whose hot left keys are split over ``salts`` tasks.
+    """Equality join that splits the keys a count shows to be hot over ``salts`` tasks.
 
-    The right side (a lookup with few rows per key) is repeated once per salt, the left side is
-    salted by a hash of the ``spread`` columns, so a retried task places a row where it was.
-    No side is forced to broadcast: Catalyst does that only below its size threshold. Beyond it the
-    join is a sort-merge join, whose partitions adaptive execution may split further.
+    A key is hot if it has more than 1 / salts of the left rows. Only hot left rows are salted, by a
+    hash of the ``spread`` columns, so a retried task places a row where it was; only the right
+    rows of hot keys are copied. Nothing is copied where no key is hot.
     """
     on = [on] if isinstance(on, str) else list(on)
     salts = salts or int(left.sparkSession.conf.get("spark.vendorlens.salts", str(SALTS)))
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-def lookup(df: DataFrame, keys: DataFrame, on, spread=()) -> DataFrame:
+    hot = hot_keys(left, on, 1 / salts)
+    if not hot:
+        return left.join(right, on, how)
+    found = reduce(lambda a, b: a | b, [
+        reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in on]) for row in hot])
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    salted = left.withColumn("_salt", F.when(found, salt).otherwise(0))
+    copies = F.when(found, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(right.withColumn("_salt", F.explode(copies)), [*on, "_salt"], how).drop("_salt")
+
+
+def lookup(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     """Rows whose key is listed in ``keys`` (by id, domain, slug or sender)."""
     on = [on] if isinstance(on, str) else list(on)
-    wanted = keys.select(*on).distinct()
-    if spread:
-        return spread_join(df, wanted, on, "left_semi", spread)
-    return df.join(wanted, on, "left_semi")
+    return df.join(keys.select(*on).distinct(), on, "left_semi")
 
 
 def chunked_lists(df: DataFrame, keys, item, per_part=1000, by=()) -> DataFrame:
@@ -37,9 +52,9 @@ def chunked_lists(df: DataFrame, keys, item, per_part=1000, by=()) -> DataFrame:
     no task ever holds an unbounded group and no row is dropped. Items are sorted descending.
     """
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_part).alias("n_parts"))
-    sized = spread_join(df, sizes, keys, "inner", by)
     part = F.pmod(F.xxhash64(*by), F.col("n_parts"))
     return (
-        sized.withColumn("part", part)
+        df.join(sizes, list(keys))
+        .withColumn("part", part)
         .groupBy(*keys, "part", "n_parts")
         .agg(F.sort_array(F.collect_list(item), False).alias("items")))

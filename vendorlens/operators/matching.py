@@ -6,7 +6,6 @@ from ..dims.domains import PERSONAL_DOMAINS
 from ..functions import addresses, classify
 from ..functions.text import ascii_lower
 from .contains import contains_join
-from .joins import spread_join
 from .topk import subjects_sample
 
 VENDOR = ["account_id", "vendor_key"]
@@ -24,7 +23,7 @@ def match_by_domain(vendors: DataFrame, companies: DataFrame) -> DataFrame:
     """Adds ``domain_slug``: the company that lists the vendor key among its domains."""
     index = domain_index(companies).select(
         F.col("domain").alias("vendor_key"), F.col("slug").alias("domain_slug"))
-    return spread_join(vendors, index, "vendor_key", "left", ["account_id"])
+    return vendors.join(index, "vendor_key", "left")
 
 
 def match_by_name(vendors: DataFrame, companies: DataFrame) -> DataFrame:
@@ -37,10 +36,8 @@ def match_by_name(vendors: DataFrame, companies: DataFrame) -> DataFrame:
     needle = ascii_lower(F.col("name"))
     needles = vendors.filter(F.length("name") >= 3).select(needle.alias("needle")).distinct()
     found = contains_join(needles, texts, 3).groupBy("needle").agg(F.min(F.struct("ord", "slug")).alias("first"))
-    return spread_join(
-        vendors.withColumn("needle", needle),
-        found.select("needle", F.col("first.slug").alias("name_slug")),
-        "needle", "left", VENDOR).drop("needle")
+    named = found.select("needle", F.col("first.slug").alias("name_slug"))
+    return vendors.withColumn("needle", needle).join(named, "needle", "left").drop("needle")
 
 
 def match_companies(vendors: DataFrame, companies: DataFrame) -> DataFrame:
@@ -60,7 +57,7 @@ def initial_vendors(keys: DataFrame, companies: DataFrame) -> DataFrame:
     facts = companies.select(
         F.col("slug").alias("domain_slug"), F.col("name").alias("company_name"), "categories")
     matched = match_by_domain(keys.select(*VENDOR).distinct(), companies)
-    joined = spread_join(matched, facts, "domain_slug", "left", VENDOR)
+    joined = matched.join(facts, "domain_slug", "left")
     return joined.select(
         *VENDOR,
         F.col("domain_slug").alias("company_slug"),
@@ -74,7 +71,7 @@ def categorize_matched(vendors: DataFrame, companies: DataFrame, app_categories=
     best = companies.select(
         F.col("slug").alias("company_slug"),
         classify.riskiest_category(F.col("categories"), app_categories=app_categories).alias("best"))
-    joined = spread_join(vendors, best.filter("best IS NOT NULL"), "company_slug", "left", VENDOR)
+    joined = vendors.join(best.filter("best IS NOT NULL"), "company_slug", "left")
     return joined.withColumns({
         "category_id": F.coalesce("best.category", "category_id"),
         "risk_level": F.coalesce("best.risk", "risk_level"),
@@ -82,11 +79,20 @@ def categorize_matched(vendors: DataFrame, companies: DataFrame, app_categories=
 
 
 def categorize_unmatched(vendors: DataFrame, messages: DataFrame) -> DataFrame:
-    """Vendors without a company: first keyword found in name, key and up to ten subjects."""
+    """Vendors without a company: first keyword found in name, key and up to ten subjects.
+
+    Only the mail of these vendors is ranked.
+    """
+    open_ = vendors.filter("company_slug IS NULL").select(*VENDOR)
+    return categorize_by_subjects(vendors, subjects_sample(messages.join(open_, VENDOR, "left_semi")))
+
+
+def categorize_by_subjects(vendors: DataFrame, subjects: DataFrame) -> DataFrame:
+    """:func:`categorize_unmatched` from ``subjects``: one text per vendor."""
     text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.col("vendor_key"), F.coalesce("subjects", F.lit("")))
     found = F.when(F.col("company_slug").isNull(), classify.keyword_category(text))
     return (
-        vendors.join(subjects_sample(messages), VENDOR, "left")
+        vendors.join(subjects, VENDOR, "left")
         .withColumn("_found", found)
         .withColumns({
             "category_id": F.coalesce("_found.category", "category_id"),
@@ -101,12 +107,17 @@ def company_by_name(queries: DataFrame, companies: DataFrame) -> DataFrame:
         .groupBy("key").agg(F.min(F.struct("ord", "slug")).alias("first"))
         .select("key", F.col("first.slug").alias("slug")))
     keyed = queries.withColumn("key", F.nullif(F.lower(F.trim("query")), F.lit("")))
-    return spread_join(keyed, named, "key", "inner", ["query"]).drop("key")
+    return keyed.join(named, "key").drop("key")
+
 
+def company_search(queries: DataFrame, companies: DataFrame, limit: int = 8, scan: int = None, most: int = 20) -> DataFrame:
+    """Type-ahead: up to ``limit`` companies per query, name-prefix hits first, then by name.
 
-def company_search(queries: DataFrame, companies: DataFrame, limit: int = 8) -> DataFrame:
-    """Type-ahead: of the first 4 x limit hits in name order, name-prefix hits before the others."""
-    limit = min(max(limit, 1), 20)
+    ``limit`` is at most ``most``. With ``scan``, only the first ``scan`` hits in name order are
+    ranked, which is quicker and misses prefix hits after them; without it, all are.
+    """
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be from 1 to {most}")
     needle = F.trim(F.lower("query"))
     needles = queries.select(needle.alias("needle")).filter(F.length("needle") >= 2).distinct()
     name = F.lower("name")
@@ -116,11 +127,12 @@ def company_search(queries: DataFrame, companies: DataFrame, limit: int = 8) ->
         contains_join(needles, texts, 2)
         .select("needle", "slug", "name", F.startswith(F.lower("name"), F.col("needle")).alias("prefix"))
         .distinct())
-    in_name_order = Window.partitionBy("needle").orderBy("name", "slug")
-    scanned = hits.withColumn("scan", F.row_number().over(in_name_order)).filter(F.col("scan") <= 4 * limit)
-    best_first = Window.partitionBy("needle").orderBy(F.desc("prefix"), "scan")
+    if scan:
+        in_name_order = Window.partitionBy("needle").orderBy("name", "slug")
+        hits = hits.withColumn("_scan", F.row_number().over(in_name_order)).filter(F.col("_scan") <= scan)
+    best_first = Window.partitionBy("needle").orderBy(F.desc("prefix"), "name", "slug")
     return (
-        scanned.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= limit)
+        hits.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= limit)
         .select(F.col("needle").alias("query"), "rank", "slug", "name"))
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..dims.letters import letter_rows
 from ..functions import addresses, fines
-from .joins import spread_join
 
 
 def templates(spark) -> DataFrame:
@@ -39,11 +38,11 @@ def request_batch(people: DataFrame, companies: DataFrame, letters: DataFrame, a
     facts = with_request_language(companies).select(
         F.col("slug").alias("company_slug"), F.col("email").alias("company_email"), "language")
     known = [r for r in fines.LETTER_LANGUAGES]
-    asked = spread_join(people, facts, "company_slug", "inner", ["account_id", "user_email"])
+    asked = people.join(facts, "company_slug")
     asked = asked.withColumn("language", F.when(F.col("language").isin(known), F.col("language")).otherwise("en"))
     texts = letters.filter(F.col("action") == action).select(
         "language", F.col("subject").alias("_subject"), F.col("body").alias("_body"), "ref_label")
-    joined = spread_join(asked, texts, "language", "inner", ["account_id", "company_slug"])
+    joined = asked.join(texts, "language")
     reference = F.nullif("account_reference", F.lit(""))
     ref_line = F.coalesce(F.concat(F.lit("\n- "), F.col("ref_label"), F.lit(": "), reference), F.lit(""))
     name = F.coalesce(F.nullif(F.trim("user_name"), F.lit("")), F.col("user_email"))

@@ -3,7 +3,6 @@ and every flag are decided on that small table, then summed up per vendor."""
 
 from pyspark.sql import DataFrame, functions as F
 
-from .joins import spread_join
 from .whitelist import with_coverage
 
 VENDOR = ["account_id", "vendor_key"]
@@ -12,14 +11,17 @@ RECENT_MS = 63_115_200_000  # 2 x 365.25 days
 FLAGS = ["has_marketing", "has_account", "has_orders", "has_nonpersonal", "has_rfc8058", "has_active_bulk"]
 
 
-def sender_rollup(messages: DataFrame, as_of_ms: int = 0) -> DataFrame:
-    """One row per account, vendor and sender. Partial aggregation runs before the only shuffle."""
+def sender_rollup(messages: DataFrame) -> DataFrame:
+    """One row per account, vendor and sender. Partial aggregation runs before the only shuffle.
+
+    ``recent_ms`` is the newest bulk message that can still be opted out of, ``named`` the newest
+    non-empty sender name, bulk mail first. Rollups of parts of the mail add up: :func:`merged`.
+    """
     kind = F.col("type")
     bulk = F.coalesce(kind == "bulk", F.lit(False))
     open_ = F.col("status").isNull() | (F.col("status") != "unsubscribed")
-    recent = (
-        bulk & open_ & (F.col("date_ms") > as_of_ms - RECENT_MS)
-        & F.coalesce(F.col("unsubscribe_method") != "none", F.lit(False)))
+    leavable = bulk & open_ & F.coalesce(F.col("unsubscribe_method") != "none", F.lit(False))
+    named = F.struct(bulk.alias("bulk"), "date_ms", "message_id", "sender_name")
     return messages.groupBy(*VENDOR, "sender_email").agg(
         F.count(F.lit(1)).alias("message_count"),
         F.count_if(bulk).alias("bulk_count"),
@@ -32,7 +34,17 @@ def sender_rollup(messages: DataFrame, as_of_ms: int = 0) -> DataFrame:
         F.bool_or(kind.isNull() | (kind != "personal")).alias("has_nonpersonal"),
         F.bool_or(F.coalesce(F.col("unsubscribe_method") == "rfc8058", F.lit(False))).alias("has_rfc8058"),
         F.bool_or(bulk & open_).alias("has_active_bulk"),
-        F.bool_or(recent).alias("has_recent_bulk"))
+        F.max(F.when(leavable, F.col("date_ms"))).alias("recent_ms"),
+        F.max(F.when(F.col("sender_name") != "", named)).alias("named"))
+
+
+def merged(senders: DataFrame) -> DataFrame:
+    """Rollups of disjoint sets of messages as one."""
+    return senders.groupBy(*VENDOR, "sender_email").agg(
+        *[F.sum(c).alias(c) for c in ("message_count", "bulk_count", "size_bytes")],
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        *[F.bool_or(c).alias(c) for c in FLAGS],
+        F.max("recent_ms").alias("recent_ms"), F.max("named").alias("named"))
 
 
 def counts():
@@ -66,16 +78,21 @@ def vendor_flags(messages: DataFrame, vendors: DataFrame = None) -> DataFrame:
 
 def vendor_features(messages: DataFrame, whitelist: DataFrame, actions: DataFrame, as_of_ms: int) -> DataFrame:
     """Counts and every yes/no property the vendor queries ask for, in one pass over messages."""
-    senders = sender_rollup(messages, as_of_ms)
-    flagged = with_coverage(senders, whitelist, [*VENDOR, "sender_email"])
+    return features_of(sender_rollup(messages), whitelist, actions, as_of_ms)
+
+
+def features_of(senders: DataFrame, whitelist: DataFrame, actions: DataFrame, as_of_ms: int) -> DataFrame:
+    """:func:`vendor_features` from the sender rollup."""
+    flagged = with_coverage(senders.drop("named"), whitelist, [*VENDOR, "sender_email"])
     free = ~F.col("covered")
+    recent = F.coalesce(F.col("recent_ms") > as_of_ms - RECENT_MS, F.lit(False))
     vendors = flagged.groupBy(*VENDOR).agg(
         *counts(),
         F.sum("bulk_count").alias("bulk_count"),
         *[F.bool_or(n).alias(n) for n in FLAGS],
         F.bool_or(free).alias("has_unwhitelisted"),
         F.bool_or(free & F.col("has_active_bulk")).alias("has_unwhitelisted_bulk"),
-        F.bool_or(free & F.col("has_recent_bulk")).alias("_recent"))
+        F.bool_or(free & recent).alias("_recent"))
     taken = vendor_actions(actions)
     return (
         vendors.join(taken, VENDOR, "left")
@@ -93,9 +110,12 @@ def vendor_actions(actions: DataFrame) -> DataFrame:
 
 def vendor_names(messages: DataFrame) -> DataFrame:
     """Newest non-empty sender name per vendor, bulk mail first."""
-    named = messages.filter(F.col("sender_name") != "")
-    order = F.struct(F.coalesce(F.col("type") == "bulk", F.lit(False)).alias("bulk"), "date_ms", "message_id")
-    return named.groupBy(*VENDOR).agg(F.max_by("sender_name", order).alias("sender_name"))
+    return names_of(sender_rollup(messages)).filter("sender_name IS NOT NULL")
+
+
+def names_of(senders: DataFrame) -> DataFrame:
+    """Every vendor of the sender rollup with its name, null where no sender has one."""
+    return senders.groupBy(*VENDOR).agg(F.max("named").alias("n")).select(*VENDOR, F.col("n.sender_name").alias("sender_name"))
 
 
 def sender_counts(messages: DataFrame) -> DataFrame:
@@ -134,6 +154,5 @@ def touched_vendors(messages: DataFrame, ids: DataFrame) -> DataFrame:
 
 def vendors_by_sender(vendors: DataFrame, messages: DataFrame, emails: DataFrame) -> DataFrame:
     """Vendors that sent mail from one of the listed addresses."""
-    hits = spread_join(messages.select(*VENDOR, "sender_email", "message_id"),
-                       emails.select("sender_email").distinct(), "sender_email", "left_semi", ["message_id"])
+    hits = messages.select(*VENDOR, "sender_email", "message_id").join(emails.select("sender_email").distinct(), "sender_email", "left_semi")
     return vendors.join(hits.select(*VENDOR).distinct(), VENDOR, "left_semi")

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import addresses
-from .joins import spread_join
 
 ID = ["account_id", "message_id"]
 VENDOR = ["account_id", "vendor_key"]
@@ -38,7 +37,7 @@ def delete_ids(messages: DataFrame, ids: DataFrame) -> DataFrame:
 def delete_by_vendor(messages: DataFrame, keys: DataFrame, types=None):
     """(messages left, removed messages and bytes per vendor)."""
     wanted = keys.select(*VENDOR).distinct().withColumn("_listed", F.lit(True))
-    flagged = spread_join(messages, wanted, VENDOR, "left", ["message_id"])
+    flagged = messages.join(wanted, VENDOR, "left")
     hit = F.col("_listed").isNotNull()
     if types:
         hit = hit & F.coalesce(F.col("type").isin(list(types)), F.lit(False))
@@ -52,8 +51,8 @@ def delete_vendors(vendors: DataFrame, messages: DataFrame, actions: DataFrame,
     gone = keys.select(*VENDOR).distinct()
     return (
         vendors.join(gone, VENDOR, "left_anti"),
-        spread_join(messages, gone, VENDOR, "left_anti", ["message_id"]),
-        spread_join(actions, gone, VENDOR, "left_anti", ["action_id"]))
+        messages.join(gone, VENDOR, "left_anti"),
+        actions.join(gone, VENDOR, "left_anti"))
 
 
 def mark_unsubscribed(messages: DataFrame, keys: DataFrame, by="vendor_key") -> DataFrame:
@@ -62,15 +61,14 @@ def mark_unsubscribed(messages: DataFrame, keys: DataFrame, by="vendor_key") ->
     listed = keys.select(*on).distinct().withColumn("_listed", F.lit(True))
     hit = F.col("_listed").isNotNull() & F.col("unsubscribe_url").isNotNull()
     return (
-        spread_join(messages, listed, on, "left", ["message_id"])
+        messages.join(listed, on, "left")
         .withColumn("status", F.when(hit, "unsubscribed").otherwise(F.col("status"))).drop("_listed"))
 
 
 def unsubscribe_actions(messages: DataFrame, keys: DataFrame, now_ms: int) -> DataFrame:
     """The log rows of unsubscribing whole vendors: one per vendor with any opt-out URL."""
     listed = keys.select(*VENDOR).distinct()
-    hit = spread_join(
-        messages.filter("unsubscribe_url IS NOT NULL"), listed, VENDOR, "left_semi", ["message_id"])
+    hit = messages.filter("unsubscribe_url IS NOT NULL").join(listed, VENDOR, "left_semi")
     return (
         hit.groupBy(*VENDOR).agg(
             F.count(F.lit(1)).alias("message_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"))
@@ -96,10 +94,10 @@ def set_status(df: DataFrame, changes: DataFrame, on) -> DataFrame:
         .drop("_new", "_listed"))
 
 
-def reset_accounts(tables: dict, accounts: DataFrame, spread: dict) -> dict:
-    """Every table without the rows of the listed accounts; ``spread`` names a row key per table."""
+def reset_accounts(tables: dict, accounts: DataFrame) -> dict:
+    """Every table without the rows of the listed accounts."""
     gone = accounts.select("account_id").distinct()
-    return {name: spread_join(df, gone, "account_id", "left_anti", spread[name]) for name, df in tables.items()}
+    return {name: df.join(gone, "account_id", "left_anti") for name, df in tables.items()}
 
 
 def net_changes(feed: DataFrame) -> DataFrame:

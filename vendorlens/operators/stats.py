@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import signals
 from ..functions.dates import DAY_MS, utc_day
-from .joins import spread_join
 
 LEVELS = ["high", "medium", "low"]
 
@@ -54,9 +53,10 @@ def impact(actions: DataFrame) -> DataFrame:
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes_reclaimed"))
 
 
-def daily_trend(messages: DataFrame, accounts: DataFrame, as_of_ms: int, days: int) -> DataFrame:
-    """Gap-free messages per account and UTC day over the last ``days`` days (1 to 365)."""
-    days = min(365, max(1, int(days)))
+def daily_trend(messages: DataFrame, accounts: DataFrame, as_of_ms: int, days: int, most: int = 365) -> DataFrame:
+    """Gap-free messages per account and UTC day over the last ``days`` days (1 to ``most``)."""
+    if not 1 <= days <= most:
+        raise ValueError(f"days must be from 1 to {most}")
     end = as_of_ms // DAY_MS * DAY_MS
     start = end - (days - 1) * DAY_MS
     day = utc_day(F.col("date_ms"))
@@ -129,4 +129,4 @@ def backfill_ranges(messages: DataFrame, cursor_ms: int, floor_ms: int, days: in
         .groupBy("account_id")
         .agg(F.min(F.when(F.col("gap") >= stop_after, F.col("range"))).alias("stop")))
     reached = filled.join(last, "account_id").filter(F.col("stop").isNull() | (F.col("range") < F.col("stop")))
-    return spread_join(inside, reached.select("account_id", "range"), ["account_id", "range"], "left_semi", ["message_id"])
+    return inside.join(reached.select("account_id", "range"), ["account_id", "range"], "left_semi")

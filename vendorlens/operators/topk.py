@@ -1,15 +1,17 @@
 """Newest-n and best-of operators. The rank filter sits directly above its window, so Spark cuts
-each group to n rows per partition before the shuffle; a hot vendor never lands in one task whole."""
+each group to n rows per partition before the shuffle (up to rank 1000); a hot vendor never lands in
+one task whole. Deeper pages go over a range-partitioned sort."""
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.scratch import scratch_path
+
 VENDOR = ["account_id", "vendor_key"]
 
 # Opt-out methods, best first.
 METHOD_PRIORITY = ["rfc8058", "list-unsubscribe", "footer"]
 
 
-
 def newest(df: DataFrame, keys, n: int, rank="rank") -> DataFrame:
     """The n newest rows per key (by date, then id)."""
     order = Window.partitionBy(*keys).orderBy(F.desc("date_ms"), F.desc("message_id"))
@@ -22,8 +24,8 @@ def latest_messages(messages: DataFrame, types=None, n: int = 20) -> DataFrame:
     return newest(wanted, VENDOR, n)
 
 
-def messages_by_sender(messages: DataFrame, types=None, n: int = 50) -> DataFrame:
-    """Of the newest n messages per vendor, the first 10 of a lone sender or 5 of each of several."""
+def messages_by_sender(messages: DataFrame, types=None, n: int = 50, lone: int = 10, each: int = 5) -> DataFrame:
+    """Of the newest n messages per vendor, the first ``lone`` of a lone sender or ``each`` of each of several."""
     listed = latest_messages(messages, types, n)
     vendor = Window.partitionBy(*VENDOR)
     several = F.min("sender_email").over(vendor) != F.max("sender_email").over(vendor)
@@ -31,7 +33,7 @@ def messages_by_sender(messages: DataFrame, types=None, n: int = 50) -> DataFram
     return (
         listed.withColumn("several", several)
         .withColumn("sender_rank", F.row_number().over(order))
-        .filter(F.col("sender_rank") <= F.when(F.col("several"), 5).otherwise(10)))
+        .filter(F.col("sender_rank") <= F.when(F.col("several"), each).otherwise(lone)))
 
 
 def _has_url():
@@ -78,17 +80,60 @@ def oneclick_worklist(vendors: DataFrame, methods: DataFrame) -> DataFrame:
 
 def subjects_sample(messages: DataFrame, n: int = 10) -> DataFrame:
     """The first n subjects per vendor, by date then id, joined by blanks."""
+    return joined_subjects(first_subjects(messages, n), n)
+
+
+def first_subjects(messages: DataFrame, n: int = 10) -> DataFrame:
+    """The first n messages with a subject per vendor, by date then id: date, id and subject."""
+    return earliest_subjects(messages.filter("subject IS NOT NULL"), n)
+
+
+def earliest_subjects(rows: DataFrame, n: int = 10) -> DataFrame:
     order = Window.partitionBy(*VENDOR).orderBy("date_ms", "message_id")
     return (
-        messages.filter("subject IS NOT NULL")
-        .select(*VENDOR, "date_ms", "message_id", "subject")
-        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-        .groupBy(*VENDOR)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "subject"))).alias("s"))
+        rows.select(*VENDOR, "date_ms", "message_id", "subject")
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank"))
+
+
+def joined_subjects(rows: DataFrame, n: int = 10) -> DataFrame:
+    """One text per vendor from rows that hold its first n subjects (and may hold more)."""
+    item = F.struct("date_ms", "message_id", "subject")
+    return (
+        earliest_subjects(rows, n).groupBy(*VENDOR)
+        .agg(F.array_sort(F.collect_list(item)).alias("s"))
         .select(*VENDOR, F.array_join("s.subject", " ").alias("subjects")))
 
 
+# Up to this rank, Spark cuts a ranked group to the wanted rows before the shuffle.
+NEAR_RANK = 1000
+
+
+def ranked_between(df: DataFrame, keys, order, first: int, last: int) -> DataFrame:
+    """Rows with ``first < rank <= last`` in their group, with their ``rank``.
+
+    Near ranks come from a window that is cut per partition. Beyond, the rows are sorted by range over all
+    tasks and stored; counts of the pieces say which piece holds which ranks, and only the pieces
+    of the page are ranked. No task holds more of a group than one piece.
+    """
+    if last <= NEAR_RANK:
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return ranked.filter(F.col("rank") <= last).filter(F.col("rank") > first)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranked")
+    df.repartitionByRange(parts, *keys, *order).withColumn("_piece", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        rows.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .filter((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first)).drop("_n"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
+    return (
+        rows.join(pieces, [*keys, "_piece"]).withColumn("rank", place + F.col("_before"))
+        .filter((F.col("rank") > first) & (F.col("rank") <= last)).drop("_piece", "_before"))
+
+
 def page_of(df: DataFrame, keys, order, page: int, limit: int) -> DataFrame:
     """One page per key in the given order, with its ``rank``."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= page * limit).filter(F.col("rank") > (page - 1) * limit)
+    return ranked_between(df, keys, order, (page - 1) * limit, page * limit)

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addresses
-from .joins import spread_join
 
 _OWNER = ["account_id", "sender_email"]
 
@@ -14,7 +13,7 @@ def whitelisted_senders(senders: DataFrame, whitelist: DataFrame) -> DataFrame:
         "value", F.explode(addresses.sender_suffixes(F.col("sender_email"))))
     listed = whitelist.select("account_id", F.lower("value").alias("value")).distinct()
     return (
-        spread_join(keys, listed, ["account_id", "value"], "left_semi", ["sender_email"])
+        keys.join(listed, ["account_id", "value"], "left_semi")
         .select(*_OWNER).distinct())
 
 
@@ -27,7 +26,7 @@ def with_coverage(senders: DataFrame, whitelist: DataFrame, keys) -> DataFrame:
     values = [c for c in senders.columns if c not in keys]
     listed = whitelist.select("account_id", F.lower("value").alias("value")).distinct().withColumn("hit", F.lit(True))
     exploded = senders.withColumn("value", F.explode_outer(addresses.sender_suffixes(F.col("sender_email"))))
-    joined = spread_join(exploded, listed, ["account_id", "value"], "left", ["sender_email"])
+    joined = exploded.join(listed, ["account_id", "value"], "left")
     return joined.groupBy(*keys).agg(
         F.coalesce(F.bool_or("hit"), F.lit(False)).alias("covered"), *[F.first(c).alias(c) for c in values])
 
@@ -35,13 +34,13 @@ def with_coverage(senders: DataFrame, whitelist: DataFrame, keys) -> DataFrame:
 def not_whitelisted(messages: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Messages no whitelist entry covers. Coverage is decided once per sender, not per message."""
     covered = whitelisted_senders(messages, whitelist)
-    return spread_join(messages, covered, _OWNER, "left_anti", ["message_id"])
+    return messages.join(covered, _OWNER, "left_anti")
 
 
 def not_actioned(messages: DataFrame, actions: DataFrame) -> DataFrame:
     """Messages whose vendor has no ``unsubscribed`` action."""
     done = actions.filter(F.col("action_type") == "unsubscribed").select("account_id", "vendor_key").distinct()
-    return spread_join(messages, done, ["account_id", "vendor_key"], "left_anti", ["message_id"])
+    return messages.join(done, ["account_id", "vendor_key"], "left_anti")
 
 
 def seed_whitelist(accounts: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -74,19 +73,17 @@ def whitelist_scope(vendors: DataFrame, senders: DataFrame, companies: DataFrame
         F.nullif(F.regexp_extract(F.regexp_replace(F.lower(F.trim("web")), r"\Awww\.", ""), r"\A[^/:?#]+", 0), F.lit("")),
         F.lower(F.trim("vendor_key")))
     roots = (
-        spread_join(vendors.select(*owner, "company_slug"), web, "company_slug", "left", owner)
+        vendors.select(*owner, "company_slug").join(web, "company_slug", "left")
         .select(*owner, addresses.root_domain(host).alias("root")))
     entries = whitelist.select("account_id", F.lower(F.trim("value")).alias("value")).distinct()
     mails = senders.select(*owner, F.lower("sender_email").alias("value")).distinct()
     domains = mails.select(*owner, addresses.mail_domain(F.col("value")).alias("value")).distinct()
-    by_value = spread_join(
-        mails.unionByName(domains.filter("value IS NOT NULL")), entries,
-        ["account_id", "value"], "inner", ["vendor_key"])
+    by_value = mails.unionByName(domains.filter("value IS NOT NULL")).join(entries, ["account_id", "value"])
     rooted = entries.filter(~F.contains("value", F.lit("@"))).withColumn(
         "root", addresses.root_domain(F.col("value")))
-    by_root = spread_join(roots, rooted, ["account_id", "root"], "inner", ["vendor_key"])
+    by_root = roots.join(rooted, ["account_id", "root"])
     known = by_value.select(*owner, "value").unionByName(by_root.select(*owner, "value")).distinct()
     options = mails.unionByName(roots.select(*owner, F.col("root").alias("value"))).distinct()
-    addable = spread_join(options, entries, ["account_id", "value"], "left_anti", ["vendor_key"])
+    addable = options.join(entries, ["account_id", "value"], "left_anti")
     return known.withColumn("kind", F.lit("entry")).unionByName(
         addable.select(*owner, "value").withColumn("kind", F.lit("option")))

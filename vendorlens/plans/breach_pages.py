@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import addresses, classify, fines, signals
 from ..operators import enforcement as fine_ops
 from ..operators.breaches import listed
-from ..operators.joins import chunked_lists, spread_join
+from ..operators.joins import chunked_lists
 
 # Credited source of a breach record without one of its own.
 SOURCE_NAME = "haveibeenpwned.com"
@@ -19,7 +19,7 @@ def breach_records(companies: DataFrame, breaches: DataFrame) -> DataFrame:
             (-F.col("pwn_count")).alias("size"), "name", "domain", "title", "breach_date", "pwn_count",
             "attribution", "data_classes", "is_verified", "is_sensitive", "disclosure_url")).alias("b"))
     at = companies.select("slug", F.explode("domains").alias("domain"))
-    best = spread_join(at, per_domain, "domain", "inner", ["slug"]).groupBy("slug").agg(F.min("b").alias("b"))
+    best = at.join(per_domain, "domain").groupBy("slug").agg(F.min("b").alias("b"))
     facts = companies.select(
         "slug", F.col("name").alias("company_name"), "categories", "runs", "address", "web", "webform", "email")
     return best.join(facts, "slug").select(
@@ -43,7 +43,9 @@ def breach_pages(records: DataFrame, enforcement: DataFrame) -> DataFrame:
     regulator = F.coalesce(
         fines.regulator_by_address(F.col("address"), F.col("dpa_country")),
         fines.regulator_by_tld(F.col("domain")))
-    joined = spread_join(records, totals, "slug", "left", ["slug"])
+    joined = (
+        records.join(totals, "slug", "left").withColumn("regulator_country", regulator)
+        .withColumn("_regulator", fines.regulator_struct(F.col("regulator_country"))))
     return joined.select(
         "slug",
         F.concat("title", F.lit(" Data Breach - What to Do")).alias("page_title"),
@@ -53,8 +55,7 @@ def breach_pages(records: DataFrame, enforcement: DataFrame) -> DataFrame:
         "breach_date", "pwn_count", signals.severity(F.col("data_classes")).alias("severity"),
         F.lit(SOURCE_NAME).alias("source_name"), F.concat(F.lit(SOURCE_URL), "name").alias("source_url"),
         F.coalesce("fines", F.lit(0)).alias("fines"), F.coalesce("total_fines", F.lit(0)).alias("total_fines"),
-        regulator.alias("regulator_country"),
-        fines.regulator_struct(regulator)["name"].alias("regulator_name"),
+        "regulator_country", *[F.col(f"_regulator.{f}").alias(f"regulator_{f}") for f in fines.REGULATOR_FACTS],
         F.coalesce("webform", F.concat(F.lit("mailto:"), "email")).alias("contact_url"))
 
 

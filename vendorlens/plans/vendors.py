@@ -12,19 +12,29 @@ FEATURE_FLAGS = [
 FEATURE_COUNTS = ["message_count", "sender_count", "bulk_count"]
 
 
-def build_vendors(messages: DataFrame, companies: DataFrame, status: DataFrame = None) -> DataFrame:
-    """Vendor entity from messages: company by domain, name, company by name, category and risk."""
-    base = matching.initial_vendors(messages.select(*VENDOR), companies)
-    named = base.join(rollups.vendor_names(messages), VENDOR, "left").withColumn(
-        "name", F.when(F.col("company_slug").isNull(), F.coalesce("sender_name", "name")).otherwise(F.col("name"))
-    ).drop("sender_name")
-    matched = matching.match_companies(named, companies)
-    categorized = matching.categorize_unmatched(matching.categorize_matched(matched, companies), messages)
+def build_vendors(messages: DataFrame, companies: DataFrame, status: DataFrame = None, senders: DataFrame = None) -> DataFrame:
+    """Vendor entity from messages: company by domain, name, company by name, category and risk.
+
+    ``senders``: the sender rollup, best read from a stored table. Messages themselves are read for
+    the subjects of vendors without a company only.
+    """
+    senders = rollups.sender_rollup(messages) if senders is None else senders
+    categorized = matching.categorize_unmatched(matched_vendors(senders, companies), messages)
     if status is None:
         return categorized.withColumn("status", F.lit(None).cast("string"))
     return categorized.join(status.select(*VENDOR, "status"), VENDOR, "left")
 
 
+def matched_vendors(senders: DataFrame, companies: DataFrame) -> DataFrame:
+    """Vendors of the sender rollup with company, name, and the category of the company."""
+    names = rollups.names_of(senders)
+    base = matching.initial_vendors(names, companies).join(names, VENDOR)
+    named = base.withColumn(
+        "name", F.when(F.col("company_slug").isNull(), F.coalesce("sender_name", "name")).otherwise(F.col("name"))
+    ).drop("sender_name")
+    return matching.categorize_matched(matching.match_companies(named, companies), companies)
+
+
 def with_features(vendors: DataFrame, features: DataFrame, actions: DataFrame) -> DataFrame:
     """Vendors with their features. A vendor that lost all mail keeps its row, cleared, and the
     actions taken on it still count."""
@@ -36,11 +46,16 @@ def with_features(vendors: DataFrame, features: DataFrame, actions: DataFrame) -
     ).withColumn("is_personal", F.col("vendor_key").isin(PERSONAL_DOMAINS))
 
 
-def feature_vendors(messages, companies, whitelist, actions, breaches, as_of_ms, status=None) -> DataFrame:
+def feature_vendors(messages, companies, whitelist, actions, breaches, as_of_ms, status=None, senders=None) -> DataFrame:
     """Everything the vendor queries and the dashboard need, one row per vendor."""
-    vendors = build_vendors(messages, companies, status)
-    features = rollups.vendor_features(messages, whitelist, actions, as_of_ms)
-    full = with_features(vendors, features, actions)
+    senders = rollups.sender_rollup(messages) if senders is None else senders
+    vendors = build_vendors(messages, companies, status, senders)
+    return with_lists(vendors, senders, whitelist, actions, breaches, as_of_ms)
+
+
+def with_lists(vendors, senders, whitelist, actions, breaches, as_of_ms) -> DataFrame:
+    """Vendors with their features and ``on_breach_list``."""
+    full = with_features(vendors, rollups.features_of(senders, whitelist, actions, as_of_ms), actions)
     if breaches is None:
         return full.withColumn("on_breach_list", F.lit(False))
     return breach_ops.on_breach_list(full, breaches)

@@ -1,12 +1,10 @@
 """Writers."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import utc_month
 from ..operators.joins import chunked_lists
+from .scratch import scratch_path  # noqa: F401  (callers take it from here)
 
 
 def with_month(messages: DataFrame) -> DataFrame:
@@ -41,12 +39,3 @@ def write_json_arrays(df: DataFrame, path: str, by, per_file=1000, item=None, he
     sized = chunked_lists(df.withColumn("_all", F.lit(0)).withColumn("_item", item), ["_all"], "_item", per_file, by)
     text = F.concat(F.lit(head), F.array_join("items", ","), F.lit(tail))
     sized.select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
-
-
-def scratch_path(spark, name: str) -> str:
-    """A new folder below the shared folder of the cluster (``spark.checkpoint.dir``).
-
-    Where that is unset, as in local tests, a temporary folder serves.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vendorlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

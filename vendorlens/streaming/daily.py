@@ -1,30 +1,30 @@
-"""Daily message counts as a stream."""
+"""Daily message counts as a stream.
+
+Mail arrives backwards as well as forwards, so no day is ever closed: each micro-batch writes its own
+counts, and reading adds them up.
+"""
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.dates import utc_day
 
-def daily_counts(messages: DataFrame, delay="30 days") -> DataFrame:
-    """Messages per account and UTC day from a stream with a timestamp ``ts``.
 
-    Days older than the delay behind the newest message are closed; the batch trend counts them.
-    """
-    return (
-        messages.withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day").alias("w"), "account_id").agg(F.count(F.lit(1)).alias("n"))
-        .select("account_id", F.col("w.start").alias("day"), "n"))
+def daily_counts(messages: DataFrame) -> DataFrame:
+    """Messages per account and UTC day of the timestamp ``ts``."""
+    return messages.groupBy("account_id", utc_day(F.unix_millis("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def start_daily(messages: DataFrame, path: str, checkpoint: str, delay="30 days"):
-    """Writes changed days per micro-batch; :func:`current_days` reads the latest of each."""
+def start_daily(messages: DataFrame, path: str, checkpoint: str):
+    """Writes the counts of every micro-batch as a partition of its own; a repeated batch overwrites it."""
     def write(df, n):
-        (df.withColumn("batch", F.lit(n).cast("bigint")).write.mode("overwrite")
+        (daily_counts(df).withColumn("batch", F.lit(n).cast("bigint")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
     return (
-        daily_counts(messages, delay).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        messages.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(write).start())
 
 
 def current_days(spark, path: str) -> DataFrame:
-    return (
-        spark.read.parquet(path).groupBy("account_id", "day").agg(F.max_by("n", "batch").alias("n")))
+    """Messages per account and day over all batches; days without mail have no row."""
+    return spark.read.parquet(path).groupBy("account_id", "day").agg(F.sum("n").alias("n"))

@@ -1,133 +1,239 @@
-"""Change feeds to message and vendor tables, in micro-batches.
+"""Change feeds to a mail store of messages and queryable vendors, in micro-batches.
 
-Both tables are parquet folders with one ``batch`` partition per micro-batch. A batch that is run
-again after a failure overwrites its own partition and nothing else, so the result is the same
-however often executors or the driver are lost. Readers take what is current:
+Every table is a parquet folder partitioned by ``bucket`` (a hash of the account) and ``batch``. A batch that is
+run again after a failure overwrites its own partitions and nothing else, so the result is the same however
+often executors or the driver are lost. Readers take what is current:
 
 * ``messages``: a row lives until a deletion of its id in the same or a later batch;
-* ``deletions``: ids taken back by the feed;
-* ``vendors``: versions of a vendor's rollup, the one of the latest batch counts.
-
-Rows are also partitioned by a hash bucket of the account, so a batch reads only the buckets of
-its own accounts.
+* ``deletions``: ids taken back by the feed or the user;
+* ``marks``: statuses the user gave to messages; the latest since the message came counts;
+* ``senders``, ``subjects``: what a batch adds to the rollup of a sender, and to a vendor's ten earliest subjects;
+* ``resets``: vendors whose rollups a batch wrote anew, after deletions or marks: earlier rows don't count;
+* ``vendors``: versions of a vendor; the one of the latest batch counts;
+* ``known``: what a batch found stored of the ids it names.
+
+A batch looks its ids up once, adds the rollup of its own messages, and reads other messages again only for
+vendors that it deletes or marks mail of. Its cost follows the batch, but for the look-up of two id columns.
 """
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from ..operators import ingest, rollups, state
-from ..operators.joins import spread_join
+from ..operators import ingest, matching, rollups, state, topk
 from ..operators.state import ID, VENDOR
-from ..plans.vendors import build_vendors
+from ..plans.vendors import matched_vendors, with_lists
 from ..sources.sinks import write_table
 
-BUCKETS = 64
+#: Numbers between two batches of a stream, for changes the user makes in between.
+STEP = 1000
 
 LANDING_SCHEMA = """
 account_id string, source string, folder string, id string, received_ms bigint,
 headers array<struct<name:string,value:string>>, from_email string, from_name string, subject string,
 body_text string, body_html string, snippet string, size_bytes bigint, ingest_ms bigint, op string, seq bigint
 """
-MESSAGE_SCHEMA = """
-account_id string, message_id string, sender_email string, sender_name string, subject string, date_ms bigint,
-body_preview string, headers map<string,string>, unsubscribe_url string, unsubscribe_method string,
-size_bytes bigint, vendor_key string, type string, status string, batch bigint, bucket int
-"""
-DELETION_SCHEMA = "account_id string, message_id string, vendor_key string, batch bigint, bucket int"
-VENDOR_SCHEMA = """
-account_id string, vendor_key string, message_count bigint, sender_count bigint, first_seen bigint,
-last_seen bigint, has_marketing boolean, has_account boolean, company_slug string, name string,
-category_id string, risk_level string, batch bigint, bucket int
-"""
+_BATCH = "batch bigint, bucket int"
+_FLAGS = ", ".join(f"{n} boolean" for n in rollups.FLAGS)
+SCHEMAS = {
+    "messages": f"""account_id string, message_id string, sender_email string, sender_name string, subject string, date_ms bigint,
+        body_preview string, headers map<string,string>, unsubscribe_url string, unsubscribe_method string,
+        size_bytes bigint, vendor_key string, type string, status string, {_BATCH}""",
+    "deletions": f"account_id string, message_id string, vendor_key string, {_BATCH}",
+    "marks": f"account_id string, message_id string, vendor_key string, status string, {_BATCH}",
+    "known": f"account_id string, message_id string, vendor_key string, op string, {_BATCH}",
+    "resets": f"account_id string, vendor_key string, {_BATCH}",
+    "senders": f"""account_id string, vendor_key string, sender_email string, message_count bigint, bulk_count bigint, size_bytes bigint,
+        first_seen bigint, last_seen bigint, {_FLAGS}, recent_ms bigint,
+        named struct<bulk:boolean,date_ms:bigint,message_id:string,sender_name:string>, {_BATCH}""",
+    "subjects": f"account_id string, vendor_key string, date_ms bigint, message_id string, subject string, {_BATCH}",
+    "vendors": f"""account_id string, vendor_key string, message_count bigint, sender_count bigint, first_seen bigint, last_seen bigint,
+        bulk_count bigint, {_FLAGS}, company_slug string, name string, category_id string, risk_level string, status string, {_BATCH}""",
+}
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Folders of one mail store, on storage every executor sees."""
+    """Folders of one mail store, on storage every executor sees. ``buckets`` is fixed with the store: about as
+    many as make one bucket's messages a few gigabytes."""
     root: str
+    buckets: int = 64
 
     def path(self, name):
         return f"{self.root}/{name}"
 
+    def bucket(self):
+        return F.pmod(F.xxhash64("account_id"), F.lit(self.buckets)).cast("int")
+
 
-def bucket():
-    return F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int")
+def create(spark: SparkSession, tables: Tables):
+    """Makes the empty tables of a store; those that are there stay as they are."""
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("bucket", "batch").parquet(tables.path(name))
 
 
-def _read(spark: SparkSession, tables: Tables, name, schema) -> DataFrame:
-    """A table, empty before its first batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(tables.path(name))
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", tables.path(name)).parquet(tables.path(name))
+def _read(spark: SparkSession, tables: Tables, name) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).option("basePath", tables.path(name)).parquet(tables.path(name))
 
 
-def _write(df: DataFrame, tables: Tables, name, batch_id):
-    rows = df.withColumn("batch", F.lit(batch_id).cast("bigint")).withColumn("bucket", bucket())
-    write_table(rows, tables.path(name), ["batch", "bucket"])
+def _write(df: DataFrame, tables: Tables, name, number):
+    rows = df.withColumn("batch", F.lit(number).cast("bigint")).withColumn("bucket", tables.bucket())
+    write_table(rows.select(*StructType.fromDDL(SCHEMAS[name]).names), tables.path(name), ["bucket", "batch"])
 
 
 def live_messages(spark: SparkSession, tables: Tables, before: int = None) -> DataFrame:
-    """Current messages, or those current before a batch."""
-    messages = _read(spark, tables, "messages", MESSAGE_SCHEMA)
-    gone = _read(spark, tables, "deletions", DELETION_SCHEMA)
+    """Current messages with their current status, or those current before a batch number of the store."""
+    messages, gone, marks = (_read(spark, tables, n) for n in ("messages", "deletions", "marks"))
     if before is not None:
-        messages, gone = (df.filter(F.col("batch") < before) for df in (messages, gone))
+        messages, gone, marks = (df.filter(F.col("batch") < before) for df in (messages, gone, marks))
+    key = ["bucket", *ID]
+    last = gone.groupBy(*key).agg(F.max("batch").alias("gone"))
+    mark = marks.groupBy(*key).agg(F.max(F.struct("batch", "status")).alias("mark"))
+    return (
+        messages.join(last, key, "left")
+        .filter(F.col("gone").isNull() | (F.col("gone") < F.col("batch"))).drop("gone")
+        .join(mark, key, "left")
+        .withColumn("status", F.when(F.col("mark.batch") >= F.col("batch"), F.col("mark.status")).otherwise(F.col("status")))
+        .drop("mark"))
+
+
+def live_ids(spark: SparkSession, tables: Tables, before: int) -> DataFrame:
+    """Id and vendor of the messages current before a batch number: three columns of the large table."""
+    messages, gone = (_read(spark, tables, n).filter(F.col("batch") < before) for n in ("messages", "deletions"))
     last = gone.groupBy("bucket", *ID).agg(F.max("batch").alias("gone"))
     return (
-        messages.join(last, ["bucket", *ID], "left")
-        .filter(F.col("gone").isNull() | (F.col("gone") < F.col("batch"))).drop("gone"))
+        messages.select("bucket", "batch", *ID, "vendor_key").join(last, ["bucket", *ID], "left")
+        .filter(F.col("gone").isNull() | (F.col("gone") < F.col("batch"))).select("bucket", *ID, "vendor_key"))
 
 
 def current_vendors(spark: SparkSession, tables: Tables) -> DataFrame:
-    """Latest version of every vendor."""
-    versions = _read(spark, tables, "vendors", VENDOR_SCHEMA)
+    """Latest version of every vendor: counts, flags, company, name, category, status."""
+    versions = _read(spark, tables, "vendors")
     names = [c for c in versions.columns if c not in ("batch", "bucket", *VENDOR)]
     return (
-        versions.groupBy(*VENDOR).agg(F.max(F.struct("batch", *names)).alias("v"))
-        .select(*VENDOR, *[F.col(f"v.{n}").alias(n) for n in names]))
-
-
-def refresh_vendors(messages: DataFrame, touched: DataFrame, companies: DataFrame = None) -> DataFrame:
-    """Rollups, names, companies and categories of the touched vendors only. One that has lost all
-    its messages comes back with zero counts."""
-    mine = spread_join(messages, touched, VENDOR, "left_semi", ["message_id"])
-    stats = rollups.sender_rollup(mine).groupBy(*VENDOR).agg(
-        *rollups.counts(), F.bool_or("has_marketing").alias("has_marketing"), F.bool_or("has_account").alias("has_account"))
-    full = rollups.on_stored_vendors(
-        stats, touched, flags=["has_marketing", "has_account"], counts=["message_count", "sender_count"])
-    if companies is None:
-        return full
-    facts = build_vendors(mine, companies).drop("status")
-    return full.join(facts, VENDOR, "left")
-
-
-def apply_batch(batch: DataFrame, batch_id: int, tables: Tables, accounts=None, companies=None):
-    """One micro-batch of an ordered change feed: net changes, first-wins append, deletions, refresh."""
-    spark = batch.sparkSession
-    stored = live_messages(spark, tables, before=batch_id)
+        versions.groupBy("bucket", *VENDOR).agg(F.max_by(F.struct(*names), "batch").alias("v"))
+        .select("bucket", *VENDOR, *[F.col(f"v.{n}").alias(n) for n in names]))
+
+
+def _since_reset(spark, tables, name) -> DataFrame:
+    """Rows of a rollup table that no later reset of their vendor replaces."""
+    resets = _read(spark, tables, "resets").groupBy("bucket", *VENDOR).agg(F.max("batch").alias("reset"))
+    return (
+        _read(spark, tables, name).join(resets, ["bucket", *VENDOR], "left")
+        .filter(F.col("reset").isNull() | (F.col("batch") >= F.col("reset"))).drop("reset"))
+
+
+def current_senders(spark: SparkSession, tables: Tables) -> DataFrame:
+    """The sender rollup of all current messages, without reading messages."""
+    return rollups.merged(_since_reset(spark, tables, "senders"))
+
+
+def vendor_table(spark: SparkSession, tables: Tables, whitelist, actions, breaches, as_of_ms) -> DataFrame:
+    """The streamed vendors with every column that the vendor query, the dashboard and the suggestions ask for."""
+    facts = current_vendors(spark, tables).select(*VENDOR, "company_slug", "name", "category_id", "risk_level", "status")
+    return with_lists(facts, current_senders(spark, tables), whitelist, actions, breaches, as_of_ms)
+
+
+def apply_batch(batch: DataFrame, batch_id: int, tables: Tables, accounts=None, companies=None, since_ms: int = None):
+    """One micro-batch of an ordered change feed: net changes, first-wins append, deletions, refresh.
+
+    ``since_ms`` leaves out added messages that are older by the date that normalization gives them;
+    messages without any date, and all deletions, pass.
+    """
+    spark, number = batch.sparkSession, batch_id * STEP
+    if number == 0:
+        create(spark, tables)
     feed = batch.withColumn("message_id", ingest.message_id())
     net = state.net_changes(feed.select(*ID, "seq", "op"))
-    added = ingest.ingest(batch.filter("op = 'add'"), accounts, keep=["seq"]).join(
-        net.filter("op = 'add'").select(*ID), ID, "left_semi")
-    # At most BUCKETS numbers come to the driver; as literals they prune the partitions of the store.
-    own = F.col("bucket").isin([r["b"] for r in feed.select(bucket().alias("b")).distinct().collect()])
-    near = stored.filter(own)
-    _write(state.new_rows(near, added, "seq"), tables, "messages", batch_id)
-    hit = near.join(net.filter("op = 'delete'").select(*ID), ID, "left_semi")
-    _write(hit.select(*ID, "vendor_key").distinct(), tables, "deletions", batch_id)
-    touched = touched_vendors(spark, tables, batch_id)
-    now = live_messages(spark, tables, before=batch_id + 1).filter(own)
-    _write(refresh_vendors(now, touched, companies), tables, "vendors", batch_id)
-
-
-def touched_vendors(spark: SparkSession, tables: Tables, batch_id: int) -> DataFrame:
-    """Vendors with messages written or deleted by a batch, read back from its partitions."""
-    frames = [
-        _read(spark, tables, name, schema).filter(F.col("batch") == batch_id).select(*VENDOR)
-        for name, schema in (("messages", MESSAGE_SCHEMA), ("deletions", DELETION_SCHEMA))]
-    return frames[0].unionByName(frames[1]).distinct()
+    own = _buckets(feed, tables)
+    stored = live_ids(spark, tables, number).filter(own)
+    _write(stored.join(net, ID), tables, "known", number)
+    known = _of(spark, tables, "known", number)
+    added = ingest.ingest(batch.filter("op = 'add'"), accounts, keep=["seq"])
+    if since_ms is not None:
+        added = added.filter(F.col("date_ms").isNull() | (F.col("date_ms") >= since_ms))
+    added = added.join(net.filter("op = 'add'").select(*ID), ID, "left_semi")
+    fresh = state.first_writes(added, "seq").drop("seq").join(known.select(*ID), ID, "left_anti")
+    _write(fresh, tables, "messages", number)
+    _write(known.filter("op = 'delete'").select(*ID, "vendor_key").distinct(), tables, "deletions", number)
+    _refresh(spark, tables, number, own, companies)
+
+
+def user_changes(spark: SparkSession, tables: Tables, delete=None, marks=None, vendor_status=None) -> int:
+    """Writes what a user did as a batch between those of the feed; returns its number.
+
+    ``delete``: ids (account_id, message_id). ``marks``: ids with ``status`` (null clears it). ``vendor_status``:
+    vendors (account_id, vendor_key) with ``status``. Ids and vendors that are not stored change nothing.
+    """
+    number = next_number(spark, tables)
+    if number % STEP == 0:
+        raise RuntimeError(f"{STEP - 1} changes since the last batch of the feed; let the feed go on or compact the store")
+    frames = [f for f in (delete, marks, vendor_status) if f is not None]
+    accounts = frames[0].select("account_id")
+    for f in frames[1:]:
+        accounts = accounts.unionByName(f.select("account_id"))
+    own = _buckets(accounts, tables)
+    stored = live_ids(spark, tables, number).filter(own)
+    if delete is not None:
+        _write(stored.join(delete.select(*ID).distinct(), ID), tables, "deletions", number)
+    if marks is not None:
+        _write(stored.join(marks.select(*ID, "status"), ID).dropDuplicates(ID), tables, "marks", number)
+    _refresh(spark, tables, number, own, None, vendor_status)
+    return number
+
+
+def _buckets(df: DataFrame, tables: Tables):
+    """A filter on the buckets of the accounts of ``df``. As many numbers as the store has buckets come to
+    the driver at most; as literals they prune the partitions of the store."""
+    return F.col("bucket").isin([r["b"] for r in df.select(tables.bucket().alias("b")).distinct().collect()])
+
+
+def _of(spark, tables, name, number) -> DataFrame:
+    return _read(spark, tables, name).filter(F.col("batch") == number)
+
+
+def _refresh(spark, tables, number, own, companies, vendor_status=None):
+    """Rollups and vendor versions after a batch's messages, deletions and marks are written."""
+    new = _of(spark, tables, "messages", number)
+    cut = _of(spark, tables, "deletions", number).select("bucket", *VENDOR).unionByName(
+        _of(spark, tables, "marks", number).select("bucket", *VENDOR)).distinct()
+    _write(cut.select(*VENDOR), tables, "resets", number)
+    reset = _of(spark, tables, "resets", number).select("bucket", *VENDOR)
+    rows = new
+    if not reset.isEmpty():
+        again = live_messages(spark, tables, before=number + 1).filter(own).join(reset, ["bucket", *VENDOR], "left_semi")
+        rows = new.join(reset, ["bucket", *VENDOR], "left_anti").unionByName(again.select(*new.columns))
+    _write(rollups.sender_rollup(rows), tables, "senders", number)
+    _write(topk.first_subjects(rows), tables, "subjects", number)
+
+    before = current_vendors(spark, tables).filter(own).filter("vendor_key IS NOT NULL")
+    touched = new.select("bucket", *VENDOR).unionByName(reset)
+    if vendor_status is not None:
+        # A status is written for stored vendors only.
+        asked = vendor_status.select(*VENDOR).withColumn("bucket", tables.bucket())
+        touched = touched.unionByName(asked.join(before.select("bucket", *VENDOR), ["bucket", *VENDOR], "left_semi").select("bucket", *VENDOR))
+    touched = touched.distinct()
+    mine = ["bucket", *VENDOR]
+    senders = rollups.merged(_since_reset(spark, tables, "senders").filter(own).join(touched, mine, "left_semi"))
+    stats = senders.groupBy(*VENDOR).agg(
+        *rollups.counts(), F.sum("bulk_count").alias("bulk_count"), *[F.bool_or(n).alias(n) for n in rollups.FLAGS])
+    full = rollups.on_stored_vendors(stats, touched, flags=rollups.FLAGS, counts=["message_count", "sender_count", "bulk_count"])
+    # A vendor that only lost or was marked mail keeps the facts it had.
+    old = before.select(*VENDOR, *[F.col(c).alias(f"old_{c}") for c in ("company_slug", "name", "category_id", "risk_level", "status")])
+    joined = full.join(old, VENDOR, "left")
+    if companies is not None:
+        grown = new.select(*mine).distinct()
+        subjects = topk.joined_subjects(_since_reset(spark, tables, "subjects").filter(own).join(grown, mine, "left_semi"))
+        facts = matching.categorize_by_subjects(matched_vendors(senders.join(grown.select(*VENDOR), VENDOR, "left_semi"), companies), subjects)
+        joined = joined.join(facts.withColumn("fresh", F.lit(True)), VENDOR, "left")
+    else:
+        joined = joined.withColumns({c: F.lit(None).cast("string") for c in ("company_slug", "name", "category_id", "risk_level")}).withColumn("fresh", F.lit(False))
+    facts = {c: F.when(F.col("fresh"), F.col(c)).otherwise(F.col(f"old_{c}")) for c in ("company_slug", "name", "category_id", "risk_level")}
+    versions = joined.withColumns({**facts, "status": F.col("old_status")})
+    if vendor_status is not None:
+        versions = state.set_status(versions, vendor_status.select(*VENDOR, "status"), VENDOR)
+    _write(versions, tables, "vendors", number)
 
 
 def start_ingest(spark: SparkSession, source: str, tables: Tables, checkpoint: str, accounts=None,
@@ -137,25 +243,26 @@ def start_ingest(spark: SparkSession, source: str, tables: Tables, checkpoint: s
     It takes what is there and ends; a scheduler starts it again. The checkpoint, on shared
     storage, keeps the position, so no cursor is stored.
     """
+    create(spark, tables)
     reader = spark.readStream.schema(LANDING_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.parquet(source)
-    if since_ms is not None:
-        rows = rows.filter(F.col("received_ms") >= since_ms)
     return (
-        rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda df, n: apply_batch(df, n, tables, accounts, companies)).start())
+        reader.parquet(source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda df, n: apply_batch(df, n, tables, accounts, companies, since_ms)).start())
 
 
-def next_batch(spark: SparkSession, tables: Tables) -> int:
-    """First batch number not used by the store."""
-    found = [_read(spark, tables, name, schema).agg(F.max("batch")) for name, schema in (
-        ("messages", MESSAGE_SCHEMA), ("deletions", DELETION_SCHEMA), ("vendors", VENDOR_SCHEMA))]
-    used = [frame.first()[0] for frame in found]
+def next_number(spark: SparkSession, tables: Tables) -> int:
+    """First number not used by the store."""
+    used = [_read(spark, tables, name).agg(F.max("batch")).first()[0] for name in ("messages", "deletions", "marks", "resets", "vendors", "known")]
     return max([-1, *[n for n in used if n is not None]]) + 1
 
 
+def next_batch(spark: SparkSession, tables: Tables) -> int:
+    """First batch of a feed that follows everything in the store."""
+    return -(-next_number(spark, tables) // STEP)
+
+
 def replay_since(spark: SparkSession, source: str, tables: Tables, fresh_checkpoint: str, since_ms: int,
                  accounts=None, companies=None):
     """Feed position lost: reads everything since a time again, under a new checkpoint.
@@ -164,11 +271,12 @@ def replay_since(spark: SparkSession, source: str, tables: Tables, fresh_checkpo
     where the store ended; the first one is kept beside the checkpoint, so a replay that is started
     again gives its batches the numbers they had.
     """
+    create(spark, tables)
     offset = _first_batch(spark, tables, fresh_checkpoint + ".first-batch")
-    rows = spark.readStream.schema(LANDING_SCHEMA).parquet(source).filter(F.col("received_ms") >= since_ms)
+    rows = spark.readStream.schema(LANDING_SCHEMA).parquet(source)
     return (
         rows.writeStream.option("checkpointLocation", fresh_checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda df, n: apply_batch(df, offset + n, tables, accounts, companies)).start())
+        .foreachBatch(lambda df, n: apply_batch(df, offset + n, tables, accounts, companies, since_ms)).start())
 
 
 def _first_batch(spark: SparkSession, tables: Tables, path: str) -> int:
@@ -180,9 +288,12 @@ def _first_batch(spark: SparkSession, tables: Tables, path: str) -> int:
 def compact(spark: SparkSession, tables: Tables, target: Tables):
     """The current rows of a store as one batch of a new folder, without deletions and old versions.
 
-    Streams then write to the new folder under their old checkpoint: its batch number is the last
+    Streams then write to the new folder under their old checkpoint: its number is the last
     one used, so the next batch follows it.
     """
-    last = next_batch(spark, tables) - 1
+    create(spark, target)
+    last = next_number(spark, tables) - 1
     _write(live_messages(spark, tables).drop("batch", "bucket"), target, "messages", last)
-    _write(current_vendors(spark, tables), target, "vendors", last)
+    _write(current_vendors(spark, tables).drop("bucket"), target, "vendors", last)
+    _write(current_senders(spark, tables), target, "senders", last)
+    _write(topk.earliest_subjects(_since_reset(spark, tables, "subjects")), target, "subjects", last)

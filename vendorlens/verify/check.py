@@ -6,6 +6,7 @@
 import argparse
 import datetime
 import math
+import os
 import time
 
 import duckdb
@@ -64,6 +65,7 @@ def main():
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     args = parser.parse_args()
     spark = build_session("local[8]", **{
+        "spark.checkpoint.dir": f"file:/tmp/vendorlens-check-{os.getpid()}",
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)

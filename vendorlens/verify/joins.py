@@ -205,7 +205,7 @@ SELECT account_id, vendor_key, company_slug FROM vendors
 WHERE company_slug IN (SELECT concat('shop', c_custkey) FROM customer)"""))
 def keyed_lookup(spark, sf):
     slugs = t.table(spark, sf, "customer").select(F.concat(F.lit("shop"), "c_custkey").alias("company_slug"))
-    return lookup(t.vendors(spark, sf), slugs, "company_slug", ["account_id"]).select(*KEYS, "company_slug")
+    return lookup(t.vendors(spark, sf), slugs, "company_slug").select(*KEYS, "company_slug")
 
 
 @register("touched_vendors", sql("messages", """
@@ -221,11 +221,11 @@ def touched_vendors(spark, sf):
 
 def parsed(spark, sf):
     """The stored table of parsed fines."""
-    return t.stored(spark, sf, "fines", lambda: enforcement.parse_enforcement(t.enforcement_cells(spark, sf)))
+    return t.stored(spark, sf, "fines", lambda: enforcement.parse_enforcement(t.cells(spark, sf)))
 
 
 def resolved(spark, sf):
-    return enforcement.resolve_fines(parsed(spark, sf), t.companies(spark, sf), t.overrides(spark, sf))
+    return enforcement.resolve_fines(parsed(spark, sf), t.fined_companies(spark, sf), t.overrides(spark, sf))
 
 
 @register("enf_company_match", sql("fines companies", """
@@ -233,23 +233,23 @@ SELECT controller_slug, coalesce(exact_slug, prefix_slug, exact_name, prefix_nam
   SELECT DISTINCT controller_slug,
     (SELECT slug FROM companies WHERE slug = controller_slug) AS exact_slug,
     (SELECT arg_max(slug, length(slug)) FROM companies WHERE starts_with(controller_slug, concat(slug, '-'))) AS prefix_slug,
-    (SELECT max(slug) FROM companies WHERE ord % 10 <> 9 AND concat('shop', ord) = controller_slug) AS exact_name,
-    (SELECT arg_max(slug, length(slug)) FROM companies WHERE ord % 10 <> 9 AND length(concat('shop', ord)) >= 8
-      AND starts_with(controller_slug, concat('shop', ord, '-'))) AS prefix_name
+    (SELECT concat('firm', s_suppkey) FROM supplier WHERE concat('handel-', s_suppkey) = controller_slug) AS exact_name,
+    (SELECT concat('firm', s_suppkey) FROM supplier WHERE concat('handel-', s_suppkey, '-retail-group') = controller_slug) AS prefix_name
   FROM fines) WHERE auto_slug IS NOT NULL"""))
 def enf_company_match(spark, sf):
-    return enforcement.resolve_controllers(parsed(spark, sf), t.companies(spark, sf)).select("controller_slug", "auto_slug")
+    return enforcement.resolve_controllers(parsed(spark, sf), t.fined_companies(spark, sf)).select("controller_slug", "auto_slug")
 
 
 @register("enf_override", sql("matched", "SELECT etid, company_slug, tier = 'override' AS overridden FROM matched"))
 def enf_override(spark, sf):
     fines_df = parsed(spark, sf)
-    auto = enforcement.resolve_controllers(fines_df, t.companies(spark, sf))
+    auto = enforcement.resolve_controllers(fines_df, t.fined_companies(spark, sf))
     matched = fines_df.join(auto, "controller_slug", "left")
     return enforcement.apply_overrides(matched, t.overrides(spark, sf)).select("etid", "company_slug", "overridden")
 
 
-@register("enf_confidence", sql("enforcement", "SELECT etid, company_slug, 'high' AS match_confidence FROM enforcement"))
+@register("enf_confidence", sql("enforcement", """
+SELECT etid, company_slug, CASE WHEN tier = 'name' THEN 'medium' ELSE 'high' END AS match_confidence FROM enforcement"""))
 def enf_confidence(spark, sf):
     return resolved(spark, sf).select("etid", "company_slug", "match_confidence")
 

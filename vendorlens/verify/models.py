@@ -43,12 +43,11 @@ SELECT account_id, vendor_key, message_count, computed_risk AS risk_level, rank,
   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY last_seen DESC, vendor_key) AS rank,
     count(*) OVER (PARTITION BY account_id) AS total
   FROM risks WHERE {DEFAULTS} AND (has_account OR on_breach_list) AND (contains(lower(name), 's') OR contains(vendor_key, 's'))
-    AND {DAYS} >= 90 AND {DAYS} <= 365 * 5 AND message_count <= 100 AND {DAYS} >= 730)
+    AND message_count <= 100 AND {DAYS} >= 730)
 WHERE rank <= 25"""))
 def vendor_query(spark, sf):
     q = vq.VendorQuery(filter="accounts", search=" S ", activity="stale", max_messages=100, sort_by="last_seen", limit=25)
-    vendors = t.vendors(spark, sf).filter(vq.activity_predicate("recent", t.AS_OF_MS) | (F.col("last_seen") >= t.AS_OF_MS - 365 * 5 * 86_400_000))
-    return vq.vendor_query(vendors, q, t.AS_OF_MS).select(*KEYS, "message_count", "risk_level", big("rank"), "total")
+    return vq.vendor_query(t.vendors(spark, sf), q, t.AS_OF_MS).select(*KEYS, "message_count", "risk_level", big("rank"), "total")
 
 
 @register("vendor_query_breaches", sql("breach_pairs", f"""
@@ -137,15 +136,25 @@ def vendor_detail(spark, sf):
 
 
 @register("vendor_detail_lists", sql("breach_pairs actions", """
-SELECT account_id, vendor_key, 'all_messages' AS section, least(20, count(*)) AS n FROM messages GROUP BY 1, 2
-UNION ALL SELECT account_id, vendor_key, 'bulk_messages', least(50, count(*)) FROM messages WHERE type = 'bulk' GROUP BY 1, 2
-UNION ALL SELECT account_id, vendor_key, 'account_messages', least(50, count(*)) FROM messages WHERE type IN ('order', 'transactional') GROUP BY 1, 2
-UNION ALL SELECT account_id, vendor_key, 'senders', count(DISTINCT concat(sender_email, '|', sender_name)) FROM messages GROUP BY 1, 2
-UNION ALL SELECT a.account_id, a.vendor_key, 'activity', count(*) FROM actions a JOIN vendors USING (account_id, vendor_key) GROUP BY 1, 2
-UNION ALL SELECT account_id, vendor_key, 'breaches', count(*) FROM breach_pairs GROUP BY 1, 2"""))
+SELECT account_id, vendor_key, 'all_messages' AS section, message_id AS item FROM (SELECT *, row_number() OVER (PARTITION BY account_id, vendor_key
+  ORDER BY date_ms DESC, message_id DESC) AS r FROM messages) WHERE r <= 20
+UNION ALL SELECT account_id, vendor_key, CASE WHEN bulk THEN 'bulk_messages' ELSE 'account_messages' END, message_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_id, vendor_key, bulk ORDER BY date_ms DESC, message_id DESC) AS r
+  FROM (SELECT *, type = 'bulk' AS bulk FROM messages WHERE type <> 'personal')) WHERE r <= 50
+UNION ALL SELECT account_id, vendor_key, 'senders', concat(count(*), '|', sender_email, '|', sender_name) FROM messages GROUP BY account_id, vendor_key, sender_email, sender_name
+UNION ALL SELECT a.account_id, a.vendor_key, 'activity', concat(a.action_id, '|', a.action_type) FROM actions a JOIN vendors USING (account_id, vendor_key)
+UNION ALL SELECT account_id, vendor_key, 'breaches', concat(breach, '|', likely_affected) FROM breach_pairs"""))
 def vendor_detail_lists(spark, sf):
-    sections = detail.detail_sections(t.vendors(spark, sf), t.messages(spark, sf), t.actions(spark, sf), t.breaches(spark, sf))
-    return sections.groupBy(*KEYS, "section").agg(F.sum(F.size("items")).alias("n"))
+    sections = detail.detail_sections(t.vendors(spark, sf), t.messages(spark, sf), t.actions(spark, sf), t.breaches(spark, sf), everyone=True)
+
+    def of(*names):
+        return F.concat_ws("|", *[F.get_json_object("json", f"$.{n}") for n in names])
+
+    item = (
+        F.when(F.col("section") == "senders", of("message_count", "sender_email", "sender_name"))
+        .when(F.col("section") == "activity", of("action_id", "action_type"))
+        .when(F.col("section") == "breaches", of("name", "likely_affected")).otherwise(of("message_id")))
+    return sections.select(*KEYS, "section", F.explode("items").alias("json")).select(*KEYS, "section", item.alias("item"))
 
 
 @register("activity_log", sql("vendors actions", """
@@ -160,6 +169,14 @@ def activity_log(spark, sf):
     return detail.activity_log(t.actions(spark, sf), t.vendors(spark, sf), 30, 10).withColumn("rank", big("rank"))
 
 
+@register("activity_log_deep", sql("vendors actions", """
+SELECT account_id, rank, action_id FROM (SELECT a.*, row_number() OVER (PARTITION BY a.account_id ORDER BY actioned_at DESC, action_id) AS rank
+  FROM actions a JOIN vendors v ON v.account_id = a.account_id AND v.vendor_key = a.vendor_key) WHERE rank > 1200 AND rank <= 1300"""))
+def activity_log_deep(spark, sf):
+    found = detail.activity_log(t.actions(spark, sf), t.vendors(spark, sf), 100, 1200)
+    return found.select("account_id", big("rank"), "action_id")
+
+
 @register("recommended_actions", sql("breach_pairs", f"""
 WITH b AS (SELECT *, row_number() OVER (PARTITION BY account_id, vendor_key ORDER BY date_ms DESC, message_id DESC) AS r
   FROM messages WHERE type = 'bulk'),
@@ -197,6 +214,14 @@ SELECT concat('a', c_custkey % 3) AS account_id, concat('user', c_custkey, '@me.
   concat('- user', c_custkey, '@me.org', CASE WHEN c_custkey % 2 = 0 THEN concat(chr(10), '- ', CASE language WHEN 'de' THEN 'Kontoreferenz'
     WHEN 'fr' THEN 'Référence de compte' WHEN 'es' THEN 'Referencia de cuenta' WHEN 'nl' THEN 'Accountreferentie' ELSE 'Account reference' END,
     ': R', c_custkey) ELSE '' END) AS reference,
+  CASE language WHEN 'de' THEN 'Bitte löschen Sie alle Daten zu meiner Person und informieren Sie deren Empfänger.'
+    WHEN 'fr' THEN 'Merci d''effacer toutes mes données et d''en avertir leurs destinataires.'
+    WHEN 'es' THEN 'Borren todos mis datos y avisen a quienes los hayan recibido.'
+    WHEN 'nl' THEN 'Wis alstublieft alle gegevens over mij en laat ontvangers hetzelfde doen.'
+    ELSE 'Please erase every record you keep about me and tell recipients of my data to do the same.' END AS wish,
+  CASE language WHEN 'de' THEN 'Ich erwarte Ihre Antwort innerhalb von 30 Tagen.' WHEN 'fr' THEN 'J''attends votre réponse sous 30 jours.'
+    WHEN 'es' THEN 'Espero su respuesta en 30 días.' WHEN 'nl' THEN 'Ik verwacht uw antwoord binnen 30 dagen.'
+    ELSE 'I expect your answer within 30 days.' END AS closing,
   CASE WHEN c_custkey % 3 = 0 THEN concat('Name ', c_custkey) ELSE concat('user', c_custkey, '@me.org') END AS signed
 FROM customer JOIN (SELECT *, {LANGUAGE.replace("WHEN ord % 7 = 0 THEN 'it' ", "")} AS language FROM companies) ON ord = c_custkey % 150"""))
 def request_batch(spark, sf):
@@ -210,4 +235,4 @@ def request_batch(spark, sf):
     parts = F.split("body", "\n\n")
     return letters.select(
         "account_id", "user_email", "company_slug", "language", "recipient", "subject",
-        parts[1].alias("reference"), parts[3].alias("signed"))
+        parts[0].alias("wish"), parts[1].alias("reference"), parts[2].alias("closing"), parts[3].alias("signed"))

@@ -76,7 +76,7 @@ SELECT etid, country, authority, decision_date, fine_eur, controller_slug, sourc
 def src_enforcement(spark, sf):
     path = sinks.scratch_path(spark, "fines")
     sinks.write_json_arrays(
-        t.enforcement_cells(spark, sf), path, ["row"], item=F.col("row"), head='{"data":[', tail="]}")
+        t.cells(spark, sf), path, ["row"], item=F.col("row"), head='{"data":[', tail="]}")
     parsed = enforcement.parse_enforcement(readers.read_enforcement(spark, path))
     return parsed.select("etid", "country", "authority", "decision_date", "fine_eur", "controller_slug", "source_url", "description")
 
@@ -125,13 +125,12 @@ def src_messages_headers(spark, sf):
 
 @register("src_backfill", sql("messages", f"""
 WITH g AS (SELECT *, ({t.AS_OF_MS} - 1 - date_ms) // 7776000000 AS rg FROM messages
-    WHERE date_ms < {t.AS_OF_MS} AND date_ms >= 788918400000 AND (account_id <> 'a1' OR date_ms < 1600000000000 OR date_ms > 1650000000000)),
+    WHERE date_ms < {t.AS_OF_MS} AND date_ms >= 788918400000),
 f AS (SELECT account_id, rg, rg - coalesce(lag(rg) OVER (PARTITION BY account_id ORDER BY rg), -1) - 1 AS gap FROM (SELECT DISTINCT account_id, rg FROM g))
 SELECT account_id, message_id, rg AS range FROM g WHERE rg < coalesce((SELECT min(rg) FROM f WHERE f.account_id = g.account_id AND gap >= 3), 100000)""").replace(
     ") WITH g AS", "), g AS", 1))
 def src_backfill(spark, sf):
-    holey = t.messages(spark, sf).filter("account_id <> 'a1' OR date_ms < 1600000000000 OR date_ms > 1650000000000")
-    return stats.backfill_ranges(holey, t.AS_OF_MS, 788_918_400_000).select("account_id", "message_id", "range")
+    return stats.backfill_ranges(t.messages(spark, sf), t.AS_OF_MS, 788_918_400_000).select("account_id", "message_id", "range")
 
 
 def docs(spark, sf, prior=None):

@@ -128,6 +128,6 @@ UNION ALL SELECT account_id, 'vendors', count(*) FROM vendors WHERE account_id <
 def account_reset(spark, sf):
     gone = t.accounts(spark, sf).filter("account_id = 'a1'")
     left = state.reset_accounts(
-        {"messages": t.messages(spark, sf), "vendors": t.vendors(spark, sf)}, gone, {"messages": ["message_id"], "vendors": ["vendor_key"]})
+        {"messages": t.messages(spark, sf), "vendors": t.vendors(spark, sf)}, gone)
     counts = [df.groupBy("account_id").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)) for name, df in left.items()]
     return counts[0].unionByName(counts[1])

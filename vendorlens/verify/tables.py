@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import ingest
+from ..operators import ingest, rollups
 from ..plans import vendors as vendor_plans
-from ..sources.sinks import scratch_path, write_table
+from ..sources.scratch import scratch_path
 
 AS_OF_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z
 AS_OF_DAY = "2024-01-31"
@@ -41,13 +41,6 @@ def events(spark, sf):
     return table(spark, sf, "events")
 
 
-def spread(df: DataFrame, key) -> DataFrame:
-    """A small input is one file and so one task; row work that is heavy on the processor is spread
-    over all cores. An input of many splits stays as it is: it must not be shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def pick(values, index):
     """The value at ``index % len(values)``; ``{id}`` in it becomes the index."""
     at = F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)
@@ -81,6 +74,13 @@ def raw_messages(spark, sf) -> DataFrame:
     return stored(spark, sf, "landing", lambda: landing_rows(spark, sf))
 
 
+def with_bodies(rows, spark, sf, event="event_id"):
+    """Mail with the number of a document has its whole text as body, mail with the number of a page its whole HTML."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias(event), F.col("text").alias("body_text"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias(event), F.col("html").alias("body_html"))
+    return rows.join(texts, event, "left").join(pages, event, "left")
+
+
 def landing_rows(spark, sf) -> DataFrame:
     """Landing rows in the web-interface shape."""
     event, n = F.col("event_type"), F.col("event_id")
@@ -96,13 +96,12 @@ def landing_rows(spark, sf) -> DataFrame:
         .when(event == "error", F.array(header("Auto-Submitted", "auto-replied"), header("List-Id", "<l>")))
         .when((event == "view") & (n % 4 == 0), F.array(header("X-Mailgun-Tag", "t")))
         .otherwise(none))
-    return spread(events(spark, sf), "event_id").withColumn("_sender", F.expr(SENDER)).select(
+    return with_bodies(events(spark, sf), spark, sf).withColumn("_sender", F.expr(SENDER)).select(
         account().alias("account_id"), F.lit("gmail").alias("source"), F.lit("inbox").alias("folder"),
         F.concat(F.lit("m"), n).alias("id"), date_ms().alias("received_ms"),
         F.concat(F.array(header("From", sender), header("Subject", F.expr(SUBJECT))), special).alias("headers"),
         F.lit(None).cast("string").alias("from_email"), F.lit(None).cast("string").alias("from_name"),
-        F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("body_text"),
-        F.lit(None).cast("string").alias("body_html"), F.concat(F.lit("Preview "), n).alias("snippet"),
+        F.lit(None).cast("string").alias("subject"), "body_text", "body_html", F.concat(F.lit("Preview "), n).alias("snippet"),
         size_bytes().alias("size_bytes"), F.lit(AS_OF_MS).alias("ingest_ms"))
 
 
@@ -112,6 +111,7 @@ def with_status(messages):
 
 
 _STORED = {}
+FILE_ROWS = 10_000
 
 
 def stored(spark, sf, name, build) -> DataFrame:
@@ -123,7 +123,8 @@ def stored(spark, sf, name, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
-        write_table(build(), path)
+        # Files of a bounded number of rows: a table that one task writes is read by many.
+        build().write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
@@ -172,6 +173,14 @@ def companies(spark, sf) -> DataFrame:
         F.when(k % 3 == 0, "verified").when(k % 3 == 1, "tested").alias("quality"))
 
 
+def fined_companies(spark, sf) -> DataFrame:
+    """The companies, and firms whose slug says nothing about their name."""
+    k = F.col("s_suppkey")
+    firms = table(spark, sf, "supplier").select(
+        (k + 1_000_000_000).alias("ord"), F.concat(F.lit("firm"), k).alias("slug"), F.concat(F.lit("Handel "), k, F.lit(" Ltd.")).alias("name"))
+    return companies(spark, sf).select("ord", "slug", "name").unionByName(firms)
+
+
 def breaches(spark, sf) -> DataFrame:
     k = F.col("p_partkey")
     day = F.date_format(F.date_add(F.lit("2016-01-01").cast("date"), F.col("p_size") * 60), "yyyy-MM-dd")
@@ -189,19 +198,25 @@ def breaches(spark, sf) -> DataFrame:
         F.lit(None).cast("string").alias("disclosure_url"))
 
 
+def cells(spark, sf) -> DataFrame:
+    """The stored raw rows of the fine register."""
+    return stored(spark, sf, "cells", lambda: enforcement_cells(spark, sf))
+
+
 def enforcement_cells(spark, sf) -> DataFrame:
+    """Raw rows of fines. Some controllers are named as no company's slug, but as a company's name or the start of it."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     whole = F.format_number(F.floor("o_totalprice"), 0)
     cells = [
         F.lit(""), F.concat(F.lit("<b>ETid-"), k, F.lit("</b>")),
-        F.concat(F.lit("<img src='f.png' /><br />"), pick(["AUSTRIA", "THE NETHERLANDS", "UNKNOWNIA"], c)),
+        F.concat(F.lit("<img src='f.png' /><br />"), pick(["AUSTRIA", "THE NETHERLANDS", "UNKNOWNIA", "CZECH REPUBLIC"], c)),
         F.concat(F.lit("Authority "), c % 5),
         F.date_format("o_orderdate", "yyyy-MM-dd"),
         F.when(k % 7 == 0, F.lit("Unknown")).otherwise(F.concat(F.lit("EUR "), whole)),
-        F.concat(F.lit("<b>Shop"), c % 150, F.lit("</b>"), pick([" Ltd.", " Europe S.A.", " Retail Group"], k)),
+        F.concat(F.when(k % 5 == 4, "<b>Handel ").otherwise("<b>Shop"), c % 150, F.lit("</b>"), pick([" Ltd.", " Europe S.A.", " Retail Group"], k)),
         F.lit("Retail"), F.lit("Art. 5"), F.lit("Basis"), F.concat(F.lit("<p>Case "), k, F.lit("</p>")),
         F.concat(F.lit("<a href='https://d.example/"), k, F.lit("'>link</a>")), F.lit("")]
-    return spread(table(spark, sf, "orders"), "o_orderkey").select(F.array(*cells).alias("row"))
+    return table(spark, sf, "orders").select(F.array(*cells).alias("row"))
 
 
 def overrides(spark, sf) -> DataFrame:
@@ -234,11 +249,16 @@ def vendor_status(spark, sf) -> DataFrame:
         "status IS NOT NULL AND vendor_key <> 'gmail.com'").distinct()
 
 
+def senders(spark, sf) -> DataFrame:
+    """The stored sender rollup."""
+    return stored(spark, sf, "senders", lambda: rollups.sender_rollup(messages(spark, sf)))
+
+
 def built_vendors(spark, sf) -> DataFrame:
     """Vendors straight from the messages."""
     return vendor_plans.feature_vendors(
         messages(spark, sf), companies(spark, sf), whitelist(spark, sf), actions(spark, sf),
-        breaches(spark, sf), AS_OF_MS, vendor_status(spark, sf))
+        breaches(spark, sf), AS_OF_MS, vendor_status(spark, sf), senders(spark, sf))
 
 
 def vendors(spark, sf) -> DataFrame:

@@ -98,19 +98,42 @@ def company_search(spark, sf):
     query = F.when(k % 4 == 0, F.concat(F.lit(" Shop"), k)).when(k % 4 == 1, F.concat(F.lit("P"), k % 10, F.lit(".co"))).when(
         k % 4 == 2, F.concat(F.lit("hop"), k % 10)).otherwise("x")
     queries = t.table(spark, sf, "customer").select(query.alias("query"))
-    return matching.company_search(queries, t.companies(spark, sf), 5).withColumn("rank", big("rank"))
+    return matching.company_search(queries, t.companies(spark, sf), 5, scan=20).withColumn("rank", big("rank"))
 
 
 @register("breach_index", sql("records", f"""
 SELECT slug, title, breach_date, pwn_count, array_to_string(data_classes, ',') AS data_classes, severity,
-  {LABEL_SQL.format('categories[1]')} AS category_label FROM records WHERE breach_date >= '2020-01-01'"""))
+  {LABEL_SQL.format('categories[1]')} AS category_label, CASE categories[1] WHEN 'shopping' THEN '🛒' WHEN 'social' THEN '💬'
+    WHEN 'entertainment' THEN '🎮' END AS category_icon, CASE WHEN webform IS NOT NULL THEN concat('/logos/', slug, '.png') END AS logo_path
+FROM records WHERE breach_date >= '2020-01-01'"""))
 def breach_index(spark, sf):
-    return breach_ops.breach_index(pages.breach_records(t.companies(spark, sf), t.breaches(spark, sf)), "2020-01-01")
-
+    records = pages.breach_records(t.companies(spark, sf), t.breaches(spark, sf)).withColumn(
+        "logo_path", F.when(F.col("webform").isNotNull(), F.concat(F.lit("/logos/"), "slug", F.lit(".png"))))
+    return breach_ops.breach_index(records, "2020-01-01")
+
+
+REGULATORS = """SELECT * FROM (VALUES
+  ('Germany', 'BfDI + 16 state DPAs', 'poststelle@bfdi.bund.de', '+49 228 997799-0', 'Graurheindorfer Str. 153, 53117 Bonn',
+    'https://www.bfdi.bund.de/EN/Buerger/Inhalte/Allgemein/Datenschutz/BeschwerdeBeiDatenschutzbehoerden.html', 'https://www.bfdi.bund.de', false,
+    'For private companies, file with the state DPA where the company is headquartered, not the federal BfDI. Forms are German only.'),
+  ('France', 'Commission Nationale de l''Informatique et des Libertés (CNIL)', NULL, '+33 1 53 73 22 22', '3 Place de Fontenoy, 75007 Paris',
+    'https://www.cnil.fr/fr/plaintes', 'https://www.cnil.fr/en/', false, 'Complaint process is French only. No English submission accepted.'),
+  ('Spain', 'Agencia Española de Protección de Datos (AEPD)', 'uits@aepd.es', '900 293 183 (freephone within Spain)', 'C/ Jorge Juan 6, 28001 Madrid',
+    'https://sedeaepd.gob.es/sede-electronica-web/vistas/infoSede/tramitesCiudadanoReclamaciones.jsf', 'https://www.aepd.es/en', false,
+    'Online filing requires a Spanish digital certificate (Cl@ve). Non-residents should file by post in Spanish.'),
+  ('Austria', 'Datenschutzbehörde (DSB)', 'dsb@dsb.gv.at', '+43 1 52 152-0', 'Barichgasse 40-42, 1030 Vienna',
+    'https://dsb.gv.at/eingabe-an-die-dsb/formulare', 'https://data-protection-authority.gv.at', true, NULL),
+  ('Netherlands', 'Autoriteit Persoonsgegevens (AP)', 'info@autoriteitpersoonsgegevens.nl', '+31 70 888 8500', 'Postbus 93374, 2509 AJ Den Haag',
+    'https://klachten.autoriteitpersoonsgegevens.nl/', 'https://www.autoriteitpersoonsgegevens.nl/en', true, NULL),
+  ('United Kingdom', 'Information Commissioner''s Office (ICO)', 'icocasework@ico.org.uk', '+44 303 123 1113', 'Wycliffe House, Water Lane, Wilmslow SK9 5AF',
+    'https://ico.org.uk/make-a-complaint/data-protection-complaints/', 'https://ico.org.uk', true,
+    'Post-Brexit: the UK operates under UK GDPR, not EU GDPR. Substantively similar but legally separate.')
+) v(regulated, regulator_name, regulator_email, regulator_phone, regulator_address, regulator_complaint_url, regulator_website,
+  regulator_english_ok, regulator_warning)"""
 
 PAGES_SQL = f"""
 WITH f AS (SELECT company_slug, count(*) AS fines, CAST(sum(coalesce(fine_eur, 0)) AS BIGINT) AS total,
-  first(dpa_country ORDER BY decision_date DESC, etid DESC) AS dpa FROM enforcement GROUP BY 1),
+  nullif(first(dpa_country ORDER BY decision_date DESC, etid DESC), 'Czech Republic') AS dpa FROM enforcement GROUP BY 1),
 c AS (SELECT r.*, coalesce(fines, 0) AS fines, coalesce(total, 0) AS total_fines, CAST(split_part(replace(r.slug, '-', ''), 'p', 2) AS VARCHAR) AS x,
   coalesce(dpa, CASE WHEN address LIKE '%Germany.' THEN 'Germany' WHEN address LIKE '%France' THEN 'France'
     WHEN address LIKE 'Calle%' THEN 'Spain' WHEN domain LIKE '%.uk' THEN 'United Kingdom' END) AS regulator_country
@@ -120,12 +143,9 @@ SELECT slug, concat(title, ' Data Breach - What to Do') AS page_title,
     '). Find out what data was leaked and what steps to take now.') AS page_description,
   company_name, web AS website, domain, {LABEL_SQL.format('categories[1]')} AS category_label, breach_date, pwn_count, severity,
   'haveibeenpwned.com' AS source_name, concat('https://haveibeenpwned.com/Breach/', name) AS source_url, fines, total_fines,
-  regulator_country, CASE regulator_country WHEN 'Germany' THEN 'BfDI + 16 state DPAs'
-    WHEN 'France' THEN 'Commission Nationale de l''Informatique et des Libertés (CNIL)'
-    WHEN 'Spain' THEN 'Agencia Española de Protección de Datos (AEPD)' WHEN 'Austria' THEN 'Datenschutzbehörde (DSB)'
-    WHEN 'Netherlands' THEN 'Autoriteit Persoonsgegevens (AP)' WHEN 'United Kingdom' THEN 'Information Commissioner''s Office (ICO)'
-    END AS regulator_name,
-  coalesce(webform, concat('mailto:', nullif(email, ''))) AS contact_url FROM c"""
+  regulator_country, regulator_name, regulator_email, regulator_phone, regulator_address, regulator_complaint_url, regulator_website,
+  regulator_english_ok, regulator_warning,
+  coalesce(webform, concat('mailto:', nullif(email, ''))) AS contact_url FROM c LEFT JOIN ({REGULATORS}) ON regulated = regulator_country"""
 
 
 @register("breach_page", sql("records enforcement", PAGES_SQL).replace(") \nWITH f AS", "), f AS").replace(") WITH f AS", "), f AS", 1).replace(
