@@ -23,9 +23,11 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import byte_texts, partitions, shared_path
+from ..sources.scratch import scratch_path
+from .common import byte_texts, partitions
 
 #: The normalizer and word pattern this operator knows: tokenizer files with others are refused.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -94,45 +96,51 @@ class _Block:
         self.bytes += size
 
     def rows(self, slices: int):
-        """The block's positions as packed bytes, and its words by slice, in the order of their numbers."""
-        deal = [[] for _ in range(slices)]
-        for word in self.numbers:
-            deal[zlib.crc32(word.encode()) % slices].append(word)
-        counts = np.array([len(s) for s in self.streams], dtype="<i8")
+        """The block's positions as packed bytes, and its words by slice. Words are numbered by falling count."""
         every = np.concatenate(self.streams) if self.streams else np.zeros(0, "<u4")
-        # The number of a word after dealing: slices follow each other.
-        moved = np.empty(len(self.numbers), dtype="<u4")
-        moved[[self.numbers[w] for words in deal for w in words]] = np.arange(len(self.numbers), dtype="<u4")
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return {"doc_ids": self.ids, "counts": counts.tolist(), "positions": pack(_planes(every)), "moved": pack(_planes(moved)),
-                "words": [{"slice": s, "text": " ".join(words)} for s, words in enumerate(deal) if words]}
+        order = np.argsort(-np.bincount(every, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order), dtype="<u4")
+        words = list(self.numbers)
+        words = [words[i] for i in order]
+        slice_of = [zlib.crc32(w.encode()) % slices for w in words]
+        deal = {}
+        for word, s in zip(words, slice_of):
+            deal.setdefault(s, []).append(word)
+        return {"doc_ids": self.ids, "counts": [len(s) for s in self.streams], "positions": _pack(rank[every]), "slice_of": _pack(np.array(slice_of)),
+                "words": [{"slice": s, "text": _compress(" ".join(w).encode())} for s, w in deal.items()]}
+
+
+def _dealt(slice_of: np.ndarray) -> np.ndarray:
+    """Where each word comes to stand when the slices follow each other, each in the order of its words' numbers."""
+    out = np.empty(len(slice_of), np.int64)
+    out[np.argsort(slice_of, kind="stable")] = np.arange(len(slice_of))
+    return out
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones, and so on: the high ones are nearly all zero and compress well."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _compress(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _pack(numbers: np.ndarray) -> bytes:
+    """Compressed: the first bytes of all numbers, then the second ones, and so on; the high ones are nearly all zero."""
+    return _compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return _numbers(zstandard.ZstdDecompressor().decompress(data))
-
-
-def _id_type(sql: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[sql]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _blocks(docs: DataFrame, spec, slices: int, block_bytes: int, id_sql: str) -> DataFrame:
+def _blocks(docs: DataFrame, spec, slices: int, block_bytes: int) -> DataFrame:
     """One row per block. The number of a block is its task's partition and its place there."""
-    schema = (f"block long, doc_ids array<{id_sql}>, counts array<bigint>, positions binary, moved binary, "
-              "words array<struct<slice:int,text:string>>")
+    id_type = docs.schema["doc_id"].dataType
+    schema = (f"block long, doc_ids array<{id_type.simpleString()}>, counts array<bigint>, positions binary, slice_of binary, "
+              "words array<struct<slice:int,text:binary>>")
     arrow = pa.schema([
-        ("block", pa.int64()), ("doc_ids", pa.list_(_id_type(id_sql))), ("counts", pa.list_(pa.int64())),
-        ("positions", pa.binary()), ("moved", pa.binary()),
-        ("words", pa.list_(pa.struct([("slice", pa.int32()), ("text", pa.string())])))])
+        ("block", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(id_type))), ("counts", pa.list_(pa.int64())),
+        ("positions", pa.binary()), ("slice_of", pa.binary()),
+        ("words", pa.list_(pa.struct([("slice", pa.int32()), ("text", pa.binary())])))])
 
     def run(batches):
         split, block, number = _splitter(spec.value).words, _Block(), TaskContext.get().partitionId() << 32
@@ -155,13 +163,13 @@ def _encoded(words: DataFrame, spec) -> DataFrame:
         for batch in batches:
             sizes, flat = [], []
             for text in batch.column("text").to_pylist():
-                found = text.split(" ")
+                found = zstandard.ZstdDecompressor().decompress(text).decode().split(" ")
                 new = [w for w in found if w not in known]
                 for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
                     known[w] = np.array(e.ids, dtype="<u4")
                 ids = [known[w] for w in found]
-                sizes.append(_planes(np.array([len(x) for x in ids], dtype="<u4")))
-                flat.append(_planes(np.concatenate(ids)))
+                sizes.append(_pack(np.array([len(x) for x in ids])))
+                flat.append(_pack(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("slice"), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())],
                 names=["block", "slice", "sizes", "ids"])
@@ -184,8 +192,8 @@ def _word_table(parts: list):
     """Ids of every word of a block, from its slices in order: (start of each word in flat, flat ids)."""
     if not parts:
         return np.zeros(1, np.int64), np.zeros(0, "<u4")
-    sizes = np.concatenate([_numbers(s) for s, _ in parts])
-    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate([_numbers(i) for _, i in parts])
+    sizes = np.concatenate([_unpack(s) for s, _ in parts])
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate([_unpack(i) for _, i in parts])
 
 
 def _digests(words, names, decoded):
@@ -209,17 +217,17 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     _splitter(content)  # refuses a file it doesn't know before any job starts
     spec, table = spark.sparkContext.broadcast(content), spark.sparkContext.broadcast(pieces(path))
     slices, wanted = partitions(spark), docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_sql = wanted.schema["doc_id"].dataType.simpleString()
+    id_type = wanted.schema["doc_id"].dataType
 
     # Written, so that the numbers of blocks and the positions in them can't change when a task runs again.
-    folder, made = shared_path(spark, "bpe-blocks"), _blocks(wanted, spec, slices, block_bytes, id_sql)
+    folder, made = scratch_path(spark, "bpe-blocks"), _blocks(wanted, spec, slices, block_bytes)
     made.write.option("compression", "zstd").parquet(folder)
     blocks = spark.read.schema(made.schema).parquet(folder)
     words = (blocks.select("block", F.explode("words").alias("w")).select("block", "w.slice", "w.text")
              .repartition(slices, "slice"))
     returned = _encoded(words, spec)
 
-    fields, arrow = ["doc_id " + id_sql, "n_tokens long"], [("doc_id", _id_type(id_sql)), ("n_tokens", pa.int64())]
+    fields, arrow = ["doc_id " + id_type.simpleString(), "n_tokens long"], [("doc_id", to_arrow_type(id_type)), ("n_tokens", pa.int64())]
     if "ids" in outputs:
         fields, arrow = [*fields, "ids array<int>"], [*arrow, ("ids", pa.list_(pa.int32()))]
     if "decoded" in outputs:
@@ -242,7 +250,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             text_of = [piece[i] for i in all_ids]
             decoded = [" ".join(text_of[a:b]) for a, b in zip(bounds, bounds[1:])]
         for row in left.to_pylist():
-            places, moved = _unpack(row["positions"]), _unpack(row["moved"])
+            places, moved = _unpack(row["positions"]), _dealt(_unpack(row["slice_of"]))
             at = 0
             for doc, count in zip(row["doc_ids"], row["counts"]):
                 mine = moved[places[at:at + count]]
@@ -261,7 +269,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                         columns[name].append(value)
         return pa.table([pa.array(columns[f.name], f.type) for f in out_schema], schema=out_schema)
 
-    return (blocks.select("block", "doc_ids", "counts", "positions", "moved").groupBy("block")
+    return (blocks.select("block", "doc_ids", "counts", "positions", "slice_of").groupBy("block")
             .cogroup(returned.groupBy("block")).applyInArrow(join, ", ".join(fields)))
 
 
