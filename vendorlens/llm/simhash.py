@@ -109,5 +109,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, max_bits: i
     least = (reached.join(groups.withColumnRenamed("fp", "node"), "node")
              .groupBy("component").agg(F.min("first").alias("least")))
     moved = reached.join(least, "component").select(F.col("node").alias("fp"), "least")
-    owner = groups.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Stored, so that both sides of the last join are plain exchanges, whose large partitions AQE can split.
+    owner = stored(groups.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "fingerprint-owners")
     return fps.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
