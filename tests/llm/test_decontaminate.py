@@ -72,6 +72,11 @@ def test_removal(spark, benchmark, odd, no_documents):
     assert d.remove_contamination(no_documents, benchmark).count() == 0
 
 
-def test_large_benchmarks_are_refused(benchmark):
-    with pytest.raises(ValueError):
-        d.automaton(benchmark, max_words=1)
+@pytest.mark.parametrize("max_bytes", [1, 40])
+def test_a_large_benchmark_comes_in_parts(odd, benchmark, max_bytes):
+    """As many automata as parts, one pass each; the result is that of one."""
+    assert sum(1 for _ in d.automata(benchmark, max_bytes=max_bytes)) > 1
+    parts = d.contamination(odd, benchmark, max_bytes=max_bytes).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, d.contamination(odd, benchmark).collect()))
+    kept = d.remove_contamination(odd, benchmark, max_bytes=max_bytes).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, d.remove_contamination(odd, benchmark).collect()))

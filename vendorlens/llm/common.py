@@ -1,7 +1,7 @@
 """What the operators of this folder share: the shared folder, stored tables, text as bytes."""
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.scratch import scratch_path
 
@@ -29,12 +29,41 @@ def id_crc(doc_id) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+def bounded_sample(keys: DataFrame, group: str, per_group: int, most_groups: int = 1000) -> DataFrame:
+    """``id`` and ``group`` of at most ``per_group`` ids of each group, chosen by hash of the id.
+
+    So the choice doesn't depend on the order or partitions of the input. A count of each group gives the range of hashes
+    that holds about twice the wanted ids; only those are shuffled and ranked, so a group of a third of all rows is cut where it is
+    read. Groups are the classes of a model: more than ``most_groups`` are refused, since a model holds them all.
+    """
+    space = 1 << 30
+    counts = keys.groupBy(group).count().limit(most_groups + 1).collect()
+    if len(counts) > most_groups:
+        raise ValueError(f"more than {most_groups} different values of {group}")
+    if not counts:
+        return keys.select("id", group).limit(0)
+    ends = F.create_map(*[F.lit(x) for g, n in counts for x in (g, min(space, 2 * per_group * space // n))])
+    at = F.pmod(F.xxhash64("id"), F.lit(space))
+    near = keys.filter(at < ends[F.col(group)]).select("id", group).distinct().withColumn("at", at)
+    order = Window.partitionBy(group).orderBy("at", "id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_group).select("id", group)
+
+
 def byte_texts(column: pa.Array) -> list:
     """The values of a string column as UTF-8 bytes, null as None."""
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def with_text(batch: pa.RecordBatch, column: str, texts: pa.Array) -> pa.RecordBatch:
-    """The batch with another text column."""
-    at = batch.schema.get_field_index(column)
-    return batch.set_column(at, batch.schema.field(at), texts.cast(batch.schema.field(at).type))
+def with_texts(batch: pa.RecordBatch, text: str, n_chars: str, values: list, changed: dict) -> pa.RecordBatch:
+    """The batch with ``values`` (bytes) as its texts, and the lengths of the ``changed`` ones (place to bytes) in ``n_chars``, if it has that column."""
+    if not changed:
+        return batch
+    at = batch.schema.get_field_index(text)
+    batch = batch.set_column(at, batch.schema.field(at), pa.array(values, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type))
+    at = batch.schema.get_field_index(n_chars)
+    if at >= 0:
+        counts = batch.column(at).to_pylist()
+        for i, data in changed.items():
+            counts[i] = len(data.decode())
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(counts, batch.schema.field(at).type))
+    return batch

@@ -5,13 +5,12 @@ through it; after each word the state and length tell the longest run of words,
 in some item. Where that run holds a whole window of an item, its words are hit.
 """
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import byte_texts, with_text
+from .common import byte_texts, stored, with_texts
 
 #: Lower-cases A-Z, keeps digits, a-z and bytes from 0x80 on, and makes everything else a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -144,45 +143,87 @@ def _cover(spans: list, first: int, end: int):
     spans.append((first, end))
 
 
-def automaton(benchmark: DataFrame, window: int = 10, max_words: int = 5_000_000, item_id: str = "item_id", text: str = "text") -> SuffixAutomaton:
-    """The automaton of a benchmark table, built on the driver and broadcast to the tasks.
+def automata(benchmark: DataFrame, window: int = 10, max_bytes: int = 40 << 20, item_id: str = "item_id", text: str = "text"):
+    """Yields the automata of a benchmark table, built on the driver one after another, each to be broadcast to the tasks.
 
-    Its size is checked first: test items are a curated list that doesn't grow with the corpus. Above ``max_words``
-    words an error says so; then decontaminate against parts of the benchmark, one after another.
+    Test items are a curated list that doesn't grow with the corpus, so there is one as a rule. A table of more than ``max_bytes``
+    of text is cut by item hash into parts of about that size.
     """
-    rough = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    if rough > 8 * max_words:
-        raise ValueError(f"the benchmark has {rough} bytes, more than one automaton should hold; pass it in parts")
-    rows = benchmark.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), text).collect()
-    return SuffixAutomaton(sorted((r[0], tuple(words_of(r[1].encode()))) for r in rows), window)
+    items = benchmark.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // max_bytes))
+    for k in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).collect()
+        yield SuffixAutomaton(sorted((r["id"], tuple(words_of(r["text"].encode()))) for r in rows), window)
+
+
+def _match(auto, found: list, marks) -> tuple:
+    """Spans and item ids of a text's words, joined to those of automata before."""
+    spans, numbers = auto.match(found)
+    items = {auto.ids[n] for n in numbers}
+    if marks is not None:
+        joined = []
+        for a, b in sorted([*spans, *((m["a"], m["b"]) for m in marks["spans"])]):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+            else:
+                joined.append((a, b))
+        spans, items = joined, items | set(marks["items"])
+    return spans, items
+
 
+_MARKS = "struct<spans:array<struct<a:bigint,b:bigint>>,items:array<string>>"
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def _through(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_bytes: int, last, schema):
+    """``docs`` through all automata: ``last(batch, results)`` makes the rows of the last pass from the spans and items of each text.
+
+    With several automata, each has a pass of its own, so no task holds two; what the earlier ones found is stored beside the rows.
+    """
+    marks = "_marks"
+    arrow = pa.struct([("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
+
+    def passing(shared, final):
+        def run(batches):
+            for batch in batches:
+                values = byte_texts(batch.column(text))
+                before = batch.column(marks).to_pylist() if marks in batch.schema.names else [None] * len(values)
+                results = [(found := words_of(x), *_match(shared.value, found, m)) for x, m in zip(values, before)]
+                rest = batch.select([n for n in batch.schema.names if n != marks])
+                if final:
+                    yield last(rest, values, results)
+                else:
+                    now = pa.array([{"spans": [{"a": a, "b": b} for a, b in s], "items": sorted(i)} for _, s, i in results], arrow)
+                    yield pa.RecordBatch.from_arrays([*rest.columns, now], names=[*rest.schema.names, marks])
+        return run
+
+    broadcast, held = docs.sparkSession.sparkContext.broadcast, None
+    marked = StructType([*docs.schema.fields, StructField(marks, StructType.fromDDL(f"m {_MARKS}").fields[0].dataType)])
+    for auto in automata(benchmark, window, max_bytes):
+        if held is not None:
+            docs = stored(docs.mapInArrow(passing(broadcast(held), False), marked), "decontaminate")
+        held = auto
+    return docs.mapInArrow(passing(broadcast(held), True), schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text",
+                  max_bytes: int = 40 << 20) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items array<string>``.
 
     A word is hit if an occurrence of a window covers it; ``items`` are the distinct ids, sorted as strings, of
     the items with occurring windows. Null texts and items have no words; an empty benchmark hits nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window))
-
-    def run(batches):
-        auto = shared.value
-        for batch in batches:
-            n_words, n_hit, items = [], [], []
-            for data in byte_texts(batch.column(1)):
-                found = words_of(data)
-                spans, numbers = auto.match(found)
-                n_words.append(len(found))
-                n_hit.append(sum(b - a for a, b in spans))
-                items.append(sorted({auto.ids[i] for i in numbers}))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items"])
+    def rows(batch, values, results):
+        items = [sorted(i) for _, _, i in results]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(w) for w, _, _ in results], pa.int64()),
+             pa.array([sum(b - a for a, b in s) for _, s, _ in results], pa.int64()),
+             pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.string()))],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items"])
 
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return wanted.mapInArrow(run, f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, "
-                                  "n_words long, n_hit long, n_items long, items array<string>")
+    schema = f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>"
+    return _through(wanted, benchmark, "text", window, max_bytes, rows, schema)
 
 
 def _word_places(data: bytes) -> np.ndarray:
@@ -193,41 +234,23 @@ def _word_places(data: bytes) -> np.ndarray:
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5,
-                         text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+                         text: str = "text", n_chars: str = "n_chars", max_bytes: int = 40 << 20) -> DataFrame:
     """``docs`` without what it shares with the benchmark; columns and their order stay.
 
     Hit spans (runs of words covered by windows) are cut out of a text from their first to their last word.
     A document of whose words more than the share ``max_coverage`` is hit goes whole. ``n_chars``, where
     it is a column, becomes the new length of changed texts. Documents without a hit stay as they are, null and empty ones too.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window))
-
-    def run(batches):
-        auto = shared.value
-        for batch in batches:
-            values, keep, changed = byte_texts(batch.column(text)), [], {}
-            for i, data in enumerate(values):
-                found = words_of(data)
-                spans, _ = auto.match(found)
-                keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(found))
-                if spans and keep[-1]:
-                    places, out, at = _word_places(data), [], 0
-                    for a, b in spans:
-                        out.append(data[at:places[a, 0]])
-                        at = places[b - 1, 1]
-                    values[i] = changed[i] = b"".join([*out, data[at:]])
-            if changed:
-                batch = with_text(batch, text, pa.array(values, pa.large_binary()).cast(pa.large_string()))
-                if n_chars in batch.schema.names:
-                    at = batch.schema.get_field_index(n_chars)
-                    counts = batch.column(at).to_pylist()
-                    for i, data in changed.items():
-                        counts[i] = len(data.decode())
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(counts, batch.schema.field(at).type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def items_digest(items: list) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    def cleaned(batch, values, results):
+        keep, changed = [], {}
+        for i, (data, (words, spans, _)) in enumerate(zip(values, results)):
+            keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
+            if spans and keep[-1]:
+                places, out, at = _word_places(data), [], 0
+                for a, b in spans:
+                    out.append(data[at:places[a, 0]])
+                    at = places[b - 1, 1]
+                values[i] = changed[i] = b"".join([*out, data[at:]])
+        return with_texts(batch, text, n_chars, values, changed).filter(pa.array(keep, pa.bool_()))
+
+    return _through(docs, benchmark, text, window, max_bytes, cleaned, docs.schema)

@@ -5,7 +5,6 @@ byte just read, so one pass gives all possible starts of all rules. From the lef
 is not inside an earlier match of its rule, an automaton of that rule alone gives the longest match.
 """
 
-import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .automata import Dfa, parse
-from .common import byte_texts, with_text
+from .common import byte_texts, with_texts
 
 
 @dataclass(frozen=True)
@@ -144,19 +143,6 @@ def redact_secrets(docs: DataFrame, rules=BASE + MORE, text: str = "text", n_cha
                             out += [data[at:start], mark]
                         at = max(at, end)
                     values[i] = changed[i] = b"".join([*out, data[at:]])
-            if changed:
-                batch = with_text(batch, text, pa.array(values, pa.large_binary()).cast(pa.large_string()))
-                if n_chars in batch.schema.names:
-                    at = batch.schema.get_field_index(n_chars)
-                    counts = batch.column(at).to_pylist()
-                    for i, data in changed.items():
-                        counts[i] = len(data.decode())
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(counts, batch.schema.field(at).type))
-            yield batch
+            yield with_texts(batch, text, n_chars, values, changed)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def digest(kinds, spans) -> str:
-    """Lowercase SHA-256 of the spans of ``kinds`` as kind:start:end, comma-joined."""
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans if k in kinds).encode()).hexdigest()
