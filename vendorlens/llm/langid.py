@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, id_crc
+from .common import bounded_sample, byte_texts, id_crc
 
 ORDER = 3
 UNKNOWN = "und"
@@ -39,13 +39,9 @@ def _code(data: np.ndarray) -> np.ndarray:
 def training_sample(docs: DataFrame, per_language: int, doc_id="doc_id", text="text", lang="lang") -> DataFrame:
     """``lang, text`` of at most ``per_language`` labelled documents of each language outside the held-out fold.
 
-    The choice is by hash of the id, so it doesn't depend on the order or partitions of the input. Ids alone are
-    ranked; each partition hands on no more than the bound.
-    """
+    Texts are read whole; ids alone are chosen from."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (id_crc(doc_id) % 4 != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).distinct()
-              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("id", "lang"))
+    chosen = bounded_sample(labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")), "lang", per_language)
     texts = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     # At most per_language rows of a few bytes for each language.
     return texts.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text")
