@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, id_crc
+from .common import bounded_sample, byte_texts, id_crc
 
 PLACES = 1 << 18
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -146,13 +146,12 @@ def fit(rows: list, labels: list, cost: float = 1.0) -> Model:
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, doc_id="doc_id", text="text", label="quality") -> DataFrame:
     """``id, label, places`` of at most ``per_class`` labelled rows of each class, by hash of the id, outside the held-out fold.
 
-    A document with several labels counts with the least. Ids are ranked alone; texts are read whole, in the tasks.
+    A document with several labels counts with the least. Texts are read whole, in the tasks; ids alone are chosen from.
     """
     of = (labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (id_crc(doc_id) % 3 != 1))
           .groupBy(F.col(doc_id).alias("id")).agg(F.min(label).cast("int").alias("label")))
     here = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = (of.join(here, "id", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class).select("id", "label"))
+    chosen = bounded_sample(of.join(here, "id", "left_semi"), "label", per_class)
 
     def run(batches):
         for batch in batches:
