@@ -173,6 +173,30 @@ def test_main_text_of_small_pages():
         assert field.extract(page or "") == text, page
 
 
+TEXT = "The quick article text goes on here, with several words and commas, until it ends."
+PARAGRAPHS = "".join(f"<p>{TEXT} {i}.</p>" for i in range(3))
+SITES = {
+    "plain": f"<body><h1>Title here</h1>{PARAGRAPHS}</body>",
+    "unnamed": f"<body><ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul><div><h1>Title here</h1>{PARAGRAPHS}</div><div><p>Copyright 2020 Somebody</p></div></body>",
+    "blog": f"""<body><div id=page><div id=masthead><h1>Blog name</h1><h2>just a blog</h2></div><div id=primary><article class='post hentry'>
+        <h1 class=entry-title>Title here</h1><div class=entry-content>{PARAGRAPHS}<div class='sharedaddy'><a>Share this</a></div></div></article><div id=comments><h3>2 thoughts</h3>
+        <ol class=comment-list><li><p>I think so too, thanks for the text.</p></li><li><p>Not me, really not.</p></li></ol><form id=commentform><p>Leave a reply here</p></form></div></div>
+        <div id=secondary class=widget-area><h3>Recent</h3><ul><li><a>One post</a></li></ul></div><div id=colophon><p>Powered by something nice.</p></div></div></body>""",
+    "news": f"""<body><header><a>News</a><nav><a>World</a><a>Sport</a></nav></header><div class='cookie-banner'><p>We use cookies to make this site better. Accept them all.</p></div>
+        <main><article><h1>Title here</h1>{PARAGRAPHS}<aside class='newsletter-promo'><h3>Sign up</h3><p>Get our newsletter every day in your mail.</p></aside></article>
+        <section class='read-more'><h2>More stories</h2><ul><li><a>Other story that is here</a></li></ul></section></main>
+        <section class='readerComments'><p>Great article, thanks for it all.</p><p>I disagree with the writer, who is wrong.</p></section><footer><p>All rights reserved, and so on.</p></footer></body>""",
+    "board": f"""<body><div class=topbar>Login</div><div class=content><h1>Title here</h1><div class='ad-unit'>Buy this thing now, it is cheap.</div>{PARAGRAPHS}</div>
+        <div class=responses><div class=response><p>I like it a lot, thanks.</p></div></div></body>""",
+    "notice": f"<body><article><div class='notice'>This text was updated yesterday, please note it.</div><h1>Title here</h1>{PARAGRAPHS}<form><p>Subscribe today, for free.</p><input></form></article></body>",
+}
+
+
+@pytest.mark.parametrize("site", SITES)
+def test_sites_unlike_the_training_layouts(site):
+    assert mainhtml.trained().extract(SITES[site]) == "\n".join(["Title here", *(f"{TEXT} {i}." for i in range(3))])
+
+
 def test_main_text_of_the_table(spark, sf):
     import html
     import re

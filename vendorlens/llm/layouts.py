@@ -5,6 +5,7 @@ inside it without belonging to it. Words are invented, so that the model learns
 """
 
 import random
+import re
 
 _SYLLABLES = ["ka", "lo", "mi", "ter", "an", "ve", "sun", "dor", "el", "pra", "ti", "on", "ges", "ur", "ma", "qui", "é", "ßen", "ño", "der"]
 
@@ -19,11 +20,24 @@ MAIN = [
     '<div class="article-body" itemprop="articleBody" data-main="1">{}</div>',
     '<section class="story" data-main="1">{}</section>',
     '<table><tr><td class="left"><ul><li><a href="/">Aba</a></li><li><a href="/x">Lomi</a></li></ul></td><td class="main" data-main="1">{}</td></tr></table>',
-    '<div class="x1f"><div class="k9" data-main="1">{}</div></div>',
     '<div role="main"><div data-main="1">{}</div></div>',
-    '<div class="page"><div class="col-8" data-main="1">{}</div></div>',
+    '<div id="primary" data-main="1">{}</div>',
     '<div class="post-text markdown-body" data-main="1">{}</div>',
+    '<div class="content" data-main="1">{}</div>',
+    '<div class="page"><div class="main-content" data-main="1">{}</div></div>',
+    '<article class="post hentry" data-main="1"><div class="entry-content">{}</div></article>',
+]
+#: Layouts whose elements have no telling name.
+PLAIN = [
+    '<div data-main="1">{}</div>',
+    '<div><div data-main="1">{}</div></div>',
+    '<div class="x1f"><div class="k9" data-main="1">{}</div></div>',
+    '<div class="row"><div class="col-8" data-main="1">{}</div></div>',
+    '<section data-main="1">{}</section>',
+    '<table width="100%"><tr><td data-main="1">{}</td></tr></table>',
 ]
+#: Elements around a whole page.
+AROUND = ["", "", "", '<div id="page">{}</div>', '<div class="wrapper">{}</div>', '<div class="container">{}</div>', '<div id="site">{}</div>', '<div id="root"><div class="app">{}</div></div>', '<div>{}</div>']
 
 #: Pieces that are not the article; L a link text, S a sentence, W a word.
 BEFORE = [
@@ -80,10 +94,37 @@ AFTER = [
     '<form id="login"><p>S</p><label>W</label><input></form>', '<form action="/c"><h3>W W W</h3><p>S</p><label>W<input></label></form>',
     '<div class="newsletter-signup"><h3>W W</h3><p>S S</p></div>', '<div class="pagination"><a href="/">1</a> <a href="/">2</a></div>',
     '<div class="tags">W, <a href="/">L</a>, <a href="/">L</a></div>', '<div class="modal popup"><p>S S</p></div>',
-    '<div class="disclaimer"><p>S S S</p></div>', '<div role="contentinfo"><p>S</p></div>',
+    '<div class="disclaimer"><p>S S S</p></div>', '<div><p>(c) 2001 W. S</p></div>', '<div role="contentinfo"><p>S</p></div>',
 ]
 
 
+#: Names that pages give to what is not the article, by its kind; each is used as class or id, alone or with another word.
+NAMES = {
+    "menu": "nav navbar navigation menu main-menu topnav nav-links mega-menu breadcrumb pager pagination toolbar tab-bar language-switcher sitemap".split(),
+    "head": "header masthead top topbar site-title logo brand tagline branding page-head".split(),
+    "foot": "footer foot bottom colophon copyright legal imprint site-info credits disclaimer terms".split(),
+    "side": "sidebar side aside widget widget-area rail column-right related recommended popular trending more-stories recent-posts archive blogroll teaser read-next also".split(),
+    "note": "notice alert cookie cookies consent gdpr privacy-banner announcement message warning info-bar overlay modal popup paywall hint".split(),
+    "ad": "ad ads advert advertisement banner sponsor sponsored promo promotion promoted commercial adsense partner offer".split(),
+    "form": "form newsletter subscribe subscription signup sign-up login register search contact poll survey feedback".split(),
+    "talk": "comment comments comment-list replies reply respond responses discussion thread user-comments reader-comments guestbook".split(),
+    "share": "share sharing social social-links follow like-buttons tools print".split(),
+}
+#: Shapes of such blocks; N the name in an attribute.
+SHAPES = {
+    "menu": ['<div N><a href="/">L</a> <a href="/">L</a> <a href="/">L</a></div>', '<ul N><li><a href="/">L</a></li><li><a href="/">L</a></li></ul>', '<div N><span>W</span> / <a href="/">L</a></div>'],
+    "head": ['<div N><h1>W W</h1><p>S</p></div>', '<header N><a href="/">W W</a><p>S</p></header>', '<div N>W W</div>'],
+    "foot": ['<div N><p>&copy; 2020 W</p></div>', '<div N><p>Copyright 2020 W. All rights reserved.</p></div>', '<div><p>Copyright W 1999</p></div>', '<div N>S</div>', '<section N><p>S S</p><a href="/">L</a></section>', '<footer N><div>S</div></footer>'],
+    "side": ['<div N><h3>W W</h3><p>S S</p></div>', '<aside N><p>S</p><p>S S</p></aside>', '<section N><h2>W</h2><ul><li><a href="/">S</a></li><li>S</li></ul></section>', '<div N><p>S S S</p></div>'],
+    "note": ['<div N>S</div>', '<div N><p>S S</p></div>', '<section N><p>S</p><p>S</p></section>', '<p N>S</p>'],
+    "ad": ['<div N>S</div>', '<div N><p>S S</p></div>', '<aside N><p>S S</p></aside>', '<p N>S S</p>', '<div N><a href="/">S</a></div>'],
+    "form": ['<form N><p>S</p><label>W <input></label></form>', '<div N><form><h3>W W</h3><p>S S</p><input></form></div>', '<div N><p>S</p></div>', '<form N>S<input></form>'],
+    "talk": ['<div N><p>S S</p><p>S S S</p></div>', '<section N><h2>W</h2><div><p>S S</p></div><div><p>S</p></div></section>', '<ul N><li>S S</li><li><p>S</p></li></ul>',
+             '<ol N><li><b>W</b><p>S S</p></li><li><p>S S S</p></li></ol>', '<div N><blockquote>S S</blockquote><p>S</p></div>'],
+    "share": ['<div N><a href="/">W</a> <a href="/">W</a></div>', '<p N><a href="/">W W</a></p>', '<ul N><li><a href="/">W</a></li></ul>'],
+}
+
+
 class _Writer:
     def __init__(self, seed: int):
         self.random = random.Random(seed)
@@ -116,6 +157,15 @@ class _Writer:
             at += 1
         return "".join(out)
 
+    def aside(self, kind: str, inside: bool = False):
+        """A block that is not the article, of one kind, under one of its names."""
+        pick, name = self.random.random, self.random.choice(NAMES[kind])
+        name = name if pick() < 0.6 else f"{self.word()}{self.random.choice('-_')}{name}"
+        name = name if pick() < 0.85 else f"{name} {self.word()}"
+        name = "".join(p.capitalize() if k else p for k, p in enumerate(name.split("-"))) if pick() < 0.15 and " " not in name else name
+        attribute = f'{self.random.choice(["class", "class", "id"])}="{name}"' + ' data-main="0"' * inside
+        return self.filled(self.random.choice(SHAPES[kind])).replace(" N>", f" {attribute}>", 1)
+
     def paragraph(self):
         text = " ".join(self.sentence() for _ in range(self.random.choice([1, 1, 2, 3, 5, 8])))
         if self.random.random() < 0.2:
@@ -125,11 +175,14 @@ class _Writer:
     def article(self):
         pick, out = self.random.random, []
         if pick() < 0.85:
-            out.append(f"<{(h := self.random.choice(['h1', 'h1', 'h2']))}>{self.sentence()}</{h}>")
+            name = self.random.choice(["", "", "", ' class="entry-title"', ' class="post-title"', ' class="headline"', ' class="title"', ' id="article-title"'])
+            out.append(f"<{(h := self.random.choice(['h1', 'h1', 'h2']))}{name}>{self.sentence() if pick() < 0.6 else self.word()}</{h}>")
         for _ in range(self.random.choice([1, 2, 3, 5, 8, 13])):
             kind, text = pick(), self.paragraph()
-            if kind < 0.62:
+            if kind < 0.6:
                 out.append(f"<p>{text}</p>")
+            elif kind < 0.62:
+                out.append(f'<p class="{self.random.choice(["lead", "intro", "summary", "text", "first"])}">{text}</p>')
             elif kind < 0.72:
                 out.append(f"<p><b>{text}<br><p>{self.paragraph()}</p>")
             elif kind < 0.77:
@@ -148,25 +201,42 @@ class _Writer:
                 out.append(f"<figure><img src='/i.png'><figcaption>{self.sentence()}</figcaption></figure>")
             else:
                 out.append(text + "<br>" + self.paragraph() + "<p>")
-            if pick() < 0.12:
-                out.append(self.filled(self.random.choice(INSIDE)))
-        return "".join(out)
+            if pick() < 0.08:  # articles quote such lines too
+                out.append("<p>" + self.filled(self.random.choice(["All rights reserved.", "Copyright 2020 W. S", "&copy; W W", "Released under the W License."])) + "</p>")
+            if pick() < 0.18:
+                out.append(self.filled(self.random.choice(INSIDE)) if pick() < 0.4 else self.aside(self.random.choice(["side", "note", "ad", "form", "share", "menu"]), True))
+        body = "".join(out)
+        if pick() < 0.08:
+            body = f"<header>{out[0]}</header>{''.join(out[1:])}"
+        elif pick() < 0.1:
+            body = f"<section>{body}</section><section><h2>{self.word()}</h2><p>{self.paragraph()}</p></section>"
+        return body
 
     def page(self):
         choose, pick = self.random.choice, self.random.random
-        parts = [self.filled(p) for p in self.random.sample(BEFORE, self.random.randint(0, 4))]
+
+        def some(pieces, kinds, most):
+            return [self.filled(choose(pieces)) if pick() < 0.5 else self.aside(choose(kinds)) for _ in range(self.random.randint(0, most))]
+
+        parts = some(BEFORE, ["menu", "head", "note", "ad", "form"], 4)
         if pick() < 0.2:
-            parts.append(self.filled(choose(SIDE)))
+            parts += some(SIDE, ["side"], 1)
         inner = self.article()
-        comments = self.filled(choose(COMMENTS)) if pick() < 0.4 else ""
-        inside = bool(comments) and pick() < 0.3
-        parts.append(choose(MAIN).format(inner + (comments if inside else "")))
+        talk, inside = pick() < 0.4, pick() < 0.3
+        comments = "" if not talk else self.filled(choose(COMMENTS)) if pick() < 0.5 else self.aside("talk", True)
+        parts.append(choose(PLAIN if pick() < 0.35 else MAIN).format(inner + (comments if inside else "")))
         if comments and not inside:
             parts.append(comments)
         if pick() < 0.35:
-            parts.append(self.filled(choose(SIDE)))
-        parts += [self.filled(p) for p in self.random.sample(AFTER, self.random.randint(0, 3))]
-        return f"<!DOCTYPE html><html><head><title>{self.word()}</title></head><body>{''.join(parts)}</body></html>"
+            parts += some(SIDE, ["side", "ad"], 2)
+        parts += some(AFTER, ["foot", "form", "note", "share", "menu"], 3)
+        head = f"<!DOCTYPE html><html><head><title>{self.word()}</title></head>"
+        if pick() < 0.12:  # no element around the article
+            at = next(i for i, p in enumerate(parts) if inner in p)
+            parts = [inner + (comments if inside else "") if i == at else re.sub("(<[a-z]+)", r'\1 data-main="0"', p, count=1) for i, p in enumerate(parts)]
+            return f'{head}<body data-main="1">{"".join(parts)}</body></html>'
+        around = choose(AROUND) or "{}"
+        return f"{head}<body>{around.replace('{}', ''.join(parts))}</body></html>"
 
 
 def labelled_pages(pages: int, seed: int = 7) -> list:

@@ -23,7 +23,7 @@ _HIDDEN = "script|style|template|noscript|iframe|object|svg|math|canvas|audio|vi
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     rf"|<({_HIDDEN.replace('|head', '')})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S | re.I)
+    r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|</?[A-Za-z][^>]*+\Z""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style|data-main)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -144,6 +144,7 @@ def blocks(page: str) -> list:
     return out
 
 
+_COPYRIGHT = re.compile(r"©|\(c\) ?\d|copyright|all rights reserved", re.I)
 _LENGTHS = (1, 2, 4, 7, 12, 20, 40, 80)
 
 
@@ -151,7 +152,7 @@ def _text_features(text: str, linked: float) -> tuple:
     words = text.count(" ") + 1
     return (f"words:{sum(words > n for n in _LENGTHS)}", f"linked:{0 if linked == 0 else 1 + int(linked * 3.99)}",
             f"end:{text[-1] if text[-1] in '.!?:,;|' else 'w' if text[-1].isalpha() else 'o'}", f"commas:{min(3, text.count(','))}",
-            f"copyright:{'©' in text}", f"bars:{min(2, text.count('|'))}")
+            f"copyright:{_COPYRIGHT.search(text) is not None}", f"bars:{min(2, text.count('|'))}")
 
 
 def features(found: list, i: int) -> list:
@@ -261,7 +262,7 @@ def fit(pages: list, rounds: int = 8, rate: float = 0.4, decay: float = 2e-5) ->
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 500, rounds: int = 8, seed: int = 7) -> Field:
+def trained(pages: int = 2500, rounds: int = 8, seed: int = 7) -> Field:
     """The model for ``pages`` labelled pages (the bound on what it is fitted on)."""
     return fit(labelled_pages(pages, seed), rounds)
 
