@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from vendorlens.llm import queries
 from vendorlens.llm.common import table
-from vendorlens.verify import check
+import sqlcheck as check
 
 
 @pytest.fixture(scope="module")
