@@ -1,18 +1,22 @@
 """Runs registered queries beside their SQL and compares row counts and values.
 
-    python -m vendorlens.verify.check [--sf DIR] [key ...]
+    python tests/sqlcheck.py [--sf DIR] [key ...]
 """
 
 import argparse
 import datetime
 import math
 import os
+import sys
 import time
+from pathlib import Path
 
 import duckdb
 
-from ..session import build_session
-from .catalog import ORACLES, QUERIES
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from vendorlens.session import build_session
+from vendorlens.verify.catalog import ORACLES, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()

@@ -54,6 +54,17 @@ def header_value(headers: Column, name: str) -> Column:
     return let(F.try_element_at(hit, F.lit(1))["value"], lambda v: F.when(v != "", v))
 
 
+def lower_names(headers: Column) -> Column:
+    """Names of a header list in lower case: bound to a column once, it serves :func:`named_value` for any number of names."""
+    return F.transform(headers, lambda h: F.lower(h["name"]))
+
+
+def named_value(headers: Column, names: Column, name: str) -> Column:
+    """:func:`header_value` from the list and its lower-case names."""
+    at = F.nullif(F.array_position(names, name.lower()), F.lit(0)).cast("int")
+    return F.nullif(F.try_element_at(headers, at)["value"], F.lit(""))
+
+
 def _first_of_each_name(headers: Column) -> Column:
     return let(headers, lambda hs: let(
         F.transform(hs, lambda h: h["name"]),

@@ -114,7 +114,6 @@ def fines_by_company(enforcement: DataFrame) -> DataFrame:
 
 
 def fine_records(enforcement: DataFrame) -> DataFrame:
-    """Every fine, newest first within its company, beside the company's total."""
+    """Every fine beside its company's total. Readers of a list sort it: newest first within the company."""
     totals = fines_by_company(enforcement).select("company_slug", "total_fines")
-    return enforcement.join(totals, "company_slug").orderBy(
-        "company_slug", F.desc("decision_date"), F.desc("etid"))
+    return enforcement.join(totals, "company_slug")

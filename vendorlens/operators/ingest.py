@@ -21,20 +21,21 @@ def normalize_messages(raw: DataFrame, keep=()) -> DataFrame:
     source = F.col("source")
     imap, graph = source == "imap", source == "microsoft"
     empty = F.lit("")
-    sender = senders.parse_sender(senders.header_value(F.col("headers"), "from"))
-    subject = F.when(graph, F.col("subject")).otherwise(
-        senders.header_value(F.col("headers"), "subject"))
-    header_ms = senders.header_date_ms(senders.header_value(F.col("headers"), "date"))
-    dated = senders.message_date_ms(header_ms, F.col("ingest_ms"))
+    needed = {"_from": "from", "_head": "subject", "_date": "date", "_list": "list-unsubscribe", "_post": "list-unsubscribe-post"}
+    subject = F.when(graph, F.col("subject")).otherwise(F.col("_head"))
+    dated = senders.message_date_ms(F.col("_date_ms"), F.col("ingest_ms"))
     snippet = F.when(imap, F.substring("body_text", 1, 200)).when(
         graph, F.substring("snippet", 1, 150)).otherwise(F.col("snippet"))
     preview_fallback = F.when(imap, F.col("body_text")).otherwise(F.col("snippet"))
     return (
         raw
-        .withColumn("_sender", sender)
-        .withColumn("_subject", F.coalesce(subject, empty))
-        .withColumn("_unsub", optout.resolve_from_headers(
-            F.col("headers"), F.col("body_html"), F.col("_subject")))
+        # Each layer binds what the next one uses several times; header names are lower-cased once.
+        .withColumn("_names", senders.lower_names(F.col("headers")))
+        .withColumns({c: senders.named_value(F.col("headers"), F.col("_names"), n) for c, n in needed.items()})
+        .withColumns({
+            "_sender": senders.parse_sender(F.col("_from")), "_subject": F.coalesce(subject, empty),
+            "_date_ms": senders.header_date_ms(F.col("_date"))})
+        .withColumn("_unsub", optout.resolve_unsubscribe(F.col("_list"), F.col("_post"), F.col("body_html"), F.col("_subject")))
         .select(
             "account_id",
             message_id().alias("message_id"),

@@ -58,7 +58,7 @@ def edit_whitelist(whitelist: DataFrame, add: DataFrame, remove: DataFrame) -> D
     every = whitelist.unionByName(add.withColumn("value", F.lower("value")))
     first = every.groupBy(*keys).agg(F.min("created_at").alias("created_at"))
     gone = remove.select("account_id", F.lower("value").alias("value")).distinct()
-    return first.join(gone, keys, "left_anti").orderBy("created_at", *keys)
+    return first.join(gone, keys, "left_anti")
 
 
 def whitelist_scope(vendors: DataFrame, senders: DataFrame, companies: DataFrame, whitelist: DataFrame) -> DataFrame:
