@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.scratch import scratch_path
-from .common import byte_texts, partitions
+from .common import byte_texts, partitions, tidied, tidy
 
 #: The normalizer and word pattern this operator knows: tokenizer files with others are refused.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -153,7 +153,7 @@ def _blocks(docs: DataFrame, spec, slices: int, block_bytes: int) -> DataFrame:
         if block.ids:
             yield pa.RecordBatch.from_pylist([{"block": number, **block.rows(slices)}], arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _encoded(words: DataFrame, spec) -> DataFrame:
@@ -174,7 +174,7 @@ def _encoded(words: DataFrame, spec) -> DataFrame:
                 [batch.column("block"), batch.column("slice"), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())],
                 names=["block", "slice", "sizes", "ids"])
 
-    return words.mapInArrow(run, "block long, slice int, sizes binary, ids binary")
+    return words.mapInArrow(tidied(run), "block long, slice int, sizes binary, ids binary")
 
 
 def pieces(path: str) -> list:
@@ -196,6 +196,12 @@ def _word_table(parts: list):
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate([_unpack(i) for _, i in parts])
 
 
+def _joined(start: np.ndarray, flat: np.ndarray, texts: np.ndarray) -> list:
+    """For every word the texts of its ids, joined by one space: the join of ids with a table whose row i is that of id i."""
+    of, bounds = texts[flat].tolist(), start.tolist()
+    return [" ".join(of[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
 def _digests(words, names, decoded):
     """Hashes of the ids, and of the pieces, of one document, without building either as a list of numbers."""
     ids = hashlib.sha256(" ".join(map(names.__getitem__, words)).encode()).hexdigest()
@@ -240,15 +246,9 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         order = sorted(range(right.num_rows), key=right.column("slice").to_pylist().__getitem__)
         sizes, ids = right.column("sizes").to_pylist(), right.column("ids").to_pylist()
         start, flat = _word_table([(sizes[i], ids[i]) for i in order])
-        piece, lengths, columns = table.value, np.diff(start), {f.name: [] for f in out_schema}
-        bounds, all_ids = start.tolist(), flat.tolist()
-        names = decoded = None
-        if "digests" in outputs:
-            text_of = list(map(str, all_ids))
-            names = [" ".join(text_of[a:b]) for a, b in zip(bounds, bounds[1:])]
-        if "digests" in outputs or "decoded" in outputs:
-            text_of = [piece[i] for i in all_ids]
-            decoded = [" ".join(text_of[a:b]) for a, b in zip(bounds, bounds[1:])]
+        lengths, columns = np.diff(start), {f.name: [] for f in out_schema}
+        names = _joined(start, flat, np.array([str(i) for i in range(len(table.value))], object)) if "digests" in outputs else None
+        decoded = _joined(start, flat, np.array(table.value, object)) if {"digests", "decoded"} & {*outputs} else None
         for row in left.to_pylist():
             places, moved = _unpack(row["positions"]), _dealt(_unpack(row["slice_of"]))
             at = 0
@@ -267,7 +267,10 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 if "digests" in outputs:
                     for name, value in zip(("ids_sha256", "decoded_sha256"), _digests(listed, names, decoded)):
                         columns[name].append(value)
-        return pa.table([pa.array(columns[f.name], f.type) for f in out_schema], schema=out_schema)
+        out = pa.table([pa.array(columns.pop(f.name), f.type) for f in out_schema], schema=out_schema)
+        del names, decoded, start, flat, lengths
+        tidy()
+        return out
 
     return (blocks.select("block", "doc_ids", "counts", "positions", "slice_of").groupBy("block")
             .cogroup(returned.groupBy("block")).applyInArrow(join, ", ".join(fields)))

@@ -1,5 +1,8 @@
 """What the operators of this folder share: the shared folder, stored tables, text as bytes."""
 
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -49,6 +52,26 @@ def bounded_sample(keys: DataFrame, group: str, per_group: int, most_groups: int
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_group).select("id", group)
 
 
+def tidy():
+    """Hands freed memory back to the system. Spark keeps Python workers for the tasks of later stages, and beside
+    them other workers and the JVM need room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidied(run):
+    """A function for mapInArrow that tidies up when its partition ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+    return wrapped
+
+
 def byte_texts(column: pa.Array) -> list:
     """The values of a string column as UTF-8 bytes, null as None."""
     return column.cast(pa.large_binary()).to_pylist()

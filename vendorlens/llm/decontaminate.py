@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import byte_texts, stored, with_texts
+from .common import byte_texts, stored, tidied, with_texts
 
 #: Lower-cases A-Z, keeps digits, a-z and bytes from 0x80 on, and makes everything else a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -157,8 +157,9 @@ def automata(benchmark: DataFrame, window: int = 10, max_bytes: int = 40 << 20,
         yield SuffixAutomaton(sorted((r["id"], tuple(words_of(r["text"].encode()))) for r in rows), window)
 
 
-def _match(auto, found: list, marks) -> tuple:
-    """Spans and item ids of a text's words, joined to those of automata before."""
+def _match(auto, data: bytes | None, marks) -> tuple:
+    """Number of words, spans and item ids of a text, joined to those of automata before."""
+    found = words_of(data)
     spans, numbers = auto.match(found)
     items = {auto.ids[n] for n in numbers}
     if marks is not None:
@@ -169,7 +170,7 @@ def _match(auto, found: list, marks) -> tuple:
             else:
                 joined.append((a, b))
         spans, items = joined, items | set(marks["items"])
-    return spans, items
+    return len(found), spans, items
 
 
 _MARKS = "struct<spans:array<struct<a:bigint,b:bigint>>,items:array<string>>"
@@ -188,7 +189,7 @@ def _through(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_
             for batch in batches:
                 values = byte_texts(batch.column(text))
                 before = batch.column(marks).to_pylist() if marks in batch.schema.names else [None] * len(values)
-                results = [(found := words_of(x), *_match(shared.value, found, m)) for x, m in zip(values, before)]
+                results = [_match(shared.value, x, m) for x, m in zip(values, before)]
                 rest = batch.select([n for n in batch.schema.names if n != marks])
                 if final:
                     yield last(rest, values, results)
@@ -201,9 +202,9 @@ def _through(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_
     marked = StructType([*docs.schema.fields, StructField(marks, StructType.fromDDL(f"m {_MARKS}").fields[0].dataType)])
     for auto in automata(benchmark, window, max_bytes):
         if held is not None:
-            docs = stored(docs.mapInArrow(passing(broadcast(held), False), marked), "decontaminate")
+            docs = stored(docs.mapInArrow(tidied(passing(broadcast(held), False)), marked), "decontaminate")
         held = auto
-    return docs.mapInArrow(passing(broadcast(held), True), schema)
+    return docs.mapInArrow(tidied(passing(broadcast(held), True)), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text",
@@ -216,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     def rows(batch, values, results):
         items = [sorted(i) for _, _, i in results]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(w) for w, _, _ in results], pa.int64()),
+            [batch.column(0), pa.array([n for n, _, _ in results], pa.int64()),
              pa.array([sum(b - a for a, b in s) for _, s, _ in results], pa.int64()),
              pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.string()))],
             names=["doc_id", "n_words", "n_hit", "n_items", "items"])
@@ -243,8 +244,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """
     def cleaned(batch, values, results):
         keep, changed = [], {}
-        for i, (data, (words, spans, _)) in enumerate(zip(values, results)):
-            keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
+        for i, (data, (n_words, spans, _)) in enumerate(zip(values, results)):
+            keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * n_words)
             if spans and keep[-1]:
                 places, out, at = _word_places(data), [], 0
                 for a, b in spans:

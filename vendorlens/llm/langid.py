@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, byte_texts, id_crc
+from .common import bounded_sample, byte_texts, id_crc, tidied
 
 ORDER = 3
 UNKNOWN = "und"
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, trees: Trees | None = None, doc_id: str = "doc_id"
                                              names=["doc_id", "held_out", "lang_pred", "score"])
 
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(id_crc(doc_id) % 4 == 2, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    return wanted.mapInArrow(run, f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return wanted.mapInArrow(tidied(run), f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, trees: Trees | None = None, least_score: float = 0.0, text: str = "text", **limits) -> DataFrame:
@@ -202,4 +202,4 @@ def keep_identified(docs: DataFrame, trees: Trees | None = None, least_score: fl
             langs, scores = classify(shared.value, byte_texts(batch.column(text)))
             yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

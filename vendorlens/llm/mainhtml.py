@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import byte_texts
+from .common import byte_texts, tidied
 from .layouts import labelled_pages
 
 #: Elements whose inside is never text of the page.
@@ -285,4 +285,4 @@ def extract_text(pages: DataFrame, field: Field | None = None, html_column: str
                                              names=[*kept, "text", "n_chars"])
 
     schema = StructType([*(pages.schema[c] for c in kept), StructField("text", StringType()), StructField("n_chars", LongType())])
-    return pages.select(*kept, F.col(html_column)).mapInArrow(run, schema)
+    return pages.select(*kept, F.col(html_column)).mapInArrow(tidied(run), schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, byte_texts, id_crc
+from .common import bounded_sample, byte_texts, id_crc, tidied
 
 PLACES = 1 << 18
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -187,4 +187,4 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, doc_id
                                              names=["doc_id", "held_out", "score", "predicted"])
 
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(id_crc(doc_id) % 3 == 1, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    return wanted.mapInArrow(run, f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return wanted.mapInArrow(tidied(run), f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .automata import Dfa, parse
-from .common import byte_texts, with_texts
+from .common import byte_texts, tidied, with_texts
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,7 @@ def find_secrets(docs: DataFrame, rules=BASE + MORE, doc_id: str = "doc_id", tex
 
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>"
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(tidied(run), schema)
 
 
 def redact_secrets(docs: DataFrame, rules=BASE + MORE, text: str = "text", n_chars: str = "n_chars", mask: str = "[secret]") -> DataFrame:
@@ -145,4 +145,4 @@ def redact_secrets(docs: DataFrame, rules=BASE + MORE, text: str = "text", n_cha
                     values[i] = changed[i] = b"".join([*out, data[at:]])
             yield with_texts(batch, text, n_chars, values, changed)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

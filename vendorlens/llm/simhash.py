@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, stored
+from .common import byte_texts, stored, tidied
 from .components import components
 
 
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, doc_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return wanted.mapInArrow(run, "doc_id long, fp long")
+    return wanted.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def _counts(segments: int):
