@@ -27,7 +27,47 @@ def op1_html_main_text(spark, sf_dir):
     return mainhtml.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-@query()
+def _either_case(word):
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_WORDS_OF_SECRETS = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+#: kind, pattern whose last group is what must have the least length, that length.
+_SECRET_PATTERNS = [
+    ("assign", f"(?:{_WORDS_OF_SECRETS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6),
+    ("access", "(AKIA[A-Z0-9]+)", 20),
+    ("hex", "([0-9a-f]+)", 24),
+    ("private_key", "(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----)", 0),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 30),
+    ("github", "((?:gh[pousr]|github_pat)_[A-Za-z0-9_]+)", 40),
+    ("slack", "(xox[abeoprs]-[A-Za-z0-9-]+)", 15),
+    ("stripe", "([rs]k_(?:live|test)_[A-Za-z0-9]+)", 24),
+    ("google", "(AIza[A-Za-z0-9_-]+)", 39),
+    ("bearer", f"{_either_case('bearer')} +([A-Za-z0-9+/_.~-]+=*)", 20),
+    ("url_login", r"((?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._%+-]+:[^\t-\r /@:]+@[A-Za-z0-9.-]+)", 0),
+]
+
+
+def _spans_sql():
+    """A row for each match of each kind: what stands before it, and its own length, give its place."""
+    parts = []
+    for k, (kind, pattern, least) in enumerate(_SECRET_PATTERNS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_split_to_array(t, {p}) AS outer_, regexp_extract_all(t, {p}) AS found,
+          regexp_extract_all(t, {p}, 1) AS value FROM d""")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_spans_sql()}),
+     placed AS (SELECT doc_id, k, kind, length(found[i]) AS n, least, length(value[i]) AS v,
+                  list_sum(list_transform(outer_[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS s
+                FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
+     kept AS (SELECT doc_id, k, kind, s, concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + n AS BIGINT)) AS span FROM placed WHERE v >= least),
+     listed AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                  string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY s, k) AS spans FROM kept GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed l ON l.doc_id = d.doc_id""")
 def op2_secret_scan(spark, sf_dir):
     """Secrets of every document: counts and digest of the base kinds, and all spans."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -72,7 +112,22 @@ def op4_quality_nbsvm(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query()
+# The checksum byte by byte, over a table of the 256 single bytes that the SQL itself works out.
+_CRC_TABLE = """SELECT list(v ORDER BY i) AS t FROM (SELECT i, (WITH RECURSIVE s(n, r) AS (SELECT 0, i::UBIGINT UNION ALL
+  SELECT n + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END FROM s WHERE n < 8) SELECT r FROM s WHERE n = 8) AS v
+  FROM range(256) g(i))"""
+
+
+@query(f"""
+WITH crc AS ({_CRC_TABLE}),
+     d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+     sized AS (SELECT doc_id, strlen(text) + 1 AS size, md5(text) AS place, xor(list_reduce(list_transform(range(strlen(text)),
+                 lambda i: CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS UBIGINT)), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)]), 4294967295::UBIGINT),
+                 4294967295::UBIGINT) AS crc FROM (SELECT *, hex(encode(text)) AS h FROM d), crc),
+     summed AS (SELECT *, sum(size) OVER (ORDER BY place, doc_id) - size AS earlier, sum(size) OVER () AS total FROM sized),
+     cut AS (SELECT *, least(15, CAST((earlier * 2 + size) * 16 // (2 * total) AS INTEGER)) AS shard FROM summed)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut""")
 def op5_byte_shards(spark, sf_dir):
     """All documents in 16 shards of nearly equal bytes."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), 16)

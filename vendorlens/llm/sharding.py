@@ -52,7 +52,7 @@ def prefix_sums(rows: DataFrame, order: list, name: str) -> tuple:
 def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, shard, slot``.
 
-    ``size`` is the text's UTF-8 bytes plus 1 (null: 1). The global order is (hash of the text, doc_id), so
+    ``size`` is the text's UTF-8 bytes plus 1 (null: 1). The global order is (MD5 of the text, doc_id), so
     equal texts lie side by side and shards stay independent of the order of the input. A document belongs
     to the shard in which its middle byte falls, hence a shard is off its equal target by at most one
     document at either end. ``slot`` counts from 0 without gaps inside a shard. Rows repeated whole get slots of their own;
@@ -64,11 +64,11 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     whole = F.coalesce(F.col(text), F.lit(""))
     sized = stored(docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(whole).cast("long") + 1).alias("size"),
-        F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole).alias("at")), "shard-sizes")
+        F.crc32(whole.cast("binary")).alias("text_crc32"), F.md5(whole.cast("binary")).alias("at")), "shard-sizes")
     placed, total = prefix_sums(sized, ["at", "doc_id", "text_crc32"], "shard-sums")
-    # In decimals, since twice the bytes times the shards may pass 63 bits.
-    middle = (F.col("bytes_before") * 2 + F.col("size")).cast("decimal(38,0)") * shards
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / F.lit(max(2 * total, 1))).cast("int")))
+    # In whole numbers: they hold 2**62 bytes over the number of shards, and an overflow is an error.
+    middle = F.expr(f"(bytes_before * 2 + size) * {shards}L div {max(2 * total, 1)}L")
+    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), middle.cast("int")))
     first = placed.groupBy("shard").agg(F.min("rows_before").alias("first"))  # one row per shard
     return (placed.join(F.broadcast(first), "shard")
             .select("doc_id", "size", "text_crc32", "shard", (F.col("rows_before") - F.col("first")).alias("slot")))
