@@ -150,7 +150,7 @@ def build_trees(counts, max_rows: int = 24_000, least: int = 4) -> Trees:
     return Trees(languages, symbol, width, row, cost)
 
 
-def train(docs: DataFrame, per_language: int = 600, max_rows: int = 24_000, doc_id="doc_id", text="text", lang="lang") -> Trees | None:
+def train(docs: DataFrame, per_language: int = 1500, max_rows: int = 24_000, doc_id="doc_id", text="text", lang="lang") -> Trees | None:
     """Trees of the languages in ``docs``; None where no row may be learned from.
 
     ``per_language`` bounds the sample of documents, whose texts are read whole; ``max_rows`` bounds the table.
