@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 from vendorlens.operators import breaches, contains, matching, stats, topk
 from vendorlens.operators.joins import spread_join
 from vendorlens.plans import vendor_detail
+from vendorlens.sources.scratch import scratch_path
 from vendorlens.verify import tables as t
 
 
@@ -81,6 +82,21 @@ def test_backfill_stops_after_empty_ranges(spark):
     assert sorted((r["message_id"], r["range"]) for r in found.collect()) == [("m0", 0), ("m1", 1), ("m2", 2), ("m3", 5), ("n1", 0)]
 
 
+def test_a_cluster_must_name_its_shared_folder(spark):
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        scratch_path(Cluster, "x")
+    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 def test_values_out_of_range_are_refused(spark, sf):
     with pytest.raises(ValueError):
         stats.daily_trend(t.messages(spark, sf), t.accounts(spark, sf), t.AS_OF_MS, 366)

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import utc_month
 from ..operators.joins import chunked_lists
-from .scratch import scratch_path  # noqa: F401  (callers take it from here)
 
 
 def with_month(messages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import enforcement, matching, stats
 from ..plans import breach_pages as pages
 from ..sources import readers, sinks
+from ..sources.scratch import scratch_path
 from . import tables as t
 from .ctes import sql
 from .joins import resolved
@@ -21,7 +22,7 @@ def company_objects(spark, sf):
 
 
 def company_files(spark, sf):
-    path = sinks.scratch_path(spark, "companies")
+    path = scratch_path(spark, "companies")
     sinks.write_json_arrays(company_objects(spark, sf), path, ["slug"])
     return path
 
@@ -58,7 +59,7 @@ def src_companies_merge(spark, sf):
 SELECT name, CASE WHEN domain LIKE '%.uk' THEN NULL ELSE domain END AS domain, breach_date, pwn_count,
   array_to_string(data_classes, ',') AS data_classes, severity = 'low' AS is_verified, false AS is_sensitive FROM breaches"""))
 def src_breaches(spark, sf):
-    path = sinks.scratch_path(spark, "breaches")
+    path = scratch_path(spark, "breaches")
     kind = F.array_join("data_classes", ",")
     objects = t.breaches(spark, sf).select(
         F.col("name").alias("Name"), F.col("title").alias("Title"),
@@ -74,7 +75,7 @@ def src_breaches(spark, sf):
 @register("src_enforcement", sql("fines", """
 SELECT etid, country, authority, decision_date, fine_eur, controller_slug, source_url, concat('Case ', k) AS description FROM fines"""))
 def src_enforcement(spark, sf):
-    path = sinks.scratch_path(spark, "fines")
+    path = scratch_path(spark, "fines")
     sinks.write_json_arrays(
         t.cells(spark, sf), path, ["row"], item=F.col("row"), head='{"data":[', tail="]}")
     parsed = enforcement.parse_enforcement(readers.read_enforcement(spark, path))
@@ -85,7 +86,7 @@ def src_enforcement(spark, sf):
 SELECT concat('ETid-', o_orderkey) AS etid, CASE WHEN o_orderpriority = '1-URGENT' THEN 'shop1' END AS company_slug
 FROM orders WHERE o_orderstatus = 'P'""")
 def src_overrides(spark, sf):
-    path = sinks.scratch_path(spark, "overrides")
+    path = scratch_path(spark, "overrides")
     slug = F.coalesce(F.concat(F.lit('"'), "company_slug", F.lit('"')), F.lit("null"))
     (t.overrides(spark, sf)
      .select(F.concat(F.lit('{"_comment":"x","'), "etid", F.lit('":'), slug, F.lit("}")).alias("value"))
@@ -97,7 +98,7 @@ def src_overrides(spark, sf):
 SELECT p_brand AS tag, CASE WHEN p_size % 5 < 4 THEN concat('file-', p_partkey) END AS asset,
   CASE WHEN p_size % 5 < 4 THEN CAST(p_size AS BIGINT) END AS download_count FROM part""")
 def src_release_assets(spark, sf):
-    path = sinks.scratch_path(spark, "releases")
+    path = scratch_path(spark, "releases")
     asset = F.struct(F.concat(F.lit("file-"), "p_partkey").alias("name"), F.col("p_size").alias("download_count"))
     none = F.expr("array()").cast("array<struct<name:string,download_count:int>>")
     releases = t.table(spark, sf, "part").select(
@@ -110,7 +111,7 @@ def src_release_assets(spark, sf):
 @register("src_messages_full", sql("messages", """
 SELECT account_id, message_id, body_preview, date_ms FROM messages WHERE date_ms >= 1600000000000 AND date_ms < 1690000000000"""))
 def src_messages_full(spark, sf):
-    path = sinks.scratch_path(spark, "mail")
+    path = scratch_path(spark, "mail")
     sinks.write_table(sinks.with_month(t.messages(spark, sf)), path, ["msg_month"])
     found = readers.read_messages(spark, path, 1_600_000_000_000, 1_690_000_000_000)
     return found.select("account_id", "message_id", "body_preview", "date_ms")
@@ -153,7 +154,7 @@ def doc_columns(frame):
 
 @register("src_breach_docs", sql("records enforcement", DOCS_SQL.format("CAST(NULL AS VARCHAR)")))
 def src_breach_docs(spark, sf):
-    path = sinks.scratch_path(spark, "docs")
+    path = scratch_path(spark, "docs")
     sinks.write_breach_docs(docs(spark, sf), path)
     return doc_columns(readers.read_breach_docs(spark, path, lines=True))
 
@@ -161,7 +162,7 @@ def src_breach_docs(spark, sf):
 @register("sink_breach_docs", sql("records enforcement", DOCS_SQL.format(
     "CASE WHEN webform IS NOT NULL THEN concat('logo-', slug) END")))
 def sink_breach_docs(spark, sf):
-    path = sinks.scratch_path(spark, "docs")
+    path = scratch_path(spark, "docs")
     source = F.struct(F.lit("site").alias("name"), F.lit("https://site").alias("url"))
     prior = t.companies(spark, sf).filter("webform IS NOT NULL").select(
         "slug", F.concat(F.lit("logo-"), "slug").alias("logoUrl"), F.struct(source.alias("source")).alias("breach"))
@@ -171,7 +172,7 @@ def sink_breach_docs(spark, sf):
 
 @register("sink_companies_json", sql("companies", COMPANY_SQL))
 def sink_companies_json(spark, sf):
-    path = sinks.scratch_path(spark, "companies-out")
+    path = scratch_path(spark, "companies-out")
     sinks.write_companies(readers.companies_from_json(company_objects(spark, sf).withColumns({
         "phone": F.lit(None).cast("string"), "comments": F.lit(None).cast("array<string>")})), path)
     back = spark.read.schema("slug string, name string, domains array<string>, categories array<string>, quality string").json(path)
@@ -182,7 +183,7 @@ def sink_companies_json(spark, sf):
 @register("sink_tables", sql("messages", """
 SELECT account_id, message_id, CASE WHEN account_id = 'a1' THEN 'new' ELSE type END AS type FROM messages"""))
 def sink_tables(spark, sf):
-    path = sinks.scratch_path(spark, "table")
+    path = scratch_path(spark, "table")
     rows = t.messages(spark, sf).select("account_id", "message_id", "type")
     sinks.write_table(rows, path, ["account_id"])
     sinks.write_table(rows.filter("account_id = 'a1'").withColumn("type", F.lit("new")), path, ["account_id"])
