@@ -87,3 +87,25 @@ def test_redaction(spark, odd, no_documents):
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "é [secret] end", 14, "keep"), (2, "clean", 5, None), (3, None, None, "x")]
     assert sorted(map(str, secrets.redact_secrets(odd).collect())) == sorted(map(str, odd.collect()))
     assert secrets.redact_secrets(no_documents).count() == 0
+
+
+LINES = ["MIIEowIBAAKCAQEA" + "x9Kq+/Zb" * 6, "Q7tR" * 16, "bWFzdGVy" * 8, "c2hvcnQ="]
+KEYS = ["\n".join(LINES), "\r\n".join(LINES), "\\n".join(LINES), " ".join(LINES), "\n".join("  " + x for x in LINES),
+        "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n" + "\n".join(LINES)]
+
+
+@pytest.mark.parametrize("body", KEYS)
+@pytest.mark.parametrize("end", [True, False])
+def test_redaction_takes_the_whole_private_key(spark, body, end):
+    gap = "\\n" if "\\n" in body else "\n"
+    key = f"-----BEGIN RSA PRIVATE KEY-----{gap}{body}" + (f"{gap}-----END RSA PRIVATE KEY-----" if end else "")
+    texts = [f"see{tail}".replace("see", f"see {key}", 1) for tail in ("", "\n", "\nNext words stay, all of them.")]
+    out = [r.text for r in secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for text, tail in zip(out, ("", "", "Next words stay, all of them.")):
+        assert text.startswith("see [secret]") and text.endswith(tail) and len(text) <= len("see [secret]\n" + tail), text
+
+
+def test_redaction_of_a_begin_line_alone(spark):
+    text = "The line -----BEGIN PRIVATE KEY----- opens a key. Then words follow, 'and more'.\n\nNew text here."
+    out = secrets.redact_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert out == text.replace("-----BEGIN PRIVATE KEY-----", "[secret]")

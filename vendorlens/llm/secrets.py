@@ -48,6 +48,13 @@ MORE = (
 )
 # Lengths stand beside the patterns: counting them inside would multiply the states of the joint automaton.
 
+_SPACE, _END = r"(\s|\\[nrt])", r"[\x20\x09]*(\x0A|\x0D|\\n|\\r)"  # white space and line ends, also as escapes of a string
+_FIELDS = rf"({_END}{_SPACE}*[A-Za-z][A-Za-z0-9-]*:[^\x0A\x0D\\]*)*"
+#: What belongs to a private key after its BEGIN line: headers and base64 up to the END line or, if there is none, up to the end of the
+#: base64 lines (runs of 20 or more, and a last one that is padded or fills its line).
+_KEY_BODY = (rf"{_FIELDS}({_SPACE}|[A-Za-z0-9+/=])*-----END ([A-Z0-9]+ )*PRIVATE KEY-----"
+             rf"|{_FIELDS}({_SPACE}+[A-Za-z0-9+/=]{{20,}})*({_SPACE}+[A-Za-z0-9+/]+=+|{_END}{_SPACE}*[A-Za-z0-9+/=]+{_END})?")
+
 
 class Scanner:
     def __init__(self, rules=BASE + MORE):
@@ -123,22 +130,31 @@ def find_secrets(docs: DataFrame, rules=BASE + MORE, doc_id: str = "doc_id", tex
     return wanted.mapInArrow(tidied(run), schema)
 
 
+@lru_cache(maxsize=1)
+def _key_body() -> Dfa:
+    return Dfa([parse(_KEY_BODY)])
+
+
 def redact_secrets(docs: DataFrame, rules=BASE + MORE, text: str = "text", n_chars: str = "n_chars", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask``; overlapping spans become one mask.
 
-    Columns and their order stay. ``n_chars``, where it is a column, becomes the new length of changed texts.
+    The span of a private key goes on from its BEGIN line over headers and body to the END line. Columns and their order stay.
+    ``n_chars``, where it is a column, becomes the new length of changed texts.
     """
-    compiled, mark = docs.sparkSession.sparkContext.broadcast(scanner(tuple(rules))), mask.encode()
+    compiled, mark = docs.sparkSession.sparkContext.broadcast((scanner(tuple(rules)), _key_body())), mask.encode()
 
     def run(batches):
-        scan = compiled.value
+        scan, body = compiled.value
         for batch in batches:
             values, changed = byte_texts(batch.column(text)), {}
             for i, data in enumerate(values):
                 spans = scan.spans(data) if data else []
                 if spans:
                     out, at = [], 0
-                    for start, _, end in spans:
+                    for start, r, end in spans:
+                        if scan.rules[r].kind == "private_key":
+                            # The added line end closes a last line that the text ends with.
+                            end = min(len(data), body.longest(data + b"\n", end))
                         if start >= at:
                             out += [data[at:start], mark]
                         at = max(at, end)
