@@ -24,7 +24,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     rf"|<({_HIDDEN.replace('|head', '')})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|</?[A-Za-z][^>]*+\Z""", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style|data-main)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute: name, then its whole value, so that nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_READ = frozenset("class id role itemprop hidden aria-hidden style data-main".split())
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
@@ -45,12 +47,14 @@ class _Element:
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                if key not in _READ:
+                    continue
                 if key == "data-main":
                     self.main = value == "1"
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     self.hidden = True
                 elif key != "style" and key != "aria-hidden":
-                    names |= {f"{'role' if key == 'role' else 'name'}:{p.lower().rstrip('s')}" for p in _NAME_PART.findall(value)[:40]}
+                    names |= {f"{'role' if key == 'role' else 'name'}:{p.lower().rstrip('s')}" for p in _NAME_PART.findall(value)}
         self.tag, self.block = tag, tag in _BLOCK
         above = parent.features if parent else frozenset()
         mine = {f"in:{tag}", *names}
