@@ -11,19 +11,15 @@ from vendorlens.llm import decontaminate
 from vendorlens.llm.common import table
 
 from test_decontaminate import brute
-from test_groups import plain_fingerprint
 from test_secrets import ASSIGN
+from test_similar import plain_kept
 
 
 def plain_run(spark, sf, sets):
     docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     docs = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t)}
-    prints = [(i, plain_fingerprint(t)) for i, t in docs.items()]
-    for k, (a, x) in enumerate(prints):
-        for b, y in prints[k + 1:]:
-            if (x ^ y).bit_count() <= 2:
-                sets.join(a, b)
-    docs = {i: t for i, t in docs.items() if sets.find(i) == i}
+    kept = set(plain_kept(sorted(docs.items()), sets))
+    docs = {i: t for i, t in docs.items() if i in kept}
     items = [(str(r.item_id), tuple(decontaminate.words_of(r.text.encode()))) for r in table(spark, sf, "benchmark").collect()]
     word = re.compile("[0-9a-z\x80-\U0010ffff]+")
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
