@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, sf, con, key):
 
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
@@ -38,9 +38,21 @@ COLUMNS = {
     "op8": "doc_id bigint, fingerprint string, component_id bigint",
     "op9": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op10": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op13": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
 }
 
 
+OTHERS = {
+    "op11": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+}
+
+
+@pytest.mark.parametrize("key", [k for k in queries.QUERIES if k.split("_")[0] in OTHERS])
+def test_columns_of_the_contract(spark, sf, key):
+    assert ", ".join(f"{n} {t}" for n, t in queries.QUERIES[key](spark, sf).dtypes) == OTHERS[key.split("_")[0]]
+
+
 @pytest.mark.parametrize("key", [k for k in queries.QUERIES if k.split("_")[0] in COLUMNS])
 def test_columns_and_rows_of_the_contract(spark, sf, key):
     df = queries.QUERIES[key](spark, sf)

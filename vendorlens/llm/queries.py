@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, langid, mainhtml, quality, secrets, sharding, simhash, warc
+from . import bpe, decontaminate, embeddings, langid, lines, mainhtml, phrases, quality, repair, secrets, sharding, simhash, warc
 from .common import table
 
 #: The tokenizer file; another one with the same word pattern may be named instead.
@@ -193,3 +193,120 @@ FROM least LEFT JOIN counted USING (vec_id)""")
 def op10_embedding_int8(spark, sf_dir):
     """Links and group of every vector."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+_PHRASE = """SELECT lang, g, count(*) AS f FROM ({}) GROUP BY 1, 2"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _cut(left, right):
+    return f"CAST(1000000::HUGEINT * t.f * t.f // ({left}::HUGEINT * {right}) AS BIGINT)"
+
+
+@query(f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+     one AS ({_PHRASE.format("SELECT lang, unnest(w) AS g FROM w")}),
+     spots AS (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w),
+     two AS ({_PHRASE.format("SELECT lang, w[i:i + 1] AS g FROM spots")}),
+     three AS ({_PHRASE.format("SELECT lang, w[i:i + 2] AS g FROM spots WHERE i + 2 <= len(w)")}),
+     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY 1),
+     longer AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, g[1:2] AS g, f FROM three WHERE f >= 10 UNION ALL SELECT lang, g[2:3], f FROM three WHERE f >= 10) GROUP BY 1, 2),
+     scored AS (
+       SELECT t.lang, t.g, t.f AS a, x.f AS l, y.f AS r, {_cut("x.f", "y.f")} AS score
+       FROM two t JOIN one x ON x.lang = t.lang AND x.g = t.g[1] JOIN one y ON y.lang = t.lang AND y.g = t.g[2]
+       LEFT JOIN longer o ON o.lang = t.lang AND o.g = t.g WHERE t.f >= 10 AND (o.f IS NULL OR 100 * o.f < 50 * t.f)
+       UNION ALL
+       SELECT lang, g, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM (
+         SELECT t.lang, t.g, t.f AS a, x.f AS l1, v.f AS r1, u.f AS l2, y.f AS r2, {_cut("x.f", "v.f")} AS s1, {_cut("u.f", "y.f")} AS s2
+         FROM three t JOIN one x ON x.lang = t.lang AND x.g = t.g[1] JOIN one y ON y.lang = t.lang AND y.g = t.g[3]
+         JOIN two u ON u.lang = t.lang AND u.g = t.g[1:2] JOIN two v ON v.lang = t.lang AND v.g = t.g[2:3] WHERE t.f >= 10)),
+     ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+                  row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM scored)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def op11_era_phrases(spark, sf_dir):
+    """Collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+_TURN = "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"
+
+
+def _edit(state, cost, letter, added=None):
+    """SQL of a path one edit longer: eight digits of cost, the edits, chr(1), the repaired turns."""
+    cut = f"strpos({state}, chr(1))"
+    turn = f" || chr(10) || {added}" if added else ""
+    return f"printf('%08d', CAST(left({state}, 8) AS INTEGER) + {cost}) || substr({state}, 9, {cut} - 9) || '{letter}' || substr({state}, {cut}){turn}"
+
+
+def _after_row():
+    """SQL of the best path to each state after a row, from those before it."""
+    paths = {q: [_edit(f"p{q}", 2, "D")] for q in range(4)}
+    for role, ways in (("s", ((0, 1),)), ("u", ((0, 2), (1, 2), (3, 2))), ("a", ((2, 3),))):
+        for q, to in ways:
+            kept = _edit(f"p{q}", "CASE WHEN kind = 1 THEN 5 ELSE 0 END", "K", "role || ':' || text")
+            paths[to].append(f"CASE WHEN kind < 2 AND left(role, 1) = '{role}' THEN {kept} END")
+    for q, to, name in ((0, 2, "user"), (1, 2, "user"), (2, 3, "assistant"), (3, 2, "user")):
+        moved = _edit(f"p{q}", "CASE WHEN kind = 1 THEN 6 ELSE 1 END", "R", f"'{name}:' || text")
+        paths[to].append(f"CASE WHEN kind < 2 THEN {moved} END")
+    return ", ".join(f"least(NULL, {', '.join(x)}) AS b{q}" for q, x in paths.items())
+
+
+def _with_inserts(source):
+    users = ", ".join(_edit(f"b{q}", 5, "I", "'user:'") for q in (0, 1, 3))
+    return f"SELECT conv, i, b0 AS p0, b1 AS p1, p2, least(b3, {_edit('p2', 5, 'I', chr(39) + 'assistant:' + chr(39))}) AS p3 FROM (SELECT *, least(b2, {users}) AS p2 FROM ({source}))"
+
+
+_VISIBLE = "regexp_replace(text, '[\x20\x09-\x0D]+$', '')"
+
+
+@query(f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+     keyed AS (SELECT conv_id, turn, coalesce(CAST(role AS VARCHAR), ' ') AS role, coalesce(text, ' ') AS text, {_TURN} AS k FROM conversations),
+     hashed AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(range(strlen(k)),
+                 lambda i: CAST(concat('0x', substr(hex(encode(k)), 2 * i + 1, 2)) AS UBIGINT)), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)]), 4294967295::UBIGINT),
+                 4294967295::UBIGINT) % 20 AS f FROM keyed, crc),
+     damaged AS (SELECT coalesce('=' || CAST(conv_id AS VARCHAR), '') AS conv, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+                   CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE f <> 0),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i, {_VISIBLE} AS visible FROM damaged),
+     marked AS (SELECT conv, turn, role, text, i, CASE WHEN visible = '' THEN 2 WHEN i > min(i) OVER (PARTITION BY conv, role, text) THEN 3 WHEN right(visible, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS kind,
+                  left(lag(role) OVER (PARTITION BY conv ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
+     facts AS (SELECT conv, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 2) AS blank,
+                 count(*) FILTER (kind = 3) AS duplicate, count(*) FILTER (kind = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY 1),
+     steps AS ({_with_inserts("SELECT DISTINCT conv, 0 AS i, '00000000' || chr(1) AS b0, CAST(NULL AS VARCHAR) AS b1, CAST(NULL AS VARCHAR) AS b2, CAST(NULL AS VARCHAR) AS b3 FROM marked")}
+       UNION ALL
+       {_with_inserts(f"SELECT m.conv, CAST(m.i AS INTEGER) AS i, {_after_row()} FROM steps JOIN marked m ON m.conv = steps.conv AND m.i = steps.i + 1")}),
+     best AS (SELECT s.conv, least(p0, p3) AS path FROM steps s JOIN facts f ON f.conv = s.conv AND f.rows = s.i),
+     convs AS (SELECT DISTINCT conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), '') AS conv FROM conversations)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(CAST(left(path, 8) AS INTEGER), 0) AS BIGINT) AS cost, coalesce(substr(path, 9, strpos(path, chr(1)) - 9), '') AS audit,
+       sha256(coalesce(substr(path, strpos(path, chr(1)) + 2), '')) AS repaired_sha256
+FROM convs LEFT JOIN facts ON facts.conv = convs.conv LEFT JOIN best ON best.conv = convs.conv""")
+def op12_checkpointed_repair(spark, sf_dir):
+    """Every conversation, damaged by a hash of its turns and repaired."""
+    turns = table(spark, sf_dir, "conversations")
+    text = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("conv_id", "turn")]
+    harm = F.crc32(F.concat(text[0], F.lit(":"), text[1]).cast("binary")) % 20
+    role, said = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("role", "text"))
+    damaged = (turns.withColumn("harm", harm).filter("harm <> 0")
+               .select("conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(role).alias("role"),
+                       F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate(said, ".!?", "")).otherwise(said).alias("text"),
+                       F.explode(F.when(F.col("harm") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")))
+    found = repair.repair(damaged, outputs=("sha256",)).withColumnRenamed("conv_id", "found_id").withColumn("repaired_sha256", F.col("sha256"))
+    every = turns.select("conv_id").distinct().join(found, F.expr("conv_id <=> found_id"), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+     l AS (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+     firsts AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+     m AS (SELECT l.*, first IS NOT NULL AND first IS DISTINCT FROM doc_id AS gone FROM l LEFT JOIN firsts USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r""")
+def op13_perfect_hash_lines(spark, sf_dir):
+    """Every document without the lines that a document with a smaller id keeps."""
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
