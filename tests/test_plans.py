@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from vendorlens.operators import breaches, contains, matching, stats, topk
+from vendorlens.operators import breaches, contains, deep_pages, matching, stats, topk
 from vendorlens.operators.joins import spread_join
 from vendorlens.plans import vendor_detail
 from vendorlens.sources.scratch import scratch_path
@@ -65,14 +65,32 @@ def test_texts_are_shuffled_once(spark):
     assert lines and all("big#" not in line for line in lines)
 
 
-def test_deep_ranks_equal_a_window(spark, monkeypatch):
-    rows = spark.range(4000).select(F.when(F.col("id") % 4 < 3, "hot").otherwise("cold").alias("k"), (F.col("id") * 7919 % 97).alias("v"), "id")
-    order = [F.desc("v"), F.asc("id")]
-    want = rows.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+@pytest.mark.parametrize("few, columns", [(50_000, "v id"), (20, "v id"), (20, "name id"), (20, "same name id"), (20, "at name")])
+def test_deep_ranks_equal_a_window(spark, monkeypatch, few, columns):
+    """Ties that fill most of a group, nulls, texts that differ late, groups of different size; nothing is written but a row per group."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 4 < 3, "hot").otherwise("cold").alias("k"), F.when(F.col("id") % 10 < 7, 50).otherwise(F.col("id") * 7919 % 97).alias("v"), "id",
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("a name of some length "), (F.col("id") * 31 % 1000).cast("string"))).alias("name"),
+        F.lit(None).cast("int").alias("same"), F.timestamp_seconds(F.col("id") * 7 % 500).alias("at"))
+    order = [(c, n % 2 == 0) for n, c in enumerate(columns.split())]
+    order += [("id", False)] if "id" not in columns else []
+    want = rows.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*deep_pages.sort_of(order)))).select("k", "id", "rank").collect()
     monkeypatch.setattr(topk, "NEAR_RANK", 10)
-    for first, last in ((0, 20), (995, 1005), (2950, 3100), (4000, 4010)):
-        got = topk.ranked_between(rows, ["k"], order, first, last)
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.filter(f"rank > {first} AND rank <= {last}").collect()))
+    monkeypatch.setattr(deep_pages, "FEW", few)
+    written, kept = [], deep_pages._kept
+    monkeypatch.setattr(deep_pages, "_kept", lambda df, spark: written.append(kept(df, spark)) or written[-1])
+    for first, last in ((995, 1005), (2950, 3100), (4000, 4010)) if few == 20 else ((0, 20), (2950, 3100)):
+        got = topk.ranked_between(rows, ["k"], order, first, last).select("k", "id", "rank")
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in want if first < r["rank"] <= last)
+    assert all(df.count() <= 2 for df in written) and (few > 20 or len(written) > 3)
+
+
+def test_a_deep_page_ranks_few_rows(spark, monkeypatch):
+    rows = spark.range(200_000).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 100_003).alias("v"), "id")
+    monkeypatch.setattr(deep_pages, "FEW", 1000)
+    near, earlier = deep_pages.narrowed(rows, ["k"], [("v", False), ("id", False)], 120_000, 120_050)
+    at = earlier.first()["_earlier"]
+    assert 50 <= near.count() < 10_000 and 110_000 < at <= 120_000
 
 
 def test_backfill_stops_after_empty_ranges(spark):

@@ -8,19 +8,22 @@ from ..functions.dates import DAY_MS, utc_day
 LEVELS = ["high", "medium", "low"]
 
 
+def vendor_risk():
+    return signals.computed_risk(F.col("category_id"), F.col("has_orders"), F.col("has_account"))
+
+
 def risk_counts(vendors: DataFrame) -> DataFrame:
     """Vendors per account and computed risk level; levels without vendors show 0."""
-    risk = signals.computed_risk(F.col("category_id"), F.col("has_orders"), F.col("has_account"))
-    per_account = vendors.withColumn("risk", risk).groupBy("account_id").agg(
+    per_account = vendors.withColumn("risk", vendor_risk()).groupBy("account_id").agg(
         *[F.count_if(F.col("risk") == level).alias(level) for level in LEVELS])
     pairs = F.array(*[F.struct(F.lit(x).alias("risk_level"), F.col(x).alias("vendors")) for x in LEVELS])
     return per_account.select("account_id", F.inline(pairs))
 
 
-def dashboard(vendors: DataFrame, messages: DataFrame, actions: DataFrame) -> DataFrame:
-    """Eight headline counts per account.
+def vendor_measures() -> dict:
+    """The headline counts that vendors make: name and whether a vendor counts.
 
-    ``vendors`` carries the feature columns and ``on_breach_list``; messages give the total only.
+    Vendors carry the feature columns and ``on_breach_list``.
     """
     open_ = F.col("status").isNull() | (F.col("status") != "reviewed")
     actioned = (F.col("status") == "reviewed") | F.col("has_action")
@@ -28,15 +31,19 @@ def dashboard(vendors: DataFrame, messages: DataFrame, actions: DataFrame) -> Da
     visible = (
         open_ & (F.col("has_account") | F.col("on_breach_list")) & ~F.col("is_personal")
         & (F.col("has_nonpersonal") | actioned) & (F.col("has_unwhitelisted") | actioned))
-    risk = signals.computed_risk(F.col("category_id"), F.col("has_orders"), F.col("has_account"))
-    counts = vendors.groupBy("account_id").agg(
-        F.count_if(visible).alias("unique_vendors"),
-        F.count_if(F.col("has_marketing") & F.col("has_unwhitelisted_bulk")).alias("mailing_lists"),
-        F.count_if(F.col("on_breach_list") & open_).alias("breached"),
-        F.count_if(F.col("has_marketing") & F.col("has_action")).alias("lists_actioned"),
-        F.count_if(F.col("has_actionable_recent_bulk")).alias("active_subscriptions"),
-        F.count_if(F.col("status") == "reviewed").alias("reviewed"),
-        F.count_if(visible & (risk == "high")).alias("high_risk_unreviewed"))
+    return {
+        "unique_vendors": visible,
+        "mailing_lists": F.col("has_marketing") & F.col("has_unwhitelisted_bulk"),
+        "breached": F.col("on_breach_list") & open_,
+        "lists_actioned": F.col("has_marketing") & F.col("has_action"),
+        "active_subscriptions": F.col("has_actionable_recent_bulk"),
+        "reviewed": F.col("status") == "reviewed",
+        "high_risk_unreviewed": visible & (vendor_risk() == "high")}
+
+
+def dashboard(vendors: DataFrame, messages: DataFrame, actions: DataFrame) -> DataFrame:
+    """Eight headline counts per account; messages give the total only."""
+    counts = vendors.groupBy("account_id").agg(*[F.count_if(hit).alias(name) for name, hit in vendor_measures().items()])
     total = messages.groupBy("account_id").agg(F.count(F.lit(1)).alias("total_messages"))
     return (
         total.join(counts, "account_id", "full")

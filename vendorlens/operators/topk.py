@@ -1,10 +1,10 @@
 """Newest-n and best-of operators. The rank filter sits directly above its window, so Spark cuts
 each group to n rows per partition before the shuffle (up to rank 1000); a hot vendor never lands in
-one task whole. Deeper pages go over a range-partitioned sort."""
+one task whole. Deeper pages are narrowed to a value range by quantile sketches."""
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.scratch import scratch_path
+from .deep_pages import narrowed, sort_of
 
 VENDOR = ["account_id", "vendor_key"]
 
@@ -111,27 +111,16 @@ NEAR_RANK = 1000
 def ranked_between(df: DataFrame, keys, order, first: int, last: int) -> DataFrame:
     """Rows with ``first < rank <= last`` in their group, with their ``rank``.
 
-    Near ranks come from a window that is cut per partition. Beyond, the rows are sorted by range over all
-    tasks and stored; counts of the pieces say which piece holds which ranks, and only the pieces
-    of the page are ranked. No task holds more of a group than one piece.
+    ``order``: pairs (column, falling); nulls are smallest. Near ranks come from a window that is cut per partition; of farther ones, only the rows of a value range that is
+    sure to hold them are ranked (:mod:`deep_pages`). Nothing is sorted or written as a whole.
     """
     if last <= NEAR_RANK:
-        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_of(order))))
         return ranked.filter(F.col("rank") <= last).filter(F.col("rank") > first)
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "ranked")
-    df.repartitionByRange(parts, *keys, *order).withColumn("_piece", F.spark_partition_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = (
-        rows.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .filter((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first)).drop("_n"))
-    place = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
-    return (
-        rows.join(pieces, [*keys, "_piece"]).withColumn("rank", place + F.col("_before"))
-        .filter((F.col("rank") > first) & (F.col("rank") <= last)).drop("_piece", "_before"))
+    near, earlier = narrowed(df, keys, order, first, last)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_of(order)))
+    ranked = near.withColumn("rank", place).join(earlier, list(keys)).withColumn("rank", F.col("rank") + F.col("_earlier"))
+    return ranked.filter((F.col("rank") > first) & (F.col("rank") <= last)).drop("_earlier")
 
 
 def page_of(df: DataFrame, keys, order, page: int, limit: int) -> DataFrame:

@@ -87,7 +87,7 @@ def activity_rows(actions: DataFrame, vendors: DataFrame) -> DataFrame:
 def activity_log(actions: DataFrame, vendors: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Newest actions of each account after ``offset``, with the account's ``total``."""
     total = actions.groupBy("account_id").agg(F.count(F.lit(1)).alias("total"))
-    newest = [F.desc("actioned_at"), F.asc("action_id")]
+    newest = [("actioned_at", True), ("action_id", False)]
     return (
         topk.ranked_between(activity_rows(actions, vendors), ["account_id"], newest, offset, offset + limit)
         .join(total, "account_id")

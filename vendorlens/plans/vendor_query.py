@@ -172,14 +172,13 @@ def select_vendors(vendors: DataFrame, q: VendorQuery, as_of_ms: int) -> DataFra
 
 
 def sort_columns(q: VendorQuery):
-    """Sort of the page. The vendor key settles ties, so pages do not overlap."""
+    """Sort of the page, as pairs (column, falling). The vendor key settles ties, so pages do not overlap."""
     by = q.sort_by if q.sort_by in SORTS else "message_count"
-    up = q.sort_dir == "ASC"
+    down = q.sort_dir != "ASC"
     if by == "risk":
         rank = signals.risk_rank(F.col("category_id"), F.col("has_orders"), F.col("has_account"))
-        return [rank.asc() if up else rank.desc(), F.desc("message_count"), F.asc("vendor_key")]
-    first = F.col(by).asc_nulls_first() if up else F.col(by).desc_nulls_last()
-    return [first] if by == "vendor_key" else [first, F.asc("vendor_key")]
+        return [(rank, down), ("message_count", True), ("vendor_key", False)]
+    return [(by, down)] if by == "vendor_key" else [(by, down), ("vendor_key", False)]
 
 
 def vendor_page(vendors: DataFrame, q: VendorQuery) -> DataFrame:
