@@ -131,3 +131,61 @@ def test_late_days_are_counted(spark, tmp_path):
         daily.start_daily(spark.readStream.schema("account_id string, ts timestamp").parquet(source), out, checkpoint).awaitTermination()
     got = sorted((str(r["day"]), r["n"]) for r in daily.current_days(spark, out).collect())
     assert got == [("2023-10-30", 1), ("2024-01-30", 2), ("2024-01-31", 1)]
+
+
+def test_changes_delivered_again_reach_no_batch(spark, sf, tmp_path, monkeypatch):
+    """A file that comes twice, and one that repeats changes with other bodies: the state of the stream drops them before a batch sees them."""
+    seen, plain = [], ingest.apply_batch
+    monkeypatch.setattr(ingest, "apply_batch", lambda df, n, *a: seen.append(df.count()) or plain(df, n, *a))
+    rows, tables = landing(spark, sf).filter("seq < 120"), ingest.Tables(str(tmp_path / "store"), buckets=2)
+    n = rows.count()
+    for again in (rows, rows.withColumn("subject", F.lit("again")), rows.withColumn("seq", F.col("seq") + 1000)):
+        again.write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.start_ingest(spark, str(tmp_path / "in"), tables, str(tmp_path / "ck")).awaitTermination()
+    assert sum(seen) == 2 * n  # other change numbers are other changes; their ids are stored already
+    live = ingest.live_messages(spark, tables)
+    assert live.count() == live.select("account_id", "message_id").distinct().count() and live.filter("subject = 'again'").count() == 0
+
+
+def test_a_batch_that_fails_in_its_middle_gives_equal_rows(spark, sf, tmp_path, monkeypatch):
+    rows, tables = landing(spark, sf), ingest.Tables(str(tmp_path / "store"), buckets=2)
+    rows.write.parquet(str(tmp_path / "in"))
+    plain, calls = ingest._refresh, []
+
+    def fails_once(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        return plain(*args)
+
+    monkeypatch.setattr(ingest, "_refresh", fails_once)
+    for _ in range(2):
+        try:
+            ingest.start_ingest(spark, str(tmp_path / "in"), tables, str(tmp_path / "ck"), companies=t.companies(spark, sf)).awaitTermination()
+        except Exception:
+            assert len(calls) == 1
+    assert len(calls) == 2 and keys(ingest.live_messages(spark, tables)) == keys(t.messages(spark, sf))
+    assert facts(ingest.current_vendors(spark, tables), *FACTS) == facts(t.vendors(spark, sf), *FACTS)
+
+
+def test_a_new_company_matches_vendors_without_new_mail(spark, sf, tmp_path):
+    rows, tables = landing(spark, sf), ingest.Tables(str(tmp_path / "store"), buckets=4)
+    companies = t.companies(spark, sf)
+    ingest.apply_batch(rows.filter("seq < 900"), 0, tables, companies=companies.filter("ord < 4"))
+    open_before = ingest.current_vendors(spark, tables).filter("company_slug IS NULL").count()
+    ingest.apply_batch(rows.filter("seq >= 900"), 1, tables, companies=companies)
+    now = ingest.current_vendors(spark, tables)
+    assert facts(now, *FACTS) == facts(t.vendors(spark, sf), *FACTS) and now.filter("company_slug IS NULL").count() < open_before
+
+
+def test_changes_have_no_limit_and_need_no_feed(spark, sf, tmp_path):
+    tables = ingest.Tables(str(tmp_path / "store"), buckets=2)
+    status = spark.createDataFrame([("a", "x.com", "reviewed")], "account_id string, vendor_key string, status string")
+    assert ingest.user_changes(spark, tables, vendor_status=status) == 0 + 1
+    assert ingest.current_vendors(spark, tables).count() == 0 and ingest.next_batch(spark, tables) == 0
+    ingest.apply_batch(landing(spark, sf).filter("seq < 50"), 0, tables)
+    one = ingest.live_messages(spark, tables).limit(1).select("account_id", "message_id").collect()
+    ids = spark.createDataFrame(one)
+    ingest._write(spark.createDataFrame([("a", "m", "v", "mark", "x")], ingest.SCHEMAS["changes"]), tables, "changes", (0, 5000))
+    assert ingest.user_changes(spark, tables, delete=ids) == 5001
+    assert ingest.live_messages(spark, tables).join(ids, ["account_id", "message_id"]).count() == 0

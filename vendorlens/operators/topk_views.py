@@ -17,7 +17,7 @@ from .topk import VENDOR, METHOD_PRIORITY
 class TopK:
     """The first ``k`` rows per ``keys`` by ``order`` (descending unless ``up``), of the rows that ``where`` lets in, with a reserve of ``reserve`` rows.
 
-    ``order`` ends in the id, so no two rows of a key are equal in it; ``payload`` are further columns of an item.
+    ``order`` ends in the id, so no two rows of a key are equal in it; ``payload`` are further columns of an item. Rows without a key are in no list.
     """
 
     keys: tuple
@@ -30,7 +30,7 @@ class TopK:
 
     def _rows(self, messages: DataFrame) -> DataFrame:
         item = F.struct(F.struct(*self.order).alias("at"), F.struct(*self.order, *self.payload).alias("value"))
-        return messages.filter(self.where).select(*self.keys, item.alias("item"))
+        return messages.filter(self.where).dropna(subset=list(self.keys)).select(*self.keys, item.alias("item"))
 
     def _listed(self, rows: DataFrame) -> DataFrame:
         """Lists of rows of (keys, item, floor): cut to k + reserve; what is cut off lowers nothing but raises the floor."""
