@@ -18,11 +18,15 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import byte_texts, tidied
 from .layouts import labelled_pages
 
-#: Elements whose inside is never text of the page.
-_HIDDEN = "script|style|template|noscript|iframe|object|svg|math|canvas|audio|video|select|textarea|button|title|head"
+#: Elements that hold raw text, up to their end tag or the end of the page; none of it is text of the page.
+_RAW = "script|style|textarea|title|iframe|noscript"
+#: Elements whose inside is not shown as text.
+_SILENT = frozenset("template svg canvas audio video select button annotation annotation-xml".split())
+#: Elements that "/>" closes.
+_FOREIGN = frozenset(("svg", "math"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    rf"|<({_HIDDEN.replace('|head', '')})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    rf"|<({_RAW})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|</?[A-Za-z][^>]*+\Z""", re.S | re.I)
 #: One attribute: name, then its whole value, so that nothing inside a value is taken for a name.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -38,9 +42,9 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 
 
 class _Element:
-    """An open element. ``features`` are those of the whole path; elements of equal paths share them."""
+    """What is known of an element by its path; elements of equal paths share it. ``features`` are those of the whole path."""
 
-    __slots__ = ("tag", "block", "features", "main", "hidden", "children")
+    __slots__ = ("tag", "block", "features", "main", "hidden", "silent", "link", "children")
 
     def __init__(self, tag, attributes, parent):
         names, self.hidden, self.main = set(), parent.hidden if parent else False, parent.main if parent else None
@@ -56,6 +60,8 @@ class _Element:
                 elif key != "style" and key != "aria-hidden":
                     names |= {f"{'role' if key == 'role' else 'name'}:{p.lower().rstrip('s')}" for p in _NAME_PART.findall(value)}
         self.tag, self.block = tag, tag in _BLOCK
+        self.silent = tag in _SILENT or parent is not None and parent.silent
+        self.link = tag == "a" or parent is not None and parent.link
         above = parent.features if parent else frozenset()
         mine = {f"in:{tag}", *names}
         self.features = above if mine <= above else above | mine
@@ -66,45 +72,61 @@ class _Element:
         key = (tag, attributes)
         found = self.children.get(key)
         if found is None:
-            found = _Element(tag, attributes, self)
-            if len(self.children) < 200:
-                self.children[key] = found
+            found = self.children[key] = _Element(tag, attributes, self)
         return found
 
 
+def _unclosed(tokens: list) -> set:
+    """Which tokens open a silent element that no end tag closes."""
+    open_ = {}
+    for i, m in enumerate(tokens):
+        tag = m[3] and m[3].lower()
+        if tag in _SILENT:
+            if not m[2]:
+                open_.setdefault(tag, []).append(i)
+            elif open_.get(tag):
+                open_[tag].pop()
+    return {i for found in open_.values() for i in found}
+
+
 def blocks(page: str) -> list:
-    """``(element, container, text, linked)`` for each block with text, in page order; ``linked`` is the share of text inside links."""
-    out, root = [], _Element("html", "", None)
-    stack, run, linked, at = [root], [], 0, 0
+    """``(element, container, text, linked, numbers)`` for each block with text, in page order; ``linked`` is the share of text inside links,
+    ``numbers`` tell the block's element and its container from all others of the page."""
+    out, tokens = [], list(_TOKEN.finditer(page))
+    loose = _unclosed(tokens)
+    # Open elements, with their number; the third is set for a silent one that nothing closes.
+    stack, run, linked, at, number, ends_soon = [(_Element("html", "", None), 0, False)], [], 0, 0, 0, False
 
     def flush():
         nonlocal linked
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                here = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].block)
+                here = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0].block or i == 0)
+                above = max(0, here - 1)
                 total = sum(map(len, run))
-                out.append((stack[here], stack[max(0, here - 1)], text, min(1.0, linked / max(1, total))))
+                out.append((stack[here][0], stack[above][0], text, min(1.0, linked / max(1, total)), (stack[here][1], stack[above][1])))
             run.clear()
         linked = 0
 
     def text(part):
         nonlocal linked
-        if part:
+        inner = stack[-1][0]
+        if part and not inner.silent:
             run.append(part)
-            if any(e.tag == "a" for e in stack[-4:]):
+            if inner.link:
                 linked += len(part)
 
     def close(tags, holders):
         """Closes the innermost element of ``tags`` unless one of ``holders`` stands inside."""
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
+            if stack[i][0].tag in tags:
                 del stack[i:]
                 return
-            if stack[i].tag in holders:
+            if stack[i][0].tag in holders:
                 return
 
-    for m in _TOKEN.finditer(page):
+    for i, m in enumerate(tokens):
         text(page[at:m.start()])
         at = m.end()
         tag = m[3]
@@ -116,15 +138,17 @@ def blocks(page: str) -> list:
                 run.append(" ")
             elif tag in _BLOCK:
                 flush()
-                if any(e.tag == tag for e in stack[1:]):
-                    while stack.pop().tag != tag:
+                if any(e[0].tag == tag for e in stack[1:]):
+                    while stack.pop()[0].tag != tag:
                         pass
             else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].block:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0].tag == tag:
+                        if any(e[0].block for e in stack[k:]):
+                            flush()
+                        del stack[k:]
                         break
-                    if stack[i].tag == tag:
-                        del stack[i:]
+                    if stack[k][0].block and tag not in _SILENT:
                         break
             continue
         if tag in ("br", "hr", "img", "input", "wbr"):
@@ -133,16 +157,23 @@ def blocks(page: str) -> list:
             elif tag != "wbr":
                 run.append(" ")
             continue
-        if tag in _VOID or tag == "html":
+        if tag in _VOID or tag == "html" or tag in _FOREIGN and m[4].endswith("/"):
             continue
         if tag in _BLOCK:
             flush()
+            if ends_soon:
+                # What nothing closes ends where the next block begins, if its parent doesn't end before.
+                lost = next((k for k, e in enumerate(stack) if e[2]), len(stack))
+                del stack[lost:]
+                ends_soon = False
             close({"p"}, _BLOCK - {"p"})
             if tag in _CLOSES:
                 close(*_CLOSES[tag])
             if tag != "head":
                 close({"head"}, ())
-        stack.append(stack[-1].child(tag, m[4]))
+        number += 1
+        ends_soon = ends_soon or i in loose
+        stack.append((stack[-1][0].child(tag, m[4]), number, i in loose))
     text(page[at:])
     flush()
     return out
@@ -161,7 +192,7 @@ def _text_features(text: str, linked: float) -> tuple:
 
 def features(found: list, i: int) -> list:
     """All features of block i: of its path, its text, and its place at the ends of the page."""
-    element, container, text, linked = found[i]
+    element, container, text, linked, _ = found[i]
     own = [*element.features, f"tag:{element.tag}", f"below:{container.tag}", *_text_features(text, linked), "any"]
     if element.hidden:
         own.append("hidden")
@@ -173,8 +204,8 @@ def features(found: list, i: int) -> list:
 
 
 def _joined(found: list) -> list:
-    """For each block but the first: 1 if it has the container of the one before."""
-    return [int(a[1] is b[1] or a[0] is b[0]) for a, b in zip(found, found[1:])]
+    """For each block but the first: 1 if it has the container of the one before, or its element."""
+    return [int(a[4][0] == b[4][0] or a[4][1] == b[4][1]) for a, b in zip(found, found[1:])]
 
 
 class Field:
@@ -187,7 +218,7 @@ class Field:
         out, weight = [], self.weight.get
         if len(self._paths) > 50_000:
             self._paths.clear()
-        for i, (element, container, text, linked) in enumerate(found):
+        for element, container, text, linked, _ in found:
             key = (element.features, element.tag, container.tag, element.hidden)
             path = self._paths.get(key)
             if path is None:
@@ -275,7 +306,8 @@ def extract_text(pages: DataFrame, field: Field | None = None, html_column: str
     """``pages`` with ``text`` (the main text) and ``n_chars`` (its code points) in place of columns of these names.
 
     White space inside a block becomes one space; blocks are joined by one newline. Null and empty pages, and pages without an
-    article, give an empty text. Broken markup is read as browsers do: what is never closed ends with its parent.
+    article, give an empty text. Broken markup is read as browsers do: what is never closed ends with its parent, and a
+    button, select, svg, canvas, audio, video or template that is never closed ends at the next block too. Repeated rows give repeated rows.
     """
     model = field or trained()
     model._paths.clear()
