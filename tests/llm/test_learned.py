@@ -26,7 +26,7 @@ def test_language_of_held_out_documents(documents, trees):
 
 def test_code_lengths_are_those_of_the_trees(documents):
     counts = [tuple(r) for r in langid.context_counts(langid.training_sample(documents, 5)).collect()]
-    trees, seen = langid.build_trees(counts, max_rows=10**9, least=1), {}
+    trees, seen = langid.build_trees(counts), {}  # as production: no context is left out
     for lang, code, n in counts:
         b = code.to_bytes(4, "big")
         for k in range(4):
@@ -73,6 +73,27 @@ def test_odd_documents_have_a_language_or_none(odd, no_documents, trees):
     assert langid.keep_identified(odd, trees).count() == odd.count() - 5
 
 
+def test_trees_built_in_tasks_are_those_of_the_counts(documents):
+    counts = [tuple(r) for r in langid.context_counts(langid.training_sample(documents, 7)).collect()]
+    one, two = langid.build_trees(counts), langid.train(documents, per_language=7)
+    assert one.languages == two.languages and all(a.packed() == b.packed() for a, b in zip(one.trees, two.trees))
+    assert sum(len(x) for t in two.trees for x in t.packed()) < 1 << 20
+
+
+def test_texts_of_no_learned_language_go(spark, documents):
+    texts = [(1, "这是一个没有人学过的语言的句子。" * 20), (2, "Это предложение на другом языке. " * 20), (3, documents.first().text), (4, "12 34"), (5, None)]
+    extra = spark.createDataFrame([(i, t, None) for i, t in texts], "doc_id long, text string, lang string")
+    rows = documents.select("doc_id", "text", "lang").unionByName(extra.withColumn("doc_id", langid.F.col("doc_id") + 10**9))
+    kept = {r.doc_id for r in langid.keep_identified(rows).collect()}
+    assert {i - 10**9 for i in kept if i >= 10**9} == {3}
+    assert {r.doc_id for r in documents.collect() if r.text and any(map(str.isalpha, r.text))} <= kept
+
+
+def test_without_labels_only_letterless_texts_go(odd):
+    none = odd.withColumn("lang", langid.F.lit(None).cast("string"))
+    assert langid.keep_identified(none).count() == odd.count() - 5
+
+
 def test_without_labels_nothing_is_said(odd):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
 

@@ -3,8 +3,11 @@
 Per language, a tree of byte contexts of order 0 to 3 counts which byte follows. The code length of a byte
 is that of the longest context in the tree; a byte not seen there costs an escape and is coded in the next
 shorter context. The statistics are frozen after training, so the cost of a byte depends on it and
-the three bytes before only, and the trees of all languages become one table of exact code lengths.
-A text is scored whole; the language with the least total wins.
+the three bytes before only. Every context that the training texts hold is kept, sparsely: a code length for each byte seen in it and one for the escape.
+A text is scored whole, its different four-byte runs once for each language; the language with the least total wins.
+
+A language has about 45,000 seen bytes in contexts and 11,000 contexts here, 0.5 MB; four languages make 2 MB to broadcast, 100 languages about 50 MB. Trees are built in tasks, one a
+language, of the bounded sample; the driver sees them packed.
 """
 
 import re
@@ -61,15 +64,61 @@ def context_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+class Tree:
+    """The contexts of one language: ``seen[k]`` are runs of k + 1 bytes, ascending, with the ``bits`` of the last one after the others;
+    ``contexts[k]`` are runs of k bytes with the bits of an ``escape``."""
+
+    def __init__(self, arrays: list):
+        self.seen, self.bits, self.contexts, self.escape = ([arrays[4 * k + i] for k in range(ORDER + 1)] for i in range(4))
+
+    @classmethod
+    def of(cls, codes: np.ndarray, n: np.ndarray) -> "Tree":
+        """From counts of four-byte runs. Escapes follow method C: with T symbols seen in a context, d of
+        them distinct, a seen symbol has n / (T + d), an unseen one d / (T + d) times its share in the shorter context."""
+        arrays = []
+        for k in range(ORDER + 1):
+            seen, at = np.unique(codes & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, n)
+            contexts, of = np.unique(seen >> 8, return_inverse=True)
+            distinct, total = np.bincount(of), np.bincount(of, count)
+            both = np.log2(total + distinct)
+            arrays += [seen.astype("<u4"), (both[of] - np.log2(count)).astype("<f4"), contexts.astype("<u4"), (both - np.log2(distinct)).astype("<f4")]
+        return cls(arrays)
+
+    def packed(self) -> list:
+        return [x.tobytes() for k in range(ORDER + 1) for x in (self.seen[k], self.bits[k], self.contexts[k], self.escape[k])]
+
+    @classmethod
+    def unpacked(cls, data: list) -> "Tree":
+        return cls([np.frombuffer(x, kind) for x, kind in zip(data, ["<u4", "<f4"] * 2 * (ORDER + 1))])
+
+    def cost(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four-byte run after the others."""
+        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
+        for k in range(ORDER, -1, -1):
+            run = codes[open_] & np.uint32((1 << 8 * (k + 1)) - 1)
+            at, found = _find(self.seen[k], run)
+            out[open_[found]] += self.bits[k][at[found]]
+            open_, context = open_[~found], run[~found] >> np.uint32(8)
+            at, known = _find(self.contexts[k], context)
+            out[open_[known]] += self.escape[k][at[known]]
+        out[open_] += 8
+        return out
+
+
+def _find(sorted_: np.ndarray, values: np.ndarray):
+    """(places of the values in an ascending array, which ones are there)."""
+    at = np.minimum(np.searchsorted(sorted_, values), max(0, len(sorted_) - 1))
+    return at, sorted_[at] == values if len(sorted_) else np.zeros(len(values), bool)
+
+
 @dataclass
 class Trees:
-    """``cost[row * width + symbol]`` are the bits of a symbol per language; ``row[context]`` is the context's row."""
+    """The trees of all languages; ``most_bits`` is the bound on bits per byte above which a text is of none of them."""
 
     languages: list
-    symbol: np.ndarray
-    width: int
-    row: np.ndarray
-    cost: np.ndarray
+    trees: list
+    most_bits: float = float("inf")
 
     def score(self, texts: list) -> np.ndarray:
         """Total bits of each text (normalized bytes) under each language, in pieces of bounded size."""
@@ -90,79 +139,58 @@ class Trees:
         if not pieces:
             return
         lengths = np.array([len(p) for _, p in pieces])
-        s = self.symbol[np.frombuffer(b"".join(p for _, p in pieces), np.uint8)]
-        context = (s[:-3] * self.width + s[1:-2]) * self.width + s[2:-1]
-        bits = self.cost[self.row[context] * self.width + s[3:]]
+        codes, of = np.unique(_code(np.frombuffer(b"".join(p for _, p in pieces), np.uint8)).astype(np.uint32), return_inverse=True)
         ends = np.cumsum(lengths) - 3
         # The places that mix two pieces, the first three of all but the first piece, lie between end and next start.
         bounds = np.stack([ends - lengths + 3, ends], axis=1).ravel()
-        sums = np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), bits.dtype)]), bounds, axis=0, dtype=np.float64)[::2]
-        np.add.at(total, [i for i, _ in pieces], sums)
+        owners = [i for i, _ in pieces]
+        for k, tree in enumerate(self.trees):
+            bits = np.append(tree.cost(codes)[of], 0.0)
+            np.add.at(total[:, k], owners, np.add.reduceat(bits, bounds)[::2])
 
 
-def build_trees(counts, max_rows: int = 24_000, least: int = 4) -> Trees:
-    """Trees from ``(lang, code, n)`` rows.
+def build_trees(counts) -> Trees:
+    """Trees from ``(lang, code, n)`` rows; every context is kept."""
+    by_lang = {}
+    for lang, code, n in counts:
+        by_lang.setdefault(lang, []).append((code, n))
+    languages = sorted(by_lang)
+    return Trees(languages, [Tree.of(*np.array(by_lang[x], np.int64).T) for x in languages])
 
-    A context of order 3 is kept where it was seen ``least`` times in some language, the most frequent first up to
-    ``max_rows``; others fall back on their last two bytes. Escapes follow method C: with T symbols seen in a context, d of
-    them distinct, a seen symbol has n / (T + d), an unseen one d / (T + d) times its share in the shorter context.
-    """
-    languages = sorted({c[0] for c in counts})
-    codes, place = np.unique(np.array([c[1] for c in counts], np.int64), return_inverse=True)
-    n = np.zeros((len(codes), len(languages)))
-    np.add.at(n, (place, np.searchsorted(languages, [c[0] for c in counts])), [c[2] for c in counts])
-    parts = np.stack([(codes >> s) & 255 for s in (24, 16, 8, 0)], axis=1)
-    seen = np.unique(np.concatenate([parts.ravel(), [10]]))
-    width = len(seen) + 1  # the last symbol stands for every byte that was never seen
-    symbol = np.full(256, width - 1, np.int32)
-    symbol[seen] = np.arange(len(seen))
-    p = symbol[parts].astype(np.int64)
-    L = len(languages)
-
-    def coded(context, size, shorter):
-        """Bits of every symbol after each of ``size`` contexts, given those of the shorter contexts."""
-        follow = np.zeros((size * width, L))
-        np.add.at(follow, context * width + p[:, 3], n)
-        follow = follow.reshape(size, width, L)
-        total, distinct = follow.sum(axis=1, keepdims=True), (follow > 0).sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            found = np.log2(total + distinct) - np.log2(follow)
-            escape = np.log2(total + distinct) - np.log2(distinct) + shorter
-        return np.where(total == 0, shorter, np.where(follow > 0, found, escape))
-
-    bits = coded(np.zeros(len(p), np.int64), 1, np.full((1, width, L), 8.0))
-    bits = coded(p[:, 2], width, np.broadcast_to(bits, (width, width, L)))
-    two = coded(p[:, 1] * width + p[:, 2], width * width, np.tile(bits, (width, 1, 1)))
-    context = (p[:, 0] * width + p[:, 1]) * width + p[:, 2]
-    kinds, of = np.unique(context, return_inverse=True)
-    often = np.zeros((len(kinds), L))
-    np.add.at(often, of, n)
-    rank = np.argsort(-often.max(axis=1), kind="stable")
-    kept = np.sort(rank[:max_rows][often.max(axis=1)[rank[:max_rows]] >= least])
-    row = np.tile(np.arange(width * width, dtype=np.int32), width)
-    row[kinds[kept]] = width * width + np.arange(len(kept), dtype=np.int32)
-    number = np.full(len(kinds), -1)
-    number[kept] = np.arange(len(kept))
-    mine = number[of] >= 0
-    p, n = p[mine], n[mine]
-    three = coded(number[of][mine], len(kept), two[kinds[kept] % (width * width)])
-    cost = np.concatenate([two, three]).reshape(-1, L).astype(np.float32)
-    return Trees(languages, symbol, width, row, cost)
-
-
-def train(docs: DataFrame, per_language: int = 1500, max_rows: int = 24_000, doc_id="doc_id", text="text", lang="lang") -> Trees | None:
+
+def _packed(table: pa.Table) -> pa.Table:
+    tree = Tree.of(table.column("code").to_numpy(), table.column("n").to_numpy())
+    return pa.table({"lang": table.column("lang")[:1].combine_chunks(), "tree": pa.array([tree.packed()], pa.list_(pa.binary()))})
+
+
+def train(docs: DataFrame, per_language: int = 1500, doc_id="doc_id", text="text", lang="lang", bounded: bool = False) -> Trees | None:
     """Trees of the languages in ``docs``; None where no row may be learned from.
 
-    ``per_language`` bounds the sample of documents, whose texts are read whole; ``max_rows`` bounds the table.
+    ``per_language`` bounds the sample of documents, whose texts are read whole; more than 1,000 languages are refused. ``bounded``: the most bits per byte that
+    a text of the sample has under its best language, and a quarter more, become ``most_bits``, or the eight of a plain byte if that is more.
     """
-    counts = context_counts(training_sample(docs, per_language, doc_id, text, lang)).collect()
-    return build_trees([tuple(r) for r in counts], max_rows) if counts else None
+    sample = training_sample(docs, per_language, doc_id, text, lang)
+    rows = sorted(context_counts(sample).groupBy("lang").applyInArrow(_packed, "lang string, tree array<binary>").collect())
+    if not rows:
+        return None
+    trees = Trees([r["lang"] for r in rows], [Tree.unpacked(r["tree"]) for r in rows])
+    if bounded:
+        shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+        def run(batches):
+            for batch in batches:
+                texts = [normalized(x) for x in byte_texts(batch.column(1))]
+                bits = shared.value.score(texts).min(axis=1) / [max(1, len(x)) for x in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([bits.max() if len(bits) else 0.0], pa.float64())], names=["bits"])
+
+        trees.most_bits = max(8.0, 1.25 * sample.mapInArrow(tidied(run), "bits double").agg(F.max("bits")).first()[0])
+    return trees
 
 
 def classify(trees: Trees | None, values: list):
     """(languages, scores) of texts given as bytes or None."""
     langs, scores = [UNKNOWN] * len(values), [0.0] * len(values)
-    if trees is None:
+    if trees is None:  # nothing to learn from
         return langs, scores
     mine = [i for i, x in enumerate(values) if x and has_letter(x.decode())]
     bits = trees.score([normalized(values[i]) for i in mine])
@@ -178,7 +206,7 @@ def identify(docs: DataFrame, trees: Trees | None = None, doc_id: str = "doc_id"
     """One row per document: ``doc_id, held_out, lang_pred, score``.
 
     ``held_out``: the id's crc32 leaves 2 modulo 4; such rows are never learned from. ``lang_pred`` is ``und`` (score 0)
-    where the text is null or has no letter, or there is nothing to learn from. ``score`` is the share of the winner among
+    where the text is null or has no letter, or there is nothing to learn from. Repeated rows give repeated rows. ``score`` is the share of the winner among
     all languages, 2 to the minus code length each. A null doc_id is neither held out nor learned from.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees or train(docs, doc_id=doc_id, text=text, lang=lang, **limits))
@@ -193,13 +221,24 @@ def identify(docs: DataFrame, trees: Trees | None = None, doc_id: str = "doc_id"
     return wanted.mapInArrow(tidied(run), f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, trees: Trees | None = None, least_score: float = 0.0, text: str = "text", **limits) -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or whose score is below ``least_score``; columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees or train(docs, text=text, **limits))
+def keep_identified(docs: DataFrame, trees: Trees | None = None, text: str = "text", **limits) -> DataFrame:
+    """``docs`` without the rows that are of no language: null texts, texts without a letter, and those whose code length
+    under the best language is more than ``most_bits`` a byte. Columns stay.
+
+    The bound is taken from the training texts, so that texts like them stay. Where there is nothing to learn from, only null texts and those
+    without a letter go. Repeated rows stay or go together.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(trees or train(docs, text=text, bounded=True, **limits))
 
     def run(batches):
         for batch in batches:
-            langs, scores = classify(shared.value, byte_texts(batch.column(text)))
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores)], pa.bool_()))
+            values, known = byte_texts(batch.column(text)), shared.value
+            kept = [bool(x) and has_letter(x.decode()) for x in values]
+            mine = [i for i, k in enumerate(kept) if k]
+            if known is not None and mine and np.isfinite(known.most_bits):
+                texts = [normalized(values[i]) for i in mine]
+                for i, data, bits in zip(mine, texts, known.score(texts).min(axis=1)):
+                    kept[i] = bool(bits <= known.most_bits * len(data))
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(tidied(run), docs.schema)
