@@ -90,7 +90,7 @@ VISIBLE = """coalesce(status <> 'reviewed', true) AND (has_account OR on_breach_
   AND (has_unwhitelisted OR coalesce(status = 'reviewed', false) OR has_action)"""
 
 
-@register("dashboard_stats", sql("risks", f"""
+DASHBOARD = f"""
 SELECT account_id, CAST(sum(message_count) AS BIGINT) AS total_messages, count(*) FILTER ({VISIBLE}) AS unique_vendors,
   count(*) FILTER (has_marketing AND has_unwhitelisted_bulk) AS mailing_lists,
   count(*) FILTER (on_breach_list AND coalesce(status <> 'reviewed', true)) AS breached,
@@ -98,7 +98,10 @@ SELECT account_id, CAST(sum(message_count) AS BIGINT) AS total_messages, count(*
   count(*) FILTER (has_actionable_recent_bulk) AS active_subscriptions,
   count(*) FILTER (status = 'reviewed') AS reviewed,
   count(*) FILTER ({VISIBLE} AND computed_risk = 'high') AS high_risk_unreviewed
-FROM risks GROUP BY 1"""))
+FROM {{}} GROUP BY 1"""
+
+
+@register("dashboard_stats", sql("risks", DASHBOARD.format("risks")))
 def dashboard_stats(spark, sf):
     return stats.dashboard(t.vendors(spark, sf), t.messages(spark, sf), t.actions(spark, sf))
 

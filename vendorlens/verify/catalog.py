@@ -1,4 +1,4 @@
 """Loads every query module."""
 
-from . import aggregates, joins, models, rows, sources, state, streams, windows  # noqa: F401
+from . import aggregates, joins, models, rows, sources, state, streams, views, windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
