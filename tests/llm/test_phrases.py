@@ -80,7 +80,7 @@ def test_long_pieces_come_in_chunks():
     batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(words)])], names=["lang", "text"])
     got, singles = Counter(), Counter()
     for _, block in phrases._blocks([batch], 1 << 20, chunk=9):
-        names = [None, *block.numbers]
+        names = [None, *block.words[1:]]
         for a, b, c, n in zip(*block.suffixes()):
             got[names[a], names[b], names[c]] += n
         ids = np.concatenate(block.parts)[np.concatenate(block.starts)]

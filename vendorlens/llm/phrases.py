@@ -12,7 +12,6 @@ each group fits a memory budget:
 The driver holds the bucket totals and what they decide, of fixed size. Words and phrases never pass it.
 """
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,16 +22,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import byte_texts, partitions, stored, tidied
 
-_PIECES = re.compile(rb"[.,;:!?\x0a-\x0d]")
-_LETTERS = bytes(range(65, 91)), bytes(range(97, 123))
+#: Lower-cases A-Z, makes every byte that ends a piece a full stop and tabs spaces.
+_BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 BUCKETS = 1 << 14
-_END = 0  # stands after the last word of a piece
+_STOP, _END = b".", 0  # stands between pieces
 
 
-def pieces(data: bytes | None) -> list:
-    """The pieces of a text, each as the list of its words; pieces without a word are left out."""
-    found = (p.replace(b"\t", b" ").split(b" ") for p in _PIECES.split((data or b"").lower()))
-    return [w for w in ([x for x in p if x] for p in found) if w]
+def words_of(data: bytes | None) -> list:
+    """The words of a text, with a full stop wherever a piece ends."""
+    return (data or b"").translate(_BYTES).replace(_STOP, b" . ").split()
 
 
 def _mixed(*hashes: np.ndarray) -> np.ndarray:
@@ -49,24 +47,41 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(20)).astype(np.int64) % BUCKETS
 
 
+class _Numbers(dict):
+    """Words numbered from 1 in order of appearance."""
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        return number
+
+
 class _Block:
-    """Suffixes of the texts of one language: words numbered from 1 in order of appearance, pieces ended by 0."""
+    """Suffixes of the texts of one language. ``words``: the words by number, 0 is the end of a piece."""
 
     def __init__(self):
-        self.numbers, self.parts, self.starts, self.size = {}, [], [], 0
+        self.numbers, self.parts, self.starts, self.size = _Numbers({_STOP: _END}), [], [], 0
 
     def add(self, words: list, n: int):
-        """The first ``n`` words of a piece as starts of suffixes; ``words`` are these and up to two more."""
-        number = self.numbers.setdefault
-        ids = [number(w, len(self.numbers) + 1) for w in words]
-        self.parts.append(np.array([*ids, _END], np.int64))
-        self.starts.append(np.arange(len(ids) + 1) < n)
-        self.size += len(ids)
+        """The first ``n`` words of a text as starts of suffixes; ``words`` are these and up to two more."""
+        ids = np.array([*map(self.numbers.__getitem__, words), _END], np.int64)
+        self.parts.append(ids)
+        self.starts.append((ids != _END) & (np.arange(len(ids)) < n))
+        self.size += len(words)
+
+    @property
+    def words(self) -> list:
+        return [b"", *list(self.numbers)[1:]]
+
+    def pairs(self):
+        """(first, second) of every place that a suffix starts from, but for the last words of pieces."""
+        ids = np.append(np.concatenate(self.parts), _END)
+        kept = np.concatenate(self.starts) & (ids[1:] != _END)
+        return ids[:-1][kept], ids[1:][kept]
 
     def hashes(self, lang: str) -> np.ndarray:
         """A hash of every word with its language; place 0 is the end."""
         seed = xxhash.xxh3_64_intdigest(lang.encode())
-        return np.array([0, *(xxhash.xxh3_64_intdigest(w, seed) for w in self.numbers)], np.uint64)
+        return np.array([0, *(xxhash.xxh3_64_intdigest(w, seed) for w in self.words[1:])], np.uint64)
 
     def suffixes(self):
         """(first, second, third, count) of the distinct suffixes of two words or more; third is 0 where the piece ends."""
@@ -78,14 +93,14 @@ class _Block:
 
 
 def _blocks(batches, words: int, chunk: int = 1 << 19):
-    """(language, block) of the texts of a task, in blocks of about ``words`` words of all languages together; a longer piece comes in chunks."""
+    """(language, block) of the texts of a task, in blocks of about ``words`` words of all languages together; a longer text comes in chunks."""
     held, size = {}, 0
     for batch in batches:
         for lang, data in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
-            for piece in pieces(data):
-                for at in range(0, len(piece), chunk):
-                    held.setdefault(lang, _Block()).add(piece[at:at + chunk + 2], min(chunk, len(piece) - at))
-                size += len(piece)
+            found = words_of(data)
+            for at in range(0, len(found), chunk):
+                held.setdefault(lang, _Block()).add(found[at:at + chunk + 2], min(chunk, len(found) - at))
+                size += min(chunk, len(found) - at)
                 if size >= words:
                     yield from held.items()
                     held, size = {}, 0
@@ -99,9 +114,9 @@ def _counted(texts: DataFrame, block_words: int) -> DataFrame:
         for lang, block in _blocks(batches, block_words):
             ids, hashes = np.concatenate(block.parts), block.hashes(lang)
             n = np.bincount(ids[np.concatenate(block.starts)], minlength=len(hashes))[1:]
-            first, second, _, count = block.suffixes()
-            pairs += np.bincount(_bucket(_mixed(hashes[first], hashes[second])), count, BUCKETS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(block.numbers), pa.binary()).cast(pa.string()),
+            first, second = block.pairs()
+            pairs += np.bincount(_bucket(_mixed(hashes[first], hashes[second])), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(block.words[1:], pa.binary()).cast(pa.string()),
                                               pa.array(_bucket(_mixed(hashes[1:])).astype(np.int32)), pa.array(n)], names=["lang", "word", "bucket", "n"])
         some = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.string()),
@@ -160,18 +175,23 @@ def _dealt(texts: DataFrame, groups: Groups, block_words: int) -> DataFrame:
 
     def run(batches):
         for lang, block in _blocks(batches, block_words):
-            found, words, hashes = block.suffixes(), np.array([b"", *block.numbers], object), block.hashes(lang)
+            found, words, hashes = block.suffixes(), np.array(block.words, object), block.hashes(lang)
             if not len(found[0]):
                 continue
             group, part, open_ = shared.value.place(*(hashes[x] for x in found[:3]))
-            order = np.lexsort((part, group))
-            ends = np.flatnonzero(np.diff(group[order]) | np.diff(part[order])) + 1
+            unit = group * (part.max() + 1) + part
+            order = np.argsort(unit, kind="stable")
+            ends = np.flatnonzero(np.diff(unit[order])) + 1
             rows = []
             for mine in np.split(order, ends):
                 columns = [x[mine] for x in found]
-                named, again = np.unique(np.concatenate([[_END], *columns[:3]]), return_inverse=True)
-                columns[:3] = np.split(again[1:], 3)
-                rows.append((int(group[mine[0]]), int(part[mine[0]]), lang, zstandard.ZstdCompressor(level=1).compress(b" ".join(words[named[1:]])),
+                used = np.zeros(len(words), bool)
+                for x in columns[:3]:
+                    used[x] = True
+                used[_END] = False
+                again = np.cumsum(used) * used
+                columns[:3] = [again[x] for x in columns[:3]]
+                rows.append((int(group[mine[0]]), int(part[mine[0]]), lang, zstandard.ZstdCompressor(level=1).compress(b" ".join(words[used])),
                              _packed([*columns, open_[mine]])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=names)
 
