@@ -44,8 +44,8 @@ ODD_TEXTS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with extra columns whose names clash with those of the operators."""
-    rows = [(i, t, "en" if k % 2 else "de", 0.5, "x", k) for k, (i, t) in enumerate(ODD_TEXTS)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, fp string, size int").repartition(3)
+    rows = [(i, t, "en" if k % 2 else "de", 0.5, "x", k, "many", "m") for k, (i, t) in enumerate(ODD_TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, fp string, size int, n_chars string, _marks string").repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -80,3 +80,17 @@ def test_a_large_benchmark_comes_in_parts(odd, benchmark, max_bytes):
     assert sorted(map(str, parts)) == sorted(map(str, d.contamination(odd, benchmark).collect()))
     kept = d.remove_contamination(odd, benchmark, max_bytes=max_bytes).collect()
     assert sorted(map(str, kept)) == sorted(map(str, d.remove_contamination(odd, benchmark).collect()))
+
+
+@pytest.mark.parametrize("max_bytes", [1, 3 << 20])
+def test_items_without_an_id_hit(spark, max_bytes):
+    items = spark.createDataFrame([(None, "red green blue"), (None, "some other words"), (7, "red green blue"), (8, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a red green blue b some other words"), (2, "some other words"), (3, "clean")], "doc_id long, text string")
+    rows = {r.doc_id: tuple(r)[1:] for r in d.contamination(docs, items, max_bytes=max_bytes).collect()}
+    assert rows == {1: (8, 6, 2, ["7"]), 2: (3, 3, 1, []), 3: (1, 0, 0, [])}
+    assert [r.text for r in d.remove_contamination(docs, items, max_coverage=0.9, max_bytes=max_bytes).orderBy("doc_id").collect()] == ["a  b ", "clean"]
+
+
+def test_lengths_that_are_no_numbers_stay(spark, odd, benchmark):
+    kept = d.remove_contamination(odd, benchmark, max_coverage=1.0, max_bytes=1)
+    assert kept.columns == odd.columns and {r["n_chars"] for r in kept.collect()} == {"many"} and {r["_marks"] for r in kept.collect()} == {"m"}

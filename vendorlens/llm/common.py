@@ -78,13 +78,13 @@ def byte_texts(column: pa.Array) -> list:
 
 
 def with_texts(batch: pa.RecordBatch, text: str, n_chars: str, values: list, changed: dict) -> pa.RecordBatch:
-    """The batch with ``values`` (bytes) as its texts, and the lengths of the ``changed`` ones (place to bytes) in ``n_chars``, if it has that column."""
+    """The batch with ``values`` (bytes) as its texts, and the lengths of the ``changed`` ones (place to bytes) in ``n_chars``, if it has that column, of whole numbers."""
     if not changed:
         return batch
     at = batch.schema.get_field_index(text)
     batch = batch.set_column(at, batch.schema.field(at), pa.array(values, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type))
     at = batch.schema.get_field_index(n_chars)
-    if at >= 0:
+    if at >= 0 and pa.types.is_integer(batch.schema.field(at).type):
         counts = batch.column(at).to_pylist()
         for i, data in changed.items():
             counts[i] = len(data.decode())

@@ -143,18 +143,20 @@ def _cover(spans: list, first: int, end: int):
     spans.append((first, end))
 
 
-def automata(benchmark: DataFrame, window: int = 10, max_bytes: int = 40 << 20, item_id: str = "item_id", text: str = "text"):
+def automata(benchmark: DataFrame, window: int = 10, max_bytes: int = 3 << 20, item_id: str = "item_id", text: str = "text"):
     """Yields the automata of a benchmark table, built on the driver one after another, each to be broadcast to the tasks.
 
-    Test items are a curated list that doesn't grow with the corpus, so there is one as a rule. A table of more than ``max_bytes``
-    of text is cut by item hash into parts of about that size.
+    Test items are a curated list that doesn't grow with the corpus, so there are few as a rule. A table of more than ``max_bytes``
+    of text is cut by hash into parts of about that size: an automaton needs about 125 bytes for each byte of text, 390 MB for a full part, on the driver and in a task.
+    Items without an id are items like others; their id is None.
     """
-    items = benchmark.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text"))
+    items = benchmark.filter(F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // max_bytes))
     for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).collect()
-        yield SuffixAutomaton(sorted((r["id"], tuple(words_of(r["text"].encode()))) for r in rows), window)
+        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()
+        found = ((r["id"], tuple(words_of(r["text"].encode()))) for r in rows)
+        yield SuffixAutomaton(sorted(found, key=lambda x: (x[0] is not None, x[0] or "", x[1])), window)
 
 
 def _match(auto, data: bytes | None, marks) -> tuple:
@@ -182,6 +184,8 @@ def _through(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_
     With several automata, each has a pass of its own, so no task holds two; what the earlier ones found is stored beside the rows.
     """
     marks = "_marks"
+    while marks.lower() in map(str.lower, docs.columns):
+        marks += "_"
     arrow = pa.struct([("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def passing(shared, final):
@@ -194,7 +198,7 @@ def _through(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_
                 if final:
                     yield last(rest, values, results)
                 else:
-                    now = pa.array([{"spans": [{"a": a, "b": b} for a, b in s], "items": sorted(i)} for _, s, i in results], arrow)
+                    now = pa.array([{"spans": [{"a": a, "b": b} for a, b in s], "items": list(i)} for _, s, i in results], arrow)
                     yield pa.RecordBatch.from_arrays([*rest.columns, now], names=[*rest.schema.names, marks])
         return run
 
@@ -208,18 +212,19 @@ def _through(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text",
-                  max_bytes: int = 40 << 20) -> DataFrame:
+                  max_bytes: int = 3 << 20) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items array<string>``.
 
     A word is hit if an occurrence of a window covers it; ``items`` are the distinct ids, sorted as strings, of
-    the items with occurring windows. Null texts and items have no words; an empty benchmark hits nothing.
+    the items with occurring windows. Items without an id hit words like others; they are not in ``items`` and count as one of ``n_items``. Null texts and items have no words; an empty
+    benchmark hits nothing. Repeated rows give repeated rows; items that repeat an id are one item.
     """
     def rows(batch, values, results):
-        items = [sorted(i) for _, _, i in results]
+        items = [sorted(x for x in i if x is not None) for _, _, i in results]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([n for n, _, _ in results], pa.int64()),
              pa.array([sum(b - a for a, b in s) for _, s, _ in results], pa.int64()),
-             pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.string()))],
+             pa.array([len(i) for _, _, i in results], pa.int64()), pa.array(items, pa.list_(pa.string()))],
             names=["doc_id", "n_words", "n_hit", "n_items", "items"])
 
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -235,12 +240,12 @@ def _word_places(data: bytes) -> np.ndarray:
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5,
-                         text: str = "text", n_chars: str = "n_chars", max_bytes: int = 40 << 20) -> DataFrame:
+                         text: str = "text", n_chars: str = "n_chars", max_bytes: int = 3 << 20) -> DataFrame:
     """``docs`` without what it shares with the benchmark; columns and their order stay.
 
     Hit spans (runs of words covered by windows) are cut out of a text from their first to their last word.
     A document of whose words more than the share ``max_coverage`` is hit goes whole. ``n_chars``, where
-    it is a column, becomes the new length of changed texts. Documents without a hit stay as they are, null and empty ones too.
+    it is a column of whole numbers, becomes the new length of changed texts. Documents without a hit stay as they are, null and empty ones too.
     """
     def cleaned(batch, values, results):
         keep, changed = [], {}
