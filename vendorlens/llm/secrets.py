@@ -48,7 +48,8 @@ MORE = (
 )
 # Lengths stand beside the patterns: counting them inside would multiply the states of the joint automaton.
 
-_SPACE, _END = r"(\s|\\[nrt])", r"[\x20\x09]*(\x0A|\x0D|\\n|\\r)"  # white space and line ends, also as escapes of a string
+# White space and line ends, also as escapes of a string; lines may begin with marks of a quotation or a comment.
+_SPACE, _END = r"(\s|\\[nrt]|[>|#*])", r"[\x20\x09]*(\x0A|\x0D|\\n|\\r)"
 _FIELDS = rf"({_END}{_SPACE}*[A-Za-z][A-Za-z0-9-]*:[^\x0A\x0D\\]*)*"
 #: What belongs to a private key after its BEGIN line: headers and base64 up to the END line or, if there is none, up to the end of the
 #: base64 lines (runs of 20 or more, and a last one that is padded or fills its line).
@@ -110,7 +111,7 @@ def _in_code_points(data: bytes, spans: list) -> list:
 def find_secrets(docs: DataFrame, rules=BASE + MORE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, spans array<struct<kind, start, end>>`` in code points, end exclusive.
 
-    Null and empty texts have no spans. Matches of one kind never overlap; those of different kinds may.
+    Null and empty texts have no spans, repeated rows give repeated rows. Matches of one kind never overlap; those of different kinds may.
     """
     rules = tuple(rules)
     compiled = docs.sparkSession.sparkContext.broadcast(scanner(rules))
@@ -139,7 +140,7 @@ def redact_secrets(docs: DataFrame, rules=BASE + MORE, text: str = "text", n_cha
     """``docs`` with every span of ``text`` replaced by ``mask``; overlapping spans become one mask.
 
     The span of a private key goes on from its BEGIN line over headers and body to the END line. Columns and their order stay.
-    ``n_chars``, where it is a column, becomes the new length of changed texts.
+    ``n_chars``, where it is a column of whole numbers, becomes the new length of changed texts. Repeated rows stay repeated.
     """
     compiled, mark = docs.sparkSession.sparkContext.broadcast((scanner(tuple(rules)), _key_body())), mask.encode()
 
