@@ -65,6 +65,40 @@ def test_texts_are_shuffled_once(spark):
     assert lines and all("big#" not in line for line in lines)
 
 
+@pytest.mark.parametrize("few", [0, 16])
+def test_contains_as_every_pair(spark, monkeypatch, few):
+    """Many buckets, grams of all texts, needles longer than texts, other signs, repeated texts, needles without a text."""
+    monkeypatch.setattr(contains, "FEW", few)
+    texts = spark.range(70_000).select(F.concat(F.lit("t"), F.conv(F.col("id") * 7919 % 65_536, 10, 16)).alias("text"), "id").union(
+        spark.createDataFrame([("ÄÖ ß 😀 ü", -1), (None, -2), ("", -3), ("t1", -4), ("ab" * 50, -5)], "text string, id long")).repartition(7)
+    needles = spark.createDataFrame([(x,) for x in ("t1", "tAB", "FFF", "t12345678", "ß 😀", "baba", "zz", "t")], "needle string")
+    got = contains.contains_join(needles.filter("length(needle) > 1"), texts, 2).select("needle", "id")
+    want = needles.filter("length(needle) > 1").join(texts, F.contains("text", "needle")).select("needle", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_candidates_hold_all_grams_of_a_needle(spark):
+    """Every gram of the needle is in a third of the texts, all of them in few."""
+    texts = spark.range(3000).select(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("ab", "bc", "cd")]), (F.col("id") % 3 + 1).cast("int")), F.lit("-"), "id").alias("text"))
+    texts = texts.union(spark.createDataFrame([("xabcd",), ("ab bc cd",)], "text string"))
+    index = contains.write_index(texts, 2)
+    needle = spark.createDataFrame([("abcd",)], "needle string")
+    assert index.postings.filter("gram IN ('ab', 'bc', 'cd')").agg(F.min("df")).first()[0] > 1000
+    assert contains.candidates(needle, index).count() == 2
+    assert [r["text"] for r in contains.contains_join(needle, texts, 2, index).collect()] == ["xabcd"]
+
+
+def test_one_index_serves_match_and_search(spark, sf, tmp_path):
+    companies, vendors = t.companies(spark, sf), t.vendors(spark, sf)
+    queries = spark.createDataFrame([("shop1",), ("p3.co",), ("Ltd",)], "query string")
+    path = str(tmp_path / "index")
+    matching.company_index(companies, path)
+    index = contains.read_index(spark, path, 2)
+    for with_index, without in ((matching.match_by_name(vendors, companies, index), matching.match_by_name(vendors, companies)),
+                                (matching.company_search(queries, companies, index=index), matching.company_search(queries, companies))):
+        assert sorted(map(str, with_index.collect())) == sorted(map(str, without.collect()))
+
+
 @pytest.mark.parametrize("few, columns", [(50_000, "v id"), (20, "v id"), (20, "name id"), (20, "same name id"), (20, "at name")])
 def test_deep_ranks_equal_a_window(spark, monkeypatch, few, columns):
     """Ties that fill most of a group, nulls, texts that differ late, groups of different size; nothing is written but a row per group."""

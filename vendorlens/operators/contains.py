@@ -1,11 +1,18 @@
 """Exact "text contains needle" join without comparing every pair.
 
-Each needle is looked up by the character n-gram that fewest texts hold; the few candidates are
-then verified. A needle with an n-gram no text holds cannot match and leaves early. The index of
-n-grams holds a hash of each text, not the text: two texts with one hash are both verified.
+Texts are numbered, and each character n-gram has the numbers of its texts as bitmaps, 32,768 texts each. A needle's candidates are the texts that
+hold all its grams: the intersection of their bitmaps. Where one gram is rare by itself, its bitmap alone gives the few candidates, and the others
+aren't read. Candidates are then verified. A needle with an n-gram no text holds has none. An index can be stored once and read by several joins.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..sources.scratch import scratch_path
+
+#: A gram of so few texts is enough by itself.
+FEW = 16
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -14,21 +21,63 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
 
 
-def contains_join(needles: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+@dataclass(frozen=True)
+class TextIndex:
+    """``texts``: ``number, text``, the distinct texts; ``postings``: ``gram, bucket, bitmap, df`` of their grams of ``n`` characters."""
+
+    n: int
+    texts: DataFrame
+    postings: DataFrame
+
+
+def write_index(texts: DataFrame, n: int, path: str = None) -> TextIndex:
+    """Builds the index of the column ``text`` and stores it; ``path``: a new folder that all executors see."""
+    spark = texts.sparkSession
+    path = path or scratch_path(spark, "text-index")
+    # Numbers are stored before they are used, so that they can't change when a task runs again.
+    texts.filter("text IS NOT NULL").select("text").distinct().select((F.monotonically_increasing_id() + 1).alias("number"), "text").write.parquet(f"{path}/texts")
+    numbered = spark.read.schema("number long, text string").parquet(f"{path}/texts")
+    grams = numbered.select("number", F.explode(_grams(F.col("text"), n)).alias("gram"))
+    (grams.groupBy("gram", F.bitmap_bucket_number("number").alias("bucket"))
+     .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap"), F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/postings"))
+    return read_index(spark, path, n)
+
+
+def read_index(spark: SparkSession, path: str, n: int) -> TextIndex:
+    return TextIndex(n, spark.read.schema("number long, text string").parquet(f"{path}/texts"),
+                     spark.read.schema("gram string, bucket long, bitmap binary, df long").parquet(f"{path}/postings"))
+
+
+def _numbers(bits: DataFrame) -> DataFrame:
+    """``needle, number`` of the set bits of ``needle, bucket, bits``: first the blocks of 128 bytes, then the words of 8 bytes with any bit are looked at."""
+    def some(size, first, count):
+        return F.explode(F.expr(f"filter(sequence(0, {count - 1}), i -> substring(bits, {first} + {size} * i + 1, {size}) <> cast(unhex('{'00' * size}') AS binary))"))
+
+    blocks = bits.withColumn("block", some(128, "0", 32))
+    words = blocks.withColumn("word", some(8, "128 * block", 16))
+    byte = "cast(conv(hex(substring(bits, 128 * block + 8 * word + (i div 8) + 1, 1)), 16, 10) AS int)"
+    places = words.withColumn("bit", F.explode(F.expr(f"filter(sequence(0, 63), i -> shiftright({byte}, cast(i % 8 AS int)) & 1 = 1)")))
+    # Bit p of bucket b is number (b - 1) * 32768 + p + 1.
+    return places.select("needle", ((F.col("bucket") - 1) * 32768 + F.col("block") * 1024 + F.col("word") * 64 + F.col("bit") + 1).alias("number"))
+
+
+def candidates(needles: DataFrame, index: TextIndex) -> DataFrame:
+    """``needle, number`` of the texts that may contain each needle."""
+    frequency = index.postings.groupBy("gram").agg(F.sum("df").alias("df"))
+    grams = needles.select("needle", F.explode(_grams(F.col("needle"), index.n)).alias("gram"))
+    rarest = (grams.join(frequency, "gram", "left").groupBy("needle")
+              .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best"), F.collect_set("gram").alias("grams"))
+              .filter("best.df > 0"))
+    wanted = rarest.select("needle", F.when(F.col("best.df") <= FEW, F.array("best.gram")).otherwise(F.col("grams")).alias("grams"))
+    asked = wanted.select("needle", F.size("grams").alias("asked"), F.explode("grams").alias("gram"))
+    met = (asked.join(index.postings.select("gram", "bucket", "bitmap"), "gram").groupBy("needle", "bucket")
+           .agg(F.bitmap_and_agg("bitmap").alias("bits"), F.count(F.lit(1)).alias("found"), F.first("asked").alias("asked")))
+    return _numbers(met.filter("found = asked").select("needle", "bucket", "bits"))
+
+
+def contains_join(needles: DataFrame, texts: DataFrame, n: int, index: TextIndex = None) -> DataFrame:
     """``needles`` (needle: distinct strings of at least ``n`` characters) joined to ``texts``
-    (text and payload columns) wherever the text contains the needle."""
-    index = texts.select("text").distinct().select(
-        F.xxhash64("text").alias("_text_id"), F.explode(_grams(F.col("text"), n)).alias("gram"))
-    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (
-        needles.select("needle", F.explode(_grams(F.col("needle"), n)).alias("gram"))
-        .join(frequency, "gram", "left")
-        .groupBy("needle")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best"))
-        .filter("best.df > 0")
-        .select("needle", F.col("best.gram").alias("gram")))
-    candidates = rarest.join(index, "gram").select("needle", "_text_id").distinct()
-    return (
-        texts.withColumn("_text_id", F.xxhash64("text")).join(candidates, "_text_id")
-        .filter(F.contains("text", "needle"))
-        .drop("_text_id"))
+    (text and payload columns) wherever the text contains the needle. ``index``: one that holds these texts, and may hold others."""
+    index = index or write_index(texts, n)
+    found = candidates(needles, index).join(index.texts, "number").filter(F.contains("text", "needle")).select("needle", "text")
+    return texts.join(found, "text")

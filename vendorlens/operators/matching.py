@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..dims.domains import PERSONAL_DOMAINS
 from ..functions import addresses, classify
 from ..functions.text import ascii_lower
-from .contains import contains_join
+from .contains import TextIndex, contains_join, write_index
 from .topk import subjects_sample
 
 VENDOR = ["account_id", "vendor_key"]
@@ -26,16 +26,31 @@ def match_by_domain(vendors: DataFrame, companies: DataFrame) -> DataFrame:
     return vendors.join(index, "vendor_key", "left")
 
 
-def match_by_name(vendors: DataFrame, companies: DataFrame) -> DataFrame:
-    """Adds ``name_slug``: the first company whose name or a brand contains the vendor name (3+ characters)."""
+def _texts_to_match(companies: DataFrame) -> DataFrame:
+    """Names and brands as the name match reads them."""
     texts = companies.select(
         "ord", "slug",
         F.explode(F.array_compact(F.concat(
             F.array("name"), F.coalesce("runs", F.expr("array()").cast("array<string>"))))).alias("text"))
-    texts = texts.withColumn("text", ascii_lower(F.col("text"))).distinct()
+    return texts.withColumn("text", ascii_lower(F.col("text"))).distinct()
+
+
+def _texts_to_search(companies: DataFrame) -> DataFrame:
+    """Names and domains as the type-ahead reads them."""
+    return companies.select(
+        "slug", "name", F.explode(F.concat(F.array(F.lower("name")), F.coalesce("domains", F.expr("array()").cast("array<string>")))).alias("text"))
+
+
+def company_index(companies: DataFrame, path: str = None) -> TextIndex:
+    """The index of all company texts, stored once, for :func:`match_by_name` and :func:`company_search`."""
+    return write_index(_texts_to_match(companies).select("text").union(_texts_to_search(companies).select("text")), 2, path)
+
+
+def match_by_name(vendors: DataFrame, companies: DataFrame, index: TextIndex = None) -> DataFrame:
+    """Adds ``name_slug``: the first company whose name or a brand contains the vendor name (3+ characters)."""
     needle = ascii_lower(F.col("name"))
     needles = vendors.filter(F.length("name") >= 3).select(needle.alias("needle")).distinct()
-    found = contains_join(needles, texts, 3).groupBy("needle").agg(F.min(F.struct("ord", "slug")).alias("first"))
+    found = contains_join(needles, _texts_to_match(companies), 3, index).groupBy("needle").agg(F.min(F.struct("ord", "slug")).alias("first"))
     named = found.select("needle", F.col("first.slug").alias("name_slug"))
     return vendors.withColumn("needle", needle).join(named, "needle", "left").drop("needle")
 
@@ -110,7 +125,7 @@ def company_by_name(queries: DataFrame, companies: DataFrame) -> DataFrame:
     return keyed.join(named, "key").drop("key")
 
 
-def company_search(queries: DataFrame, companies: DataFrame, limit: int = 8, scan: int = None, most: int = 20) -> DataFrame:
+def company_search(queries: DataFrame, companies: DataFrame, limit: int = 8, scan: int = None, most: int = 20, index: TextIndex = None) -> DataFrame:
     """Type-ahead: up to ``limit`` companies per query, name-prefix hits first, then by name.
 
     ``limit`` is at most ``most``. With ``scan``, only the first ``scan`` hits in name order are
@@ -120,11 +135,8 @@ def company_search(queries: DataFrame, companies: DataFrame, limit: int = 8, sca
         raise ValueError(f"limit must be from 1 to {most}")
     needle = F.trim(F.lower("query"))
     needles = queries.select(needle.alias("needle")).filter(F.length("needle") >= 2).distinct()
-    name = F.lower("name")
-    texts = companies.select(
-        "slug", "name", F.explode(F.concat(F.array(name), F.coalesce("domains", F.expr("array()").cast("array<string>")))).alias("text"))
     hits = (
-        contains_join(needles, texts, 2)
+        contains_join(needles, _texts_to_search(companies), 2, index)
         .select("needle", "slug", "name", F.startswith(F.lower("name"), F.col("needle")).alias("prefix"))
         .distinct())
     if scan:

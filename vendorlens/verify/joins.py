@@ -41,7 +41,7 @@ FROM (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN concat('shop', c_custkey)
   WHEN 2 THEN concat('hop', c_custkey, ' L') WHEN 3 THEN 'line' WHEN 4 THEN concat('Zz', c_custkey) WHEN 5 THEN 'op'
   ELSE concat(c_custkey, ' ltd.') END AS n FROM customer)"""))
 def join_company_name(spark, sf):
-    return matching.match_by_name(named_vendors(spark, sf), t.companies(spark, sf)).select(*KEYS, "name_slug")
+    return matching.match_by_name(named_vendors(spark, sf), t.companies(spark, sf), t.company_index(spark, sf)).select(*KEYS, "name_slug")
 
 
 @register("match_vendor_companies", sql("companies", """

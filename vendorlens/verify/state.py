@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import state, whitelist
+from ..operators import rewrite, state, whitelist
+from ..sources.scratch import scratch_path
+from ..sources.sinks import write_table
 from . import tables as t
 from .ctes import sql
 from .joins import KEYS
@@ -131,3 +133,41 @@ def account_reset(spark, sf):
         {"messages": t.messages(spark, sf), "vendors": t.vendors(spark, sf)}, gone)
     counts = [df.groupBy("account_id").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)) for name, df in left.items()]
     return counts[0].unionByName(counts[1])
+
+
+PARTITION = ["bucket", "year"]
+
+
+def message_table(spark, sf):
+    """(path, schema) of the messages in partitions of account and year, to be changed in place."""
+    path = scratch_path(spark, "message-table")
+    rows = t.messages(spark, sf).select(*ID, "vendor_key", "type", "status", "size_bytes", "unsubscribe_url", "date_ms")
+    rows = rows.withColumns({"bucket": F.substring("account_id", 2, 9).cast("int"), "year": F.year(F.timestamp_millis("date_ms"))})
+    write_table(rows, path, PARTITION)
+    return path, rows.schema
+
+
+@register("delete_messages_stored", sql("messages", f"""
+SELECT account_id, message_id, type FROM messages WHERE type <> 'order' AND NOT (type = 'bulk' AND (account_id, vendor_key) IN (SELECT (account_id, vendor_key) FROM {LISTED}))
+  AND account_id <> 'a1'"""))
+def delete_messages_stored(spark, sf):
+    """Deletions by id and by vendor, and the reset of an account, in place."""
+    path, schema = message_table(spark, sf)
+    ids = t.events(spark, sf).filter("event_type = 'purchase'").select(
+        t.account().alias("account_id"), F.concat(F.lit("m"), "event_id").alias("message_id"))
+    rewrite.delete_ids(spark, path, schema, PARTITION, ids)
+    rewrite.delete_by_vendor(spark, path, schema, PARTITION, listed_vendors(spark, sf), ["bulk"])
+    rewrite.reset_accounts(spark, path, schema, PARTITION, t.accounts(spark, sf).filter("account_id = 'a1'"))
+    return spark.read.schema(schema).parquet(path).select(*ID, "type")
+
+
+@register("mark_messages_stored", sql("messages", f"""
+SELECT account_id, message_id, CASE WHEN event_id % 7 = 0 THEN 'seen' WHEN unsubscribe_url IS NOT NULL AND (account_id, vendor_key) IN (SELECT (account_id, vendor_key) FROM {LISTED})
+  THEN 'unsubscribed' ELSE status END AS status FROM messages"""))
+def mark_messages_stored(spark, sf):
+    """Marks by vendor, then statuses by id, in place."""
+    path, schema = message_table(spark, sf)
+    rewrite.mark_unsubscribed(spark, path, schema, PARTITION, listed_vendors(spark, sf))
+    seen = t.messages(spark, sf).filter(number() % 7 == 0).select(*ID, F.lit("seen").alias("status"))
+    rewrite.set_status(spark, path, schema, PARTITION, seen, ID)
+    return spark.read.schema(schema).parquet(path).select(*ID, "status")

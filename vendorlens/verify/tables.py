@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import ingest, rollups
+from ..operators import contains, ingest, matching, rollups
 from ..plans import vendors as vendor_plans
 from ..sources.scratch import scratch_path
 
@@ -129,6 +129,15 @@ def stored(spark, sf, name, build) -> DataFrame:
     return spark.read.parquet(_STORED[key])
 
 
+def company_index(spark, sf):
+    """The stored index of company texts, built once for all queries that look names up."""
+    key = (spark.sparkContext.applicationId, sf, "company-index")
+    if key not in _STORED:
+        _STORED[key] = scratch_path(spark, "company-index")
+        matching.company_index(companies(spark, sf), _STORED[key])
+    return contains.read_index(spark, _STORED[key], 2)
+
+
 def ingested(spark, sf) -> DataFrame:
     """Messages straight from the landing rows."""
     return with_status(ingest.ingest(raw_messages(spark, sf)))

@@ -98,7 +98,7 @@ def company_search(spark, sf):
     query = F.when(k % 4 == 0, F.concat(F.lit(" Shop"), k)).when(k % 4 == 1, F.concat(F.lit("P"), k % 10, F.lit(".co"))).when(
         k % 4 == 2, F.concat(F.lit("hop"), k % 10)).otherwise("x")
     queries = t.table(spark, sf, "customer").select(query.alias("query"))
-    return matching.company_search(queries, t.companies(spark, sf), 5, scan=20).withColumn("rank", big("rank"))
+    return matching.company_search(queries, t.companies(spark, sf), 5, scan=20, index=t.company_index(spark, sf)).withColumn("rank", big("rank"))
 
 
 @register("breach_index", sql("records", f"""
