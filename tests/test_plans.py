@@ -111,8 +111,8 @@ def test_deep_ranks_equal_a_window(spark, monkeypatch, few, columns):
     want = rows.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*deep_pages.sort_of(order)))).select("k", "id", "rank").collect()
     monkeypatch.setattr(topk, "NEAR_RANK", 10)
     monkeypatch.setattr(deep_pages, "FEW", few)
-    written, kept = [], deep_pages._kept
-    monkeypatch.setattr(deep_pages, "_kept", lambda df, spark: written.append(kept(df, spark)) or written[-1])
+    written, kept = [], deep_pages.kept
+    monkeypatch.setattr(deep_pages, "kept", lambda df, name: written.append(kept(df, name)) or written[-1])
     for first, last in ((995, 1005), (2950, 3100), (4000, 4010)) if few == 20 else ((0, 20), (2950, 3100)):
         got = topk.ranked_between(rows, ["k"], order, first, last).select("k", "id", "rank")
         assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in want if first < r["rank"] <= last)

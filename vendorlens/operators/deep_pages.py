@@ -9,7 +9,7 @@ more of a group than the range.
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DateType, IntegralType, StringType, TimestampType
 
-from ..sources.scratch import scratch_path
+from ..sources.scratch import kept
 
 #: Size of a sketch, and by how much of a group a rank that it gives may be off. A range that misses the wanted ranks is widened.
 SKETCH, ERROR, GRID = 1024, 0.005, 512
@@ -56,7 +56,6 @@ def _column(column) -> Column:
 
 def _step(rows: DataFrame, state: DataFrame, keys, number: Column, first: int, last: int, error: float) -> DataFrame:
     """``state`` after one look at the wide groups: range of the number, rows before it and inside, and whether one value is left."""
-    spark = rows.sparkSession
     state = state.drop("_low", "_high")
     wide = rows.withColumn("_v", number).join(state.filter(F.col("_here") & (F.col("_inside") > FEW)), keys)
     sketched = wide.groupBy(*keys).agg(
@@ -68,25 +67,18 @@ def _step(rows: DataFrame, state: DataFrame, keys, number: Column, first: int, l
     places = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * GRID for x in share]
     low, high = (F.element_at(grid, side(x).cast("int") + 1) for side, x in zip((F.floor, F.ceil), places))
     # A sketch needn't know the ends of its group.
-    bounds = _kept(sketched.select(*keys, F.when(share[0] <= 0, F.col("_least")).otherwise(low).alias("_low"),
-                                   F.when(share[1] >= 1, F.col("_greatest")).otherwise(high).alias("_high")), spark)
+    bounds = kept(sketched.select(*keys, F.when(share[0] <= 0, F.col("_least")).otherwise(low).alias("_low"),
+                                   F.when(share[1] >= 1, F.col("_greatest")).otherwise(high).alias("_high")), "page-bounds")
     counted = wide.join(bounds, keys).groupBy(*keys).agg(
         F.count_if(F.col("_v") < F.col("_low")).alias("_skipped"), F.count_if(F.col("_v").between(F.col("_low"), F.col("_high"))).alias("_left"))
     found = state.join(bounds, keys, "left").join(counted, keys, "left")
     start = F.col("_earlier") + F.col("_skipped")
     hit = F.coalesce((start <= first) & (start + F.col("_left") >= F.least(F.lit(last), F.col("_total"))), F.lit(False))
     one = hit & (F.col("_low") == F.col("_high"))
-    return _kept(found.select(
+    return kept(found.select(
         *keys, "_total", F.when(hit, start).otherwise(F.col("_earlier")).alias("_earlier"), F.when(hit, F.col("_left")).otherwise(F.col("_inside")).alias("_inside"),
         F.when(hit, F.col("_low")).alias("_low"), F.when(hit, F.col("_high")).alias("_high"),
-        (F.col("_here") & ~one & ~(hit & (F.col("_left") * 2 > F.col("_inside")))).alias("_here"), (F.col("_next") | one).alias("_next")), spark)
-
-
-def _kept(df: DataFrame, spark) -> DataFrame:
-    """``df``, a row per group, written, because it is used several times."""
-    path = scratch_path(spark, "page-ranges")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        (F.col("_here") & ~one & ~(hit & (F.col("_left") * 2 > F.col("_inside")))).alias("_here"), (F.col("_next") | one).alias("_next")), "page-ranges")
 
 
 def narrowed(df: DataFrame, keys, order, first: int, last: int):
@@ -97,7 +89,7 @@ def narrowed(df: DataFrame, keys, order, first: int, last: int):
     keys, columns, rows = list(keys), df.columns, df
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).filter(F.col("_total") > first)
     zero, yes, none = F.lit(0).cast("bigint"), F.lit(True), F.lit(None).cast("bigint")
-    state = _kept(sizes.withColumns({"_earlier": zero, "_inside": F.col("_total"), "_low": none, "_high": none, "_here": yes, "_next": yes}), df.sparkSession)
+    state = kept(sizes.withColumns({"_earlier": zero, "_inside": F.col("_total"), "_low": none, "_high": none, "_here": yes, "_next": yes}), "page-ranges")
     for number in _levels(df, order):
         state = state.withColumns({"_here": F.col("_next"), "_next": F.lit(False)})
         for attempt in range(3):

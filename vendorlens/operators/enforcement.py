@@ -93,11 +93,15 @@ def resolve_fines(parsed: DataFrame, companies: DataFrame, overrides: DataFrame)
     return kept.withColumn("dpa_country", fines.regulator_of_country(F.col("country")))
 
 
+def tier_of():
+    """Name of the tier that matched a fine."""
+    return F.when(F.col("overridden"), "override").otherwise(
+        F.try_element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("name"), F.lit("name")), F.col("tier")))
+
+
 def enforcement_profile(resolved: DataFrame) -> DataFrame:
     """Stored fines per match tier, and how many have a regulator."""
-    tier = F.when(F.col("overridden"), "override").otherwise(
-        F.try_element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("name"), F.lit("name")), F.col("tier")))
-    return resolved.groupBy(tier.alias("tier")).agg(
+    return resolved.groupBy(tier_of().alias("tier")).agg(
         F.count(F.lit(1)).alias("fines"), F.count("dpa_country").alias("with_regulator"))
 
 

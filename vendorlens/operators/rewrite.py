@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.scratch import scratch_path
+from ..sources.scratch import kept
 from ..sources.sinks import write_table
 from . import state
 
@@ -32,9 +32,7 @@ def rewrite_partitions(spark: SparkSession, path: str, schema, partition, touche
     if not names:
         return 0
     hit = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(partition, name)]) for name in names])
-    aside = scratch_path(spark, "rewrite")
-    change(table.filter(hit)).select(*table.columns).write.parquet(aside)
-    rows = spark.read.schema(table.schema).parquet(aside)
+    rows = kept(change(table.filter(hit)).select(*table.columns), "rewrite")
     write_table(rows, path, partition)
     left = {tuple(r) for r in rows.select(*partition).distinct().collect()}
     empty = spark.createDataFrame([], table.drop(*partition).schema)

@@ -19,3 +19,10 @@ def shared_folder(spark) -> str:
 def scratch_path(spark, name: str) -> str:
     """A new folder below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df, name: str):
+    """``df`` written below the shared folder and read again: for what is used several times, or must not change when a task runs again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 """Writers."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.dates import utc_month
 from ..operators.joins import chunked_lists
@@ -21,6 +21,17 @@ def write_table(df: DataFrame, path: str, keys=(), mode="overwrite"):
      .partitionBy(*keys).parquet(path))
 
 
+def write_counted(df: DataFrame, path: str, counts: dict, keys=(), mode="overwrite") -> dict:
+    """:func:`write_table`, and the ``counts`` (name to condition) of the rows it writes, taken in the same pass; ``rows`` is their number.
+
+    A job that is repeated counts its last attempt of each task once.
+    """
+    seen = Observation()
+    named = [F.count_if(F.coalesce(hit, F.lit(False))).alias(name) for name, hit in counts.items()]
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *named), path, keys, mode)
+    return seen.get
+
+
 def write_companies(companies: DataFrame, path: str):
     """Companies as JSON lines in name order; part files follow each other in that order."""
     out = companies.withColumn("domains", F.coalesce("domains", F.expr("array()").cast("array<string>")))

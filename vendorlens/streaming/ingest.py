@@ -10,12 +10,12 @@ current follows from joins and the greatest pair of a key:
 * ``vendors``: company, name, category, status and earliest subjects of a vendor, written anew likewise;
 * ``companies``: which companies the store has been matched with.
 
-Changes that the feed delivers again are dropped by the state of the stream (:func:`start_ingest`). A batch looks its ids up once, adds its own messages to the
-rollups, and reads other messages again only for vendors that it deletes or marks mail of. A batch that is run again after a failure
-overwrites its own partitions and nothing else.
+Changes that the feed delivers again are dropped by the state of the stream (:func:`start_ingest`). A batch looks its ids up once, adds its own messages
+to the rollups, and reads others only for vendors that it deletes or marks mail of. Run again, it overwrites its own partitions and nothing else.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from ..operators import ingest, matching, rollups, state, topk
 from ..operators.state import ID, VENDOR
 from ..plans.vendors import matched_vendors, with_lists
-from ..sources.scratch import scratch_path
+from ..sources.scratch import kept
 from ..sources.sinks import write_table
 
 LANDING_SCHEMA = """
@@ -50,8 +50,7 @@ _KEY = ["bucket", *VENDOR]
 
 @dataclass(frozen=True)
 class Tables:
-    """Folders of one mail store, on storage every executor sees. ``buckets`` is fixed with the store: about as
-    many as make one bucket's messages a few gigabytes."""
+    """Folders of one mail store, on shared storage. ``buckets`` is fixed with the store: as many as make one bucket's messages a few gigabytes."""
     root: str
     buckets: int = 64
 
@@ -72,10 +71,6 @@ def _at():
     return F.struct("batch", "change")
 
 
-def _pair(at):
-    return F.struct(*[F.lit(x).cast("bigint").alias(n) for x, n in zip(at, ("batch", "change"))])
-
-
 def _read(spark: SparkSession, tables: Tables, name, before=None) -> DataFrame:
     """A table as it was before a pair (batch, change)."""
     rows = spark.read.schema(f"{SCHEMAS[name]}, {_AT}").option("basePath", tables.path(name)).parquet(tables.path(name))
@@ -155,7 +150,7 @@ def apply_batch(batch: DataFrame, batch_id: int, tables: Tables, accounts=None,
     feed = batch.withColumn("message_id", ingest.message_id())
     net = state.net_changes(feed.select(*ID, "seq", "op"))
     own = _buckets(feed, tables)
-    known = _kept(live_ids(spark, tables, at).filter(own).join(net, ID), "known")
+    known = kept(live_ids(spark, tables, at).filter(own).join(net, ID), "known")
     added = ingest.ingest(batch.filter("op = 'add'"), accounts, keep=["seq"])
     if since_ms is not None:
         added = added.filter(F.col("date_ms").isNull() | (F.col("date_ms") >= since_ms))
@@ -176,11 +171,7 @@ def user_changes(spark: SparkSession, tables: Tables, delete=None, marks=None, v
     create(spark, tables)
     last = last_change(spark, tables)
     at = (last[0], last[1] + 1)
-    frames = [f.select("account_id") for f in (delete, marks, vendor_status) if f is not None]
-    accounts = frames[0]
-    for f in frames[1:]:
-        accounts = accounts.unionByName(f)
-    own = _buckets(accounts, tables)
+    own = _buckets(reduce(DataFrame.unionByName, [f.select("account_id") for f in (delete, marks, vendor_status) if f is not None]), tables)
     stored = live_ids(spark, tables, at).filter(own).drop("bucket")
     written = _read(spark, tables, "changes").drop("bucket", "batch", "change").limit(0)
     if delete is not None:
@@ -199,18 +190,11 @@ def _buckets(df: DataFrame, tables: Tables):
     return F.col("bucket").isin([r["b"] for r in df.select(tables.bucket().alias("b")).distinct().collect()])
 
 
-def _kept(df: DataFrame, name) -> DataFrame:
-    """``df`` written beside the store, because it is used several times."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _refresh(spark, tables, at, own, companies, vendor_status=None):
     """Rollups and facts of the vendors that a batch's messages, changes and companies touch."""
     upto = (at[0], at[1] + 1)
     new = _of(spark, tables, "messages", at).drop("batch", "change").filter("vendor_key IS NOT NULL")
-    cut = _kept(_of(spark, tables, "changes", at).filter("vendor_key IS NOT NULL").select(*_KEY).distinct(), "cut")
+    cut = kept(_of(spark, tables, "changes", at).filter("vendor_key IS NOT NULL").select(*_KEY).distinct(), "cut")
     old = current_senders(spark, tables, at).filter(own)
     rollup = rollups.sender_rollup(new.join(cut, _KEY, "left_anti"))
     added = rollups.merged(old.drop("bucket").join(rollup.select(*VENDOR, "sender_email"), [*VENDOR, "sender_email"], "left_semi").unionByName(rollup))
@@ -228,15 +212,15 @@ def _refresh(spark, tables, at, own, companies, vendor_status=None):
     grown = new.select(*_KEY).distinct()
     if companies is not None:
         grown = grown.unionByName(_newly_matched(spark, tables, at, before, companies)).distinct()
-    grown = _kept(grown, "grown")
+    grown = kept(grown, "grown")
     touched = grown.unionByName(cut)
     if vendor_status is not None:
         # A status is written for stored vendors only.
         asked = vendor_status.select(*VENDOR).withColumn("bucket", tables.bucket())
         touched = touched.unionByName(asked.join(before.select(*_KEY), _KEY, "left_semi").select(*_KEY))
     earlier = before.join(touched.distinct(), _KEY, "right")
-    kept = earlier.join(cut, _KEY, "left_anti").select(*VENDOR, F.inline("subjects")).unionByName(subjects.select(*VENDOR, "date_ms", "message_id", "subject"))
-    first = topk.earliest_subjects(kept).groupBy(*VENDOR).agg(F.array_sort(F.collect_list(F.struct("date_ms", "message_id", "subject"))).alias("subjects"))
+    known = earlier.join(cut, _KEY, "left_anti").select(*VENDOR, F.inline("subjects")).unionByName(subjects.select(*VENDOR, "date_ms", "message_id", "subject"))
+    first = topk.earliest_subjects(known).groupBy(*VENDOR).agg(F.array_sort(F.collect_list(F.struct("date_ms", "message_id", "subject"))).alias("subjects"))
     # A vendor that only lost or was marked mail keeps the facts it had.
     rows = earlier.drop("subjects").join(first, VENDOR, "left")
     if companies is not None:
@@ -264,8 +248,7 @@ def start_ingest(spark: SparkSession, source: str, tables: Tables, checkpoint: s
                  companies=None, since_ms: int = None, files_per_batch: int = None, first_batch: int = 0):
     """Starts the ingest of a landing folder; returns the running query.
 
-    It takes what is there and ends; a scheduler starts it again. The checkpoint, on shared storage, keeps the position and the changes that
-    were delivered, so no cursor is stored and a change that the feed gives again doesn't reach a batch.
+    It takes what is there and ends; a scheduler starts it again. The checkpoint, on shared storage, keeps the position and the changes delivered.
     """
     create(spark, tables)
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -295,8 +278,7 @@ def replay_since(spark: SparkSession, source: str, tables: Tables, fresh_checkpo
                  accounts=None, companies=None):
     """Feed position lost: reads everything since a time again, under a new checkpoint.
 
-    Stored ids are skipped, so rows that were there before stay as they are. Batch numbers go on where the store ended; the first one is
-    kept beside the checkpoint, so a replay that is started again gives its batches the numbers they had.
+    Stored ids are skipped. Batch numbers go on where the store ended; the first one stays beside the checkpoint, for a replay that is started again.
     """
     create(spark, tables)
     path = fresh_checkpoint + ".first-batch"
@@ -305,10 +287,7 @@ def replay_since(spark: SparkSession, source: str, tables: Tables, fresh_checkpo
 
 
 def compact(spark: SparkSession, tables: Tables, target: Tables):
-    """The current rows of a store as one batch of a new folder, without deletions and earlier rows.
-
-    Streams then write to the new folder under their old checkpoint: its pair is the last one used, so the next batch follows it.
-    """
+    """The current rows of a store under its last pair in a new folder, to which streams then write under their old checkpoint."""
     create(spark, target)
     last = last_change(spark, tables)
     _write(live_messages(spark, tables), target, "messages", last)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enforcement, matching, stats
 from ..plans import breach_pages as pages
-from ..sources import readers, sinks
+from ..sources import layout, readers, sinks
 from ..sources.scratch import scratch_path
 from . import tables as t
 from .ctes import sql
@@ -188,3 +188,12 @@ def sink_tables(spark, sf):
     sinks.write_table(rows, path, ["account_id"])
     sinks.write_table(rows.filter("account_id = 'a1'").withColumn("type", F.lit("new")), path, ["account_id"])
     return spark.read.parquet(path).select("account_id", "message_id", "type")
+
+
+@register("src_messages_clustered", sql("messages", """
+SELECT account_id, message_id, subject, date_ms FROM messages WHERE account_id = 'a1' AND date_ms >= 1600000000000 AND date_ms < 1690000000000"""))
+def src_messages_clustered(spark, sf):
+    path = scratch_path(spark, "clustered")
+    layout.write_clustered(t.messages(spark, sf), path, 8)
+    found = layout.read_clustered(spark, path, ["a1"], 1_600_000_000_000, 1_690_000_000_000, headers_only=True)
+    return found.select("account_id", "message_id", "subject", "date_ms")
