@@ -6,7 +6,7 @@ shorter context. The statistics are frozen after training, so the cost of a byte
 the three bytes before only. Every context that the training texts hold is kept, sparsely: a code length for each byte seen in it and one for the escape.
 A text is scored whole, its different four-byte runs once for each language; the language with the least total wins.
 
-A language has about 45,000 seen bytes in contexts and 11,000 contexts here, 0.5 MB; four languages make 2 MB to broadcast, 100 languages about 50 MB. Trees are built in tasks, one a
+A language of the given tables has up to 6,600 contexts of three bytes and takes 0.2 to 0.35 MB: 1.3 MB to broadcast for four languages, about 35 MB for 100. Trees are built in tasks, one a
 language, of the bounded sample; the driver sees them packed.
 """
 
