@@ -28,6 +28,16 @@ def test_overrides(spark, tmp_path):
     assert got == [("ETid-1", "free-fr"), ("ETid-2", None)]
 
 
+def test_overrides_with_open_keys_and_broken_lines(spark, tmp_path):
+    """Keys with dots and brackets, nested and null values; a broken line is reported and hides no other."""
+    path = tmp_path / "o.json"
+    path.write_text('{"ETid-1": "a.b", "x.y.z": "dots", "k[0]": "brackets", "n": {"deep": null}, "e": null, "": "empty"}\n{"ETid-2": "b"\n\n[1, 2]\n{"_c": 1, "num": 7}\n{}\n')
+    got = {r["etid"]: r["company_slug"] for r in readers.read_overrides(spark, str(path), lines=True).collect()}
+    assert got == {"ETid-1": "a.b", "x.y.z": "dots", "k[0]": "brackets", "n": '{"deep":null}', "e": None, "": "empty", "num": "7"}
+    bad = sorted((r["file"], r["reason"].split(":")[0], r["text"]) for r in readers.broken_documents(spark, str(path), lines=True).collect())
+    assert bad == [("o.json", "no JSON", '{"ETid-2": "b"'), ("o.json", "no object", "[1, 2]")]
+
+
 def test_enforcement_and_releases(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"data": [["", "<b>ETid-1</b>"] + [""] * 11, ["x"] * 13]}))
     assert readers.read_enforcement(spark, str(tmp_path / "e.json")).count() == 2

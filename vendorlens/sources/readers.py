@@ -71,12 +71,27 @@ def read_enforcement(spark: SparkSession, path: str) -> DataFrame:
         .select(F.explode("data").alias("row")))
 
 
+def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """``file, text, document`` (a VARIANT, null where the text is no JSON) of every file or line."""
+    return (spark.read.text(path, wholetext=not lines).filter(F.trim("value") != "")
+            .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"), F.try_parse_json("value").alias("document")))
+
+
 def read_overrides(spark: SparkSession, path: str, lines=False) -> DataFrame:
-    """Key to slug-or-null map, one object per file or per line; keys that open with ``_`` are comments."""
-    return (
-        spark.read.text(path, wholetext=not lines)
-        .select(F.explode(F.from_json("value", "map<string,string>")).alias("etid", "company_slug"))
-        .filter(~F.startswith("etid", F.lit("_"))))
+    """Key to slug-or-null map, one object per file or per line; keys that open with ``_`` are comments. What is no object
+    is in :func:`broken_documents`."""
+    found = _documents(spark, path, lines).filter(F.schema_of_variant("document").startswith("OBJECT"))
+    entries = found.lateralJoin(spark.tvf.variant_explode(F.col("document").outer()))
+    return (entries.select(F.col("key").alias("etid"), F.try_variant_get("value", "$", "string").alias("company_slug"))
+            .filter(~F.startswith("etid", F.lit("_"))))
+
+
+def broken_documents(spark: SparkSession, path: str, lines=False, shown: int = 200) -> DataFrame:
+    """``file, reason, text`` of the files or lines that hold no JSON, or no object; of the text, the first ``shown`` characters."""
+    rows = _documents(spark, path, lines)
+    kind = F.schema_of_variant("document")
+    reason = F.when(F.col("document").isNull(), "no JSON").when(~kind.startswith("OBJECT"), F.concat(F.lit("no object: "), kind))
+    return rows.select("file", reason.alias("reason"), F.substring("text", 1, shown).alias("text")).filter("reason IS NOT NULL")
 
 
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
