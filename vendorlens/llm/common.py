@@ -72,6 +72,13 @@ def tidied(run):
     return wrapped
 
 
+def sliced(batches, rows: int = 1000):
+    """The batches in slices of ``rows`` rows, for work that holds much more than the text of a row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_texts(column: pa.Array) -> list:
     """The values of a string column as UTF-8 bytes, null as None."""
     return column.cast(pa.large_binary()).to_pylist()
