@@ -88,6 +88,29 @@ def test_candidates_hold_all_grams_of_a_needle(spark):
     assert [r["text"] for r in contains.contains_join(needle, texts, 2, index).collect()] == ["xabcd"]
 
 
+@pytest.mark.parametrize("rows", [0, 128])
+def test_contains_by_blocks_or_bitmaps_as_every_pair(spark, monkeypatch, rows):
+    """Needles of every length from n to beyond the longest block; ``rows`` 0 sends all to the bitmaps."""
+    monkeypatch.setattr(contains, "ROWS", rows)
+    texts = spark.range(300).select(F.concat(F.lit("shop"), "id", F.lit(" ltd. "), F.repeat(F.lit("äb😀"), (F.col("id") % 30).cast("int"))).alias("text"), "id")
+    cut = F.explode(F.transform(F.array(*[F.lit(k) for k in (2, 3, 4, 5, 7, 8, 9, 15, 17, 33, 70)]), lambda k: F.substr(F.col("text"), F.lit(3), k)))
+    needles = texts.select(cut.alias("needle")).union(spark.createDataFrame([("op1 ltd. äb😀ä😀",), ("zz",), ("shop300",)], "needle string")).distinct()
+    got = contains.contains_join(needles, texts, 2).select("needle", "id")
+    want = needles.join(texts, F.contains("text", "needle")).select("needle", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_needles_meet_few_texts_beside_those_that_hold_them(spark):
+    """Every gram of every needle is in many texts, the needles are in few."""
+    texts = spark.range(20_000).select(F.concat(F.lit("shop"), "id", F.lit(" ltd.")).alias("text"))
+    needles = spark.range(10_000, 30_000).select(F.concat(F.lit("shop"), "id").alias("needle"))
+    index = contains.write_index(texts, 2)
+    assert index.postings.filter("gram IN ('sh', 'ho', 'op', '10')").agg(F.min("df")).first()[0] > 500
+    # 10,000 needles have a text each; the others have blocks that no text holds, or few do.
+    assert contains.looked_up(needles, index).count() < 30_000
+    assert contains.contains_join(needles, texts, 2, index).count() == 10_000
+
+
 def test_one_index_serves_match_and_search(spark, sf, tmp_path):
     companies, vendors = t.companies(spark, sf), t.vendors(spark, sf)
     queries = spark.createDataFrame([("shop1",), ("p3.co",), ("Ltd",)], "query string")

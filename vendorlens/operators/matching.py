@@ -50,7 +50,9 @@ def match_by_name(vendors: DataFrame, companies: DataFrame, index: TextIndex = N
     """Adds ``name_slug``: the first company whose name or a brand contains the vendor name (3+ characters)."""
     needle = ascii_lower(F.col("name"))
     needles = vendors.filter(F.length("name") >= 3).select(needle.alias("needle")).distinct()
-    found = contains_join(needles, _texts_to_match(companies), 3, index).groupBy("needle").agg(F.min(F.struct("ord", "slug")).alias("first"))
+    # Of companies with an equal text only the first can be the answer, so a text that many share is one row.
+    texts = _texts_to_match(companies).groupBy("text").agg(F.min(F.struct("ord", "slug")).alias("first"))
+    found = contains_join(needles, texts, 3, index).groupBy("needle").agg(F.min("first").alias("first"))
     named = found.select("needle", F.col("first.slug").alias("name_slug"))
     return vendors.withColumn("needle", needle).join(named, "needle", "left").drop("needle")
 
