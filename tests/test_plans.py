@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from vendorlens.operators import breaches, contains, deep_pages, matching, stats, topk
+from vendorlens.operators import breaches, contains, deep_pages, ingest, matching, stats, topk
 from vendorlens.operators.joins import spread_join
 from vendorlens.plans import vendor_detail
 from vendorlens.sources.scratch import scratch_path
@@ -23,6 +23,24 @@ def test_vendor_build_reads_messages_once_beside_the_rollup(spark, sf):
     assert message_scans(t.built_vendors(spark, sf)) == 1
 
 
+def test_stored_vendors_equal_those_of_one_plan(spark, sf):
+    """The stored table is joined from stored parts, so that no stage holds the sorts of all its joins at once."""
+    plan = optimized(t.built_vendors(spark, sf)).count("Join")
+    parts = [t.vendor_plans.build_vendors(t.messages(spark, sf), t.companies(spark, sf), t.vendor_status(spark, sf), t.senders(spark, sf), t.matched_vendors(spark, sf)),
+             t.vendor_plans.with_lists(t.base_vendors(spark, sf), t.senders(spark, sf), t.whitelist(spark, sf), t.actions(spark, sf), t.breaches(spark, sf), t.AS_OF_MS)]
+    assert all(optimized(part).count("Join") < plan - 4 for part in parts)
+    columns = sorted(t.vendors(spark, sf).columns)
+    assert sorted(map(str, t.vendors(spark, sf).select(columns).collect())) == sorted(map(str, t.built_vendors(spark, sf).select(columns).collect()))
+
+
+def test_vendor_mail_is_cut_by_one_look_at_the_address(spark):
+    mail = spark.createDataFrame([("a@x.org",), ("no address",), ("a@gmail.com",), (None,), ("a@mail.gmail.com",)], "sender_email string")
+    kept = ingest.keep_vendor_mail(mail.select(F.concat_ws("@", F.split("sender_email", "@")).alias("sender_email")))
+    (line,) = [x for x in optimized(kept).splitlines() if "Filter" in x]
+    assert line.count("concat_ws") == 1
+    assert [r[0] for r in kept.collect()] == ["a@x.org"]
+
+
 def test_detail_lists_read_messages_once_for_all_message_lists(spark, sf):
     """And for the senders: their counts, and how many parts these need, from one exchange."""
     sections = vendor_detail.detail_sections(

@@ -12,14 +12,15 @@ FEATURE_FLAGS = [
 FEATURE_COUNTS = ["message_count", "sender_count", "bulk_count"]
 
 
-def build_vendors(messages: DataFrame, companies: DataFrame, status: DataFrame = None, senders: DataFrame = None) -> DataFrame:
+def build_vendors(messages: DataFrame, companies: DataFrame, status: DataFrame = None, senders: DataFrame = None, matched: DataFrame = None) -> DataFrame:
     """Vendor entity from messages: company by domain, name, company by name, category and risk.
 
-    ``senders``: the sender rollup, best read from a stored table. Messages themselves are read for
+    ``senders``: the sender rollup, ``matched``: its :func:`matched_vendors`, both best read from a stored table. Messages themselves are read for
     the subjects of vendors without a company only.
     """
     senders = rollups.sender_rollup(messages) if senders is None else senders
-    categorized = matching.categorize_unmatched(matched_vendors(senders, companies), messages)
+    matched = matched_vendors(senders, companies) if matched is None else matched
+    categorized = matching.categorize_unmatched(matched, messages)
     if status is None:
         return categorized.withColumn("status", F.lit(None).cast("string"))
     return categorized.join(status.select(*VENDOR, "status"), VENDOR, "left")
