@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vendorlens.dims import patterns
 from vendorlens.functions import addresses, classify, fines, optout, quality, senders, signals, text
 
 
@@ -213,3 +214,15 @@ def test_category_rules(spark):
     ("https://X.com/a?b=1", "https://x.com/a"), ("http://x.com", "http://x.com/"), ("mailto:a@x", "mailto:a@x"), ("?", "?")])
 def test_strip_query(spark, url, clean):
     assert value(spark, addresses.strip_query, url) == clean
+
+
+@pytest.mark.parametrize("found", [patterns.ORDER, patterns.TRANSACTIONAL, patterns.OPT_OUT_TEXT])
+def test_patterns_of_a_letter_share_it(spark, found):
+    """Few alternatives are tried at a word, and the answer is that of the patterns one by one."""
+    assert len(patterns._by_letter([p[2:] for p in found])) < len(found) / 2
+    words = ["order confirmation", "Your blue box has shipped", "VOTRE REÇU 1", "uw bestelling", "je bestelling", "opt out", "opt-out", "email bestätigen", "E-Mail bestatigen",
+             "résumé", "2FA code", "sign in code", "ticket # 7", "ticket 7a", "reorder #7", "order #7", "Kein Versand", "versand7", "ſe désabonner", "se desabonner", "aus dem Verteiler tragen", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    single = [F.col("w").rlike("(?iu)" + patterns.java_regex(p)) for p in found]
+    rows = df.select("w", F.col("w").rlike(patterns.java_any(found)).alias("got"), F.exists(F.array(*single), lambda x: x).alias("want")).collect()
+    assert [r["w"] for r in rows if r["got"] != r["want"]] == [] and any(r["got"] for r in rows)

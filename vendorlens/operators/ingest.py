@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addresses, classify, optout, senders, text
+from ..functions.let import let
 
 
 def message_id():
@@ -64,7 +65,8 @@ def keep_vendor_mail(messages: DataFrame, accounts: DataFrame = None) -> DataFra
     ``accounts`` (account_id, email) is matched on the whole address.
     """
     domain = addresses.mail_domain(F.col("sender_email"))
-    kept = messages.filter(domain.isNotNull() & ~addresses.is_personal_domain(domain))
+    # Bound once: the filter is pushed below the parsing of the sender, which each mention of the address would repeat.
+    kept = messages.filter(let(domain, lambda d: d.isNotNull() & ~addresses.is_personal_domain(d)))
     if accounts is None:
         return kept
     own = accounts.select("account_id", F.lower("email").alias("sender_email")).distinct()
