@@ -7,7 +7,7 @@ from vendorlens.operators import breaches, contains, deep_pages, ingest, matchin
 from vendorlens.operators.joins import spread_join
 from vendorlens.plans import vendor_detail
 from vendorlens.sources.scratch import scratch_path
-from vendorlens.verify import tables as t
+from vendorlens.verify import joins, tables as t
 
 
 def optimized(df):
@@ -202,3 +202,18 @@ def test_search_ranks_all_hits(spark):
     query = spark.createDataFrame([("needle",)], "query string")
     assert matching.company_search(query, companies, 3).orderBy("rank").first()["slug"] == "z"
     assert matching.company_search(query, companies, 3, scan=12).filter("slug = 'z'").count() == 0
+
+
+def test_vendor_keys_need_no_message_table(spark, tmp_path):
+    """A query of vendor keys ingests two columns and doesn't write the messages; once these are stored, it reads them. Rows repeat, or have no user or type."""
+    sf = str(tmp_path)
+    rows = [(1, 1, "view"), (1, 1, "view"), (2, 8, "click"), (3, 5, None), (4, None, "purchase"), (5, 3, "error")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").withColumns(
+        {"ts": F.lit("2024-01-01").cast("timestamp_ntz"), "value": F.lit(1.0)}).write.parquet(f"{sf}/events.parquet")
+    spark.createDataFrame([(1, "text")], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(2, "<p>page</p>")], "page_id long, html string").write.parquet(f"{sf}/pages.parquet")
+    found = sorted(tuple(r) for r in joins.vendor_keys(spark, sf).collect())
+    assert (spark.sparkContext.applicationId, sf, "messages") not in t._STORED
+    assert sum(1 for _ in t.message_vendors(spark, sf).collect()) == t.messages(spark, sf).count()
+    assert found and found == sorted(tuple(r) for r in t.messages(spark, sf).select("account_id", "vendor_key").distinct().collect())
+    assert "messages-" in t.message_vendors(spark, sf).inputFiles()[0]

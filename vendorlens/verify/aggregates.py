@@ -47,7 +47,7 @@ SELECT account_id, vendor_key, c.slug AS company_slug, coalesce(c.categories[1],
   coalesce(c.name, upper(left(vendor_key, 1)) || split_part(substr(vendor_key, 2), '.', 1)) AS name
 FROM vendor_base LEFT JOIN companies c ON list_contains(c.domains, vendor_key)"""))
 def vendor_first_category(spark, sf):
-    return matching.initial_vendors(t.messages(spark, sf).select(*KEYS), t.companies(spark, sf)).drop("risk_level")
+    return matching.initial_vendors(t.message_vendors(spark, sf), t.companies(spark, sf)).drop("risk_level")
 
 
 @register("category_from_company", sql("vendor_base companies", """
@@ -58,7 +58,7 @@ SELECT account_id, vendor_key, CASE WHEN list_contains(c.categories, 'financial'
 FROM vendor_base LEFT JOIN companies c ON list_contains(c.domains, vendor_key)"""))
 def category_from_company(spark, sf):
     companies = t.companies(spark, sf)
-    base = matching.initial_vendors(t.messages(spark, sf).select(*KEYS), companies)
+    base = matching.initial_vendors(t.message_vendors(spark, sf), companies)
     return matching.categorize_matched(base, companies).select(*KEYS, "category_id", "risk_level")
 
 

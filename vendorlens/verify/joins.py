@@ -14,7 +14,7 @@ KEYS = ["account_id", "vendor_key"]
 
 
 def vendor_keys(spark, sf):
-    return t.messages(spark, sf).select(*KEYS).distinct()
+    return t.message_vendors(spark, sf).distinct()
 
 
 @register("join_company_domain", sql("messages companies", """

@@ -147,6 +147,13 @@ def messages(spark, sf) -> DataFrame:
     return stored(spark, sf, "messages", lambda: ingested(spark, sf))
 
 
+def message_vendors(spark, sf) -> DataFrame:
+    """``account_id, vendor_key`` of every message. Where this session hasn't stored the messages yet, they are ingested for these two columns
+    alone: Spark then neither parses bodies and wording nor writes the table, which a query of keys doesn't read."""
+    known = (spark.sparkContext.applicationId, sf, "messages") in _STORED
+    return (messages if known else ingested)(spark, sf).select(*rollups.VENDOR)
+
+
 def accounts(spark, sf) -> DataFrame:
     n = F.col("n")
     return events(spark, sf).select((F.col("event_id") % 3).alias("n")).distinct().select(
