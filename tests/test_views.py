@@ -138,3 +138,13 @@ def test_a_small_deletion_reads_no_base_rows(spark):
     gone = base.join(first, "message_id", "left_semi")
     _, again = spec.apply(view, base.limit(0), gone, base.join(gone, "message_id", "left_anti"))
     assert again.count() == 0
+
+
+def test_changed_lists_are_worked_out_once(spark):
+    """The lists after a batch serve the keys that ran out and the others: they are stored, so only what is read again is ranked anew."""
+    spec = topk_views.latest(5, 5)
+    base = spark.createDataFrame(mail(random.Random(1), 60), MAIL)
+    view = spec.build(base)
+    view = spark.createDataFrame(view.collect(), view.schema)
+    after, _ = spec.apply(view, base.limit(0), base.limit(2), base)
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import kept
 from .topk import VENDOR, METHOD_PRIORITY
 
 
@@ -57,7 +58,8 @@ class TopK:
         """(the view after a batch, the keys that were read from ``messages`` again).
 
         ``added`` and ``deleted`` are rows of the base table, those of a change of a row both: as it was and as it is. ``messages`` is the base table after the batch;
-        only rows of the keys that ran out are read from it.
+        only rows of the keys that ran out are read from it. ``view`` is read several times: pass one that is stored. The changed lists are stored, as they
+        are used for the keys that ran out and for the others.
         """
         keys = list(self.keys)
         new, gone = self._rows(added), self._rows(deleted).select(*keys, F.col("item.at").alias("at"))
@@ -72,6 +74,7 @@ class TopK:
         empty = F.array().cast(view.schema["items"].dataType)
         lists = (known.join(lists, keys, "full").withColumn("floor", F.coalesce("floor", "known"))
                  .withColumn("items", F.coalesce("items", empty)).drop("known"))
+        lists = kept(lists, "changed-lists")
         short = (F.size("items") < self.k) & F.col("floor").isNotNull()
         refilled = lists.filter(short).select(*keys)
         again = self.build(messages.join(refilled, keys, "left_semi"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deltas, topk_views
 from ..operators.state import ID, VENDOR
-from ..sources.scratch import scratch_path
+from ..sources.scratch import kept, scratch_path
 from . import tables as t
 from .aggregates import DASHBOARD
 from .ctes import sql
@@ -56,10 +56,10 @@ def changed(spark, sf, spec):
     messages = t.messages(spark, sf)
     number = F.substring("message_id", 2, 20).cast("bigint")
     orders, rest = messages.filter("type = 'order'"), messages.filter("type <> 'order' OR type IS NULL")
-    view, _ = spec.apply(spec.build(rest), orders, messages.limit(0), messages)
+    view, _ = spec.apply(kept(spec.build(rest), "view"), orders, messages.limit(0), messages)
     gone = messages.filter((number % 3 == 1) | (F.col("date_ms") > 1_690_000_000_000))
     left = messages.join(gone.select(*ID), ID, "left_anti")
-    view, _ = spec.apply(view, messages.limit(0), gone, left)
+    view, _ = spec.apply(kept(view, "view"), messages.limit(0), gone, left)
     return view
 
 
