@@ -78,3 +78,11 @@ def test_rows_without_an_id_stay(spark, sf, odd):
     kept = corpus_pipeline.drop_near_duplicates(spark, odd, sf).collect()
     assert sum(r.doc_id is None for r in kept) == 2
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 4, 4, 5, 7, 8, 9, 10]
+
+
+def test_tokens_are_made_in_small_blocks(monkeypatch):
+    """The workers of four stages before are still there, so the last stage holds 4 MB of text in a task at most, or one document."""
+    seen = {}
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode", lambda docs, path, **options: seen.update(options))
+    corpus_pipeline.tokenize(None, None, None)
+    assert seen["block_bytes"] <= 4 << 20

@@ -243,6 +243,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     out_schema = pa.schema(arrow)
 
     def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        _splitter.cache_clear()  # the worker encoded words before; joining needs no tokenizer
         order = sorted(range(right.num_rows), key=right.column("slice").to_pylist().__getitem__)
         sizes, ids = right.column("sizes").to_pylist(), right.column("ids").to_pylist()
         start, flat = _word_table([(sizes[i], ids[i]) for i in order])
