@@ -217,3 +217,9 @@ def test_vendor_keys_need_no_message_table(spark, tmp_path):
     assert sum(1 for _ in t.message_vendors(spark, sf).collect()) == t.messages(spark, sf).count()
     assert found and found == sorted(tuple(r) for r in t.messages(spark, sf).select("account_id", "vendor_key").distinct().collect())
     assert "messages-" in t.message_vendors(spark, sf).inputFiles()[0]
+
+
+def test_mail_parses_each_sender_once(spark, sf):
+    """The filter by the address must not be pushed below the parsing, where it would repeat it."""
+    plan = optimized(ingest.ingest(t.raw_messages(spark, sf)))
+    assert plan.count(r"<([^>]+)>\z, 2)") == 1

@@ -226,3 +226,24 @@ def test_patterns_of_a_letter_share_it(spark, found):
     single = [F.col("w").rlike("(?iu)" + patterns.java_regex(p)) for p in found]
     rows = df.select("w", F.col("w").rlike(patterns.java_any(found)).alias("got"), F.exists(F.array(*single), lambda x: x).alias("want")).collect()
     assert [r["w"] for r in rows if r["got"] != r["want"]] == [] and any(r["got"] for r in rows)
+
+
+def test_header_lists_with_and_without_repeated_names(spark):
+    """A list that names each header once is taken as it is; others, and lists with empty places, are merged."""
+    rows = [([("A", "1"), ("B", None)],), ([("A", "1"), ("A", "2")],), ([("A", "1"), None, (None, "3")],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "h array<struct<name:string,value:string>>")
+    got = [r[0] for r in df.select(senders.headers_map(F.col("h"))).collect()]
+    assert got == [{"A": "1", "B": None}, {"A": "2"}, {"A": "1"}, {}, {}]
+
+
+def test_only_known_names_mark_bulk_mail(spark):
+    rows = [({"x-other": "1"},), ({"List-ID": "l"},), ({"a\nlist-id": "l"},), ({"X-SG-ID": None},), ({"Precedence": "bulk"},), ({},), (None,)]
+    df = spark.createDataFrame(rows, "h map<string,string>")
+    assert [r[0] for r in df.select(senders.has_bulk_headers(F.col("h"))).collect()] == [False, True, False, False, True, False, False]
+
+
+def test_white_space_collapses_and_tags_vanish(spark):
+    texts = [" a  b ", "a\tb", "a \n b", "<b>a</b> b", "a<b", " a  b", None, ""]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = [tuple(r) for r in df.select(text.collapse(F.col("x")), text.strip_tags(F.col("x"))).collect()]
+    assert got == [("a b", "a b"), ("a b", "a b"), ("a b", "a b"), ("<b>a</b> b", "a b"), ("a<b", "a<b"), ("a b", "a b"), (None, ""), ("", "")]

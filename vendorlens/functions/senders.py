@@ -83,9 +83,12 @@ def headers_map(headers: Column, policy: str = "last") -> Column:
             F.lower(h["name"]).alias("name"), js_trim(h["value"]).alias("value")))
         kept = _first_of_each_name(F.filter(clean, lambda h: h["value"] != ""))
     elif policy == "last":
-        kept = let(headers, lambda hs: F.transform(_first_of_each_name(hs), lambda h: F.struct(
+        merged = let(headers, lambda hs: F.transform(_first_of_each_name(hs), lambda h: F.struct(
             h["name"].alias("name"),
             F.element_at(F.filter(hs, lambda g: g["name"] == h["name"]), -1)["value"].alias("value"))))
+        # Most lists name each header once; they are the map already.
+        once = F.size(F.array_compact(F.array_distinct(headers["name"]))) == F.size(headers)
+        kept = F.when(once, headers).otherwise(merged)
     else:
         raise ValueError(f"unknown header policy: {policy}")
     return F.map_from_entries(kept)
@@ -93,11 +96,12 @@ def headers_map(headers: Column, policy: str = "last") -> Column:
 
 def has_bulk_headers(headers: Column) -> Column:
     """True when a header map marks bulk mail. Automatic replies never count."""
-    spelled = F.transform(
-        F.map_entries(F.coalesce(headers, F.expr("map()").cast("map<string,string>"))),
-        lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")),
-    )
-    return let(F.filter(spelled, lambda e: e["value"].isNotNull()), _marks_bulk)
+    headers = F.coalesce(headers, F.expr("map()").cast("map<string,string>"))
+    spelled = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
+    marks = F.array(*[F.lit(n) for n in (*dims.LIST_HEADERS, "precedence", *dims.SENDER_PLATFORM_HEADERS)])
+    # Maps without any of the names that can mark bulk mail aren't looked at one name after the other.
+    names = F.split(F.lower(F.array_join(F.map_keys(headers), "\n")), "\n")
+    return F.when(F.arrays_overlap(names, marks), let(F.filter(spelled, lambda e: e["value"].isNotNull()), _marks_bulk)).otherwise(False)
 
 
 def _marks_bulk(entries: Column) -> Column:

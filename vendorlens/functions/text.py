@@ -5,7 +5,8 @@ from pyspark.sql import Column, functions as F
 from ..dims.patterns import WHITE_CHARS, WHITE_SPACE
 from .let import let
 
-_SPACES = f"[{WHITE_SPACE}]+"
+# Runs that aren't a single blank, which would be replaced by itself.
+_SPACES = f"[{WHITE_SPACE}&&[^ ]][{WHITE_SPACE}]*| [{WHITE_SPACE}]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -28,7 +29,8 @@ def html_to_text(col: Column) -> Column:
 
 def strip_tags(col: Column) -> Column:
     """Tags vanish without leaving a blank; used for table cells. Empty for null."""
-    return collapse(F.regexp_replace(F.coalesce(col, F.lit("")), r"<[^>]*>", ""))
+    text = F.coalesce(col, F.lit(""))
+    return collapse(F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"<[^>]*>", "")).otherwise(text))
 
 
 def first_href(col: Column) -> Column:
@@ -48,6 +50,6 @@ def capitalized(col: Column) -> Column:
 
 def body_preview(text: Column, html: Column, snippet: Column, length: int = 150) -> Column:
     """First characters of the text body, else of the cleaned HTML, else of the snippet."""
-    body = F.coalesce(F.when(text != "", text), html_to_text(html))
+    body = F.coalesce(F.when(text != "", text), F.when(html.isNotNull(), html_to_text(html)))
     preview = let(F.substring(collapse(body), 1, length), lambda p: F.when(p != "", p))
     return F.coalesce(preview, F.substring(snippet, 1, length), F.lit(""))

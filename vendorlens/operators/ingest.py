@@ -33,9 +33,9 @@ def normalize_messages(raw: DataFrame, keep=()) -> DataFrame:
         # Each layer binds what the next one uses several times; header names are lower-cased once.
         .withColumn("_names", senders.lower_names(F.col("headers")))
         .withColumns({c: senders.named_value(F.col("headers"), F.col("_names"), n) for c, n in needed.items()})
-        .withColumns({
-            "_sender": senders.parse_sender(F.col("_from")), "_subject": F.coalesce(subject, empty),
-            "_date_ms": senders.header_date_ms(F.col("_date"))})
+        # Generated, so that a filter by the address stays above it: pushed below, it would parse each sender a second time.
+        .select("*", F.explode(F.array(senders.parse_sender(F.col("_from")))).alias("_sender"))
+        .withColumns({"_subject": F.coalesce(subject, empty), "_date_ms": senders.header_date_ms(F.col("_date"))})
         .withColumn("_unsub", optout.resolve_unsubscribe(F.col("_list"), F.col("_post"), F.col("body_html"), F.col("_subject")))
         .select(
             "account_id",
