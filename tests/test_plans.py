@@ -223,3 +223,11 @@ def test_mail_parses_each_sender_once(spark, sf):
     """The filter by the address must not be pushed below the parsing, where it would repeat it."""
     plan = optimized(ingest.ingest(t.raw_messages(spark, sf)))
     assert plan.count(r"<([^>]+)>\z, 2)") == 1
+
+
+def test_stored_name_matches_leave_the_lookup_out_of_the_match(spark, sf):
+    senders, companies = t.senders(spark, sf), t.companies(spark, sf)
+    whole = t.vendor_plans.matched_vendors(senders, companies)
+    split = t.vendor_plans.matched_vendors(senders, companies, t.named_vendors(spark, sf), t.name_matches(spark, sf))
+    assert optimized(split).count("Join") < optimized(whole).count("Join") / 2
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.select(split.columns).collect()))

@@ -57,12 +57,23 @@ def match_by_name(vendors: DataFrame, companies: DataFrame, index: TextIndex = N
     return vendors.withColumn("needle", needle).join(named, "needle", "left").drop("needle")
 
 
-def match_companies(vendors: DataFrame, companies: DataFrame) -> DataFrame:
-    """Fills ``company_slug`` of unmatched vendors: by domain, else by name. Webmail keys are skipped."""
+def _by_domain(vendors: DataFrame, companies: DataFrame) -> DataFrame:
+    """Vendors with ``domain_slug``, and ``_open``: whether they may take a company."""
     open_ = F.col("company_slug").isNull() & ~F.col("vendor_key").isin(PERSONAL_DOMAINS)
-    by_domain = match_by_domain(vendors.withColumn("_open", open_), companies)
-    unnamed = by_domain.filter(F.col("_open") & F.col("domain_slug").isNull()).select(*VENDOR, "name")
-    by_name = match_by_name(unnamed, companies).select(*VENDOR, "name_slug")
+    return match_by_domain(vendors.withColumn("_open", open_), companies)
+
+
+def name_matches(vendors: DataFrame, companies: DataFrame) -> DataFrame:
+    """``name_slug`` of the vendors that are looked up by name: those without a company and with no company of their domain."""
+    unnamed = _by_domain(vendors, companies).filter(F.col("_open") & F.col("domain_slug").isNull()).select(*VENDOR, "name")
+    return match_by_name(unnamed, companies).select(*VENDOR, "name_slug")
+
+
+def match_companies(vendors: DataFrame, companies: DataFrame, by_name: DataFrame = None) -> DataFrame:
+    """Fills ``company_slug`` of unmatched vendors: by domain, else by name. Webmail keys are skipped. ``by_name``: their :func:`name_matches`,
+    best read from a stored table, so that the lookup and this join don't share a stage."""
+    by_domain = _by_domain(vendors, companies)
+    by_name = name_matches(vendors, companies) if by_name is None else by_name
     slug = F.coalesce("company_slug", F.when(F.col("_open"), F.coalesce("domain_slug", "name_slug")))
     return (
         by_domain.join(by_name, VENDOR, "left")

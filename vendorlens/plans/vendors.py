@@ -26,14 +26,20 @@ def build_vendors(messages: DataFrame, companies: DataFrame, status: DataFrame =
     return categorized.join(status.select(*VENDOR, "status"), VENDOR, "left")
 
 
-def matched_vendors(senders: DataFrame, companies: DataFrame) -> DataFrame:
-    """Vendors of the sender rollup with company, name, and the category of the company."""
+def named_vendors(senders: DataFrame, companies: DataFrame) -> DataFrame:
+    """Vendors of the sender rollup with the company of their domain and with their name."""
     names = rollups.names_of(senders)
     base = matching.initial_vendors(names, companies).join(names, VENDOR)
-    named = base.withColumn(
+    return base.withColumn(
         "name", F.when(F.col("company_slug").isNull(), F.coalesce("sender_name", "name")).otherwise(F.col("name"))
     ).drop("sender_name")
-    return matching.categorize_matched(matching.match_companies(named, companies), companies)
+
+
+def matched_vendors(senders: DataFrame, companies: DataFrame, named: DataFrame = None, by_name: DataFrame = None) -> DataFrame:
+    """Vendors of the sender rollup with company, name, and the category of the company. ``named``: their :func:`named_vendors`, ``by_name``: the
+    :func:`matching.name_matches` of these, both best read from a stored table: the match uses them several times."""
+    named = named_vendors(senders, companies) if named is None else named
+    return matching.categorize_matched(matching.match_companies(named, companies, by_name), companies)
 
 
 def with_features(vendors: DataFrame, features: DataFrame, actions: DataFrame) -> DataFrame:

@@ -277,9 +277,20 @@ def built_vendors(spark, sf) -> DataFrame:
         breaches(spark, sf), AS_OF_MS, vendor_status(spark, sf), senders(spark, sf))
 
 
+def named_vendors(spark, sf) -> DataFrame:
+    """The stored vendors with the company of their domain and with their name, as the match by name reads them."""
+    return stored(spark, sf, "vendor-named", lambda: vendor_plans.named_vendors(senders(spark, sf), companies(spark, sf)))
+
+
+def name_matches(spark, sf) -> DataFrame:
+    """The stored companies of vendors by name."""
+    return stored(spark, sf, "vendor-by-name", lambda: matching.name_matches(named_vendors(spark, sf), companies(spark, sf)))
+
+
 def matched_vendors(spark, sf) -> DataFrame:
     """The stored vendors with company, name and the category of the company."""
-    return stored(spark, sf, "vendor-matched", lambda: vendor_plans.matched_vendors(senders(spark, sf), companies(spark, sf)))
+    return stored(spark, sf, "vendor-matched", lambda: vendor_plans.matched_vendors(
+        senders(spark, sf), companies(spark, sf), named_vendors(spark, sf), name_matches(spark, sf)))
 
 
 def base_vendors(spark, sf) -> DataFrame:
