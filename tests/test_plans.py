@@ -7,7 +7,7 @@ from vendorlens.operators import breaches, contains, deep_pages, ingest, matchin
 from vendorlens.operators.joins import spread_join
 from vendorlens.plans import vendor_detail
 from vendorlens.sources.scratch import scratch_path
-from vendorlens.verify import joins, tables as t
+from vendorlens.verify import joins, sources, tables as t
 
 
 def optimized(df):
@@ -231,3 +231,13 @@ def test_stored_name_matches_leave_the_lookup_out_of_the_match(spark, sf):
     split = t.vendor_plans.matched_vendors(senders, companies, t.named_vendors(spark, sf), t.name_matches(spark, sf))
     assert optimized(split).count("Join") < optimized(whole).count("Join") / 2
     assert sorted(map(str, split.collect())) == sorted(map(str, whole.select(split.columns).collect()))
+
+
+def test_breach_documents_read_matched_fines_that_are_stored(spark, sf):
+    """Lists, their lengths and totals don't match the fines again each; columns that no document shows aren't parsed."""
+    docs = sources.docs(spark, sf)
+    assert "o_orderpriority" not in optimized(docs)
+    shown = t.stored(spark, sf, "fines-shown", None)
+    assert not {"articles_violated", "violation_type", "description", "sector"} & set(shown.columns)
+    plain = sources.pages.build_breach_docs(t.companies(spark, sf), t.breaches(spark, sf), joins.resolved(spark, sf))
+    assert sorted(map(str, docs.collect())) == sorted(map(str, plain.collect()))

@@ -8,7 +8,6 @@ from ..sources import layout, readers, sinks
 from ..sources.scratch import scratch_path
 from . import tables as t
 from .ctes import sql
-from .joins import resolved
 from .registry import register
 
 
@@ -135,7 +134,12 @@ def src_backfill(spark, sf):
 
 
 def docs(spark, sf, prior=None):
-    return pages.build_breach_docs(t.companies(spark, sf), t.breaches(spark, sf), resolved(spark, sf), prior)
+    """Documents from the stored matched fines: lists, their lengths and totals each read them. Only what documents show is parsed."""
+    shown = ["decision_date", "etid", "controller", "fine_eur", "authority", "source_url"]
+    parsed = t.stored(spark, sf, "fines-shown", lambda: enforcement.parse_enforcement(t.cells(spark, sf)).select(*shown, "country", "controller_slug"))
+    matched = enforcement.resolve_fines(parsed, t.fined_companies(spark, sf), t.overrides(spark, sf)).select("company_slug", "dpa_country", *shown)
+    fines = t.stored(spark, sf, "fines-resolved", lambda: matched)
+    return pages.build_breach_docs(t.companies(spark, sf), t.breaches(spark, sf), fines, prior)
 
 
 DOCS_SQL = """
