@@ -89,7 +89,8 @@ def near_pairs(fps: DataFrame, max_bits: int = 2, segments: int = 32) -> DataFra
     once = F.expr("""CASE WHEN l.step = 0 THEN true WHEN r.step = 0 THEN false
                      WHEN abs(l.step) = abs(r.step) THEN l.step = -r.step ELSE abs(l.step) < abs(r.step) END""")
     exact = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= max_bits
-    joined = left.join(right, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.fp") < F.col("r.fp")) & once & exact)
+    # Never a broadcast: Spark takes what is filed for as large as the fingerprints, of which each is 65 rows.
+    joined = left.join(right.hint("merge"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.fp") < F.col("r.fp")) & once & exact)
     return joined.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
