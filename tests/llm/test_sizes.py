@@ -1,8 +1,12 @@
 """What Spark takes for smaller than it is, what the driver is sent, and what stays on disk."""
 
-from vendorlens.llm import simhash
+import re
+
+from vendorlens.llm import similar, simhash
 from vendorlens.llm.common import stored
 
+from test_similar import planted
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -14,3 +18,19 @@ def test_filed_fingerprints_are_never_broadcast(spark):
     pairs = simhash.near_pairs(fps)
     assert "BroadcastHashJoin" not in plan(pairs) and "SortMergeJoin" in plan(pairs)
     assert {tuple(r) for r in pairs.collect()} == {(0, 1), (0, 3), (1, 3), (0, 12), (0, 1 << 40), (1, 1 << 40)}
+
+
+def test_exploded_shingles_are_never_broadcast(spark, monkeypatch):
+    plans, plain = {}, similar.stored
+    monkeypatch.setattr(similar, "stored", lambda df, name, **options: (plans.update({name: plan(df)}), plain(df, name, **options))[1])
+    similar.near_copies(spark.createDataFrame(planted(), "doc_id long, text string"))
+    assert "BroadcastHashJoin" not in plans["shingle-units"] and "SortMergeJoin" in plans["shingle-units"]
+    assert "TakeOrderedAndProject" in plans["shingle-frequent"]  # the limit ends in tasks, the driver gets its rows alone
+
+
+def test_pairs_of_tiles_are_never_broadcast(spark):
+    members = spark.range(40).selectExpr("1L AS unit", "id AS key", "600 AS size", "id % 20 AS cluster")
+    tiles = similar._tile_pairs(members, 1_000)
+    assert tiles.count() > 40
+    tiles.collect()
+    assert re.findall("SortMergeJoin|BroadcastHashJoin", plan(tiles))[0] == "SortMergeJoin"  # the join of the pairs stands at the top
