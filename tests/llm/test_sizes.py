@@ -1,6 +1,9 @@
 """What Spark takes for smaller than it is, what the driver is sent, and what stays on disk."""
 
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from vendorlens.llm import similar, simhash
 from vendorlens.llm.common import stored
@@ -12,6 +15,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
 def test_filed_fingerprints_are_never_broadcast(spark):
     """Each fingerprint is filed in 65 rows, so a small table of them makes a large one."""
     fps = stored(spark.createDataFrame([(x,) for x in (0, 1, 3, 12, 1 << 40)], "fp long"), "test-fingerprints")
@@ -34,3 +42,17 @@ def test_pairs_of_tiles_are_never_broadcast(spark):
     assert tiles.count() > 40
     tiles.collect()
     assert re.findall("SortMergeJoin|BroadcastHashJoin", plan(tiles))[0] == "SortMergeJoin"  # the join of the pairs stands at the top
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """A job of many stored tables holds the shuffle files of one of them, not of all."""
+    before = shuffle_files(spark)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting)
+    out = stored(spark.range(20_000).groupBy(F.pmod("id", F.lit(7_000)).alias("k")).count(), "test-shuffled")
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(setting) == kept
+    assert out.count() == 7_000 and out.agg(F.sum("count")).first()[0] == 20_000

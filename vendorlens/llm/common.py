@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..sources.scratch import scratch_path
 
 
+#: Spark removes the shuffle files of a query at its end.
+_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,11 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
-    This cuts the lineage, so nothing is computed twice and a lost executor costs one task, not the job.
+    This cuts the lineage, so nothing is computed twice and a lost executor costs one task, not the job. Nothing reads the
+    shuffle files of the write again, so they go as it ends, not when the driver happens to collect its garbage.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_FILES_GO)
+    spark.conf.set(_FILES_GO, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_FILES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
