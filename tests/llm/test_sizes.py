@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vendorlens.llm import similar, simhash
 from vendorlens.llm.common import stored
 
@@ -56,3 +57,11 @@ def test_shuffle_files_go_with_the_write(spark):
         time.sleep(0.1)
     assert not shuffle_files(spark) - before and spark.conf.get(setting) == kept
     assert out.count() == 7_000 and out.agg(F.sum("count")).first()[0] == 20_000
+
+
+def test_every_group_keeps_its_smallest_document(spark, sf):
+    """Document 5 is a copy by one of its texts and the first of its group by the other."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (5, one), (5, two), (7, two + " end"), (8, one), (8, two), (9, three), (9, three), (None, two)]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, one), (5, one), (5, two), (9, three), (9, three), (None, two)], key=str)
